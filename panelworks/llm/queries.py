@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .embedding_dedup import embedding_dedup
+from .huffman_ids import read_ids, write_ids
+from .packing import pack_documents
 from .quality_rules import RULES, STOP_WORDS, quality_rules
+from .sharding import shard
+from .warc_archive import read_archive, write_archive
+
+
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +75,64 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archive(write_archive(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS m FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM q
+"""
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return read_ids(store, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
+    "op2_embedding_near_dedup": (op2_embedding_near_dedup, OP2_SQL),
+    "op3_warc_archive": (op3_warc_archive, OP3_SQL),
+    "op5_best_fit_packing": (op5_best_fit_packing, None),
+    "op7_virtual_slot_sharding": (op7_virtual_slot_sharding, None),
+    "op9_huffman_token_ids": (op9_huffman_token_ids, None),
 }
