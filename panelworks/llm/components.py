@@ -40,5 +40,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     for to in reversed(moves[:-1]):
         later = root.select(F.col("node").alias("to"), F.col("to").alias("root"))
         root = materialise(to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
-    least = root.groupBy("to").agg(F.min("node").alias("component"))
+    least = materialise(root.groupBy("to").agg(F.min("node").alias("component")), "least")
     return root.join(least, "to").select("node", "component")

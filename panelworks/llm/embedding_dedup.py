@@ -153,7 +153,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     signed = materialise(whole.mapInArrow(_sign_tables(bits, tables), f"cls long, n long, label {label_type}, vec array<double>, sigs array<long>"), "signed")
     rows = signed.select("cls", "label", F.size("vec").alias("dim"), F.posexplode("sigs").alias("table", "sig")).withColumn("bucket", F.xxhash64("label", "dim", "table", "sig"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rows = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.join(materialise(sizes, "bucket-sizes"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
     rows = rows.select("cls", "table", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("bucket"))
@@ -164,7 +164,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     counts = out.groupBy("a").agg(F.sum("links").alias("links"))
     per_class = classes.join(counts.withColumnRenamed("a", "cls"), "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
     per_class = materialise(per_class.select("key", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component")), "linked")
-    smallest = per_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    smallest = materialise(per_class.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     per_class = per_class.join(smallest, "component").select("key", "n_links", "component_id")
     res = v.select("id", "key").join(per_class, "key", "left")
     res = res.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

@@ -54,24 +54,27 @@ def _count(array: str, test) -> Column:
     return F.size(F.filter(array, test)).cast("double")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Measures and verdict of each row, one row out for each row in.
 
     Words are runs without space and the controls 0x09-0x0D. Returns `id_col`,
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), the ratios,
     base_failed and kept. A null text has no words, so it fails the base rule, as
     does an empty one. Repeated rows are judged one by one; other columns of the
-    input are not looked at, so clashing names do no harm.
+    input are not looked at, so clashing names do no harm; those named in `carry` come
+    back as the fields of a column `held`, which spares a join.
 
     Words in repeated windows: windows are hashed to 64 bits, sorted with their
     places, and equal neighbours mark three places each, so the cost is n log n for
     a text of any length.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    held = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(True)
+    d = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.withColumn("w", F.filter(F.split("t", SPACE), lambda x: x != ""))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     d = d.select(
         "id",
+        "held",
         "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
@@ -88,6 +91,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = F.nullif(F.col("n_words").cast("double"), F.lit(0.0))
     d = d.select(
         "id",
+        "held",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -101,4 +105,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ((F.size("lines") - F.size(F.array_distinct("lines"))) / F.nullif(F.size("lines").cast("double"), F.lit(0.0))).alias("dup_line_ratio"),
     )
     d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-    return d.withColumn("kept", ~F.col("base_failed") & verdict(rules)).withColumnRenamed("id", id_col)
+    d = d.withColumn("kept", ~F.col("base_failed") & verdict(rules)).withColumnRenamed("id", id_col)
+    return d if carry else d.drop("held")

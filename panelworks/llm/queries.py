@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_dedup
 from .huffman_ids import read_ids, write_ids
+from .mixing import mixing_rates
+from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
+from .quality_classifier import quality_classifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
 from .sharding import shard
+from .storage import read_table as table
 from .warc_archive import read_archive, write_archive
 
 
@@ -22,10 +26,6 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,6 +77,18 @@ FROM f
 
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Shares of expected tokens by domain.
+TARGET_WEIGHTS = {"clean": 0.9, "toxic": 0.05, "low": 0.05}
+
+
+def op4_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGET_WEIGHTS)
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -128,11 +140,36 @@ def op9_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(store, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a, n.n
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
+    "op1_quality_classifier": (op1_quality_classifier, None),
+    "op4_soft_membership_mixing": (op4_soft_membership_mixing, None),
     "op2_embedding_near_dedup": (op2_embedding_near_dedup, OP2_SQL),
     "op3_warc_archive": (op3_warc_archive, OP3_SQL),
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op7_virtual_slot_sharding": (op7_virtual_slot_sharding, None),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
     "op9_huffman_token_ids": (op9_huffman_token_ids, None),
 }

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import table_path
+from .storage import materialise, table_path
 
 MIN_DEDUP_BYTES = 1000
 CRLF = "\r\n"
@@ -43,7 +43,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     heads = heads.groupBy("page_id", "url", "sha256", "sha1", "n").agg(F.count("*").alias("copies"))
     best = heads.groupBy("sha256").agg(F.max(F.coalesce("page_id", F.lit(-(1 << 62)))).alias("best"))
     urls = heads.groupBy("sha256", F.coalesce("page_id", F.lit(-(1 << 62))).alias("best")).agg(F.max("url").alias("best_url"))
-    chosen = best.join(urls, ["sha256", "best"])
+    chosen = materialise(best.join(urls, ["sha256", "best"]), "warc-chosen")
     rows = heads.join(chosen, "sha256").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
     first = (F.coalesce("page_id", F.lit(-(1 << 62))) == F.col("best")) & (F.col("url") == F.col("best_url")) & (F.col("copy") == 0)
     rows = rows.withColumn("revisit", (F.col("n") >= min_bytes) & ~first)
