@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .embedding_dedup import embedding_dedup
 from .huffman_ids import read_ids, write_ids
+from .katz_lm import katz_scores
 from .mixing import mixing_rates
 from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
@@ -135,6 +136,10 @@ def op7_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_katz_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents")).scores
+
+
 def op9_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = write_ids(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return read_ids(store, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -171,5 +176,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_best_fit_packing": (op5_best_fit_packing, None),
     "op7_virtual_slot_sharding": (op7_virtual_slot_sharding, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
+    "op8_katz_backoff_scoring": (op8_katz_backoff_scoring, None),
     "op9_huffman_token_ids": (op9_huffman_token_ids, None),
 }
