@@ -7,12 +7,15 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Pieces end before a run of spaces and line feeds. Pre-tokenizers of the byte-level
-#: kind never join what stands on both sides of such an end.
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A piece ends before a run of spaces and line feeds, and between a plain Latin letter or
+#: digit and one of the marks below. Pre-tokenizers of the byte-level kind never join what stands on
+#: both sides of such an end.
+PIECE = re.compile(r"[ \n]*+[^ \n.,;:!?|%&$*#]++(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f])|[ \n]*+[^ \n]++|[ \n]++")
+#: The same for vocabularies whose pre-tokenizer drops white space.
+BARE_PIECE = re.compile(r"[^ \n.,;:!?|%&$*#]++(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f])|[^ \n]++")
 #: Other white space may join runs across pieces, so such a text is one piece.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MAX_CACHED = 400_000
+MAX_CACHED = 800_000
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -24,12 +27,16 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.piece = PIECE if self._ids("\n \n") else BARE_PIECE
         self.place: dict[str, int] = {}
         self.first = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.pieces = self.used = 0
 
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def _add(self, pieces: list[str]) -> None:
         import os
 
@@ -48,7 +55,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds by text); a null text is empty."""
-        split = [[] if not t else [t] if OTHER_SPACE.search(t) else PIECE.findall(t) for t in texts]
+        split = [[] if not t else [t] if OTHER_SPACE.search(t) else self.piece.findall(t) for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         flat = list(chain.from_iterable(split))
         codes = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
