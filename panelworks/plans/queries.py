@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from . import event_queries
+
+QUERIES: dict = dict(event_queries.QUERIES)
