@@ -1,24 +1,26 @@
 """Exact Jaccard links between word-shingle sets, by filters under several token orders.
 
 How candidates are found. Each document's tokens are the hashes of its distinct
-shingles; its pool is the POOL smallest of them (all, if it has fewer). Of two sets with
-a Jaccard similarity of at least t, each of the POOL smallest tokens of their union is
-common with probability t or more, and a common one is in both pools. So pools of similar
-documents share at least `need` tokens: always, if a document is so small that both
-pools are whole sets; else but for a chance under MISS, far below that of a collision
-of 64-bit hashes.
+shingles. Its pool is all of them, up to WHOLE, or else the CUT smallest. Pools of similar
+documents share at least `need` tokens: a set of WHOLE * t or less only has similar sets
+whose pools are whole, so t times its size; for larger ones each of the CUT smallest tokens
+of the union is common with probability t or more and then lies in both pools, so `need` is
+what CUT such draws reach but for a chance under MISS, far below that of a collision of
+64-bit hashes.
 
 If two pools share `need` tokens, then under ANY order of all tokens the first
 |pool| - need + 1 tokens of both meet. Three orders are used: rare tokens first, and two
 independent hash orders among tokens that occur in more than one class. Pairs come from
-meeting under the first order; only those that also meet under the two others, and fit in
-size, are verified on their whole sets. Rare-first makes buckets of frequent passages
-empty unless documents consist of little else.
-
-How groups of copies stay linear. Equal sets are one class. In each bucket, every class
-is first compared with the bucket's leader alone, which joins large groups of near copies.
-Then buckets are paired in full, but only between classes that are not yet in one component,
-and components that wholly share a bucket cost nothing.
+meeting under the first order, where what is left behind the places of the first common
+token must suffice; only those that also meet under the two others, and fit in size, are
+verified on their whole sets. Rare-first keeps buckets of frequent passages empty unless
+documents consist of little else.
+
+How groups of copies stay linear. Equal sets are one class. In each bucket, classes are first
+compared with one leader alone: the one with the fewest rarer tokens, which near copies are
+closest to, and in later rounds the one with the most links. Then buckets are paired in
+full, but only between classes that are not yet in one component, so groups of near copies
+cost no pairs among themselves.
 """
 
 from __future__ import annotations
@@ -36,9 +38,12 @@ from .storage import materialise
 from .textkernel import U64, chunks, mix, shingle_hashes, string_buffers, word_hashes
 
 WORDS, PERCENT = 5, 75
-POOL = 64
+#: Sets up to WHOLE are their own pools; larger ones keep the CUT smallest tokens.
+WHOLE, CUT = 256, 64
 #: Chance at most that cut pools of two similar sets share fewer tokens than `need`.
 MISS = 1e-11
+#: Rounds of comparing with leaders before buckets are paired in full.
+ROUNDS = 3
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -51,7 +56,7 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def shingle_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n, set_a, set_b, pool): set size, a 128-bit digest of the set, smallest tokens."""
+    """(id, n, set_a, set_b, pool): set size, a 128-bit digest of the set, pool."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +66,7 @@ def shingle_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 with np.errstate(over="ignore"):
                     a.append(mix(s).sum(dtype=U64))
                     b.append(mix(s ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64))
-                pool.append(s[:POOL].view(np.int64))
+                pool.append((s if len(s) <= WHOLE else s[:CUT]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(np.array(a, U64).view(np.int64)), pa.array(np.array(b, U64).view(np.int64)), pa.array(pool, pa.list_(pa.int64()))], names=["id", "n", "set_a", "set_b", "pool"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, pool array<long>")
@@ -79,20 +84,27 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def need_cut(percent: int, miss: float = MISS) -> int:
-    """The most tokens that POOL draws, each common with this chance, fall short of with
+    """The most tokens that CUT draws, each common with this chance, fall short of with
     probability `miss` at most."""
     t, below = percent / 100, 0.0
-    for c in range(POOL + 1):
-        below += math.comb(POOL, c) * t**c * (1 - t) ** (POOL - c)
+    for c in range(CUT + 1):
+        below += math.comb(CUT, c) * t**c * (1 - t) ** (CUT - c)
         if below > miss:
             return max(1, c)
-    return POOL
+    return CUT
 
 
 def need(n: Column, percent: int = PERCENT) -> Column:
     """Tokens that the pool of a set of n shares at least with that of any similar set."""
-    small = POOL * percent // 100
-    return F.when(n <= small, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(need_cut(percent))).cast("int")
+    return F.when(n <= WHOLE * percent // 100, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(need_cut(percent))).cast("int")
+
+
+def fits(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes, and what is left from the places of a common token on, allow the
+    threshold. a, b: structs n, need, left. True for a similar pair's first common token."""
+    small = WHOLE * percent // 100
+    both = F.when((a["n"] <= small) & (b["n"] <= small), F.ceil((a["n"] + b["n"]) * percent / (100.0 + percent) - 1e-9)).otherwise(F.least(a["need"], b["need"]))
+    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (F.least(a["left"], b["left"]) >= both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -102,12 +114,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _filtered(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Pairs that also meet under the other orders and whose sizes allow the threshold."""
-    side = lambda x: heads.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("second").alias(f"s{x}"), F.col("third").alias(f"t{x}"))
+def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs that also meet under the other orders."""
+    side = lambda x: heads.select(F.col("id").alias(x), F.col("second").alias(f"s{x}"), F.col("third").alias(f"t{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    sizes = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")
-    return both.where(sizes).select("a", "b")
+    return both.where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -141,27 +152,42 @@ def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) ->
     tokens = reps.select("id", F.explode("pool").alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
     hits = tokens.join(shared, "token")
-    heads = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # POOL at most
+    heads = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # WHOLE at most
     heads = heads.join(reps.select("id", "n", F.size("pool").alias("size")), "id")
     heads = heads.withColumn("need", need(F.col("n"), percent)).where(F.size("hits") >= F.col("need"))
     length = F.size("hits") - F.col("need") + 1
     other = lambda seed: F.transform(F.slice(F.sort_array(F.transform("hits", lambda x: F.struct(F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))), 1, length), lambda x: x["token"])
-    heads = heads.select("id", "n", F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
+    heads = heads.select("id", "n", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
     heads = materialise(heads, "prefixes")
 
     sets = materialise(shingle_sets(docs.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]), words), "sets")
-    rows = heads.select("id", F.explode("first.token").alias("token"))
-
-    leaders = materialise(rows.groupBy("token").agg(F.min("id").alias("a")), "leaders")
-    star = rows.join(leaders, "token").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    near = materialise(_verified(_filtered(star, heads, percent), sets, percent), "star-links")
-
-    comp = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
-    rows = materialise(rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "buckets")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = rows.join(materialise(mixed, "mixed"), "token", "left_semi")
-    left = rows.select("token", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("token", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "token").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return near.unionByName(_verified(_filtered(pairs, heads, percent), sets, percent))
+    rows = heads.select("id", "n", "need", "left", F.posexplode("first.token").alias("k", "token"))
+    rows = rows.select("token", "id", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left")).alias("fit"))
+
+    near: DataFrame | None = None
+    tested: DataFrame | None = None
+    rank = F.struct("k", "id")
+    placed = rows.withColumn("component", F.col("id"))
+    for number in range(ROUNDS):
+        leaders = placed.groupBy("token").agg(F.min_by(F.struct("id", "component", "fit"), rank).alias("top"))
+        leaders = materialise(leaders, "leaders")
+        star = placed.join(leaders, "token").where((F.col("component") != F.col("top.component")) & fits(F.col("fit"), F.col("top.fit"), percent))
+        star = star.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
+        star = materialise(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "star-pairs")
+        found = materialise(_verified(_filtered(star, heads), sets, percent), "star-links")
+        tested = star if tested is None else tested.unionByName(star)
+        near = found if near is None else near.unionByName(found)
+        comp = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
+        degree = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+        known = materialise(comp.join(degree, "id"), "linked")
+        placed = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+        placed = materialise(placed.join(materialise(mixed, "mixed"), "token", "left_semi"), "buckets")
+        rank = F.struct(-F.coalesce("links", F.lit(0)), "k", "id")
+        if number and found.isEmpty():
+            break
+    left = placed.select("token", F.col("id").alias("ia"), F.col("component").alias("ca"), F.col("fit").alias("fa"))
+    right = placed.select("token", F.col("id").alias("ib"), F.col("component").alias("cb"), F.col("fit").alias("fb"))
+    pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & fits(F.col("fa"), F.col("fb"), percent))
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    return near.unionByName(_verified(_filtered(pairs, heads), sets, percent))
