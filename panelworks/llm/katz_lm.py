@@ -35,7 +35,7 @@ from .textkernel import U64, chunks, mix, string_buffers, word_hashes
 #: Largest count that is discounted.
 K = 5
 #: Text bytes of a chunk, and entries of a bucket, about.
-CHUNK_TEXT, BUCKET_ENTRIES = 16 << 20, 1_500_000
+CHUNK_TEXT, BUCKET_ENTRIES = 12 << 20, 1_500_000
 START, END = mix(np.array([11, 13], U64))
 
 
@@ -53,6 +53,15 @@ def expand(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, n).T).view(kind).ravel()
 
 
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, whose leading bytes are zero."""
+    return squeeze(np.diff(keys, prepend=U64(0)))
+
+
+def expand_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(expand(b, "u8"), dtype=U64)
+
+
 def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where the ranges of the buckets begin and end."""
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], U64)
@@ -73,7 +82,7 @@ class Chunk(NamedTuple):
 
     @staticmethod
     def of(r: dict) -> Chunk:
-        vocab, token, ends = expand(r["vocab"], "u8"), expand(r["token"], "u4").astype(np.int64), expand(r["ends"], "i8")
+        vocab, token, ends = expand_keys(r["vocab"]), expand(r["token"], "u4").astype(np.int64), expand(r["ends"], "i8")
         start = int(np.searchsorted(vocab, START))
         first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         prev = np.concatenate([[start], token[:-1]])
@@ -115,9 +124,9 @@ def text_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
                 train = np.array([x is None or zlib.crc32(str(x).encode()) % 7 != 2 for x in ids.to_pylist()], np.uint8)
                 n += 1
                 cols = [[n], [ids.to_pylist()], [len(words)], [len(vocab)], [int(train.sum())]]
-                blobs = [vocab, token[:-1].astype(np.uint32), bounds[1:] + np.arange(1, len(bounds)), train]
+                blobs = [squeeze_keys(vocab), *map(squeeze, (token[:-1].astype(np.uint32), bounds[1:] + np.arange(1, len(bounds)), train))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), *(pa.array(c, pa.int64()) for c in cols[2:]), *(pa.array([squeeze(x)], pa.binary()) for x in blobs)],
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), *(pa.array(c, pa.int64()) for c in cols[2:]), *(pa.array([x], pa.binary()) for x in blobs)],
                     names=["chunk", "ids", "n_tokens", "n_vocab", "n_train", "vocab", "token", "ends", "train"],
                 )
 
@@ -145,7 +154,7 @@ def _ask(stored: DataFrame, buckets: int, what: str) -> DataFrame:
             at = cuts(keys, buckets)
             for b in np.flatnonzero(np.diff(at)):
                 s = slice(at[b], at[b + 1])
-                yield _rows(ASK, [int(b)], [r["chunk"]], [squeeze(keys[s])], [squeeze(counts[s].astype(np.int64))])
+                yield _rows(ASK, [int(b)], [r["chunk"]], [squeeze_keys(keys[s])], [squeeze(counts[s].astype(np.int64))])
 
     return stored.select("chunk", "vocab", "token", "ends", "train").mapInArrow(run, ASK)
 
@@ -157,7 +166,7 @@ def _count(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.to_pylist()
-        keys = [expand(r["keys"], "u8") for r in group]
+        keys = [expand_keys(r["keys"]) for r in group]
         own = np.concatenate([expand(r["counts"], "i8") for r in group])
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=own, minlength=len(known)).astype(np.int64)
@@ -167,7 +176,7 @@ def _count(asked: DataFrame) -> DataFrame:
         owner[trained[first]] = 1
         bucket, seen = group[0]["bucket"], total > 0
         freq = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)[1 : K + 2]
-        out = [_rows(ANSWER, ["table"], [bucket], [None], [squeeze(known[seen])], [squeeze(total[seen])], [None], [[int(total.sum()), int(seen.sum()), *map(int, freq)]])]
+        out = [_rows(ANSWER, ["table"], [bucket], [None], [squeeze_keys(known[seen])], [squeeze(total[seen])], [None], [[int(total.sum()), int(seen.sum()), *map(int, freq)]])]
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         for r, a, b in zip(group, at[:-1], at[1:], strict=True):
             out.append(_rows(ANSWER, ["answer"], [bucket], [r["chunk"]], [None], [squeeze(total[place[a:b]])], [squeeze(owner[a:b])], [None]))
@@ -233,7 +242,7 @@ def _look_up(stored: DataFrame, answers: DataFrame, n: int, v: int, train_docs:
         at = cuts(c.vocab[use], buckets)
         for b in np.flatnonzero(np.diff(at)):
             s = use[at[b] : at[b + 1]]
-            out.append(state(kind="context", bucket=int(b), chunk=r["chunk"], keys=squeeze(c.vocab[s]), mass=squeeze(mass[s]), unigram=squeeze(covered[s]), count=squeeze(context[s]), asks=squeeze(asks[s])))
+            out.append(state(kind="context", bucket=int(b), chunk=r["chunk"], keys=squeeze_keys(c.vocab[s]), mass=squeeze(mass[s]), unigram=squeeze(covered[s]), count=squeeze(context[s]), asks=squeeze(asks[s])))
         return pa.Table.from_batches(out)
 
     tokens = stored.select("chunk", "ids", "vocab", "token", "ends", "train")
@@ -249,7 +258,7 @@ def _back_off(contexts: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         group = group.to_pylist()
-        keys = [expand(r["keys"], "u8") for r in group]
+        keys = [expand_keys(r["keys"]) for r in group]
         _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         mass, covered = (np.bincount(place, weights=np.concatenate([expand(r[x], "f8") for r in group])) for x in ("mass", "unigram"))
         count = np.concatenate([expand(r["count"], "i8") for r in group])[first]
