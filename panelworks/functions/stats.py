@@ -7,6 +7,11 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Correlations this near to nothing are not positive; rounding alone makes them differ.
+TINY = 1e-12
 
 
 def pearson(x: str, y: str) -> Column:
@@ -31,7 +36,7 @@ def spearman_by(df: DataFrame, by: list[str], x: str, y: str, min_count: int = 2
     return d.groupBy(*by).agg(F.when(F.count("*") >= min_count, pearson("_rx", "_ry")).alias(name))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(t: pd.Series) -> pd.Series:
     """Two-sided normal probability of a statistic; used on summary rows only."""
     return t.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None).astype(float)
@@ -54,7 +59,7 @@ def newey_west(df: DataFrame, by: list[str], order: str, value: str, lags: int =
         F.count("*").alias("n"),
         F.avg(value).alias("mean"),
         std.alias("std"),
-        F.avg((F.col(value) > 0).cast("double")).alias("positive_share"),
+        F.avg((F.col(value) > TINY).cast("double")).alias("positive_share"),
         F.max("_l").alias("nw_lags"),
         F.when((F.count("*") > 1) & (std > 0), F.avg(value) / F.sqrt(F.sum("_s")) * F.count("*")).alias("nw_t"),
     )

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, newey_west, normal_p, pearson
+from ..functions.stats import TINY, average_rank, newey_west, normal_p, pearson
 
 SCORE, RETURN = "processed_factor", "forward_return"
 
@@ -81,7 +81,7 @@ def nav_summary(navs: DataFrame, by: list[str], order: str, columns: list[str],
 
 def annual_stability(series: DataFrame, returns: DataFrame, date: str = "signal_date") -> DataFrame:
     """(year, mean_rank_ic, hit_rate, compounded): by calendar year."""
-    a = series.groupBy(F.year(date).alias("year")).agg(F.avg("rank_ic").alias("mean_rank_ic"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("hit_rate"))
+    a = series.groupBy(F.year(date).alias("year")).agg(F.avg("rank_ic").alias("mean_rank_ic"), F.avg((F.col("rank_ic") > TINY).cast("double")).alias("hit_rate"))
     b = returns.groupBy(F.year(date).alias("year")).agg((F.product(1 + F.col("long_short")) - 1).alias("compounded"))
     return a.join(b, "year", "left")
 

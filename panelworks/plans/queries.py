@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import event_queries
+from . import event_queries, evidence_queries, factor_queries
 
-QUERIES: dict = dict(event_queries.QUERIES)
+QUERIES: dict = event_queries.QUERIES | factor_queries.QUERIES | evidence_queries.QUERIES
