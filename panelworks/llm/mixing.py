@@ -43,10 +43,12 @@ def n_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^ \t-\r]+")).cast("double")
 
 
-def choose_markers(labelled: DataFrame, domains: list[str], docs: int = MARKER_DOCS, most: int = MARKERS) -> dict[str, list[str]]:
-    """Words of each domain that its labelled documents have far oftener than the others'."""
-    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(docs)
+def choose_markers(sample: DataFrame, most: int = MARKERS) -> dict[str, list[str]]:
+    """Words of each domain that its documents of a bounded sample have far oftener than the others'."""
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
+    domains = sorted(sizes)
+    if not domains:
+        return {}
     words = sample.select("domain", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))).alias("word")).where("length(word) > 2")
     counts = words.groupBy("word").pivot("domain", domains).count().na.fill(0)
     total, out = sum(sizes.values()), {}
@@ -90,36 +92,40 @@ class Mix:
     def rated(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """`docs` with columns named RESERVED + tokens, RESERVED + 0, 1, ... (posteriors)
         and RESERVED + rate. No shuffle."""
-        cols, k = docs.columns, len(self.domains)
-        x = _features(F.col(text_col), self.markers)
+        return self.rated_features(with_features(docs, self.markers, text_col))
+
+    def rated_features(self, d: DataFrame) -> DataFrame:
+        """The same from the result of `with_features`."""
+        n, k = len(d.schema[f"{RESERVED}x"].dataType.fields), len(self.domains)
+        cols = [c for c in d.columns if c != f"{RESERVED}x"]
         part = lambda name, n: [F.col(f"{RESERVED}{name}.c{i}") for i in range(n)]
-        d = docs.select(*cols, _once(n_tokens(F.col(text_col)), *x).alias(f"{RESERVED}x"))
-        tokens, *x = part("x", len(x) + 1)
+        tokens, *x = part("x", n)
         d = d.select(*cols, tokens.alias(f"{RESERVED}tokens"), _once(*self.logs(x)).alias(f"{RESERVED}l"))
         logs = part("l", k)
         d = d.select(*cols, f"{RESERVED}tokens", _once(*(1 / sum((F.exp(F.least(F.lit(60.0), b - a)) for b in logs), F.lit(0.0)) for a in logs)).alias(f"{RESERVED}p"))
         p = part("p", k)
-        return d.select(*cols, f"{RESERVED}tokens", *(c.alias(f"{RESERVED}{i}") for i, c in enumerate(p)), _once(self.rate(p)).alias(f"{RESERVED}r")).select(
-            *cols, f"{RESERVED}tokens", *(f"{RESERVED}{i}" for i in range(k)), F.col(f"{RESERVED}r.c0").alias(f"{RESERVED}rate")
-        )
+        d = d.select(*cols, f"{RESERVED}tokens", *(c.alias(f"{RESERVED}{i}") for i, c in enumerate(p)), _once(self.rate(p)).alias(f"{RESERVED}r"))
+        return d.select(*cols, f"{RESERVED}tokens", *(f"{RESERVED}{i}" for i in range(k)), F.col(f"{RESERVED}r.c0").alias(f"{RESERVED}rate"))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain: Column | None = None) -> Mix:
-    """Domains, markers, priors, means and variances from the labelled documents. Labels
-    without a domain, or of no document, are ignored; with none, all is one domain."""
-    known = labels.select(F.col(id_col).alias("id"), (label_domain() if domain is None else domain).alias("domain")).where("domain is not null and id is not null")
-    labelled = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id"), "labelled")
-    domains = sorted(r["domain"] for r in labelled.select("domain").distinct().collect())
-    if not domains:
-        return Mix(["all"], {}, [1.0], [[0.0] * 3], [[1.0] * 3])
-    markers = choose_markers(labelled, domains)
-    x = _features(F.col("text"), markers)
-    names = [f"x{k}" for k in range(len(x))]
-    stats = labelled.select("domain", *(c.alias(n) for c, n in zip(x, names, strict=True))).groupBy("domain")
-    rows = {r["domain"]: r for r in stats.agg(F.count("*").alias("n"), *(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.avg, F.var_pop))).collect()}
-    total = sum(r["n"] for r in rows.values())
-    floor = [1e-3 * max(r[f"var_pop_{n}"] for r in rows.values()) + 1e-6 for n in names]
-    return Mix(domains, markers, [rows[d]["n"] / total for d in domains], [[rows[d][f"avg_{n}"] for n in names] for d in domains], [[rows[d][f"var_pop_{n}"] + f for n, f in zip(names, floor, strict=True)] for d in domains])
+def with_features(docs: DataFrame, markers: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """`docs` with a struct RESERVED + x of tokens and features."""
+    return docs.select("*", _once(n_tokens(F.col(text_col)), *_features(F.col(text_col), markers)).alias(f"{RESERVED}x"))
+
+
+def fit_classifier(features: DataFrame, known: DataFrame, markers: dict[str, list[str]], id_col: str) -> Mix:
+    """Priors, means and variances of the domains from all labelled documents. Labels of
+    no document are ignored; with none, all is one domain."""
+    n = len(features.schema[f"{RESERVED}x"].dataType.fields) - 1
+    names = [f"x{k}" for k in range(n)]
+    x = features.select(F.col(id_col).alias("id"), *(F.col(f"{RESERVED}x.c{k + 1}").alias(f"x{k}") for k in range(n)))
+    stats = x.join(known, "id").groupBy("domain").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.avg, F.var_pop)))
+    rows = {r["domain"]: r for r in stats.collect()}
+    if not rows:
+        return Mix(["all"], markers, [1.0], [[0.0] * n], [[1.0] * n])
+    domains, total = sorted(rows), sum(r["n"] for r in rows.values())
+    floor = [1e-3 * max(r[f"var_pop_{c}"] for r in rows.values()) + 1e-6 for c in names]
+    return Mix(domains, markers, [rows[d]["n"] / total for d in domains], [[rows[d][f"avg_{c}"] for c in names] for d in domains], [[rows[d][f"var_pop_{c}"] + f for c, f in zip(names, floor, strict=True)] for d in domains])
 
 
 def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 30, tolerance: float = 1e-7) -> tuple[Mix, DataFrame]:
@@ -131,8 +137,13 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], t
     round is one aggregation of a number per domain; the rates of the next are the same
     projection with one more step. Weights of absent domains are left out, the rest scaled.
     """
-    mix = fit_classifier(docs, labels, id_col, text_col)
-    plain = materialise(mix.rated(docs.select(id_col, text_col), text_col).drop(text_col, f"{RESERVED}rate"), "mix-features")
+    known = labels.select(F.col(id_col).alias("id"), label_domain().alias("domain")).where("domain is not null and id is not null")
+    chosen = known.orderBy(F.xxhash64("id"), "id", "domain").limit(MARKER_DOCS)  # so the broadcast is bounded
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    markers = choose_markers(materialise(text.join(F.broadcast(chosen), "id"), "labelled"))
+    features = materialise(with_features(docs.select(id_col, text_col), markers, text_col).drop(text_col), "mix-features")
+    mix = fit_classifier(features, known, markers, id_col)
+    plain = materialise(mix.rated_features(features).drop(f"{RESERVED}rate"), "mix-posteriors")
     k = len(mix.domains)
     p = [F.col(f"{RESERVED}{i}") for i in range(k)]
     t = F.col(f"{RESERVED}tokens")
