@@ -105,5 +105,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ((F.size("lines") - F.size(F.array_distinct("lines"))) / F.nullif(F.size("lines").cast("double"), F.lit(0.0))).alias("dup_line_ratio"),
     )
     d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-    d = d.withColumn("kept", ~F.col("base_failed") & verdict(rules)).withColumnRenamed("id", id_col)
+    # The row number keeps a filter on `kept` above this projection; pushed down, it would
+    # repeat all measures inside itself.
+    kept = F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & verdict(rules))
+    d = d.withColumn("kept", kept).withColumnRenamed("id", id_col)
     return d if carry else d.drop("held")
