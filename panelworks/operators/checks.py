@@ -54,6 +54,20 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("hash_xor"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"))
 
 
+def holdout_guard(partition: str, unlocked: bool, locked: tuple[str, ...] = ("holdout",)) -> None:
+    """Refuses a locked partition before anything is planned."""
+    if partition in locked and not unlocked:
+        raise PermissionError(f"partition {partition} is locked")
+
+
+def research_slice(df: DataFrame, date: str, start: str, end: str, history: bool = False) -> DataFrame:
+    """Rows of a named partition's dates; a history keeps what it looks back on."""
+    if start > end:
+        raise ValueError("a partition ends before it starts")
+    d = df.where(F.col(date) <= F.lit(end).cast("date"))
+    return d if history else d.where(F.col(date) >= F.lit(start).cast("date"))
+
+
 def run_identity(factor: str, params: dict, shared: dict) -> tuple[str, str]:
     """(run id, comparison group id): the group depends on the shared settings alone."""
     digest = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]

@@ -113,6 +113,13 @@ def mad_sensitivity(panel: DataFrame, keys: list[str], date: str, factors: list[
     return a.join(r, ["factor", "multiplier"]).withColumn("clip_rate", F.try_divide("n_clipped", "n_observed"))
 
 
+def clipping_audit(sensitivity: DataFrame) -> DataFrame:
+    """(factor, is_monotone, most_clipped): a wider bound must not clip more rows."""
+    before = F.lag("n_clipped").over(Window.partitionBy("factor").orderBy("multiplier"))
+    d = sensitivity.withColumn("_ok", F.coalesce(F.col("n_clipped") <= before, F.lit(True)))
+    return d.groupBy("factor").agg(F.bool_and("_ok").alias("is_monotone"), F.max("n_clipped").alias("most_clipped"))
+
+
 def spearman_matrix(panel: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
     """(factor_a, factor_b, n_pairs, correlation) for a <= b, on pairwise complete rows."""
     v = to_long(panel, keys, factors).where("value is not null")

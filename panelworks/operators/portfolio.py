@@ -19,6 +19,15 @@ def ranked(scores: DataFrame, key: str, date: str = "signal_date", score: str =
     return d.withColumn("position", F.row_number().over(Window.partitionBy(*(by or []), date).orderBy(F.col(score).desc(), key)))
 
 
+def materialize_scores(context: DataFrame, factor: DataFrame, direction: int, n_mad: float = 3.0) -> DataFrame:
+    """Signed scores of a factor frame (signal_date, code, raw_factor) with the context's flags."""
+    from .cross_section import preprocess_registered
+
+    d = preprocess_registered(factor, "raw_factor", "signal_date", direction, n_mad)
+    flags = context.select("signal_date", "code", "entry_allowed", "exit_required")
+    return d.select("signal_date", "code", SCORE).join(flags, ["signal_date", "code"])
+
+
 def top_targets(scores: DataFrame, key: str, n: int = 20, cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE) -> DataFrame:
     """Equal weights of the best n of each date, at most `cap`, and the cash that is left."""
     d = ranked(scores, key, date, score).where(F.col("position") <= n)

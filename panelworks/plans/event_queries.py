@@ -191,7 +191,7 @@ SELECT member, CASE WHEN n = 1 THEN i END AS industry, n > 1 AS is_ambiguous, c
 def industry_membership(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.tables import members
 
-    named = read(spark, sf, "supplier").join(F.broadcast(read(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))
+    named = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     snap = named.groupBy(F.to_date(F.lit(FIRST_DAY)).alias("trade_date"), F.col("n_name").alias("industry")).agg(F.collect_list(F.col("s_suppkey") % 50).alias("constituents"))
     m = members(snap, "trade_date", "industry", "constituents", as_of=FIRST_DAY)
     return tidy(U.resolve_membership(m, ["member"]))

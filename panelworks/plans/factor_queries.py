@@ -88,7 +88,7 @@ def money_flow(spark: SparkSession, sf: str) -> DataFrame:
 def linked(spark: SparkSession, sf: str) -> DataFrame:
     s = stocks(spark, sf).select(F.col("code").alias("stock"), "trade_date", F.col("close").alias("stock_adj"), (F.col("pct_chg") / 100).alias("stock_return"))
     m = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("stock"))
-    b = T.bond_daily_return(market(spark, sf), "code").join(F.broadcast(T.underlying_map(m, "code", "stock")), "code")
+    b = T.bond_daily_return(market(spark, sf), "code").join(T.underlying_map(m, "code", "stock"), "code")
     return b.join(s, ["stock", "trade_date"], "left").withColumn("bond_close", F.col("close"))
 
 
@@ -165,7 +165,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     """A small family of factors with controls: size and age as numbers, nation as category."""
     d = T.money_flow(T.momentum(adjusted(spark, sf), "code", (5,)), "code")
     c = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), "s_nationkey", F.when(F.col("s_suppkey") % 13 > 0, F.col("s_acctbal")).alias("balance"))
-    d = d.join(F.broadcast(c), "code").select("code", "trade_date", F.col("stock_return_5d").alias("mom"), F.col("stock_mfi_20d").alias("flow"), F.col("vol").alias("turn"), "balance", (F.col("high") - F.col("low")).alias("span"), (F.col("s_nationkey") % 5).cast("string").alias("nation"))
+    d = d.join(c, "code").select("code", "trade_date", F.col("stock_return_5d").alias("mom"), F.col("stock_mfi_20d").alias("flow"), F.col("vol").alias("turn"), "balance", (F.col("high") - F.col("low")).alias("span"), (F.col("s_nationkey") % 5).cast("string").alias("nation"))
     return d
 
 
@@ -232,6 +232,13 @@ MATRIX = f"""{PANEL}, {LONG}, pr AS (SELECT a.factor AS factor_a, b.factor AS fa
 mx AS ({SPEARMAN('pr', 'factor_a, factor_b', 'x', 'y')})"""
 
 
+@query("clipping_audit", f"""WITH {PANEL}, {LONG}, sl AS (SELECT lg.*, k FROM lg CROSS JOIN (SELECT unnest([CAST(2.5 AS DOUBLE), 3.0, 3.5]) AS k)), {_SENS_W},
+n AS (SELECT factor, k, count(*) FILTER (abs(w - value) > 1e-8 + 1e-5 * abs(value)) AS c FROM w_value GROUP BY ALL), l AS (SELECT *, lag(c) OVER (PARTITION BY factor ORDER BY k) AS p FROM n)
+SELECT factor, coalesce(bool_and(c <= p), true) AS is_monotone, max(c) AS most_clipped FROM l GROUP BY 1""")
+def clipping_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return X.clipping_audit(X.mad_sensitivity(panel(spark, sf), KEYS, "trade_date", FACTORS))
+
+
 @query("spearman_matrix", f"WITH {MATRIX} SELECT factor_a, factor_b, n AS n_pairs, round(r, 6) AS correlation FROM mx")
 def spearman_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(X.spearman_matrix(panel(spark, sf), KEYS, FACTORS))

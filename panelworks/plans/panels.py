@@ -51,7 +51,7 @@ def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars of nations, as the stocks under their suppliers."""
-    lines = read(spark, sf_dir, "lineitem").join(F.broadcast(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")), "l_suppkey")
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     return _with_changes(_bars(lines, "s_nationkey").join(F.broadcast(weeks(spark, sf_dir)), "trade_date"))
 
 

@@ -18,7 +18,7 @@ from panelworks.operators import universe as U
 from panelworks.operators import valuation as V
 from panelworks.operators.asof import asof_backward
 from panelworks.operators.calendar import calendar, listing_age, month_windows, next_open, rebalance_calendar
-from panelworks.operators.checks import assert_unique, fingerprint, forbid_columns, key_difference, require_columns, run_identity
+from panelworks.operators.checks import assert_unique, fingerprint, forbid_columns, holdout_guard, key_difference, require_columns, research_slice, run_identity
 from panelworks.operators.registry import FactorBundle, FactorSpec, default_registry
 
 D = dt.date
@@ -234,3 +234,19 @@ def test_registry(spark):
         r.spec("nothing")
     with pytest.raises(ValueError, match="unknown parameters"):
         r.calculate("double_low", FactorBundle(v, v), {"x": 1})
+
+
+def test_slices_and_locks(spark):
+    d = spark.createDataFrame([(D(2019, 1, 1),), (D(2020, 1, 1),), (D(2021, 1, 1),)], "d date")
+    assert research_slice(d, "d", "2020-01-01", "2020-12-31").count() == 1
+    assert research_slice(d, "d", "2020-01-01", "2020-12-31", history=True).count() == 2
+    with pytest.raises(PermissionError):
+        holdout_guard("holdout", False)
+    holdout_guard("replication", False)
+
+
+def test_scores_and_targets(spark):
+    f = spark.createDataFrame([(D(2020, 1, 1), f"k{i}", float(i), D(2020, 1, 1)) for i in range(6)], "signal_date date, code string, raw_factor double, available_date date")
+    c = f.select("signal_date", "code", (F.col("code") != "k0").alias("entry_allowed"), (F.col("code") == "k1").alias("exit_required"))
+    t = P.top_targets(P.materialize_scores(c, f, -1), "code", n=2, cash=0.1, cap=0.3).orderBy("position").collect()
+    assert [x.code for x in t] == ["k2", "k3"] and all(abs(x.target_weight - 0.3) < 1e-12 and abs(x.implied_cash - 0.4) < 1e-12 for x in t)
