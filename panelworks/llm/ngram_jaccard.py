@@ -17,10 +17,10 @@ verified on their whole sets. Rare-first keeps buckets of frequent passages empt
 documents consist of little else.
 
 How groups of copies stay linear. Equal sets are one class. In each bucket, classes are first
-compared with one leader alone: the one with the fewest rarer tokens, which near copies are
-closest to, and in later rounds the one with the most links. Then buckets are paired in
-full, but only between classes that are not yet in one component, so groups of near copies
-cost no pairs among themselves.
+compared with one leader alone: that with the fewest rarer tokens, which copies of one text
+are closest to. Then buckets are paired in full, but only between classes that are not yet
+in one component, and a pair leaves the join only if its parity sketches, which bound the
+difference of the sets from below, allow the threshold; what leaves is little more than the links.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ WORDS, PERCENT = 5, 75
 WHOLE, CUT = 256, 64
 #: Chance at most that cut pools of two similar sets share fewer tokens than `need`.
 MISS = 1e-11
-#: Rounds of comparing with leaders before buckets are paired in full.
-ROUNDS = 3
+#: Bits of a set's parity sketch, as longs: two sketches differ in no more bits than the
+#: sets in tokens.
+SKETCH = 16
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,20 +57,21 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def shingle_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n, set_a, set_b, pool): set size, a 128-bit digest of the set, pool."""
+    """(id, n, set_a, set_b, pool, parity): set size, a 128-bit digest of the set, pool, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, pool = [], [], [], []
+            n, a, b, pool, parity = [], [], [], [], []
             for _, s in _sets(batch, words):
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     a.append(mix(s).sum(dtype=U64))
                     b.append(mix(s ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64))
+                parity.append(np.packbits(np.bincount((s & U64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64))
                 pool.append((s if len(s) <= WHOLE else s[:CUT]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(np.array(a, U64).view(np.int64)), pa.array(np.array(b, U64).view(np.int64)), pa.array(pool, pa.list_(pa.int64()))], names=["id", "n", "set_a", "set_b", "pool"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(np.array(a, U64).view(np.int64)), pa.array(np.array(b, U64).view(np.int64)), pa.array(pool, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], names=["id", "n", "set_a", "set_b", "pool", "parity"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, pool array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, pool array<long>, parity array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -100,11 +102,14 @@ def need(n: Column, percent: int = PERCENT) -> Column:
 
 
 def fits(a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes, and what is left from the places of a common token on, allow the
-    threshold. a, b: structs n, need, left. True for a similar pair's first common token."""
+    """Whether sizes, what is left from the places of a common token on, and the sketches
+    allow the threshold. a, b: structs n, need, left, parity. True for a similar pair's first
+    common token."""
     small = WHOLE * percent // 100
     both = F.when((a["n"] <= small) & (b["n"] <= small), F.ceil((a["n"] + b["n"]) * percent / (100.0 + percent) - 1e-9)).otherwise(F.least(a["need"], b["need"]))
-    return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (F.least(a["left"], b["left"]) >= both)
+    apart = sum((F.bit_count(F.get(a["parity"], F.lit(i)).bitwiseXOR(F.get(b["parity"], F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    sizes = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+    return sizes & (F.least(a["left"], b["left"]) >= both) & (apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +143,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all_rows = materialise(shingle_signatures(d, words), "signatures")
     linked = all_rows.where("n > 0 and id is not null")
     classes = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = linked.join(classes, ["set_a", "set_b", "n"]).where("id = rep").dropDuplicates(["id", "set_a"]).select("id", "n", "pool")
+    reps = linked.join(classes, ["set_a", "set_b", "n"]).where("id = rep").dropDuplicates(["id", "set_a"]).select("id", "n", "pool", "parity")
     edges = materialise(_class_links(d, reps, words, percent), "jaccard-links")
     comp = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), "component")
     ends = classes.join(comp, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -153,41 +158,27 @@ def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) ->
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
     hits = tokens.join(shared, "token")
     heads = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # WHOLE at most
-    heads = heads.join(reps.select("id", "n", F.size("pool").alias("size")), "id")
+    heads = heads.join(reps.select("id", "n", "parity", F.size("pool").alias("size")), "id")
     heads = heads.withColumn("need", need(F.col("n"), percent)).where(F.size("hits") >= F.col("need"))
     length = F.size("hits") - F.col("need") + 1
     other = lambda seed: F.transform(F.slice(F.sort_array(F.transform("hits", lambda x: F.struct(F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))), 1, length), lambda x: x["token"])
-    heads = heads.select("id", "n", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
+    heads = heads.select("id", "n", "parity", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
     heads = materialise(heads, "prefixes")
 
     sets = materialise(shingle_sets(docs.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]), words), "sets")
-    rows = heads.select("id", "n", "need", "left", F.posexplode("first.token").alias("k", "token"))
-    rows = rows.select("token", "id", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left")).alias("fit"))
-
-    near: DataFrame | None = None
-    tested: DataFrame | None = None
-    rank = F.struct("k", "id")
-    placed = rows.withColumn("component", F.col("id"))
-    for number in range(ROUNDS):
-        leaders = placed.groupBy("token").agg(F.min_by(F.struct("id", "component", "fit"), rank).alias("top"))
-        leaders = materialise(leaders, "leaders")
-        star = placed.join(leaders, "token").where((F.col("component") != F.col("top.component")) & fits(F.col("fit"), F.col("top.fit"), percent))
-        star = star.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct()
-        star = materialise(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), "star-pairs")
-        found = materialise(_verified(_filtered(star, heads), sets, percent), "star-links")
-        tested = star if tested is None else tested.unionByName(star)
-        near = found if near is None else near.unionByName(found)
-        comp = connected_components(near, "a", "b").select(F.col("node").alias("id"), "component")
-        degree = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-        known = materialise(comp.join(degree, "id"), "linked")
-        placed = rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-        placed = materialise(placed.join(materialise(mixed, "mixed"), "token", "left_semi"), "buckets")
-        rank = F.struct(-F.coalesce("links", F.lit(0)), "k", "id")
-        if number and found.isEmpty():
-            break
+    rows = heads.select("id", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
+    rows = rows.select("token", "id", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
+
+    leaders = materialise(rows.groupBy("token").agg(F.min_by(F.struct("id", "fit"), F.struct("k", "id")).alias("top")), "leaders")
+    star = rows.join(leaders, "token").where((F.col("id") != F.col("top.id")) & fits(F.col("fit"), F.col("top.fit"), percent))
+    star = materialise(star.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct(), "star-pairs")
+    near = materialise(_verified(_filtered(star, heads), sets, percent), "star-links")
+    comp = materialise(connected_components(near, "a", "b").select(F.col("node").alias("id"), "component"), "linked")
+    placed = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    placed = materialise(placed.join(materialise(mixed, "mixed"), "token", "left_semi"), "buckets")
     left = placed.select("token", F.col("id").alias("ia"), F.col("component").alias("ca"), F.col("fit").alias("fa"))
     right = placed.select("token", F.col("id").alias("ib"), F.col("component").alias("cb"), F.col("fit").alias("fb"))
     pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & fits(F.col("fa"), F.col("fb"), percent))
-    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     return near.unionByName(_verified(_filtered(pairs, heads), sets, percent))
