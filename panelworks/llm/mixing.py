@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import bounded_sample, materialise
 
 #: Labelled documents that marker words are chosen from at most, by hash of the id.
 MARKER_DOCS = 4000
@@ -138,7 +138,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], t
     projection with one more step. Weights of absent domains are left out, the rest scaled.
     """
     known = labels.select(F.col(id_col).alias("id"), label_domain().alias("domain")).where("domain is not null and id is not null")
-    chosen = known.orderBy(F.xxhash64("id"), "id", "domain").limit(MARKER_DOCS)  # so the broadcast is bounded
+    chosen = bounded_sample(known, "id", MARKER_DOCS)  # so the broadcast is bounded
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     markers = choose_markers(materialise(text.join(F.broadcast(chosen), "id"), "labelled"))
     features = materialise(with_features(docs.select(id_col, text_col), markers, text_col).drop(text_col), "mix-features")
