@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequences and offsets."""
-    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [

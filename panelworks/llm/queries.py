@@ -127,7 +127,7 @@ FROM q
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -32,12 +32,12 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back, which
-    cuts the lineage and survives lost executors."""
+    cuts the lineage and survives lost executors. `options` are the writer's."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

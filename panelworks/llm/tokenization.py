@@ -27,6 +27,7 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.top_id = max(self.library.get_vocab(with_added_tokens=True).values())
         self.piece = PIECE if self._ids("\n \n") else BARE_PIECE
         self.place: dict[str, int] = {}
         self.first = np.zeros(1024, np.int64)
@@ -84,6 +85,11 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Frees the encoders of a process that goes on with other work."""
+    _encoders.clear()
+
+
 def encode_with_end(path: str, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """As `encode`, with the end id after each text."""
     ids, bounds = encoder(path).encode(texts)

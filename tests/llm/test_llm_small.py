@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.llm import katz_lm
+from panelworks.llm import katz_lm, packing
 from panelworks.llm.components import connected_components
 from panelworks.llm.embedding_dedup import embedding_dedup
 from panelworks.llm.huffman_ids import canonical_codes, code_lengths, decode_block, decode_table, encode_block, read_ids, write_ids
@@ -156,6 +156,26 @@ def test_packing(spark):
     assert [one.place(n) for n in (6, 5, 4, 9, 5)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 5)]
 
 
+def test_packed_sequences_hold_their_ids(spark):
+    rng, path = random.Random(14), str(P.path("byte_bpe_50k.json"))
+    rows = [(i, prose(rng, rng.choice([2, 50, 300, 1800]))) for i in range(60)] + [(None, None), (3, "")]
+    packed = packing.pack(packing.token_pieces(docs(spark, rows), path, 2), open_bins=7)
+    sequences = {x.sequence_id: np.frombuffer(bytes(x.ids), "<u2") for x in packed.collect()}
+    lib, texts = PieceEncoder(path), collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append([*lib._ids(t or ""), 2])
+    seen = collections.defaultdict(list)
+    for x in packing.unpack(packed).collect():
+        part = sequences[x.sequence_id][x.offset : x.offset + x.length]
+        assert list(part) == x.ids and zlib.crc32(part.astype("<u4").tobytes()) == x.ids_crc32
+        assert any(t[x.start : x.start + x.length] == x.ids for t in texts[x.id])
+        seen[x.id].append(x.length)
+    assert {i: sum(n) for i, n in seen.items()} == {i: sum(map(len, t)) for i, t in texts.items()}
+    assert sum(map(len, sequences.values())) == sum(map(sum, seen.values())) and max(map(len, sequences.values())) <= 1024
+    bare = packing.unpack(packed, with_ids=False)
+    assert "ids" not in bare.columns and bare.agg(F.sum("ids_crc32")).first() == packing.unpack(packed).agg(F.sum("ids_crc32")).first()
+
+
 def test_huffman(spark):
     rng = np.random.default_rng(1)
     counts = np.bincount(np.minimum(rng.zipf(1.3, 50_000), 4000), minlength=5000)

@@ -27,3 +27,10 @@ def test_empty(spark, tmp_path):
     d.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_stage_keeps_ids(spark):
+    from test_llm_small import docs
+
+    rows = corpus_pipeline.packing_stage(spark, docs(spark, [(1, "some words " * 700), (2, None)]), "").collect()
+    assert rows and all(len(r.ids) == r.length for r in rows)
