@@ -26,7 +26,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added if not x.normalized]
+        self.added_normal = [self._normal(x.content) for x in added if x.normalized]
         self.top_id = max(self.library.get_vocab(with_added_tokens=True).values())
         self.piece = PIECE if self._ids("\n \n") else BARE_PIECE
         self.place: dict[str, int] = {}
@@ -38,6 +40,18 @@ class PieceEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def _normal(self, text: str) -> str:
+        return self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text must not be split: it holds an added token or other white space."""
+        if OTHER_SPACE.search(text) or any(x in text for x in self.added):
+            return True
+        if not self.added_normal:
+            return False
+        plain = self._normal(text)
+        return any(x in plain for x in self.added_normal)
+
     def _add(self, pieces: list[str]) -> None:
         import os
 
@@ -56,7 +70,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds by text); a null text is empty."""
-        split = [[] if not t else [t] if OTHER_SPACE.search(t) else self.piece.findall(t) for t in texts]
+        split = [[] if not t else [t] if self._whole(t) else self.piece.findall(t) for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         flat = list(chain.from_iterable(split))
         codes = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))

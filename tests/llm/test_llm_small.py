@@ -136,6 +136,19 @@ def test_pieces_equal_whole_texts(name):
     assert all(list(ids[a:b]) == e._ids(t or "") for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_library_has_them(name):
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(2), str(P.path(name))
+    library = Tokenizer.from_file(path)
+    alphabet = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "|>", " ", "\n", "a", "don't", "É", ".", "\t", "日本"]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", " <|startoftext|> \n a"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    ids, bounds = PieceEncoder(path).encode(texts)
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert list(ids[a:b]) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.choice([3, 40, 200, 900, 1500]))) for i in range(120)] + [(None, None), (7, ""), (7, "")]
