@@ -16,17 +16,18 @@ token must suffice; only those that also meet under the two others, and fit in s
 verified on their whole sets. Rare-first keeps buckets of frequent passages empty unless
 documents consist of little else.
 
-How groups of copies stay linear. Equal sets are one class. In each bucket, classes are first
-compared with one leader alone: that with the fewest rarer tokens, which copies of one text
-are closest to. Then buckets are paired in full, but only between classes that are not yet
-in one component, and a pair leaves the join only if its parity sketches, which bound the
-difference of the sets from below, allow the threshold; what leaves is little more than the links.
+How copies are handled. Equal sets are one class, and links are made between classes. Buckets
+are paired in full, so no link between different sets is lost; groups of near copies cost what
+they have links. A pair leaves the join only if its parity sketches, which bound the difference
+of the sets from below, allow the threshold; where sets are small for the sketch, what leaves is
+little more than the links and is verified without the other two orders.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -126,11 +127,34 @@ def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of `docs`: `id_col`, n_shingles, component_id.
+class Links(NamedTuple):
+    """Links of documents: those of a class link with each other and with all of linked classes."""
+
+    #: (id, n, set_a, set_b): a row for each row of the documents.
+    rows: DataFrame
+    #: (set_a, set_b, n, rep): classes of equal sets with their smallest id.
+    classes: DataFrame
+    #: (a, b): every verified pair of different classes, by their smallest ids, once with a < b.
+    pairs: DataFrame
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> Links:
+    """All links between different texts and the membership of classes.
 
     Tables that a join needs with one row a key are stored first, so that Spark can split
-    the other side where a key is hot.
+    the other side where a key is hot. Sets, links and nulls are as in `jaccard_components`.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    all_rows = materialise(shingle_signatures(d, words), "signatures")
+    linked = all_rows.where("n > 0 and id is not null")
+    classes = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep")), "classes")
+    reps = linked.join(classes, ["set_a", "set_b", "n"]).where("id = rep").dropDuplicates(["id", "set_a"]).select("id", "n", "pool", "parity")
+    pairs = materialise(_class_links(d, reps, words, percent), "jaccard-links")
+    return Links(all_rows.select("id", "n", "set_a", "set_b"), classes, pairs)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of `docs`: `id_col`, n_shingles, component_id.
 
     A-Z are lowered; words are runs without space and the controls 0x09-0x0D; the set of
     a text is its distinct shingles of `words` words, or its whole sequence if it has
@@ -139,20 +163,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links with nothing; a null id has itself, null, as component. Rows that share an
     id are one node and appear as often as they come. Other columns are not read.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_rows = materialise(shingle_signatures(d, words), "signatures")
-    linked = all_rows.where("n > 0 and id is not null")
-    classes = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = linked.join(classes, ["set_a", "set_b", "n"]).where("id = rep").dropDuplicates(["id", "set_a"]).select("id", "n", "pool", "parity")
-    edges = materialise(_class_links(d, reps, words, percent), "jaccard-links")
-    comp = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), "component")
-    ends = classes.join(comp, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = all_rows.select("id", "n", "set_a", "set_b").join(ends, ["set_a", "set_b", "n"], "left")
+    links = jaccard_links(docs, id_col, text_col, words, percent)
+    comp = connected_components(links.pairs, "a", "b").select(F.col("node").alias("rep"), "component")
+    ends = links.classes.join(comp, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = links.rows.join(ends, ["set_a", "set_b", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id")).alias("component_id"))
 
 
 def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes that join all that any links join."""
+    """All verified links (a, b) between classes."""
     reps = materialise(reps, "representatives")
     tokens = reps.select("id", F.explode("pool").alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
@@ -169,16 +188,9 @@ def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) ->
     rows = heads.select("id", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
     rows = rows.select("token", "id", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
 
-    leaders = materialise(rows.groupBy("token").agg(F.min_by(F.struct("id", "fit"), F.struct("k", "id")).alias("top")), "leaders")
-    star = rows.join(leaders, "token").where((F.col("id") != F.col("top.id")) & fits(F.col("fit"), F.col("top.fit"), percent))
-    star = materialise(star.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b")).distinct(), "star-pairs")
-    near = materialise(_verified(_filtered(star, heads), sets, percent), "star-links")
-    comp = materialise(connected_components(near, "a", "b").select(F.col("node").alias("id"), "component"), "linked")
-    placed = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    placed = materialise(placed.join(materialise(mixed, "mixed"), "token", "left_semi"), "buckets")
-    left = placed.select("token", F.col("id").alias("ia"), F.col("component").alias("ca"), F.col("fit").alias("fa"))
-    right = placed.select("token", F.col("id").alias("ib"), F.col("component").alias("cb"), F.col("fit").alias("fb"))
-    pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & fits(F.col("fa"), F.col("fb"), percent))
-    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return near.unionByName(_verified(_filtered(pairs, heads), sets, percent))
+    left = rows.select("token", F.col("id").alias("a"), F.col("fit").alias("fa"))
+    right = rows.select("token", F.col("id").alias("b"), F.col("fit").alias("fb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits(F.col("fa"), F.col("fb"), percent))
+    pairs = materialise(pairs.select("a", "b", (F.col("fa.n") + F.col("fb.n") <= 64 * SKETCH).alias("small")).distinct(), "pairs")
+    rest = _filtered(pairs.where("not small"), heads)
+    return _verified(pairs.where("small").select("a", "b").unionByName(rest), sets, percent)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelworks.llm import katz_lm, packing
+from panelworks.llm import katz_lm, ngram_jaccard, packing
 from panelworks.llm.components import connected_components
 from panelworks.llm.embedding_dedup import embedding_dedup
 from panelworks.llm.huffman_ids import canonical_codes, code_lengths, decode_block, decode_table, encode_block, read_ids, write_ids
@@ -249,6 +249,25 @@ def test_jaccard(spark):
     assert jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_jaccard_links_inside_components(spark):
+    rng, rows = random.Random(21), []
+    for n in (40, 40, 300, 700):
+        base = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(n)] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, rows[3][1]), (901, rows[3][1]), (None, rows[4][1]), (902, None)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if i is not None and t and i < 900 for w in [words_of(t)]}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    links = ngram_jaccard.jaccard_links(docs(spark, rows))
+    got = [(r.a, r.b) for r in links.pairs.collect()]
+    assert len(want) > 70 and len(got) == len(set(got)) and set(got) == want
+    members = links.rows.where("id is not null").join(links.classes, ["set_a", "set_b", "n"])
+    assert {(r.id, r.rep) for r in members.collect()} == {(i, 3 if i in (900, 901) else i) for i, t in rows if i is not None and t}
+
+
 def test_katz(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randrange(60))) for i in range(150)] + [(500, None), (501, "Only Once"), (None, "the tree")]
