@@ -1,19 +1,29 @@
-"""Katz back-off over word bigrams: Good-Turing discounts, exactly normalised back-off.
-
-The model. c(w) counts training tokens, N is their number, V the distinct ones. Unigrams
-are (c(w)+1) / (N+V+1), with one more class for all unknown words. A bigram (v, w) seen r
-times has d(r) * r / (c(v)+1), d from Good-Turing for r <= K and 1 above; the one added to
-c(v) keeps some mass free in every context. Other words share what is left, as
-alpha(v) * unigram(w), with alpha(v) = (1 - seen mass) / (1 - unigram mass of the seen words), so
-each context sums to one over the V words and the unknown class. A context that was never
-seen has the unigrams.
-
-How it runs. Texts become chunks of hashed words, stored once. A chunk asks for what it
-needs in sorted arrays, cut by ranges of the hash into buckets; a bucket's task adds up
-the chunks' counts, keeps its part of the n-gram table and answers every chunk. Words, then
-bigrams, then contexts go this way, so a word or bigram that is everywhere is one entry
-a chunk, and no task holds a text, a context or a key whole. The numbers of buckets follow the
-input.
+"""Katz back-off of any order: Good-Turing discounts, exactly normalised back-off weights.
+
+The model. c counts n-grams of 1 to `order` words in the training texts; each text begins
+with a START that is context only and finishes with an END that is a token. N is the number of
+tokens, V that of distinct ones. Unigrams are (c(w)+1) / (N+V+1), with one more class for all
+unknown words. With x the one to order-1 words before w (fewer at the beginning of a text):
+
+    P(w | x) = d(c(x w)) c(x w) / c(x)     if the n-gram x w was seen
+             = alpha(x) P(w | x')          if only x was seen; x' is x without its first word
+             = P(w | x')                   if x was not seen
+
+d(r) r is the Good-Turing count (r+1) n(r+1) / n(r); where counts of counts are scarce, above K
+above all, n comes from its log-linear fit, so that 0 < d < 1 for all r and every context keeps
+mass for unseen words. alpha(x) is that mass over the mass that P(. | x') gives to words unseen after x,
+so every context sums to one over the V words and the unknown class.
+
+How it runs. Texts become chunks of hashed words, stored once, filed by chunk. Order by order a
+chunk sends its distinct n-grams, as sorted key arrays cut by ranges into buckets; a bucket's
+task adds up the counts, keeps its part of the table and answers every chunk with counts and the
+places of its n-grams in the table. Keys of longer n-grams are made of the places of their parts,
+so they are short, exact while they fit 64 bits, and spread evenly; an n-gram whose parts were not
+seen is not asked for. Of the chunks that have an n-gram one owns it and adds it to its context, so
+weights come from sums by context with one entry a chunk. A word or n-gram that is everywhere is
+thus one entry a chunk, and no task holds a text, a context or a key whole. The numbers of
+chunks and buckets follow the input, and what they exchange is what any shuffle between as many
+tasks exchanges: a message per pair that has something to say.
 """
 
 from __future__ import annotations
@@ -32,7 +42,8 @@ from pyspark.sql import functions as F
 from .storage import discard, materialise
 from .textkernel import U64, chunks, mix, string_buffers, word_hashes
 
-#: Largest count that is discounted.
+ORDER = 3
+#: Largest count whose discount comes from the counts of counts themselves.
 K = 5
 #: Text bytes of a chunk, and entries of a bucket, about.
 CHUNK_TEXT, BUCKET_ENTRIES = 12 << 20, 1_500_000
@@ -54,28 +65,59 @@ def expand(b: bytes, kind: str) -> np.ndarray:
 
 
 def squeeze_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes by their differences, whose leading bytes are zero."""
-    return squeeze(np.diff(keys, prepend=U64(0)))
+    """Ascending whole numbers by their differences, whose leading bytes are zero."""
+    return squeeze(np.diff(keys.astype(U64), prepend=U64(0)))
 
 
 def expand_keys(b: bytes) -> np.ndarray:
     return np.cumsum(expand(b, "u8"), dtype=U64)
 
 
-def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the ranges of the buckets begin and end."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], U64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
+def squeeze_values(x: np.ndarray) -> bytes:
+    """Doubles, few of them distinct, by places in their list."""
+    values, place = np.unique(x, return_inverse=True)
+    listed = len(values) < min(1 << 16, len(x) // 3)
+    parts = [squeeze(values), squeeze(place.astype(np.uint16))] if listed else [squeeze(x)]
+    return b"".join([len(parts[0]).to_bytes(8, "little") if listed else bytes(8), *parts])
+
+
+def expand_values(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return expand(b[8 : 8 + n], "f8")[expand(b[8 + n :], "u2")] if n else expand(b[8:], "f8")
+
+
+def spread(x: np.ndarray, bits: int) -> np.ndarray:
+    """A fixed permutation of the whole numbers under 2**bits that scatters neighbours."""
+    mask, half = U64((1 << bits) - 1), U64(max(1, bits // 2))
+    with np.errstate(over="ignore"):
+        for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x * U64(odd)) & mask
+            x = x ^ (x >> half)
+    return x
+
+
+def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Where the ranges of the buckets begin and end among ascending keys under 2**bits."""
+    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], U64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+class Shape(NamedTuple):
+    """Buckets of an order's table, and entries of the largest; a seen n-gram's number is
+    bucket * most + place."""
+
+    buckets: int
+    most: int
+    bits: int
 
 
 class Chunk(NamedTuple):
-    """Tokens as places in the sorted vocabulary of the chunk; `prev` is the token before,
-    START at the beginning of a text; `row` is the text."""
+    """Tokens as places in the sorted vocabulary of the chunk; `row` is the text."""
 
     vocab: np.ndarray
     token: np.ndarray
-    prev: np.ndarray
     row: np.ndarray
+    first: np.ndarray
     ends: np.ndarray
     train: np.ndarray
     start: int
@@ -83,27 +125,58 @@ class Chunk(NamedTuple):
     @staticmethod
     def of(r: dict) -> Chunk:
         vocab, token, ends = expand_keys(r["vocab"]), expand(r["token"], "u4").astype(np.int64), expand(r["ends"], "i8")
-        start = int(np.searchsorted(vocab, START))
         first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        prev = np.concatenate([[start], token[:-1]])
-        prev[first] = start
         row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        return Chunk(vocab, token, prev, row, ends, expand(r["train"], "u1").astype(bool), start)
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct bigrams by hash: (hash, previous, token, training count), and the place
-        of each token's bigram among them."""
-        n = U64(len(self.vocab))
-        key, place = np.unique(self.prev.astype(U64) * n + self.token.astype(U64), return_inverse=True)
-        prev, token = (key // n).astype(np.int64), (key % n).astype(np.int64)
+        return Chunk(vocab, token, row, first, ends, expand(r["train"], "u1").astype(bool), int(np.searchsorted(vocab, START)))
+
+
+class Answer(NamedTuple):
+    """Of the keys asked for: training count, number (-1 if never seen), and whether this
+    chunk owns the n-gram."""
+
+    count: np.ndarray
+    number: np.ndarray
+    owned: np.ndarray
+
+
+class Level(NamedTuple):
+    """The distinct n-grams of one order in a chunk, by ascending key. `place`: of the n-gram
+    that a token ends, -1 where none was asked for. `before`: place of the context among
+    the order below, by token, -1 where there is none. Of an n-gram: its context, itself without the
+    first word (places in the order below), last word, and count in the chunk's training texts."""
+
+    keys: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    context: np.ndarray
+    shorter: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+
+def levels(c: Chunk, answers: list[Answer], shapes: list[Shape]) -> list[Level]:
+    """Levels of the orders 1 to len(answers) + 1."""
+    count = np.bincount(c.token[c.train[c.row]], minlength=len(c.vocab))
+    count[c.start] = int(c.train.sum())
+    none = np.zeros(0, np.int64)
+    out = [Level(c.vocab, c.token, none, none, none, none, count)]
+    for k, a in enumerate(answers):
+        now = out[-1].place
+        before = np.concatenate([[-1], now[:-1]])
+        before[c.first] = c.start if k == 0 else -1
+        seen = np.append(a.count > 0, False)
+        i = np.flatnonzero(seen[before] & seen[now])
+        one = answers[0].number[c.token[i]].astype(U64)
+        wide, bits = shapes[0].buckets * shapes[0].most, shapes[k + 1].bits
         with np.errstate(over="ignore"):
-            h = mix(mix(self.vocab[prev]) + self.vocab[token])
-        order = np.argsort(h, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        place = back[place]
-        count = np.bincount(place, weights=self.train[self.row], minlength=len(order)).astype(np.int64)
-        return h[order], prev[order], token[order], count, place
+            key = a.number[before[i]].astype(U64)
+            key = spread(key * U64(wide) + one, bits) if bits < 64 else mix(mix(key) + one)
+        keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        place = np.full(len(now), -1)
+        place[i] = inverse
+        count = np.bincount(inverse, weights=c.train[c.row[i]], minlength=len(keys)).astype(np.int64)
+        out.append(Level(keys, place, before, before[i][at], now[i][at], c.token[i][at], count))
+    return out
 
 
 def text_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
@@ -134,7 +207,10 @@ def text_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
 
 
 ASK = "bucket int, chunk long, keys binary, counts binary"
-ANSWER = "kind string, bucket int, chunk long, keys binary, counts binary, owned binary, totals array<long>"
+COUNTED = "kind string, bucket int, chunk long, keys binary, counts binary, owned binary, places binary, totals array<long>"
+ANSWER = "level int, bucket int, chunk long, counts binary, owned binary, places binary"
+#: Intermediate tables are already compressed inside their columns.
+PLAIN = {"compression": "none"}
 
 
 def _rows(names: str, *cols: list) -> pa.RecordBatch:
@@ -143,31 +219,53 @@ def _rows(names: str, *cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _ask(stored: DataFrame, buckets: int, what: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for b in batches for r in b.to_pylist()):
-            c = Chunk.of(r)
-            if what == "words":
-                keys, counts = c.vocab, np.bincount(c.token[c.train[c.row]], minlength=len(c.vocab))
-            else:
-                keys, _, _, counts, _ = c.bigrams()
-            at = cuts(keys, buckets)
-            for b in np.flatnonzero(np.diff(at)):
-                s = slice(at[b], at[b + 1])
-                yield _rows(ASK, [int(b)], [r["chunk"]], [squeeze_keys(keys[s])], [squeeze(counts[s].astype(np.int64))])
+def _answers(rows: list[dict], shapes: list[Shape]) -> list[Answer]:
+    """A chunk's answers, order by order."""
+    out = []
+    for k, shape in enumerate(shapes):
+        own = sorted((r for r in rows if r["level"] == k), key=lambda r: r["bucket"])
+        none = [np.zeros(0, np.int64)]
+        count = np.concatenate([expand(r["counts"], "u8").astype(np.int64) for r in own] or none)
+        number = np.full(len(count), -1)
+        number[count > 0] = np.concatenate([r["bucket"] * shape.most + expand_keys(r["places"]).astype(np.int64) for r in own] or none)
+        out.append(Answer(count, number, np.concatenate([expand(r["owned"], "u1") for r in own] or none).astype(bool)))
+    return out
+
+
+def _messages(chunk: int, level: Level, shape: Shape) -> Iterator[pa.RecordBatch]:
+    at = cuts(level.keys, shape.buckets, shape.bits)
+    for b in np.flatnonzero(np.diff(at)):
+        s = slice(at[b], at[b + 1])
+        yield _rows(ASK, [int(b)], [chunk], [squeeze_keys(level.keys[s])], [squeeze(level.count[s].astype(np.uint64))])
 
-    return stored.select("chunk", "vocab", "token", "ends", "train").mapInArrow(run, ASK)
+
+def _ask(stored: DataFrame, answers: DataFrame | None, shapes: list[Shape]) -> DataFrame:
+    """What chunks ask of the order that is next after those answered; `shapes` ends with it."""
+    tokens = stored.select("chunk", "vocab", "token", "ends", "train")
+    if answers is None:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in (r for b in batches for r in b.to_pylist()):
+                yield from _messages(r["chunk"], levels(Chunk.of(r), [], shapes)[-1], shapes[-1])
+
+        return tokens.mapInArrow(run, ASK)
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        level = levels(Chunk.of(r), _answers(right.to_pylist(), shapes[:-1]), shapes)[-1]
+        return pa.Table.from_batches(list(_messages(r["chunk"], level, shapes[-1])), schema=_rows(ASK, [], [], [], []).schema)
+
+    return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, ASK)
 
 
 def _count(asked: DataFrame) -> DataFrame:
     """Per bucket: a `table` row with keys, counts and totals (sum, distinct, and how many
-    keys have count 1, 2, ..., K+1), and an `answer` row for each chunk with the counts of its
-    keys and whether it is the one chunk that owns the key."""
+    keys have count 1, 2, ..., K+1), and an `answer` row for each chunk."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.to_pylist()
         keys = [expand_keys(r["keys"]) for r in group]
-        own = np.concatenate([expand(r["counts"], "i8") for r in group])
+        own = np.concatenate([expand(r["counts"], "u8") for r in group]).astype(np.int64)
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=own, minlength=len(known)).astype(np.int64)
         trained = np.flatnonzero(own > 0)
@@ -175,34 +273,49 @@ def _count(asked: DataFrame) -> DataFrame:
         owner = np.zeros(len(place), np.uint8)
         owner[trained[first]] = 1
         bucket, seen = group[0]["bucket"], total > 0
+        among = np.cumsum(seen) - 1
         freq = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)[1 : K + 2]
-        out = [_rows(ANSWER, ["table"], [bucket], [None], [squeeze_keys(known[seen])], [squeeze(total[seen])], [None], [[int(total.sum()), int(seen.sum()), *map(int, freq)]])]
+        out = [_rows(COUNTED, ["table"], [bucket], [None], [squeeze_keys(known[seen])], [squeeze(total[seen].astype(np.uint64))], [None], [None], [[int(total.sum()), int(seen.sum()), *map(int, freq)]])]
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         for r, a, b in zip(group, at[:-1], at[1:], strict=True):
-            out.append(_rows(ANSWER, ["answer"], [bucket], [r["chunk"]], [None], [squeeze(total[place[a:b]])], [squeeze(owner[a:b])], [None]))
+            p = place[a:b]
+            out.append(_rows(COUNTED, ["answer"], [bucket], [r["chunk"]], [None], [squeeze(total[p].astype(np.uint64))], [squeeze(owner[a:b])], [squeeze_keys(among[p][seen[p]])], [None]))
         return pa.Table.from_batches(out)
 
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
-
+    return asked.groupBy("bucket").applyInArrow(run, COUNTED)
 
-def discounts(freq: list[int], k: int = K) -> np.ndarray:
-    """d[r] for r = 0..k+1 from the numbers of bigrams seen 1..k+1 times. Where the
-    estimate is not between 0 and 1, or a number is 0, half a count is taken off."""
-    n, d = [0, *freq], np.ones(k + 2)
-    cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-    for r in range(1, k + 1):
-        good = (r + 1) * n[r + 1] / n[r] / r if n[r] else 1.0
-        value = (good - cut) / (1 - cut) if cut < 1 else 1.0
-        d[r] = value if 0 < value < 1 else 1 - 0.5 / r
-    return d
 
+class Discounts(NamedTuple):
+    """`low[r]` for r to K, and the slope of the log-linear fit of the counts of counts."""
 
-STATE = "kind string, bucket int, chunk long, keys binary, mass binary, unigram binary, count binary, asks binary, ids array<long>, train binary, tokens binary, known binary, base binary, partial binary, rows binary, places binary"
+    low: np.ndarray
+    slope: float
 
-
-def _look_up(stored: DataFrame, answers: DataFrame, n: int, v: int, train_docs: int, d: np.ndarray, buckets: int) -> DataFrame:
-    """Per chunk: a `docs` row with sums that need no back-off weight and the tokens that do,
-    and `context` rows with the chunk's share of the masses of contexts."""
+    @staticmethod
+    def of(freq: list[int]) -> Discounts:
+        """From the numbers of n-grams seen 1, ..., K+1 times. A Good-Turing count that is
+        missing, or not between 0 and its r, comes from the fit; so do all above K. The slope is held
+        between -3 and -1.05, for which the fit's discounts are below 1."""
+        n = np.array([0, *freq], float)
+        r = np.flatnonzero(n)
+        slope = float(np.clip(np.polyfit(np.log(r), np.log(n[r]), 1)[0] if len(r) > 1 else -2.0, -3.0, -1.05))
+        low = np.ones(K + 1)
+        for k in range(1, K + 1):
+            good = (k + 1) * n[k + 1] / n[k] / k if n[k] else 0.0
+            low[k] = good if 0 < good < 1 else (1 + 1 / k) ** (slope + 1)
+        return Discounts(low, slope)
+
+    def __call__(self, r: np.ndarray) -> np.ndarray:
+        return np.where(r <= K, self.low[np.minimum(r, K)], (1 + 1 / np.maximum(r, 1)) ** (self.slope + 1))
+
+
+STATE = "kind string, level int, bucket int, chunk long, places binary, left binary, lower binary, over binary, count binary, asks binary, ids array<long>, train binary, tokens binary, known binary, base binary, partial binary, rows binary, marks binary"
+
+
+def _look_up(stored: DataFrame, answers: DataFrame, shapes: list[Shape], n: int, v: int, grades: list[Discounts]) -> DataFrame:
+    """Per chunk: a `docs` row with the sums that need no back-off weight and the tokens that do
+    (by order: which text, and which of the contexts asked for), and `context` rows with the
+    chunk's share of the masses of contexts, by their places in the tables."""
     names = [f.split()[0] for f in STATE.split(", ")]
 
     def state(**given) -> pa.RecordBatch:
@@ -211,90 +324,120 @@ def _look_up(stored: DataFrame, answers: DataFrame, n: int, v: int, train_docs:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
         c = Chunk.of(r)
-        got = sorted(right.to_pylist(), key=lambda x: (x["what"], x["bucket"]))
-        whole = lambda what, field, kind: np.concatenate([expand(x[field], kind) for x in got if x["what"] == what] or [np.zeros(0, kind)])
-        count = whole("words", "counts", "i8")
-        _, prev, token, _, place = c.bigrams()
-        times, owned = whole("pairs", "counts", "i8"), whole("pairs", "owned", "u1").astype(bool)
-        context = count.copy()
-        context[c.start] = train_docs
-        unigram = (count + 1.0) / (n + v + 1)
-        log_unigram = np.log10(unigram)
-        seen = times > 0
-        grade = d[np.minimum(times, K + 1)]
-        logs = np.where(seen, np.log10(np.maximum(times, 1) * grade) - np.log10(context[prev] + 1.0), log_unigram[token])
-        open_pair = ~seen & (context[prev] > 0)
+        got = _answers(right.to_pylist(), shapes)
+        level = levels(c, got[:-1], shapes)
+        unigram = (got[0].count + 1.0) / (n + v + 1)
         n_docs = len(c.ends)
-        total = lambda x: np.bincount(c.row, weights=x, minlength=n_docs)
-        waits = np.flatnonzero(open_pair[place])
-        asks = np.zeros(len(c.vocab), np.uint8)
-        asks[prev[open_pair]] = 1
-        mass = np.bincount(prev[owned], weights=(times * grade)[owned], minlength=len(c.vocab))
-        covered = np.bincount(prev[owned], weights=unigram[token[owned]], minlength=len(c.vocab))
-        asked = np.flatnonzero(asks)
-        out = [
-            state(
-                kind="docs", chunk=r["chunk"], ids=r["ids"], train=r["train"], tokens=squeeze(np.diff(c.ends, prepend=0)), known=squeeze(total(count[c.token] > 0).astype(np.int64)),
-                base=squeeze(total(log_unigram[c.token])), partial=squeeze(total(logs[place])), rows=squeeze(c.row[waits].astype(np.uint32)), places=squeeze(np.searchsorted(asked, c.prev[waits]).astype(np.uint32)),
-            )
-        ]
-        use = np.flatnonzero((asks > 0) | (mass > 0))
-        at = cuts(c.vocab[use], buckets)
-        for b in np.flatnonzero(np.diff(at)):
-            s = use[at[b] : at[b + 1]]
-            out.append(state(kind="context", bucket=int(b), chunk=r["chunk"], keys=squeeze_keys(c.vocab[s]), mass=squeeze(mass[s]), unigram=squeeze(covered[s]), count=squeeze(context[s]), asks=squeeze(asks[s])))
+        total = lambda x, row=c.row: np.bincount(row, weights=x, minlength=n_docs)
+        logs, pending = np.zeros(len(c.token)), np.ones(len(c.token), bool)
+        rows, marks, asked = [], [], [np.zeros(len(a.count), bool) for a in got]
+        held = [np.append(a.count, 0) for a in got]
+        for k in range(len(got) - 1, 0, -1):
+            context, seen = held[k - 1][level[k].before], held[k][level[k].place]
+            hit = pending & (seen > 0)
+            logs[hit] = logs[hit] + np.log10(grades[k](seen[hit]) * seen[hit] / context[hit])
+            pending &= ~hit
+            open_ = np.flatnonzero(pending & (context > 0))
+            asked[k - 1][level[k].before[open_]] = True
+            number = np.cumsum(asked[k - 1]) - 1
+            rows.append(squeeze(c.row[open_].astype(np.uint32)))
+            marks.append(squeeze(number[level[k].before[open_]].astype(np.uint32)))
+        base = np.log10(unigram)[c.token]
+        logs[pending] += base[pending]
+        pack = lambda blobs: b"".join(len(x).to_bytes(8, "little") + x for x in blobs)
+        tokens, known = np.diff(c.ends, prepend=0), total(got[0].count[c.token] > 0).astype(np.int64)
+        out = [state(kind="docs", chunk=r["chunk"], ids=r["ids"], train=r["train"], tokens=squeeze(tokens), known=squeeze(known), base=squeeze(total(base)), partial=squeeze(total(logs)), rows=pack(rows), marks=pack(marks))]
+        for k in range(1, len(got)):
+            own = np.flatnonzero(got[k].owned)
+            count, context, shorter = got[k].count[own], level[k].context[own], level[k].shorter[own]
+            size = len(got[k - 1].count)
+            left_over = np.bincount(context, weights=count * (1 - grades[k](count)), minlength=size)
+            if k == 1:
+                part, over = got[0].count[level[1].word[own]] + 1.0, np.full(size, n + v + 1)
+            else:
+                below = got[k - 1].count[shorter]
+                part, over = grades[k - 1](below) * below, np.zeros(size, np.int64)
+                over[context] = held[k - 2][level[k - 1].context[shorter]]
+            lower = np.bincount(context, weights=part, minlength=size)
+            use = np.flatnonzero(asked[k - 1] | (left_over > 0))
+            shape = shapes[k - 1]
+            bucket, place = np.divmod(got[k - 1].number[use], shape.most)
+            at = np.searchsorted(bucket, np.arange(shape.buckets + 1))
+            for b in np.flatnonzero(np.diff(at)):
+                s = use[at[b] : at[b + 1]]
+                out.append(state(kind="context", level=k - 1, bucket=int(b), chunk=r["chunk"], places=squeeze_keys(place[at[b] : at[b + 1]]), left=squeeze_values(left_over[s]), lower=squeeze_values(lower[s]), over=squeeze(over[s]), count=squeeze(got[k - 1].count[s]), asks=squeeze(asked[k - 1][s])))
         return pa.Table.from_batches(out)
 
     tokens = stored.select("chunk", "ids", "vocab", "token", "ends", "train")
     return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, STATE)
 
 
-WEIGHTS = "bucket int, chunk long, alpha binary"
+WEIGHTS = "kind string, level int, bucket int, chunk long, alpha binary"
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _back_off(contexts: DataFrame) -> DataFrame:
-    """log10 alpha of the contexts that each chunk asks for."""
+    """Per bucket a `table` row with log10 alpha of its n-grams as contexts, in the order of the
+    bucket's keys, and an `answer` row for each chunk that asks."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.to_pylist()
-        keys = [expand_keys(r["keys"]) for r in group]
-        _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        mass, covered = (np.bincount(place, weights=np.concatenate([expand(r[x], "f8") for r in group])) for x in ("mass", "unigram"))
-        count = np.concatenate([expand(r["count"], "i8") for r in group])[first]
-        alpha = np.log10((1 - mass / (count + 1.0)) / (1 - covered))
-        at, out = 0, []
-        for r, k in zip(group, keys, strict=True):
+        places = [expand_keys(r["places"]).astype(np.int64) for r in group]
+        flat = np.concatenate(places)
+        size = int(flat.max()) + 1
+        left, lower = (np.bincount(flat, weights=np.concatenate([expand_values(r[x]) for r in group]), minlength=size) for x in ("left", "lower"))
+        over, count = np.zeros(size, np.int64), np.ones(size, np.int64)
+        np.maximum.at(over, flat, np.concatenate([expand(r["over"], "i8") for r in group]))
+        count[flat] = np.concatenate([expand(r["count"], "i8") for r in group])
+        alpha = np.zeros(size)
+        on = left > 0
+        alpha[on] = np.log10(left[on] / count[on]) - np.log10(1 - lower[on] / over[on])
+        level, bucket = group[0]["level"], group[0]["bucket"]
+        out = [_rows(WEIGHTS, ["table"], [level], [bucket], [None], [squeeze(alpha)])]
+        for r, p in zip(group, places, strict=True):
             asks = expand(r["asks"], "u1").astype(bool)
-            out.append(_rows(WEIGHTS, [r["bucket"]], [r["chunk"]], [squeeze(alpha[place[at : at + len(k)][asks]])]))
-            at += len(k)
+            if asks.any():
+                out.append(_rows(WEIGHTS, ["answer"], [level], [bucket], [r["chunk"]], [squeeze(alpha[p[asks]])]))
         return pa.Table.from_batches(out)
 
-    return contexts.groupBy("bucket").applyInArrow(run, WEIGHTS)
+    return contexts.groupBy("level", "bucket").applyInArrow(run, WEIGHTS)
+
+
+def _unpack(b: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(b):
+        n = int.from_bytes(b[at : at + 8], "little")
+        yield b[at + 8 : at + 8 + n]
+        at += 8 + n
 
 
 def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     r = left.to_pylist()[0]
-    alpha = np.concatenate([expand(x["alpha"], "f8") for x in sorted(right.to_pylist(), key=lambda x: x["bucket"])] or [np.zeros(0)])
-    rows, places = expand(r["rows"], "u4").astype(np.int64), expand(r["places"], "u4").astype(np.int64)
-    score = expand(r["partial"], "f8") + np.bincount(rows, weights=alpha[places] if len(places) else None, minlength=len(r["ids"]))
+    got, score = right.to_pylist(), expand(r["partial"], "f8").copy()
+    parts = list(zip(_unpack(r["rows"]), _unpack(r["marks"]), strict=True))
+    for level, (rows, marks) in zip(range(len(parts) - 1, -1, -1), parts, strict=True):
+        own = sorted((x for x in got if x["level"] == level), key=lambda x: x["bucket"])
+        alpha = np.concatenate([expand(x["alpha"], "f8") for x in own] or [np.zeros(0)])
+        score += np.bincount(expand(rows, "u4"), weights=alpha[expand(marks, "u4")] if len(alpha) else None, minlength=len(score))
     train = expand(r["train"], "u1").astype(bool)
     return pa.Table.from_batches([_rows(SCORES, r["ids"], (~train).tolist(), expand(r["tokens"], "i8"), expand(r["known"], "i8"), expand(r["base"], "f8"), score)])
 
 
 class Scored(NamedTuple):
-    """scores, and the stored parts of the model: unigrams and bigrams by bucket (sorted
-    key hashes and counts), discounts for counts 0..K+1, and N and V."""
+    """scores, and the stored model. counts: (level, bucket, keys, counts) with the sorted keys of
+    the n-grams of level + 1 words; weights: (level, bucket, alpha), log10 of the back-off
+    weights in the order of those keys. Both are stored by level and bucket."""
 
     scores: DataFrame
-    unigrams: DataFrame
-    bigrams: DataFrame
-    discounts: np.ndarray
+    counts: DataFrame
+    weights: DataFrame
+    discounts: list[Discounts]
+    shapes: list[Shape]
     train_tokens: int
     vocabulary: int
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_text: int = CHUNK_TEXT, bucket_entries: int = BUCKET_ENTRIES) -> Scored:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_text: int = CHUNK_TEXT, bucket_entries: int = BUCKET_ENTRIES) -> Scored:
     """Learns from the texts whose crc32(id as text) mod 7 is not 2 and scores all texts.
 
     scores: a row for each row of `docs`: `id_col`, held_out, n_tokens, n_known,
@@ -303,29 +446,41 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone. A null id trains. Repeated rows count each time. Without training texts
     all words are unknown. An empty table gives no rows. Other columns are not read.
 
-    Each step is stored in the shared folder and later steps read it there; steps that nothing
-    needs any more are deleted, and a collection lets Spark delete their shuffles.
+    Each step is stored in the shared folder and later steps read it there; tables
+    and shuffles that nothing needs any more are deleted.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stored = materialise(text_chunks(d, chunk_text), "lm-chunks")
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = materialise(text_chunks(d, chunk_text), "lm-chunks", buckets=(files, "chunk"), **PLAIN)
     tokens, vocab, train_docs = (int(x or 0) for x in stored.agg(F.sum("n_tokens"), F.sum("n_vocab"), F.sum("n_train")).first())
-    for_words, for_pairs = (max(12, math.ceil(x / bucket_entries)) for x in (vocab, tokens))
-    words = materialise(_count(_ask(stored, for_words, "words")), "lm-words")
-    spark._jvm.System.gc()
-    pairs = materialise(_count(_ask(stored, for_pairs, "pairs")), "lm-pairs")
-    spark._jvm.System.gc()
-    summed = lambda t: t.where("kind = 'table'").select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n"))
-    of_words, of_pairs = ({r["pos"]: r["n"] for r in summed(t).collect()} for t in (words, pairs))
-    n, v = of_words.get(0, 0), of_words.get(1, 0)
-    grades = discounts([of_pairs.get(2 + k, 0) for k in range(K + 1)])
-    answers = lambda t, name: t.where("kind = 'answer'").select("chunk", "bucket", "counts", "owned", F.lit(name).alias("what"))
-    state = materialise(_look_up(stored, answers(words, "words").unionByName(answers(pairs, "pairs")), n, v, train_docs, grades, for_words), "lm-state")
+    shapes, grades, totals, tables = [], [], [], []
+    answers = None
+    for k in range(order):
+        buckets = max(12, math.ceil((tokens if k else vocab) / bucket_entries))
+        bits = min(64, (shapes[-1].buckets * shapes[-1].most * shapes[0].buckets * shapes[0].most - 1).bit_length()) if k else 64
+        asked = _ask(stored, answers, [*shapes, Shape(buckets, 0, bits)])
+        counted = materialise(_count(asked), f"lm-counts-{k}", **PLAIN)
+        tables.append(counted)
+        table = counted.where("kind = 'table'").select("totals")
+        summed = table.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n"), F.max("col").alias("most")).collect()
+        of = {r["pos"]: (r["n"], r["most"]) for r in summed}
+        totals.append(of.get(0, (0, 0))[0])
+        shapes.append(Shape(buckets, max(1, of.get(1, (0, 0))[1]), bits))
+        grades.append(Discounts.of([of.get(2 + r, (0, 0))[0] for r in range(K + 1)]))
+        if k == 0:
+            v = of.get(1, (0, 0))[0] - (train_docs > 0)
+        given = counted.where("kind = 'answer'").select(F.lit(k).alias("level"), "bucket", "chunk", "counts", "owned", "places")
+        answers = given if answers is None else answers.unionByName(given)
+    n = totals[0] - train_docs
+    state = materialise(_look_up(stored, answers, shapes, n, v, grades), "lm-state", **PLAIN)
+    counts = [t.where("kind = 'table'").select(F.lit(k).alias("level"), "bucket", "keys", "counts") for k, t in enumerate(tables)]
+    model = counts[0]
+    for t in counts[1:]:
+        model = model.unionByName(t)
     discard(stored)
-    spark._jvm.System.gc()
-    alpha = _back_off(state.where("kind = 'context'").select("bucket", "chunk", "keys", "mass", "unigram", "count", "asks"))
-    texts = state.where("kind = 'docs'").select("chunk", "ids", "train", "tokens", "known", "base", "partial", "rows", "places")
+    weights = materialise(_back_off(state.where("kind = 'context'").select("level", "bucket", "chunk", "places", "left", "lower", "over", "count", "asks")), "lm-weights", **PLAIN)
+    alpha = weights.where("kind = 'answer'").select("chunk", "level", "bucket", "alpha")
+    texts = state.where("kind = 'docs'").select("chunk", "ids", "train", "tokens", "known", "base", "partial", "rows", "marks")
     out = texts.groupBy("chunk").cogroup(alpha.groupBy("chunk")).applyInArrow(_finish, SCORES)
     out = out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    tables = (t.where("kind = 'table'").select("bucket", "keys", "counts") for t in (words, pairs))
-    return Scored(out, *tables, grades, n, v)
+    return Scored(out, model, weights.where("kind = 'table'").select("level", "bucket", "alpha"), grades, shapes, n, v)

@@ -4,49 +4,114 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark then deletes the shuffle files of a statement when the statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session. Only a local master, whose tasks run on the
+    driver's machine, may go without: it gets a folder of its own."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-panelworks-")
     return _own["dir"]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the application, once."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="spark-panelworks-")) / "panelworks.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in [root / "panelworks/__init__.py", *sorted((root / "panelworks/llm").glob("*.py"))]:
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Python workers started from here on find this package where it lies."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """A test table."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's database of intermediate tables; its folder is in the shared one, so
+    that dropping a table deletes its files."""
+    name = "scratch_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId.lower())
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{shared_dir(spark)}/{name}'")
+    return name
+
+
 def table_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for a store that outlives its job."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back, which
-    cuts the lineage and survives lost executors. `options` are the writer's."""
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Statements inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def materialise(df: DataFrame, name: str, buckets: tuple[int, str] | None = None, **options: object) -> DataFrame:
+    """Writes the rows as a table in the shared folder and reads them back, which cuts the
+    lineage and survives lost executors. With `buckets`, a number and a column, rows are
+    filed by the column's hash, and joins on it need not move them. `options` are the writer's."""
     spark = df.sparkSession
-    path = table_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = f"{scratch(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").options(**options)
+    if buckets:
+        writer = writer.bucketBy(*buckets).sortBy(buckets[1])
+    with shuffles_deleted(spark):
+        writer.saveAsTable(table)
+    out = spark.table(table)
+    out._scratch_table = table
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of `materialise` that nothing reads any more."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialise` that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._scratch_table}")
+
+
+def kept_tables(spark: SparkSession) -> set[str]:
+    """Names of the intermediate tables that exist now."""
+    db = scratch(spark)
+    return {f"{db}.{t.name}" for t in spark.catalog.listTables(db)}
+
+
+def discard_since(spark: SparkSession, before: set[str], *still_read: DataFrame) -> None:
+    """Deletes the tables made since `before` was taken, but for those still read."""
+    for name in kept_tables(spark) - before - {t._scratch_table for t in still_read}:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:

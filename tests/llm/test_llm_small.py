@@ -268,34 +268,88 @@ def test_jaccard_links_inside_components(spark):
     assert {(r.id, r.rep) for r in members.collect()} == {(i, 3 if i in (900, 901) else i) for i, t in rows if i is not None and t}
 
 
-def test_katz(spark):
+def brute_katz(texts, train, order):
+    """(log10 score of each text, P(word | context)) by counting in dictionaries."""
+    c = [collections.Counter() for _ in range(order)]
+    start = sum(train)
+    for t, on in zip(texts, train, strict=True):
+        w = ["\0", *words_of(t), "\1"]
+        for i in range(1, len(w)):
+            for k in range(order):
+                if on and i - k >= 0:
+                    c[k][tuple(w[i - k : i + 1])] += 1
+    n, v = sum(c[0].values()), len(c[0])
+    d = [katz_lm.Discounts.of([sum(x == r for x in k.values()) for r in range(1, katz_lm.K + 2)]) for k in c]
+    count = lambda x: start if x == ("\0",) else c[len(x) - 1][x]
+    after = collections.defaultdict(list)
+    for k in c[1:]:
+        for g in k:
+            after[g[:-1]].append(g[-1])
+    weights = {}
+
+    def alpha(x):
+        if x not in weights:
+            seen = sum(d[len(x)](np.array([count((*x, b))]))[0] * count((*x, b)) for b in after[x]) / count(x)
+            weights[x] = (1 - seen) / (1 - sum(p(b, x[1:]) for b in after[x]))
+        return weights[x]
+
+    def p(b, x):
+        if not x:
+            return (c[0][b,] + 1) / (n + v + 1)
+        r = count((*x, b))
+        if r:
+            return d[len(x)](np.array([r]))[0] * r / count(x)
+        return alpha(x) * p(b, x[1:]) if count(x) else p(b, x[1:])
+
+    scores = []
+    for t in texts:
+        w = ["\0", *words_of(t), "\1"]
+        scores.append(sum(np.log10(p(w[i], tuple(w[max(0, i - order + 1) : i]))) for i in range(1, len(w))))
+    return scores, p, c, after, weights
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_katz(spark, order):
     rng = random.Random(6)
-    rows = [(i, prose(rng, rng.randrange(60))) for i in range(150)] + [(500, None), (501, "Only Once"), (None, "the tree")]
-    got = katz_lm.katz_scores(docs(spark, rows), chunk_text=3000, bucket_entries=200)
-    c, pair, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, t in rows:
-        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            w = ["\0", *words_of(t), "\1"]
-            c.update(w[1:])
-            pair.update(zip(w, w[1:]))
-            ctx.update(w[:-1])
-    n, v = sum(c.values()), len(c)
-    d = katz_lm.discounts([sum(x == k for x in pair.values()) for k in range(1, katz_lm.K + 2)])
-    uni = lambda x: (c[x] + 1) / (n + v + 1)
-    seen = collections.defaultdict(list)
-    for (a, b), r in pair.items():
-        seen[a].append((b, r))
-    alpha = {a: (1 - sum(d[min(r, katz_lm.K + 1)] * r for _, r in f) / (ctx[a] + 1)) / (1 - sum(uni(b) for b, _ in f)) for a, f in seen.items()}
-    texts = dict(rows)
+    rows = [(i, prose(rng, rng.randrange(60))) for i in range(150)] + [(500, None), (501, "Only Once"), (None, "the tree"), (502, "word " * 3000), (9, prose(rng, 30))]
+    got = katz_lm.katz_scores(docs(spark, rows), order=order, chunk_text=3000, bucket_entries=200)
+    train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    scores, p, c, after, weights = brute_katz([t for _, t in rows], train, order)
+    n, v, want = sum(c[0].values()), len(c[0]), collections.defaultdict(list)
+    for (i, t), on, s in zip(rows, train, scores, strict=True):
+        w = [*words_of(t), "\1"]
+        want[i].append((on, len(w), sum(c[0][b,] > 0 for b in w), sum(np.log10((c[0][b,] + 1) / (n + v + 1)) for b in w), s))
     for x in got.scores.collect():
-        w = ["\0", *words_of(texts[x.doc_id]), "\1"]
-        want = sum(np.log10(d[min(pair[a, b], katz_lm.K + 1)] * pair[a, b] / (ctx[a] + 1)) if pair[a, b] else np.log10(alpha.get(a, 1.0) * uni(b)) for a, b in zip(w, w[1:]))
-        assert abs(x.score - want) < 1e-8 and abs(x.base_score - sum(np.log10(uni(b)) for b in w[1:])) < 1e-8
-        assert (x.n_tokens, x.train_tokens, x.n_known) == (len(w) - 1, n, sum(c[b] > 0 for b in w[1:]))
-    context = max(seen, key=lambda a: len(seen[a]))
-    mass = sum(d[min(r, katz_lm.K + 1)] * r / (ctx[context] + 1) for _, r in seen[context]) + alpha[context] * (1 - sum(uni(b) for b, _ in seen[context]))
-    assert abs(mass - 1) < 1e-12
-    assert katz_lm.katz_scores(docs(spark, [])).scores.count() == 0
+        match = [y for y in want[x.doc_id] if abs(y[4] - x.score) < 1e-8]
+        assert match and (not x.held_out, x.n_tokens, x.n_known) == match[0][:3] and abs(x.base_score - match[0][3]) < 1e-8 and x.train_tokens == n
+    words = [g[0] for g in c[0]]
+    for x in [*sorted(after, key=lambda x: -len(after[x]))[:3], *rng.sample(sorted(after), min(5, len(after)))]:
+        assert abs(sum(p(b, x) for b in words) + p("never seen", x) - 1) < 1e-9
+    stored = {k: [0, 0] for k in range(order)}
+    for r in got.counts.collect():
+        counts = katz_lm.expand(bytes(r["counts"]), "u8")
+        stored[r.level][0] += len(counts)
+        stored[r.level][1] += int(counts.sum())
+    assert all(stored[k] == [len(c[k]), sum(c[k].values())] for k in range(1, order)) and stored[0] == [v + 1, n + sum(train)]
+    logs = np.concatenate([katz_lm.expand(bytes(r.alpha), "f8") for r in got.weights.collect()] or [np.zeros(0)])
+    for x in list(weights):
+        assert np.abs(logs - np.log10(weights[x])).min() < 1e-9
+    assert katz_lm.katz_scores(docs(spark, []), order=order).scores.count() == 0
+
+
+def test_katz_discounts_and_hashed_keys(spark, monkeypatch):
+    for freq in ([0] * 6, [5, 0, 0, 0, 0, 0], [100, 40, 20, 12, 8, 6], [1, 50, 3, 70, 1, 9]):
+        d = katz_lm.Discounts.of(freq)(np.arange(1, 10_000))
+        assert (d > 0).all() and (d < 1).all()
+    assert abs(katz_lm.Discounts.of([100, 40, 20, 12, 8, 6]).low[1] - 0.8) < 1e-12
+    for bits in (1, 2, 7, 12):
+        assert sorted(katz_lm.spread(np.arange(1 << bits, dtype=np.uint64), bits)) == list(range(1 << bits))
+    rng = random.Random(7)
+    d = docs(spark, [(i, prose(rng, 30)) for i in range(60)])
+    exact = {r.doc_id: r.score for r in katz_lm.katz_scores(d).scores.collect()}
+    monkeypatch.setattr(katz_lm, "min", lambda a, b: 64, raising=False)
+    hashed = {r.doc_id: r.score for r in katz_lm.katz_scores(d).scores.collect()}
+    assert all(abs(exact[k] - hashed[k]) < 1e-8 for k in exact)
 
 
 def labelled(spark):
