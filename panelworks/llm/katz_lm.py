@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise
+from .storage import discard, discard_part, materialise
 from .textkernel import U64, chunks, mix, string_buffers, word_hashes
 
 ORDER = 3
@@ -124,9 +124,9 @@ class Chunk(NamedTuple):
 
     @staticmethod
     def of(r: dict) -> Chunk:
-        vocab, token, ends = expand_keys(r["vocab"]), expand(r["token"], "u4").astype(np.int64), expand(r["ends"], "i8")
+        vocab, token, ends = expand_keys(r["vocab"]), expand(r["token"], "i4"), expand(r["ends"], "i8")
         first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        row = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
         return Chunk(vocab, token, row, first, ends, expand(r["train"], "u1").astype(bool), int(np.searchsorted(vocab, START)))
 
 
@@ -162,7 +162,7 @@ def levels(c: Chunk, answers: list[Answer], shapes: list[Shape]) -> list[Level]:
     out = [Level(c.vocab, c.token, none, none, none, none, count)]
     for k, a in enumerate(answers):
         now = out[-1].place
-        before = np.concatenate([[-1], now[:-1]])
+        before = np.concatenate([np.full(1, -1, np.int32), now[:-1]])
         before[c.first] = c.start if k == 0 else -1
         seen = np.append(a.count > 0, False)
         i = np.flatnonzero(seen[before] & seen[now])
@@ -172,9 +172,9 @@ def levels(c: Chunk, answers: list[Answer], shapes: list[Shape]) -> list[Level]:
             key = a.number[before[i]].astype(U64)
             key = spread(key * U64(wide) + one, bits) if bits < 64 else mix(mix(key) + one)
         keys, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        place = np.full(len(now), -1)
+        place = np.full(len(now), -1, np.int32)
         place[i] = inverse
-        count = np.bincount(inverse, weights=c.train[c.row[i]], minlength=len(keys)).astype(np.int64)
+        count = np.bincount(inverse, weights=c.train[c.row[i]], minlength=len(keys)).astype(np.int32)
         out.append(Level(keys, place, before, before[i][at], now[i][at], c.token[i][at], count))
     return out
 
@@ -209,8 +209,8 @@ def text_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
 ASK = "bucket int, chunk long, keys binary, counts binary"
 COUNTED = "kind string, bucket int, chunk long, keys binary, counts binary, owned binary, places binary, totals array<long>"
 ANSWER = "level int, bucket int, chunk long, counts binary, owned binary, places binary"
-#: Intermediate tables are already compressed inside their columns.
-PLAIN = {"compression": "none"}
+#: Intermediate tables are already compressed inside their columns; small row groups bound what a writer holds.
+PLAIN = {"compression": "none", "parquet.block.size": 16 << 20}
 
 
 def _rows(names: str, *cols: list) -> pa.RecordBatch:
@@ -459,7 +459,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         buckets = max(12, math.ceil((tokens if k else vocab) / bucket_entries))
         bits = min(64, (shapes[-1].buckets * shapes[-1].most * shapes[0].buckets * shapes[0].most - 1).bit_length()) if k else 64
         asked = _ask(stored, answers, [*shapes, Shape(buckets, 0, bits)])
-        counted = materialise(_count(asked), f"lm-counts-{k}", **PLAIN)
+        counted = materialise(_count(asked), f"lm-counts-{k}", part="kind", **PLAIN)
         tables.append(counted)
         table = counted.where("kind = 'table'").select("totals")
         summed = table.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n"), F.max("col").alias("most")).collect()
@@ -472,13 +472,16 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         given = counted.where("kind = 'answer'").select(F.lit(k).alias("level"), "bucket", "chunk", "counts", "owned", "places")
         answers = given if answers is None else answers.unionByName(given)
     n = totals[0] - train_docs
-    state = materialise(_look_up(stored, answers, shapes, n, v, grades), "lm-state", **PLAIN)
+    state = materialise(_look_up(stored, answers, shapes, n, v, grades), "lm-state", part="kind", **PLAIN)
     counts = [t.where("kind = 'table'").select(F.lit(k).alias("level"), "bucket", "keys", "counts") for k, t in enumerate(tables)]
     model = counts[0]
     for t in counts[1:]:
         model = model.unionByName(t)
     discard(stored)
+    for t in tables:
+        discard_part(t, "kind", "answer")
     weights = materialise(_back_off(state.where("kind = 'context'").select("level", "bucket", "chunk", "places", "left", "lower", "over", "count", "asks")), "lm-weights", **PLAIN)
+    discard_part(state, "kind", "context")
     alpha = weights.where("kind = 'answer'").select("chunk", "level", "bucket", "alpha")
     texts = state.where("kind = 'docs'").select("chunk", "ids", "train", "tokens", "known", "base", "partial", "rows", "marks")
     out = texts.groupBy("chunk").cogroup(alpha.groupBy("chunk")).applyInArrow(_finish, SCORES)

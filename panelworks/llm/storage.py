@@ -80,15 +80,18 @@ def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def materialise(df: DataFrame, name: str, buckets: tuple[int, str] | None = None, **options: object) -> DataFrame:
+def materialise(df: DataFrame, name: str, buckets: tuple[int, str] | None = None, part: str | None = None, **options: object) -> DataFrame:
     """Writes the rows as a table in the shared folder and reads them back, which cuts the
     lineage and survives lost executors. With `buckets`, a number and a column, rows are
-    filed by the column's hash, and joins on it need not move them. `options` are the writer's."""
+    filed by the column's hash, and joins on it need not move them; with `part`, a column, rows
+    of each value are apart and can be deleted alone. `options` are the writer's."""
     spark = df.sparkSession
     table = f"{scratch(spark)}.{name.replace('-', '_')}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").options(**options)
     if buckets:
         writer = writer.bucketBy(*buckets).sortBy(buckets[1])
+    if part:
+        writer = writer.partitionBy(part)
     with shuffles_deleted(spark):
         writer.saveAsTable(table)
     out = spark.table(table)
@@ -102,6 +105,11 @@ def discard(*tables: DataFrame) -> None:
         t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._scratch_table}")
 
 
+def discard_part(table: DataFrame, part: str, value: str) -> None:
+    """Deletes the rows of one value of a table that `materialise` wrote in parts."""
+    table.sparkSession.sql(f"ALTER TABLE {table._scratch_table} DROP IF EXISTS PARTITION ({part} = '{value}')")
+
+
 def kept_tables(spark: SparkSession) -> set[str]:
     """Names of the intermediate tables that exist now."""
     db = scratch(spark)
