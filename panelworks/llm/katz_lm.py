@@ -74,16 +74,17 @@ def expand_keys(b: bytes) -> np.ndarray:
 
 
 def squeeze_values(x: np.ndarray) -> bytes:
-    """Doubles, few of them distinct, by places in their list."""
+    """Eight-byte values, many of them equal, by their places in the list of distinct ones."""
     values, place = np.unique(x, return_inverse=True)
-    listed = len(values) < min(1 << 16, len(x) // 3)
-    parts = [squeeze(values), squeeze(place.astype(np.uint16))] if listed else [squeeze(x)]
-    return b"".join([len(parts[0]).to_bytes(8, "little") if listed else bytes(8), *parts])
+    if 3 * len(values) >= len(x):
+        return bytes(8) + squeeze(x)
+    listed = squeeze(values)
+    return len(listed).to_bytes(8, "little") + listed + squeeze(place.astype(np.uint32))
 
 
-def expand_values(b: bytes) -> np.ndarray:
+def expand_values(b: bytes, kind: str) -> np.ndarray:
     n = int.from_bytes(b[:8], "little")
-    return expand(b[8 : 8 + n], "f8")[expand(b[8 + n :], "u2")] if n else expand(b[8:], "f8")
+    return expand(b[8 : 8 + n], kind)[expand(b[8 + n :], "u4")] if n else expand(b[8:], kind)
 
 
 def spread(x: np.ndarray, bits: int) -> np.ndarray:
@@ -112,22 +113,23 @@ class Shape(NamedTuple):
 
 
 class Chunk(NamedTuple):
-    """Tokens as places in the sorted vocabulary of the chunk; `row` is the text."""
+    """Tokens as places in the sorted vocabulary of the chunk; `row` is the text, `first` and `ends`
+    where texts begin and end, `start` the place of START among the `size` words."""
 
-    vocab: np.ndarray
+    size: int
+    start: int
     token: np.ndarray
     row: np.ndarray
     first: np.ndarray
     ends: np.ndarray
     train: np.ndarray
-    start: int
 
     @staticmethod
     def of(r: dict) -> Chunk:
-        vocab, token, ends = expand_keys(r["vocab"]), expand(r["token"], "i4"), expand(r["ends"], "i8")
+        token, ends = expand(r["token"], "i4"), expand(r["ends"], "i8")
         first = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         row = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
-        return Chunk(vocab, token, row, first, ends, expand(r["train"], "u1").astype(bool), int(np.searchsorted(vocab, START)))
+        return Chunk(r["n_vocab"], r["start"], token, row, first, ends, expand(r["train"], "u1").astype(bool))
 
 
 class Answer(NamedTuple):
@@ -155,11 +157,9 @@ class Level(NamedTuple):
 
 
 def levels(c: Chunk, answers: list[Answer], shapes: list[Shape]) -> list[Level]:
-    """Levels of the orders 1 to len(answers) + 1."""
-    count = np.bincount(c.token[c.train[c.row]], minlength=len(c.vocab))
-    count[c.start] = int(c.train.sum())
+    """Levels of the orders 1 to len(answers) + 1; of the first only the places."""
     none = np.zeros(0, np.int64)
-    out = [Level(c.vocab, c.token, none, none, none, none, count)]
+    out = [Level(none, c.token, none, none, none, none, none)]
     for k, a in enumerate(answers):
         now = out[-1].place
         before = np.concatenate([np.full(1, -1, np.int32), now[:-1]])
@@ -180,6 +180,8 @@ def levels(c: Chunk, answers: list[Answer], shapes: list[Shape]) -> list[Level]:
 
 
 def text_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
+    """Two rows a chunk: `words` with its vocabulary and training counts, and `texts`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -193,19 +195,20 @@ def text_chunks(docs: DataFrame, chunk_text: int = CHUNK_TEXT) -> DataFrame:
                 bounds = np.concatenate(bounds)
                 words = np.insert(np.concatenate(parts), bounds[1:], END)
                 vocab, token = np.unique(np.append(words, START), return_inverse=True)
-                ids = batch["id"].slice(i, j - i)
-                train = np.array([x is None or zlib.crc32(str(x).encode()) % 7 != 2 for x in ids.to_pylist()], np.uint8)
+                start, token = int(token[-1]), token[:-1]
+                ids = batch["id"].slice(i, j - i).to_pylist()
+                train = np.array([x is None or zlib.crc32(str(x).encode()) % 7 != 2 for x in ids], np.uint8)
+                ends = bounds[1:] + np.arange(1, len(bounds))
+                count = np.bincount(token[np.repeat(train, np.diff(ends, prepend=0)) > 0], minlength=len(vocab))
+                count[start] = int(train.sum())
                 n += 1
-                cols = [[n], [ids.to_pylist()], [len(words)], [len(vocab)], [int(train.sum())]]
-                blobs = [squeeze_keys(vocab), *map(squeeze, (token[:-1].astype(np.uint32), bounds[1:] + np.arange(1, len(bounds)), train))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), *(pa.array(c, pa.int64()) for c in cols[2:]), *(pa.array([x], pa.binary()) for x in blobs)],
-                    names=["chunk", "ids", "n_tokens", "n_vocab", "n_train", "vocab", "token", "ends", "train"],
-                )
+                yield _rows(CHUNKS, ["words"], [n], [None], [0], [len(vocab)], [0], [start], [squeeze_keys(vocab)], [squeeze(count.astype(np.uint64))], [None], [None], [None])
+                yield _rows(CHUNKS, ["texts"], [n], [ids], [len(words)], [len(vocab)], [int(train.sum())], [start], [None], [None], *([squeeze(x)] for x in (token.astype(np.uint32), ends, train)))
 
-    return docs.mapInArrow(run, "chunk long, ids array<long>, n_tokens long, n_vocab long, n_train long, vocab binary, token binary, ends binary, train binary")
+    return docs.mapInArrow(run, CHUNKS)
 
 
+CHUNKS = "kind string, chunk long, ids array<long>, n_tokens long, n_vocab long, n_train long, start long, keys binary, counts binary, token binary, ends binary, train binary"
 ASK = "bucket int, chunk long, keys binary, counts binary"
 COUNTED = "kind string, bucket int, chunk long, keys binary, counts binary, owned binary, places binary, totals array<long>"
 ANSWER = "level int, bucket int, chunk long, counts binary, owned binary, places binary"
@@ -227,40 +230,47 @@ def _answers(rows: list[dict], shapes: list[Shape]) -> list[Answer]:
         none = [np.zeros(0, np.int64)]
         count = np.concatenate([expand(r["counts"], "u8").astype(np.int64) for r in own] or none)
         number = np.full(len(count), -1)
-        number[count > 0] = np.concatenate([r["bucket"] * shape.most + expand_keys(r["places"]).astype(np.int64) for r in own] or none)
+        if k < len(shapes) - 1 or not own or own[0]["places"] is not None:
+            number[count > 0] = np.concatenate([r["bucket"] * shape.most + expand_keys(r["places"]).astype(np.int64) for r in own] or none)
         out.append(Answer(count, number, np.concatenate([expand(r["owned"], "u1") for r in own] or none).astype(bool)))
     return out
 
 
-def _messages(chunk: int, level: Level, shape: Shape) -> Iterator[pa.RecordBatch]:
-    at = cuts(level.keys, shape.buckets, shape.bits)
+def _messages(chunk: int, keys: np.ndarray, counts: np.ndarray, shape: Shape) -> Iterator[pa.RecordBatch]:
+    at = cuts(keys, shape.buckets, shape.bits)
     for b in np.flatnonzero(np.diff(at)):
         s = slice(at[b], at[b + 1])
-        yield _rows(ASK, [int(b)], [chunk], [squeeze_keys(level.keys[s])], [squeeze(level.count[s].astype(np.uint64))])
+        yield _rows(ASK, [int(b)], [chunk], [squeeze_keys(keys[s])], [squeeze(counts[s].astype(np.uint64))])
 
 
-def _ask(stored: DataFrame, answers: DataFrame | None, shapes: list[Shape]) -> DataFrame:
-    """What chunks ask of the order that is next after those answered; `shapes` ends with it."""
-    tokens = stored.select("chunk", "vocab", "token", "ends", "train")
-    if answers is None:
+def _ask_words(stored: DataFrame, shape: Shape) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            yield from _messages(r["chunk"], expand_keys(r["keys"]), expand(r["counts"], "u8"), shape)
+
+    return stored.where("kind = 'words'").select("chunk", "keys", "counts").mapInArrow(run, ASK)
+
+
+#: Columns of a chunk's texts that levels are made from.
+TEXTS = ["chunk", "n_vocab", "start", "token", "ends", "train"]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for r in (r for b in batches for r in b.to_pylist()):
-                yield from _messages(r["chunk"], levels(Chunk.of(r), [], shapes)[-1], shapes[-1])
 
-        return tokens.mapInArrow(run, ASK)
+def _ask(stored: DataFrame, answers: DataFrame, shapes: list[Shape]) -> DataFrame:
+    """What chunks ask of the order that is next after those answered; `shapes` ends with it."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         r = left.to_pylist()[0]
         level = levels(Chunk.of(r), _answers(right.to_pylist(), shapes[:-1]), shapes)[-1]
-        return pa.Table.from_batches(list(_messages(r["chunk"], level, shapes[-1])), schema=_rows(ASK, [], [], [], []).schema)
+        return pa.Table.from_batches(list(_messages(r["chunk"], level.keys, level.count, shapes[-1])), schema=_rows(ASK, [], [], [], []).schema)
 
-    return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, ASK)
+    texts = stored.where("kind = 'texts'").select(*TEXTS)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, ASK)
 
 
-def _count(asked: DataFrame) -> DataFrame:
+def _count(asked: DataFrame, top: bool) -> DataFrame:
     """Per bucket: a `table` row with keys, counts and totals (sum, distinct, and how many
-    keys have count 1, 2, ..., K+1), and an `answer` row for each chunk."""
+    keys have count 1, 2, ..., K+1), and an `answer` row for each chunk; `top` n-grams are no contexts, so their
+    places are not sent."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.to_pylist()
@@ -279,7 +289,7 @@ def _count(asked: DataFrame) -> DataFrame:
         at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         for r, a, b in zip(group, at[:-1], at[1:], strict=True):
             p = place[a:b]
-            out.append(_rows(COUNTED, ["answer"], [bucket], [r["chunk"]], [None], [squeeze(total[p].astype(np.uint64))], [squeeze(owner[a:b])], [squeeze_keys(among[p][seen[p]])], [None]))
+            out.append(_rows(COUNTED, ["answer"], [bucket], [r["chunk"]], [None], [squeeze(total[p].astype(np.uint64))], [squeeze(owner[a:b])], [None if top else squeeze_keys(among[p][seen[p]])], [None]))
         return pa.Table.from_batches(out)
 
     return asked.groupBy("bucket").applyInArrow(run, COUNTED)
@@ -309,13 +319,25 @@ class Discounts(NamedTuple):
         return np.where(r <= K, self.low[np.minimum(r, K)], (1 + 1 / np.maximum(r, 1)) ** (self.slope + 1))
 
 
-STATE = "kind string, level int, bucket int, chunk long, places binary, left binary, lower binary, over binary, count binary, asks binary, ids array<long>, train binary, tokens binary, known binary, base binary, partial binary, rows binary, marks binary"
+def _spared(count: np.ndarray, grade: Discounts) -> np.ndarray:
+    """What the discount takes off counts."""
+    return count * (1 - grade(count))
+
+
+def _under(below: np.ndarray, k: int, grades: list[Discounts]) -> np.ndarray:
+    """Numerators of the probabilities that the next lower order gives, from its counts."""
+    return below + 1.0 if k == 1 else grades[k - 1](below) * below
+
+
+STATE = "kind string, level int, bucket int, chunk long, places binary, many binary, single binary, below binary, left binary, lower binary, over binary, count binary, asks binary, ids array<long>, train binary, tokens binary, known binary, base binary, partial binary, rows binary, marks binary"
 
 
 def _look_up(stored: DataFrame, answers: DataFrame, shapes: list[Shape], n: int, v: int, grades: list[Discounts]) -> DataFrame:
     """Per chunk: a `docs` row with the sums that need no back-off weight and the tokens that do
     (by order: which text, and which of the contexts asked for), and `context` rows with the
-    chunk's share of the masses of contexts, by their places in the tables."""
+    chunk's share of the masses of contexts, by their places in the tables. `many` is how many n-grams
+    of a context the chunk owns, 2 for more than one: of one it sends the count and that of the
+    n-gram without its first word, of more the sums `left` and `lower`."""
     names = [f.split()[0] for f in STATE.split(", ")]
 
     def state(**given) -> pa.RecordBatch:
@@ -351,32 +373,39 @@ def _look_up(stored: DataFrame, answers: DataFrame, shapes: list[Shape], n: int,
             own = np.flatnonzero(got[k].owned)
             count, context, shorter = got[k].count[own], level[k].context[own], level[k].shorter[own]
             size = len(got[k - 1].count)
-            left_over = np.bincount(context, weights=count * (1 - grades[k](count)), minlength=size)
-            if k == 1:
-                part, over = got[0].count[level[1].word[own]] + 1.0, np.full(size, n + v + 1)
-            else:
-                below = got[k - 1].count[shorter]
-                part, over = grades[k - 1](below) * below, np.zeros(size, np.int64)
+            below = got[0].count[level[1].word[own]] if k == 1 else got[k - 1].count[shorter]
+            over = np.full(size, n + v + 1 if k == 1 else 0)
+            if k > 1:
                 over[context] = held[k - 2][level[k - 1].context[shorter]]
-            lower = np.bincount(context, weights=part, minlength=size)
-            use = np.flatnonzero(asked[k - 1] | (left_over > 0))
+            many = np.minimum(np.bincount(context, minlength=size), 2).astype(np.uint8)
+            left_over = np.bincount(context, weights=_spared(count, grades[k]), minlength=size)
+            lower = np.bincount(context, weights=_under(below, k, grades), minlength=size)
+            single, single_below = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+            single[context], single_below[context] = count, below
+            use = np.flatnonzero(asked[k - 1] | (many > 0))
             shape = shapes[k - 1]
             bucket, place = np.divmod(got[k - 1].number[use], shape.most)
             at = np.searchsorted(bucket, np.arange(shape.buckets + 1))
             for b in np.flatnonzero(np.diff(at)):
                 s = use[at[b] : at[b + 1]]
-                out.append(state(kind="context", level=k - 1, bucket=int(b), chunk=r["chunk"], places=squeeze_keys(place[at[b] : at[b + 1]]), left=squeeze_values(left_over[s]), lower=squeeze_values(lower[s]), over=squeeze(over[s]), count=squeeze(got[k - 1].count[s]), asks=squeeze(asked[k - 1][s])))
+                one, more = s[many[s] == 1], s[many[s] == 2]
+                out.append(
+                    state(
+                        kind="context", level=k - 1, bucket=int(b), chunk=r["chunk"], places=squeeze_keys(place[at[b] : at[b + 1]]), many=squeeze(many[s]), single=squeeze(single[one]), below=squeeze(single_below[one]),
+                        left=squeeze(left_over[more]), lower=squeeze(lower[more]), over=squeeze_values(over[s]), count=squeeze(got[k - 1].count[s]), asks=squeeze(asked[k - 1][s]),
+                    )
+                )
         return pa.Table.from_batches(out)
 
-    tokens = stored.select("chunk", "ids", "vocab", "token", "ends", "train")
-    return tokens.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, STATE)
+    texts = stored.where("kind = 'texts'").select(*TEXTS, "ids")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, STATE)
 
 
 WEIGHTS = "kind string, level int, bucket int, chunk long, alpha binary"
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _back_off(contexts: DataFrame) -> DataFrame:
+def _back_off(contexts: DataFrame, grades: list[Discounts]) -> DataFrame:
     """Per bucket a `table` row with log10 alpha of its n-grams as contexts, in the order of the
     bucket's keys, and an `answer` row for each chunk that asks."""
 
@@ -385,15 +414,20 @@ def _back_off(contexts: DataFrame) -> DataFrame:
         places = [expand_keys(r["places"]).astype(np.int64) for r in group]
         flat = np.concatenate(places)
         size = int(flat.max()) + 1
-        left, lower = (np.bincount(flat, weights=np.concatenate([expand_values(r[x]) for r in group]), minlength=size) for x in ("left", "lower"))
+        level, bucket = group[0]["level"], group[0]["bucket"]
+        many = np.concatenate([expand(r["many"], "u1") for r in group])
+        sums = np.zeros((2, len(flat)))
+        single, below = (np.concatenate([expand(r[x], "u8") for r in group]).astype(np.int64) for x in ("single", "below"))
+        sums[:, many == 1] = _spared(single, grades[level + 1]), _under(below, level + 1, grades)
+        sums[:, many == 2] = [np.concatenate([expand(r[x], "f8") for r in group]) for x in ("left", "lower")]
+        left, lower = (np.bincount(flat, weights=x, minlength=size) for x in sums)
         over, count = np.zeros(size, np.int64), np.ones(size, np.int64)
-        np.maximum.at(over, flat, np.concatenate([expand(r["over"], "i8") for r in group]))
+        np.maximum.at(over, flat, np.concatenate([expand_values(r["over"], "i8") for r in group]))
         count[flat] = np.concatenate([expand(r["count"], "i8") for r in group])
         alpha = np.zeros(size)
         on = left > 0
         alpha[on] = np.log10(left[on] / count[on]) - np.log10(1 - lower[on] / over[on])
-        level, bucket = group[0]["level"], group[0]["bucket"]
-        out = [_rows(WEIGHTS, ["table"], [level], [bucket], [None], [squeeze(alpha)])]
+        out = [_rows(WEIGHTS, ["table"], [level], [bucket], [None], [squeeze_values(alpha)])]
         for r, p in zip(group, places, strict=True):
             asks = expand(r["asks"], "u1").astype(bool)
             if asks.any():
@@ -451,15 +485,18 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = materialise(text_chunks(d, chunk_text), "lm-chunks", buckets=(files, "chunk"), **PLAIN)
-    tokens, vocab, train_docs = (int(x or 0) for x in stored.agg(F.sum("n_tokens"), F.sum("n_vocab"), F.sum("n_train")).first())
+    stored = materialise(text_chunks(d, chunk_text), "lm-chunks", buckets=(files, "chunk"), part="kind", **PLAIN)
+    tokens, vocab, train_docs = (int(x or 0) for x in stored.where("kind = 'texts'").agg(F.sum("n_tokens"), F.sum("n_vocab"), F.sum("n_train")).first())
     shapes, grades, totals, tables = [], [], [], []
     answers = None
     for k in range(order):
         buckets = max(12, math.ceil((tokens if k else vocab) / bucket_entries))
         bits = min(64, (shapes[-1].buckets * shapes[-1].most * shapes[0].buckets * shapes[0].most - 1).bit_length()) if k else 64
-        asked = _ask(stored, answers, [*shapes, Shape(buckets, 0, bits)])
-        counted = materialise(_count(asked), f"lm-counts-{k}", part="kind", **PLAIN)
+        shape = Shape(buckets, 0, bits)
+        asked = _ask(stored, answers, [*shapes, shape]) if k else _ask_words(stored, shape)
+        counted = materialise(_count(asked, k == order - 1), f"lm-counts-{k}", part="kind", **PLAIN)
+        if k == 0:
+            discard_part(stored, "kind", "words")
         tables.append(counted)
         table = counted.where("kind = 'table'").select("totals")
         summed = table.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n"), F.max("col").alias("most")).collect()
@@ -480,7 +517,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(stored)
     for t in tables:
         discard_part(t, "kind", "answer")
-    weights = materialise(_back_off(state.where("kind = 'context'").select("level", "bucket", "chunk", "places", "left", "lower", "over", "count", "asks")), "lm-weights", **PLAIN)
+    weights = materialise(_back_off(state.where("kind = 'context'").select("level", "bucket", "chunk", "places", "many", "single", "below", "left", "lower", "over", "count", "asks"), grades), "lm-weights", **PLAIN)
     discard_part(state, "kind", "context")
     alpha = weights.where("kind = 'answer'").select("chunk", "level", "bucket", "alpha")
     texts = state.where("kind = 'docs'").select("chunk", "ids", "train", "tokens", "known", "base", "partial", "rows", "marks")

@@ -261,11 +261,24 @@ def test_jaccard_links_inside_components(spark):
     rows += [(900, rows[3][1]), (901, rows[3][1]), (None, rows[4][1]), (902, None)]
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if i is not None and t and i < 900 for w in [words_of(t)]}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    links = ngram_jaccard.jaccard_links(docs(spark, rows))
-    got = [(r.a, r.b) for r in links.pairs.collect()]
-    assert len(want) > 70 and len(got) == len(set(got)) and set(got) == want
-    members = links.rows.where("id is not null").join(links.classes, ["set_a", "set_b", "n"])
-    assert {(r.id, r.rep) for r in members.collect()} == {(i, 3 if i in (900, 901) else i) for i, t in rows if i is not None and t}
+    for exact in (False, True):
+        links = ngram_jaccard.jaccard_links(docs(spark, rows), exact=exact)
+        rep = {r.cls: r.rep for r in links.classes.collect()}
+        got = [tuple(sorted((rep[r.a], rep[r.b]))) for r in links.pairs.collect()]
+        assert len(want) > 70 and len(got) == len(set(got)) and set(got) == want
+        assert {(r.id, rep[r.cls]) for r in links.rows.where("cls is not null").collect()} == {(i, 3 if i in (900, 901) else i) for i, t in rows if i is not None and t}
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    rng, rows = random.Random(31), []
+    near = lambda t, k: " ".join(t.split()[:-1] + [f"u{k}"])
+    first, second, third = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(60)) for p in "abc")
+    rows = [(5, first), (5, second), (5, second), (7, third), (7, first + " more")] + [(100 + k, near(first, k)) for k in range(10)] + [(200 + k, near(second, k)) for k in range(40)] + [(300, third), (301, "x " * 30_000)]
+    got = collections.defaultdict(set)
+    for r in jaccard_components(docs(spark, rows)).collect():
+        got[r.doc_id].add((r.n_shingles, r.component_id))
+    assert {c for i in got if i != 301 for _, c in got[i]} == {5} and got[301] == {(1, 301)}
+    assert got[7] == {(56, 5), (57, 5)} and len(got) == 54
 
 
 def brute_katz(texts, train, order):
@@ -331,7 +344,7 @@ def test_katz(spark, order):
         stored[r.level][0] += len(counts)
         stored[r.level][1] += int(counts.sum())
     assert all(stored[k] == [len(c[k]), sum(c[k].values())] for k in range(1, order)) and stored[0] == [v + 1, n + sum(train)]
-    logs = np.concatenate([katz_lm.expand(bytes(r.alpha), "f8") for r in got.weights.collect()] or [np.zeros(0)])
+    logs = np.concatenate([katz_lm.expand_values(bytes(r.alpha), "f8") for r in got.weights.collect()] or [np.zeros(0)])
     for x in list(weights):
         assert np.abs(logs - np.log10(weights[x])).min() < 1e-9
     assert katz_lm.katz_scores(docs(spark, []), order=order).scores.count() == 0
