@@ -1,4 +1,12 @@
-"""Near copies among embeddings: sign hashing, exact cosines, connected components."""
+"""Near copies among embeddings: sign hashing, exact cosines, connected components.
+
+Equal vectors of a label are one class from the start. A class goes into one bucket of each table, by
+the signs of its vector against random hyperplanes, as a row with its number and a sketch of
+SKETCH signs, never the vector. Pairs that meet in a bucket and whose sketches are near enough are
+candidates; each is kept once, its vectors are fetched by number, and its cosine is computed in
+double precision. A pair at the threshold is missed with probability `miss` by the tables and
+SKETCH_MISS by the sketches; any closer pair with less.
+"""
 
 from __future__ import annotations
 
@@ -11,26 +19,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import discard, materialise
+from .textkernel import U64, mix
 
 THRESHOLD = 0.98
 #: A pair at the threshold stays unseen by all tables with at most this probability.
 MISS = 1e-6
+#: Signs of a sketch, and the probability that a pair at the threshold differs in more than is let pass.
+SKETCH, SKETCH_MISS = 128, 1e-9
+#: Unrelated classes of its label that a class meets in a bucket, about.
+LOAD = 16
 #: Larger buckets are compared as pairs of blocks in separate tasks.
 BLOCK = 512
 
 
 def table_shape(vectors: int, labels: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables): bits so that a bucket of a label holds about one unrelated vector,
+    """(bits, tables): bits so that a bucket of a label holds about LOAD unrelated vectors,
     tables so that a pair at the threshold meets in one with probability 1 - miss."""
-    bits = min(40, max(8, math.ceil(math.log2(max(2, vectors / max(1, labels))))))
+    bits = min(40, max(4, math.ceil(math.log2(max(2, vectors / max(1, labels) / LOAD)))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
-def planes(dim: int, bits: int, tables: int) -> np.ndarray:
+def sketch_limit(threshold: float = THRESHOLD, miss: float = SKETCH_MISS) -> int:
+    """The fewest signs so that a pair at the threshold differs in more with probability `miss` at most."""
+    p, at_most = math.acos(threshold) / math.pi, 0.0
+    for k in range(SKETCH + 1):
+        at_most += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if 1 - at_most <= miss:
+            return k
+    return SKETCH
+
+
+def planes(dim: int, count: int) -> np.ndarray:
     """Normal vectors of random hyperplanes, the same in every task."""
-    return np.random.RandomState(20_210_527).standard_normal((dim, bits * tables))
+    return np.random.RandomState(20_210_527).standard_normal((dim, count))
 
 
 def _usable(vec: Column) -> Column:
@@ -38,134 +61,134 @@ def _usable(vec: Column) -> Column:
     return F.coalesce(good & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _sign_tables(bits: int, tables: int):
-    """Rows (cls, n, label, vec) to the same with `sigs`, a signature for each table."""
+def _matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as doubles) for each length of vectors."""
+    length = np.array(col.value_lengths(), np.int64)
+    flat, first = np.asarray(col.flatten(), np.float64), np.cumsum(length) - length
+    for dim in np.unique(length):
+        at = np.flatnonzero(length == dim)
+        yield at, flat[first[at][:, None] + np.arange(dim)]
+
+
+def _sign_rows(bits: int, tables: int):
+    """Rows (cls, label, vec) to (bucket, cls, s1, s2), one for each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.asarray(v, np.float64) for v in batch["vec"].to_pylist()]
-            sigs: list = [None] * len(lists)
-            for dim in {len(v) for v in lists}:
-                at = [i for i, v in enumerate(lists) if len(v) == dim]
-                m = np.stack([lists[i] for i in at])
-                m /= np.abs(m).max(1, keepdims=True)
-                sign = (m @ planes(dim, bits, tables) > 0).reshape(len(at), tables, bits)
-                code = sign @ (1 << np.arange(bits, dtype=np.int64))
-                for i, c in zip(at, code, strict=True):
-                    sigs[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.list_(pa.int64()))], names=["cls", "n", "label", "vec", "sigs"])
+            cls, label = (batch[x].to_numpy() for x in ("cls", "label"))
+            for at, m in _matrices(batch["vec"]):
+                sign = m / np.abs(m).max(1, keepdims=True) @ planes(m.shape[1], bits * tables + SKETCH) > 0
+                code = sign[:, : bits * tables].reshape(len(at), tables, bits) @ (U64(1) << np.arange(bits, dtype=U64))
+                place = mix(label[at].view(U64) ^ mix(np.array([m.shape[1]], U64)))[:, None] + np.arange(tables, dtype=U64)
+                bucket = mix(mix(place) ^ code)
+                sketch = np.packbits(sign[:, bits * tables :], axis=1).view(np.int64)
+                cols = [bucket.view(np.int64).ravel(), np.repeat(cls[at], tables), *(np.repeat(sketch[:, k], tables) for k in range(2))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "cls", "s1", "s2"])
 
     return run
 
 
-def _compare(threshold: float):
-    """Sorted rows of buckets to (a, b, links): for each class a its linked rows in other
-    classes, found here first, and for linked classes an edge to one of their group."""
+def _candidates(limit: int):
+    """Rows sorted by tile to pairs (a, b), a < b, whose sketches differ in `limit` signs at most."""
 
-    def linked(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        n = len(rows["cls"])
-        links, group = np.zeros(n, np.int64), np.arange(n)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        unit, bucket = rows["unit"], rows["bucket"]
-        i = np.arange(n)
-        for d in range(1, n):
-            i = i[(i + d < n)]
-            i = i[bucket[i] == bucket[i + d]]
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        c = {k: t[k].to_numpy() for k in ("tile", "cls", "chunk", "s1", "s2")} | {"inner": t["inner"].to_numpy(zero_copy_only=False)}
+        i, found = np.arange(len(t)), []
+        for d in range(1, len(t)):
+            i = i[i + d < len(t)]
+            i = i[c["tile"][i] == c["tile"][i + d]]
             if not len(i):
                 break
             j = i + d
-            on = rows["inner"][i] | (rows["chunk"][i] != rows["chunk"][j])
-            a, b = i[on], j[on]
-            if not len(a):
-                continue
-            near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-            a, b = a[near], b[near]
-            first = (rows["sigs"][a] == rows["sigs"][b]).argmax(1) == rows["table"][a]
-            a, b = a[first], b[first]
-            np.add.at(links, a, rows["n"][b])
-            np.add.at(links, b, rows["n"][a])
-            if len(a):
-                found.append((a, b))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            while True:
-                before = group.copy()
-                np.minimum.at(group, a, group[b])
-                np.minimum.at(group, b, group[a])
-                group = group[group]
-                if (group == before).all():
-                    break
-        on = links > 0
-        cls = rows["cls"]
-        return pa.RecordBatch.from_arrays([pa.array(cls[on]), pa.array(cls[group[on]]), pa.array(links[on])], names=["a", "b", "links"])
+            apart = np.bitwise_count(c["s1"][i] ^ c["s1"][j]) + np.bitwise_count(c["s2"][i] ^ c["s2"][j])
+            on = (apart <= limit) & (c["inner"][i] | (c["chunk"][i] != c["chunk"][j]))
+            found.append((c["cls"][i[on]], c["cls"][j[on]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             kept = t if kept is None else pa.concat_tables([kept, t])
-            keys = kept["bucket"].to_numpy()
-            end = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+            keys = kept["tile"].to_numpy()
+            end = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last tile may go on
             if end:
-                yield from parts(kept.slice(0, end))
+                yield pairs(kept.slice(0, end))
                 kept = kept.slice(end)
         if kept is not None and len(kept):
-            yield from parts(kept)
-
-    def parts(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        t = t.combine_chunks()
-        dims = np.asarray([len(v) for v in t["vec"].to_pylist()]) if len(t) else np.zeros(0, int)
-        for dim in np.unique(dims):
-            s = t.filter(pa.array(dims == dim)).combine_chunks()
-            vec = np.asarray(s["vec"].to_pylist(), np.float64)
-            vec /= np.abs(vec).max(1, keepdims=True)
-            vec /= np.sqrt((vec * vec).sum(1, keepdims=True))
-            rows = {k: s[k].to_numpy() for k in ("cls", "n", "bucket", "table", "chunk")}
-            rows |= {"inner": s["inner"].to_numpy(zero_copy_only=False), "unit": vec, "sigs": np.asarray(s["sigs"].to_pylist(), np.int64)}
-            yield linked(rows)
+            yield pairs(kept)
 
     return run
 
 
+def _verify(threshold: float):
+    """Rows (a, b, va, vb) to those whose cosine reaches the threshold."""
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        m = m / np.abs(m).max(1, keepdims=True)
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = np.zeros(len(batch), bool)
+            for (at, x), (_, y) in zip(_matrices(batch["va"]), _matrices(batch["vb"]), strict=True):
+                on[at] = np.einsum("ij,ij->i", unit(x), unit(y)) >= threshold
+            keep = pa.array(np.flatnonzero(on))
+            yield pa.RecordBatch.from_arrays([batch["a"].take(keep), batch["b"].take(keep)], names=["a", "b"])
+
+    return run
+
+
+def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """(a, b): pairs a < b of classes (cls, label long, vec) of equal labels and lengths that link."""
+    total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
+    rows = classes.select("cls", "label", "vec").mapInArrow(_sign_rows(*table_shape(total, labels, threshold, miss)), "bucket long, cls long, s1 long, s2 long")
+    rows = materialise(rows, "signatures")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    met = rows.join(materialise(sizes, "bucket-sizes"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    met = met.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("tile"), "cls", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), "s1", "s2")
+    pairs = met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(_candidates(sketch_limit(threshold)), "a long, b long")
+    pairs = materialise(pairs.distinct(), "candidates")
+    discard(rows)
+    held = lambda x: classes.select(F.col("cls").alias(x), F.col("vec").alias(f"v{x}"), F.col("label").alias(f"l{x}"))
+    full = pairs.join(held("b"), "b").join(held("a"), "a").where("la = lb and size(va) = size(vb)")
+    out = materialise(full.select("a", "b", "va", "vb").mapInArrow(_verify(threshold), "a long, b long"), "embedding-links")
+    discard(pairs)
+    return out
+
+
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """A row for each vector: `id_col`, n_links, component_id, kept.
 
     Vectors with equal labels and lengths link at a cosine of `threshold` or more, in
     double precision. Vectors that are null, empty, zero or hold null or non-finite
     components, and those with a null label, link with nothing. Equal vectors are one
-    class from the start, so a vector that a third of all rows share costs one row.
-    Classes that agree in a signature of any table are compared; a bucket over BLOCK
-    classes is cut into blocks whose pairs go to separate tasks, and each link counts in
-    the first table where it shows. Repeated rows count as vectors of their own. A null
+    class from the start, so a vector that a third of all rows share costs one row; classes are told
+    apart by 128 bits and numbered when stored. A bucket over BLOCK classes is cut into blocks whose
+    pairs go to separate tasks. Repeated rows count as vectors of their own. A null
     id is a row like others, with itself as a component. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
-    v = v.withColumn("vec", F.when(_usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull(), F.col("vec")))
-    v = v.withColumn("key", F.when(F.col("vec").isNotNull(), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("vec", lambda x: x.cast("string"))), 256)))
-    v = materialise(v, "vectors")
-    classes = v.where("vec is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    classes = materialise(classes.withColumn("cls", F.xxhash64("key")), "classes")
-    whole = v.where("vec is not null").join(classes, "key").where("id = least").dropDuplicates(["key"]).select("cls", "n", "label", "vec")
-    total, labels = whole.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    bits, tables = table_shape(total, labels, threshold, miss)
-    label_type = v.schema["label"].dataType.simpleString()
-    signed = materialise(whole.mapInArrow(_sign_tables(bits, tables), f"cls long, n long, label {label_type}, vec array<double>, sigs array<long>"), "signed")
-    rows = signed.select("cls", "label", F.size("vec").alias("dim"), F.posexplode("sigs").alias("table", "sig")).withColumn("bucket", F.xxhash64("label", "dim", "table", "sig"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    rows = rows.join(materialise(sizes, "bucket-sizes"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    rows = rows.select("cls", "table", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("bucket"))
-    full = rows.join(signed.select("cls", "n", "vec", "sigs"), "cls").repartition("bucket").sortWithinPartitions("bucket", "chunk", "cls")
-    out = full.select("cls", "n", "vec", "sigs", "table", "chunk", "inner", "bucket").mapInArrow(_compare(threshold), "a long, b long, links long")
-    out = materialise(out, "links")
-    comp = connected_components(out, "a", "b")
-    counts = out.groupBy("a").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts.withColumnRenamed("a", "cls"), "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    per_class = materialise(per_class.select("key", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component")), "linked")
-    smallest = materialise(per_class.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    per_class = per_class.join(smallest, "component").select("key", "n_links", "component_id")
-    res = v.select("id", "key").join(per_class, "key", "left")
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
+    if v.schema["vec"].dataType.elementType.typeName() not in ("float", "double"):
+        v = v.withColumn("vec", F.col("vec").cast("array<double>"))
+    good = _usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull()
+    digest = lambda k: F.when(good, F.xxhash64(F.lit(k), "label", "vec"))
+    v = v.withColumn("ha", digest(1)).withColumn("hb", digest(2))
+    classes = v.where("ha is not null").groupBy("ha", "hb").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first(F.xxhash64("label")).alias("label"), F.first("vec").alias("vec"))
+    classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    links = embedding_links(classes, threshold, miss)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = both.join(classes.select(F.col("cls").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("links"))
+    comp = connected_components(links, "a", "b")
+    per_class = classes.select("cls", "ha", "hb", "least", "n").join(counts.withColumnRenamed("a", "cls"), "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    per_class = materialise(per_class.select("ha", "hb", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component")), "linked")
+    least = materialise(per_class.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    discard(classes, links)
+    per_class = per_class.join(least, "component").select("ha", "hb", "n_links", "component_id")
+    res = v.select("id", "ha", "hb").join(per_class, ["ha", "hb"], "left")
     res = res.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return res.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
