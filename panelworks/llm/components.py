@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -32,14 +32,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         to = to.select("node", F.least(F.col("m"), F.col("node").bitwiseXOR(mask)).bitwiseXOR(mask).alias("to"))
         to = materialise(to, "moves")
         moves.append(to)
-        e = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        e = e.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        e = materialise(e, "edges")
+        left = e.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        left = left.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        before, e = e, materialise(left, "edges")
+        discard(before)
     if not moves:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    root = moves[-1]
-    for to in reversed(moves[:-1]):
-        later = root.select(F.col("node").alias("to"), F.col("to").alias("root"))
-        root = materialise(to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
+    discard(e)
+    root = moves.pop()
+    while moves:
+        to, later = moves.pop(), root.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        before, root = root, materialise(to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("to")), "roots")
+        discard(before, to)
     least = materialise(root.groupBy("to").agg(F.min("node").alias("component")), "least")
-    return root.join(least, "to").select("node", "component")
+    out = materialise(root.join(least, "to").select("node", "component"), "components")
+    discard(root, least)
+    return out

@@ -6,7 +6,7 @@ documents share at least `need` tokens: a set of WHOLE * t or less only has simi
 whose pools are whole, so t times its size; for larger ones each of the CUT smallest tokens
 of the union is common with probability t or more and then lies in both pools, so `need` is
 what CUT such draws reach but for a chance under MISS, far below that of a collision of
-64-bit hashes.
+64-bit hashes. With `exact` all pools are whole and nothing is left to chance.
 
 If two pools share `need` tokens, then under ANY order of all tokens the first
 |pool| - need + 1 tokens of both meet. Three orders are used: rare tokens first, and two
@@ -16,8 +16,9 @@ token must suffice; only those that also meet under the two others, and fit in s
 verified on their whole sets. Rare-first keeps buckets of frequent passages empty unless
 documents consist of little else.
 
-How copies are handled. Equal sets are one class, and links are made between classes. Buckets
-are paired in full, so no link between different sets is lost; groups of near copies cost what
+How copies are handled. Equal sets are one class with a number of its own, and links are made
+between classes; a row is one of its class, whatever its id, and classes that share an id are joined.
+Buckets are paired in full, so no link between different sets is lost; groups of near copies cost what
 they have links. A pair leaves the join only if its parity sketches, which bound the difference
 of the sets from below, allow the threshold; where sets are small for the sketch, what leaves is
 little more than the links and is verified without the other two orders.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import discard, materialise
 from .textkernel import U64, chunks, mix, shingle_hashes, string_buffers, word_hashes
 
 WORDS, PERCENT = 5, 75
@@ -57,33 +58,41 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
             yield k, np.unique(h[bounds[k - i] : bounds[k - i + 1]])
 
 
-def shingle_signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, n, set_a, set_b, pool, parity): set size, a 128-bit digest of the set, pool, sketch."""
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that depend on the set alone, as two signed longs."""
+    with np.errstate(over="ignore"):
+        a, b = mix(s).sum(dtype=U64), mix(s ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64)
+    return tuple(int(x) for x in np.array([a, b], U64).view(np.int64))
+
+
+def shingle_signatures(docs: DataFrame, words: int = WORDS, whole: int = WHOLE) -> DataFrame:
+    """(id, n, set_a, set_b, pool, parity): set size, its digest, pool, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, b, pool, parity = [], [], [], [], []
             for _, s in _sets(batch, words):
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    a.append(mix(s).sum(dtype=U64))
-                    b.append(mix(s ^ U64(0xA5A5A5A5DEADBEEF)).sum(dtype=U64))
+                for to, x in zip((a, b), _digest(s), strict=True):
+                    to.append(x)
                 parity.append(np.packbits(np.bincount((s & U64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64))
-                pool.append((s if len(s) <= WHOLE else s[:CUT]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(np.array(a, U64).view(np.int64)), pa.array(np.array(b, U64).view(np.int64)), pa.array(pool, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], names=["id", "n", "set_a", "set_b", "pool", "parity"])
+                pool.append((s if len(s) <= whole else s[:CUT]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(pool, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], names=["id", "n", "set_a", "set_b", "pool", "parity"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, set_a long, set_b long, pool array<long>, parity array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, tokens): whole sets."""
+def shingle_sets(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """(cls, tokens): whole sets of rows (cls, set_a, set_b, text) whose text has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for _, s in _sets(batch, words)]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+            keys = zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True)
+            found = [(k, s.view(np.int64)) for (k, s), key in zip(_sets(batch, words), keys, strict=True) if _digest(s) == key]
+            at = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["cls"].take(at), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["cls", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, tokens array<long>")
+    return rows.select("cls", "set_a", "set_b", "text").mapInArrow(run, "cls long, tokens array<long>")
 
 
 def need_cut(percent: int, miss: float = MISS) -> int:
@@ -97,16 +106,16 @@ def need_cut(percent: int, miss: float = MISS) -> int:
     return CUT
 
 
-def need(n: Column, percent: int = PERCENT) -> Column:
+def need(n: Column, percent: int = PERCENT, whole: int = WHOLE) -> Column:
     """Tokens that the pool of a set of n shares at least with that of any similar set."""
-    return F.when(n <= WHOLE * percent // 100, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(need_cut(percent))).cast("int")
+    return F.when(n <= whole * percent // 100, F.ceil(n * percent / 100.0 - 1e-9)).otherwise(F.lit(need_cut(percent))).cast("int")
 
 
-def fits(a: Column, b: Column, percent: int) -> Column:
+def fits(a: Column, b: Column, percent: int, whole: int = WHOLE) -> Column:
     """Whether sizes, what is left from the places of a common token on, and the sketches
     allow the threshold. a, b: structs n, need, left, parity. True for a similar pair's first
     common token."""
-    small = WHOLE * percent // 100
+    small = whole * percent // 100
     both = F.when((a["n"] <= small) & (b["n"] <= small), F.ceil((a["n"] + b["n"]) * percent / (100.0 + percent) - 1e-9)).otherwise(F.least(a["need"], b["need"]))
     apart = sum((F.bit_count(F.get(a["parity"], F.lit(i)).bitwiseXOR(F.get(b["parity"], F.lit(i)))) for i in range(SKETCH)), F.lit(0))
     sizes = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
@@ -115,14 +124,14 @@ def fits(a: Column, b: Column, percent: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the threshold."""
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("sa")), "a")
+    joined = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("sb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("sa")), "a")
     sized = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return sized.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
 def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs that also meet under the other orders."""
-    side = lambda x: heads.select(F.col("id").alias(x), F.col("second").alias(f"s{x}"), F.col("third").alias(f"t{x}"))
+    side = lambda x: heads.select(F.col("cls").alias(x), F.col("second").alias(f"s{x}"), F.col("third").alias(f"t{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     return both.where(F.arrays_overlap("sa", "sb") & F.arrays_overlap("ta", "tb")).select("a", "b")
 
@@ -130,30 +139,35 @@ def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 class Links(NamedTuple):
     """Links of documents: those of a class link with each other and with all of linked classes."""
 
-    #: (id, n, set_a, set_b): a row for each row of the documents.
+    #: (id, n, cls): a row for each row of the documents; cls is null without shingles or id.
     rows: DataFrame
-    #: (set_a, set_b, n, rep): classes of equal sets with their smallest id.
+    #: (cls, n, rep): classes of equal sets with their smallest id.
     classes: DataFrame
-    #: (a, b): every verified pair of different classes, by their smallest ids, once with a < b.
+    #: (a, b): every verified pair of different classes, once with a < b.
     pairs: DataFrame
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> Links:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> Links:
     """All links between different texts and the membership of classes.
 
     Tables that a join needs with one row a key are stored first, so that Spark can split
     the other side where a key is hot. Sets, links and nulls are as in `jaccard_components`.
     """
+    whole = 1 << 40 if exact else WHOLE
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_rows = materialise(shingle_signatures(d, words), "signatures")
-    linked = all_rows.where("n > 0 and id is not null")
-    classes = materialise(linked.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = linked.join(classes, ["set_a", "set_b", "n"]).where("id = rep").dropDuplicates(["id", "set_a"]).select("id", "n", "pool", "parity")
-    pairs = materialise(_class_links(d, reps, words, percent), "jaccard-links")
-    return Links(all_rows.select("id", "n", "set_a", "set_b"), classes, pairs)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    signed = materialise(shingle_signatures(d, words, whole), "signatures")
+    linked = signed.where("n > 0 and id is not null")
+    key = ["set_a", "set_b", "n"]
+    classes = materialise(linked.groupBy(*key).agg(F.min("id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    of = linked.join(classes, key)
+    reps = materialise(of.where("id = rep").dropDuplicates(["cls"]).select("cls", "id", *key, "pool", "parity"), "representatives")
+    rows = materialise(signed.select("id", F.when(F.col("id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b", "n").join(classes.drop("rep"), key, "left").select("id", "n", "cls"), "members")
+    pairs = _class_links(d, reps, words, percent, whole)
+    discard(signed, reps)
+    return Links(rows, classes.select("cls", "n", "rep"), pairs)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """A row for each row of `docs`: `id_col`, n_shingles, component_id.
 
     A-Z are lowered; words are runs without space and the controls 0x09-0x0D; the set of
@@ -161,36 +175,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fewer. Rows link when 100 * |intersection| >= percent * |union|. component_id is the
     smallest id that links reach. A null, empty or wordless text has no shingles and
     links with nothing; a null id has itself, null, as component. Rows that share an
-    id are one node and appear as often as they come. Other columns are not read.
+    id are one node, whose links are those of all its texts, and appear as often as they come, each
+    with the shingles of its own text. Other columns are not read.
     """
-    links = jaccard_links(docs, id_col, text_col, words, percent)
-    comp = connected_components(links.pairs, "a", "b").select(F.col("node").alias("rep"), "component")
-    ends = links.classes.join(comp, "rep", "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = links.rows.join(ends, ["set_a", "set_b", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id")).alias("component_id"))
-
-
-def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    links = jaccard_links(docs, id_col, text_col, words, percent, exact)
+    shared = links.rows.where("cls is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
+    same = links.rows.where("cls is not null").join(shared, "id").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    comp = connected_components(links.pairs.unionByName(same), "a", "b").select(F.col("node").alias("cls"), "component")
+    ends = links.classes.join(comp, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
+    least = materialise(ends.groupBy("root").agg(F.min("rep").alias("component_id")), "least-ids")
+    ends = materialise(ends.join(least, "root").select("cls", "component_id"), "class-components")
+    discard(least, links.pairs)
+    out = links.rows.join(ends, "cls", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, whole: int) -> DataFrame:
     """All verified links (a, b) between classes."""
-    reps = materialise(reps, "representatives")
-    tokens = reps.select("id", F.explode("pool").alias("token"))
+    tokens = reps.select("cls", F.explode("pool").alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
     hits = tokens.join(shared, "token")
-    heads = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # WHOLE at most
-    heads = heads.join(reps.select("id", "n", "parity", F.size("pool").alias("size")), "id")
-    heads = heads.withColumn("need", need(F.col("n"), percent)).where(F.size("hits") >= F.col("need"))
+    heads = hits.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # a pool at most
+    heads = heads.join(reps.select("cls", "id", "set_a", "set_b", "n", "parity"), "cls")
+    heads = heads.withColumn("need", need(F.col("n"), percent, whole)).where(F.size("hits") >= F.col("need"))
     length = F.size("hits") - F.col("need") + 1
     other = lambda seed: F.transform(F.slice(F.sort_array(F.transform("hits", lambda x: F.struct(F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))), 1, length), lambda x: x["token"])
-    heads = heads.select("id", "n", "parity", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
+    heads = heads.select("cls", "id", "set_a", "set_b", "n", "parity", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
     heads = materialise(heads, "prefixes")
+    discard(shared)
 
-    sets = materialise(shingle_sets(docs.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"]), words), "sets")
-    rows = heads.select("id", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
-    rows = rows.select("token", "id", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
+    sets = materialise(shingle_sets(docs.join(heads.select("id", "cls", "set_a", "set_b"), "id"), words).dropDuplicates(["cls"]), "sets")
+    rows = heads.select("cls", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
+    rows = rows.select("token", "cls", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
 
-    left = rows.select("token", F.col("id").alias("a"), F.col("fit").alias("fa"))
-    right = rows.select("token", F.col("id").alias("b"), F.col("fit").alias("fb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits(F.col("fa"), F.col("fb"), percent))
+    left = rows.select("token", F.col("cls").alias("a"), F.col("fit").alias("fa"))
+    right = rows.select("token", F.col("cls").alias("b"), F.col("fit").alias("fb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits(F.col("fa"), F.col("fb"), percent, whole))
     pairs = materialise(pairs.select("a", "b", (F.col("fa.n") + F.col("fb.n") <= 64 * SKETCH).alias("small")).distinct(), "pairs")
     rest = _filtered(pairs.where("not small"), heads)
-    return _verified(pairs.where("small").select("a", "b").unionByName(rest), sets, percent)
+    out = materialise(_verified(pairs.where("small").select("a", "b").unionByName(rest), sets, percent), "jaccard-links")
+    discard(heads, sets, pairs)
+    return out
