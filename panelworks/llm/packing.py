@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import discard, materialise
+from .textkernel import U64, mix
 from .tokenization import encode_with_end, encoder, forget
 
 SEQUENCE_TOKENS = 1024
@@ -65,14 +66,16 @@ class BestFit:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS) -> DataFrame:
-    """(id, piece, start, length, ids): a document's ids and end id as bytes, two for each id
+    """(id, piece, start, length, ids, deal): a document's ids and end id as bytes, two for each id
     if the vocabulary allows, else four; one longer than `size` is cut so that all but its
-    first piece have `size` ids."""
+    first piece have `size` ids. `deal` is the piece's own number, scattered, by which pieces are dealt
+    out later: equal pieces have different ones."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType
-    fields = [T.StructField("id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("start", "length")), T.StructField("ids", T.BinaryType())]
+    fields = [T.StructField("id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("start", "length")), T.StructField("ids", T.BinaryType()), T.StructField("deal", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = TaskContext.get().partitionId() << 40
         width = "<u2" if max(encoder(tokenizer).top_id, end_id) < 1 << 16 else "<u4"
         for whole in batches:
             for at in range(0, len(whole), 1000):
@@ -88,7 +91,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
                 length = np.where(piece == 0, head[row], size)
                 at_ids = ends[:-1][row] + start
                 held = [ids[a : a + k].tobytes() for a, k in zip(at_ids, length, strict=True)]
-                cols = [batch["id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())]
+                cols = [batch["id"].take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary()), pa.array(mix(np.arange(dealt, dealt + len(row), dtype=U64)).view(np.int64))]
+                dealt += len(row)
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return d.mapInArrow(run, T.StructType(fields))
@@ -97,13 +101,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 def pack(pieces: DataFrame, size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
     """(sequence_id, ids, pieces): sequences with the ids of their pieces (bytes) and, in the
     order of their offsets, structs id, piece, start, length. `pieces` is as of
-    `token_pieces`, with a `length` of 1 to `size`. Rows are dealt by hash into tasks of
-    about `task_pieces` and arrive in hash order, so a key or a length that is frequent is
-    spread evenly. A task holds its open sequences, `open_bins` at most."""
+    `token_pieces`, with a `length` of 1 to `size`. Rows are dealt by their own numbers into tasks of
+    about `task_pieces` and arrive in that order, so pieces that repeat, and frequent keys and
+    lengths, are spread evenly. A task holds its open sequences, `open_bins` at most."""
     stored = materialise(pieces, "pieces", **PACKED_TABLE)
     tasks = max(1, math.ceil(stored.count() / task_pieces))
-    order = F.xxhash64("id", "piece", "length", "ids")
-    dealt = stored.repartition(tasks, order).sortWithinPartitions(order)
+    dealt = stored.repartition(tasks, "deal").sortWithinPartitions("deal")
     held = T.StructType([stored.schema[x] for x in ("id", "piece", "start", "length")])
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("pieces", T.ArrayType(held))])
 

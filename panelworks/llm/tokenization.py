@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain, repeat
 
@@ -15,7 +16,7 @@ PIECE = re.compile(r"[ \n]*+[^ \n.,;:!?|%&$*#]++(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6
 BARE_PIECE = re.compile(r"[^ \n.,;:!?|%&$*#]++(?<=[a-zA-Z0-9\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f])|[^ \n]++")
 #: Other white space may join runs across pieces, so such a text is one piece.
 OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MAX_CACHED = 800_000
+MAX_CACHED, LONGEST_CACHED = 800_000, 64
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -53,8 +54,8 @@ class PieceEncoder:
         return any(x in plain for x in self.added_normal)
 
     def _add(self, pieces: list[str]) -> None:
-        import os
-
+        if not pieces:
+            return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -69,26 +70,31 @@ class PieceEncoder:
         self.pieces, self.used = n, total
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, bounds by text); a null text is empty."""
+        """(all ids, bounds by text); a null text is empty. Ids of pieces that are not kept, long ones
+        and those beyond the cache's size, are forgotten when the batch is done."""
         split = [[] if not t else [t] if self._whole(t) else self.piece.findall(t) for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         flat = list(chain.from_iterable(split))
         codes = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
         kept = self.pieces, self.used
         missing = np.flatnonzero(codes < 0)
+        new: dict[str, int] = {}
         if len(missing):
-            new = dict.fromkeys(flat[i] for i in missing)
-            new = {p: self.pieces + k for k, p in enumerate(new)}
-            self._add(list(new))
+            fresh = dict.fromkeys(flat[i] for i in missing)
+            short = [p for p in fresh if len(p) < LONGEST_CACHED]
+            new = {p: self.pieces + k for k, p in enumerate(short)}
+            self._add(short)
+            if len(self.place) + len(new) <= MAX_CACHED:
+                self.place |= new
+                kept = self.pieces, self.used
+            long = [p for p in fresh if len(p) >= LONGEST_CACHED]
+            new |= {p: self.pieces + k for k, p in enumerate(long)}
+            self._add(long)
             codes[missing] = [new[flat[i]] for i in missing]
         lengths = self.length[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(self.first[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
-        if len(missing):
-            if len(self.place) + len(new) <= MAX_CACHED:
-                self.place |= {p: k for p, k in new.items() if len(p) < 64}
-            else:
-                self.pieces, self.used = kept
+        self.pieces, self.used = kept
         return ids, ends[bounds]
 
 
