@@ -110,7 +110,7 @@ FROM c LEFT JOIN n USING (vec_id)
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = read_archive(write_archive(table(spark, sf_dir, "pages")))
+    records = read_archive(write_archive(table(spark, sf_dir, "pages")), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

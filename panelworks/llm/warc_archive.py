@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise, table_path
+from .storage import discard, materialise, shuffles_deleted, table_path
 
 MIN_DEDUP_BYTES = 1000
 CRLF = "\r\n"
@@ -71,34 +71,39 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     records = rows.select("page_id", "copy", "sha256", _bytes(header).alias("header"))
     store = p.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.first("payload").alias("payload"))
     paths = table_path(spark, "warc-payloads"), table_path(spark, "warc-records")
-    store.write.parquet(paths[0])
-    records.write.parquet(paths[1])
+    with shuffles_deleted(spark):
+        store.write.parquet(paths[0])
+        records.write.parquet(paths[1])
+    discard(chosen)
     return Archive(spark.read.schema("sha256 string, payload binary").parquet(paths[0]), spark.read.schema(records.schema).parquet(paths[1]))
 
 
-def read_archive(archive: Archive) -> DataFrame:
+def read_archive(archive: Archive, with_payload: bool = True) -> DataFrame:
     """The records rebuilt by a join on the digest: (page_id, copy, record_type,
-    payload_bytes, payload_digest, refers_to, header, payload, record). `record` is the
-    exact WARC record, in which a revisit has no payload; `payload` is always the full one.
-    Raises if a payload does not have the digest under which it is stored, or not the
-    one in its header."""
-    checked = archive.payloads.withColumn("sha1", F.sha1("payload"))
-    checked = checked.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload is damaged")).cast("binary")))
+    payload_bytes, payload_digest, refers_to, header[, payload, record]). `record` is the
+    exact WARC record, in which a revisit has no payload; `payload` is always the full one. Line ends
+    inside a url are not kept, as a header has no place for them. Raises if a payload does not have
+    the digest under which it is stored, or not the one in its header. Payloads are checked and
+    measured where they lie, and only join if they are asked for."""
+    whole = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload is damaged")).cast("binary"))
+    checked = archive.payloads.select("sha256", whole.alias("payload")).select("sha256", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"), *["payload"] * with_payload)
     head = F.decode("header", "UTF-8")
     field = lambda name: F.regexp_extract(head, f"\r\n{name}: ([^\r\n]*)", 1)
     r = archive.records.join(checked, "sha256")
     digest = F.when(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(F.raise_error(F.lit("a payload does not match its record")).cast("string"))
     kind = field("WARC-Type")
     refers = field("X-Refers-To-Page")
-    empty = F.lit(b"")
-    return r.select(
+    out = r.select(
         "page_id",
         "copy",
         kind.alias("record_type"),
-        F.length("payload").cast("long").alias("payload_bytes"),
+        "payload_bytes",
         digest.alias("payload_digest"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
         "header",
-        "payload",
-        F.concat("header", F.when(kind == "revisit", empty).otherwise(F.col("payload")), F.lit((CRLF * 2).encode())).alias("record"),
+        *["payload"] * with_payload,
     )
+    if with_payload:
+        body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+        out = out.withColumn("record", F.concat("header", body, F.lit((CRLF * 2).encode())))
+    return out
