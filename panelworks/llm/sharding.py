@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, table_path
 
 #: Virtual slots; a constant of the data set, never changed after the first version.
 SLOTS = 8192
@@ -61,23 +61,47 @@ def edit_map(old: dict[int, int], totals: list[tuple[int, int, int]], shards: in
     return out
 
 
-def map_table(spark: SparkSession, totals: list[tuple[int, int, int]], mapping: dict[int, int], version: int) -> DataFrame:
-    """The map as a table (version, vslot, shard, first): `first` is the place of the
-    slot's first row in its shard, so places are gapless. At most `SLOTS` rows."""
+def map_rows(totals: list[tuple[int, int, int]], mapping: dict[int, int]) -> list[dict]:
+    """Rows of a map: vslot, shard, the place `first` of the slot's first row in its shard, so that
+    places are gapless, and the slot's bytes and rows. At most `SLOTS` of them."""
     at, rows = {}, []
-    for slot, _, n in sorted(totals):
+    for slot, size, n in sorted(totals):
         s = mapping[slot]
-        rows.append((version, slot, s, at.get(s, 0)))
+        rows.append({"vslot": slot, "shard": s, "first": at.get(s, 0), "bytes": size, "n_rows": n})
         at[s] = at.get(s, 0) + n
-    text = json.dumps([dict(zip(("version", "vslot", "shard", "first"), r, strict=True)) for r in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<version int, vslot int, shard int, first bigint>>")))
+    return rows
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, version: int = 1) -> DataFrame:
+def write_map(spark: SparkSession, store: str, version: int, rows: list[dict]) -> None:
+    """Adds a version to a stored map; versions are kept and never replaced."""
+    kind = "array<struct<vslot int, shard int, first bigint, bytes bigint, n_rows bigint>>"
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+    table.coalesce(1).write.mode("errorifexists").parquet(f"{store}/version={version}")
+
+
+def read_map(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
+    """(version, vslot, shard, first, bytes, n_rows) of one version, by default the last."""
+    d = spark.read.parquet(store)
+    return d.where(F.col("version") == (d.agg(F.max("version")).first()[0] if version is None else version))
+
+
+def _placed(rows: DataFrame, mapping: DataFrame, id_col: str) -> DataFrame:
+    """Rows of `slotted` by a map of the same rows."""
+    place = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "size", "text_crc32")) - 1
+    placed = rows.withColumn("n", place).join(F.broadcast(mapping.select("version", "vslot", "shard", "first")), "vslot")
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("n")).alias("place"), "version")
+
+
+def _totals(rows: DataFrame) -> list[tuple[int, int, int]]:
+    return [tuple(r) for r in slot_totals(rows).select("vslot", "bytes", "n_rows").collect()]
+
+
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, store: str | None = None) -> DataFrame:
     """Each row with its shard, under the law `bytes`: sizes of shards are near equal,
     as thousands of slots are dealt by their bytes. Returns `id_col`, size, text_crc32,
     vslot, shard int, place long (gapless from 0 in a shard, ordered by slot, id, size
-    and checksum) and version.
+    and checksum) and version, which is 1. The map is stored in the folder `store`, one of
+    its own if None; `rebalance` edits it there.
 
     The rows are shuffled once, without their texts, by virtual slot; the driver sees
     `slots` totals at most, and the map is stored before it is used. Null ids and
@@ -85,9 +109,28 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     interchangeable. Other columns are not read.
     """
     spark = docs.sparkSession
+    store = store or table_path(spark, "slot-map")
     rows = materialise(slotted(docs, id_col, text_col, slots=slots), "slotted")
-    totals = [tuple(r) for r in slot_totals(rows).select("vslot", "bytes", "n_rows").collect()]
-    mapping = materialise(map_table(spark, totals, assign_slots(totals, shards), version), "slot-map")
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "size", "text_crc32")) - 1
-    placed = rows.withColumn("n", place).join(F.broadcast(mapping), "vslot")
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("n")).alias("place"), "version")
+    totals = _totals(rows)
+    write_map(spark, store, 1, map_rows(totals, assign_slots(totals, shards)))
+    return _placed(rows, read_map(spark, store, 1), id_col)
+
+
+def rebalance(docs: DataFrame, store: str, shards: int, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """As `shard`, for changed documents or another number of shards, by editing the last stored map
+    into the next version: slots move only from shards that are gone or over the mean, all others stay
+    where they are. `slots` must be that of the first version."""
+    spark = docs.sparkSession
+    last = [(r["version"], r["vslot"], r["shard"]) for r in read_map(spark, store).select("version", "vslot", "shard").collect()]
+    version = max((v for v, _, _ in last), default=0) + 1
+    rows = materialise(slotted(docs, id_col, text_col, slots=slots), "slotted")
+    totals = _totals(rows)
+    write_map(spark, store, version, map_rows(totals, edit_map({s: at for _, s, at in last}, totals, shards)))
+    return _placed(rows, read_map(spark, store, version), id_col)
+
+
+def moves(spark: SparkSession, store: str, before: int, after: int) -> DataFrame:
+    """(vslot, from_shard, to_shard, bytes, n_rows) of the slots that a version moved."""
+    a = read_map(spark, store, before).select("vslot", F.col("shard").alias("from_shard"))
+    b = read_map(spark, store, after).select("vslot", F.col("shard").alias("to_shard"), "bytes", "n_rows")
+    return a.join(b, "vslot").where("from_shard <> to_shard").select("vslot", "from_shard", "to_shard", "bytes", "n_rows")
