@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialise, table_path
+from .storage import discard, materialise
 from .tokenization import encode_with_end
 
 MAX_BITS = 16
@@ -92,11 +92,20 @@ def encode_block(keys: list[int | None], ends: np.ndarray, ids: np.ndarray, leng
     return b"".join([HEAD.pack(MAGIC, 1, STEP, len(keys), len(ids), bits), np.packbits(nulls).tobytes(), names.tobytes(), ends.astype("<u4").tobytes(), at[::STEP].astype("<u8").tobytes(), words.astype("<u4").tobytes()])
 
 
-def decode_block(block: bytes, table: np.ndarray) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(keys, ends, ids). All stretches between bit offsets are decoded side by side, a
-    table look-up for each token."""
+class Block(NamedTuple):
+    """A block's parts: keys, ends of their documents, bit offsets of every STEP-th id, and the
+    bit stream as overlapping pairs of words."""
+
+    keys: list[int | None]
+    ends: np.ndarray
+    offsets: np.ndarray
+    pairs: np.ndarray
+    n_ids: int
+
+
+def open_block(block: bytes) -> Block:
     magic, version, step, n_keys, n_ids, _ = HEAD.unpack_from(block)
-    if (magic, version) != (MAGIC, 1):
+    if (magic, version, step) != (MAGIC, 1, STEP):
         raise ValueError("not a block of this format")
     at = HEAD.size
 
@@ -110,17 +119,33 @@ def decode_block(block: bytes, table: np.ndarray) -> tuple[list[int | None], np.
     names, ends = part("<i8", n_keys), part("<u4", n_keys).astype(np.int64)
     offsets = part("<u8", (n_ids + step - 1) // step).astype(np.int64)
     words = part("<u4", (len(block) - at) // 4).astype(np.uint64)
-    pairs = (words[:-1] << np.uint64(32)) | words[1:]
-    out = np.zeros((step, len(offsets)), np.uint32)
-    last = n_ids - (len(offsets) - 1) * step if n_ids else 0
-    for k in range(step if len(offsets) > 1 else last):
+    keys = [None if z else int(k) for k, z in zip(names, nulls, strict=True)]
+    return Block(keys, ends, offsets, (words[:-1] << np.uint64(32)) | words[1:], n_ids)
+
+
+def decode_slice(b: Block, table: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The ids of places first to end, from the bit offsets around them. All stretches between
+    offsets are decoded side by side, a table look-up for each token."""
+    if first >= end:
+        return np.zeros(0, np.uint32)
+    lead, tail = first // STEP, -(-end // STEP)
+    offsets = b.offsets[lead:tail]
+    out = np.zeros((STEP, len(offsets)), np.uint32)
+    last = min(b.n_ids, tail * STEP) - (tail - 1) * STEP
+    for k in range(STEP if len(offsets) > 1 else last):
         if k == last:
             offsets = offsets[:-1]
-        here = pairs[offsets >> 5] >> (48 - (offsets & 31)).astype(np.uint64)
+        here = b.pairs[offsets >> 5] >> (48 - (offsets & 31)).astype(np.uint64)
         row = table[(here & np.uint64(0xFFFF)).astype(np.int64)]
         out[k, : len(offsets)] = row >> 5
         offsets = offsets + (row & 31)
-    return [None if z else int(k) for k, z in zip(names, nulls, strict=True)], ends, out.T.reshape(-1)[:n_ids]
+    return out.T.reshape(-1)[first - lead * STEP : end - lead * STEP]
+
+
+def decode_block(block: bytes, table: np.ndarray) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(keys, ends, ids) of a whole block."""
+    b = open_block(block)
+    return b.keys, b.ends, decode_slice(b, table, 0, b.n_ids)
 
 
 class IdStore(NamedTuple):
@@ -154,9 +179,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(small, pa.binary())], names=["id", "crc", "ids"])
 
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    path = table_path(spark, "ids")
-    d.mapInArrow(tokens, "id long, crc long, ids binary").write.option("compression", "zstd").parquet(path)
-    stored = spark.read.schema("id long, crc long, ids binary").parquet(path)
+    stored = materialise(d.mapInArrow(tokens, "id long, crc long, ids binary"), "ids", compression="zstd")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
@@ -196,6 +219,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     order = [F.col("id").asc_nulls_first(), F.length("ids"), F.col("crc")]
     ordered = stored.repartitionByRange(*order).sortWithinPartitions(*order)
     written = materialise(ordered.mapInArrow(blocks, "file_no int, block_no int, n_tokens long, block binary"), "id-blocks")
+    discard(stored)
     code = materialise(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "id-code")
     return IdStore(written, code)
 
@@ -230,3 +254,31 @@ def read_ids(store: IdStore, id_col: str = "doc_id", with_ids: bool = True) -> D
     docs = store.blocks.select("file_no", "block_no", "block").mapInArrow(run, T.StructType(fields))
     out = docs.join(firsts, ["file_no", "block_no"]).withColumn("start", F.col("base") + F.col("start"))
     return out.select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+def read_some(store: IdStore, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(`id_col`, ids) of the documents named in `wanted`: only the stretches of blocks that hold them
+    are decoded, from the bit offset before each. A null id finds nothing."""
+    lengths = np.frombuffer(bytes(store.code.first()["lengths"]), np.uint8)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_no, block_no, raw in zip(batch["file_no"], batch["block_no"], batch["block"], strict=True):
+                b = open_block(raw.as_py())
+                n = len(b.keys)
+                cols = [pa.repeat(file_no, n), pa.repeat(block_no, n), pa.array(range(n), pa.int32()), pa.array(b.keys, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["file_no", "block_no", "k", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = decode_table(lengths)
+        for batch in batches:
+            for raw, places in zip(batch["block"], batch["places"], strict=True):
+                b = open_block(raw.as_py())
+                at = places.as_py()
+                found = [decode_slice(b, table, int(b.ends[k - 1]) if k else 0, int(b.ends[k])).astype(np.int32) for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([b.keys[k] for k in at], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["id", "ids"])
+
+    keys = wanted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    blocks = store.blocks.select("file_no", "block_no", "block")
+    places = blocks.mapInArrow(index, "file_no int, block_no int, k int, id long").join(keys, "id").groupBy("file_no", "block_no").agg(F.collect_list("k").alias("places"))  # a block's documents at most
+    return blocks.join(places, ["file_no", "block_no"]).select("block", "places").mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
