@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_sample, materialise
+from .storage import bounded_sample, discard, materialise
 
 #: Labelled documents that marker words are chosen from at most, by hash of the id.
 MARKER_DOCS = 4000
@@ -71,6 +71,8 @@ class Mix:
     mean: list[list[float]]
     var: list[list[float]]
     steps: list[list[float]] = field(default_factory=list)
+    #: Of each domain, what the rates miss of its target, as shares of all tokens.
+    residual: list[float] = field(default_factory=list)
 
     def logs(self, x: list[Column]) -> list[Column]:
         """log P(domain, features), Gaussian in each feature."""
@@ -128,19 +130,23 @@ def fit_classifier(features: DataFrame, known: DataFrame, markers: dict[str, lis
     return Mix(domains, markers, [rows[d]["n"] / total for d in domains], [[rows[d][f"avg_{c}"] for c in names] for d in domains], [[rows[d][f"var_pop_{c}"] + f for c, f in zip(names, floor, strict=True)] for d in domains])
 
 
-def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 30, tolerance: float = 1e-7) -> tuple[Mix, DataFrame]:
+def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 30, tolerance: float = 1e-7, marker_docs: int = MARKER_DOCS) -> tuple[Mix, DataFrame]:
     """The mixture whose rates give each domain its share of `total` expected tokens (None:
     all there are), and the stored, rated table (`id_col`, RESERVED columns).
 
     Least squares on the domain totals in the metric of H = sum of tokens * p p', where a
     projected gradient step of length one is a Newton step until rates meet zero, so a few rounds do. Each
     round is one aggregation of a number per domain; the rates of the next are the same
-    projection with one more step. Weights of absent domains are left out, the rest scaled.
+    projection with one more step; it ends when the objective no longer falls. Weights of absent domains
+    are left out, the rest scaled. Targets that no nonnegative rates reach leave a `residual` in the mix:
+    look at it. Tokens are words; at most `marker_docs` labelled documents give the marker words.
     """
     known = labels.select(F.col(id_col).alias("id"), label_domain().alias("domain")).where("domain is not null and id is not null")
-    chosen = bounded_sample(known, "id", MARKER_DOCS)  # so the broadcast is bounded
+    chosen = bounded_sample(known, "id", marker_docs)  # so the broadcast is bounded
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    markers = choose_markers(materialise(text.join(F.broadcast(chosen), "id"), "labelled"))
+    sample = materialise(text.join(F.broadcast(chosen), "id"), "labelled")
+    markers = choose_markers(sample)
+    discard(sample)
     features = materialise(with_features(docs.select(id_col, text_col), markers, text_col).drop(text_col), "mix-features")
     mix = fit_classifier(features, known, markers, id_col)
     plain = materialise(mix.rated_features(features).drop(f"{RESERVED}rate"), "mix-posteriors")
@@ -157,12 +163,17 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], t
         inverse = np.linalg.inv(h + np.eye(k) * 1e-9 * np.trace(h))
         best = np.inf
         for _ in range(rounds):
-            now = np.array(plain.agg(*(F.sum(t * c * mix.rate(p)) for c in p)).first(), float)
-            miss = np.abs(now - target).max() / target.sum()
-            if miss < tolerance or miss > best * (1 - 1e-6):
+            miss = np.array(plain.agg(*(F.sum(t * c * mix.rate(p)) for c in p)).first(), float) - target
+            if (objective := float(miss @ inverse @ miss)) >= best * (1 - 1e-9):
+                mix.steps.pop()
                 break
-            best = miss
-            mix.steps.append([float(x) for x in inverse @ (now - target)])
+            best, mix.residual[:] = objective, [float(x) for x in miss / target.sum()]
+            if np.abs(miss).max() < tolerance * target.sum():
+                break
+            mix.steps.append([float(x) for x in inverse @ miss])
+        else:
+            mix.steps.pop()
+    discard(features)
     return mix, plain.withColumn(f"{RESERVED}rate", mix.rate(p))
 
 
