@@ -172,7 +172,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float], t
                 break
             mix.steps.append([float(x) for x in inverse @ miss])
         else:
-            mix.steps.pop()
+            del mix.steps[-1:]
     discard(features)
     return mix, plain.withColumn(f"{RESERVED}rate", mix.rate(p))
 

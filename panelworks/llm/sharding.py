@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise, table_path
+from .storage import materialise, new_folder
 
 #: Virtual slots; a constant of the data set, never changed after the first version.
 SLOTS = 8192
@@ -109,7 +109,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     interchangeable. Other columns are not read.
     """
     spark = docs.sparkSession
-    store = store or table_path(spark, "slot-map")
+    store = store or new_folder(spark, "slot-map")
     rows = materialise(slotted(docs, id_col, text_col, slots=slots), "slotted")
     totals = _totals(rows)
     write_map(spark, store, 1, map_rows(totals, assign_slots(totals, shards)))

@@ -12,26 +12,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import new_folder, shared_dir
+
 #: Spark then deletes the shuffle files of a statement when the statement ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only a local master, whose tasks run on the
-    driver's machine, may go without: it gets a folder of its own."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-panelworks-")
-    return _own["dir"]
-
-
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the application, once."""
     app = spark.sparkContext.applicationId
@@ -40,7 +27,7 @@ def ship_package(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[2]
     path = Path(tempfile.mkdtemp(prefix="spark-panelworks-")) / "panelworks.zip"
     with zipfile.ZipFile(path, "w") as z:
-        for f in [root / "panelworks/__init__.py", *sorted((root / "panelworks/llm").glob("*.py"))]:
+        for f in sorted((root / "panelworks").rglob("*.py")):
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
@@ -61,11 +48,6 @@ def scratch(spark: SparkSession) -> str:
     return name
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, for a store that outlives its job."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """Statements inside leave no shuffle files behind."""

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialise, shuffles_deleted, table_path
+from .storage import discard, materialise, shuffles_deleted, new_folder
 
 MIN_DEDUP_BYTES = 1000
 CRLF = "\r\n"
@@ -70,7 +70,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
     records = rows.select("page_id", "copy", "sha256", _bytes(header).alias("header"))
     store = p.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.first("payload").alias("payload"))
-    paths = table_path(spark, "warc-payloads"), table_path(spark, "warc-records")
+    paths = new_folder(spark, "warc-payloads"), new_folder(spark, "warc-records")
     with shuffles_deleted(spark):
         store.write.parquet(paths[0])
         records.write.parquet(paths[1])

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from panelworks.llm import katz_lm, ngram_jaccard, packing
 from panelworks.llm.components import connected_components
 from panelworks.llm.embedding_dedup import embedding_dedup
-from panelworks.llm.huffman_ids import canonical_codes, code_lengths, decode_block, decode_table, encode_block, read_ids, write_ids
+from panelworks.llm.huffman_ids import canonical_codes, code_lengths, decode_block, decode_slice, decode_table, encode_block, open_block, read_ids, read_some, write_ids
 from panelworks.llm.mixing import fit_mixture, mixed, mixing_rates
 from panelworks.llm.ngram_jaccard import jaccard_components
 from panelworks.llm.packing import BestFit, pack_documents
 from panelworks.llm.quality_classifier import quality_classifier
 from panelworks.llm.quality_rules import quality_rules
-from panelworks.llm.sharding import assign_slots, edit_map, shard
+from panelworks.llm.sharding import assign_slots, edit_map, moves, read_map, rebalance, shard
 from panelworks.llm.tokenization import PieceEncoder
 from panelworks.llm.warc_archive import read_archive, write_archive
 
@@ -117,6 +117,11 @@ def test_sharding(spark):
         places[x.shard].append(x.place)
     assert len(r) == len(rows) and max(sizes.values()) - min(sizes.values()) < 500
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    text = dict(rows)
+    for x in r:
+        body = (text[x.doc_id] or "").encode()
+        assert (x.doc_id == 7 or (x.size, x.text_crc32) == (len(body) + 8, zlib.crc32(body))) and 0 <= x.shard < 24
+    assert sorted((x.size, x.text_crc32) for x in r if x.doc_id == 7) == sorted((len(t) + 8, zlib.crc32(t.encode())) for i, t in rows if i == 7)
     totals = [(s, rng.randrange(1, 100), 1) for s in range(1000)]
     old = assign_slots(totals, 10)
     new = edit_map(old, totals, 11)
@@ -127,6 +132,48 @@ def test_sharding(spark):
     assert shard(docs(spark, []), 24).count() == 0
 
 
+def test_rebalance_edits_the_stored_map(spark, tmp_path):
+    rng, store = random.Random(13), f"file://{tmp_path}/map"
+    rows = [(i, "x" * rng.randrange(300)) for i in range(4000)]
+    d = docs(spark, rows)
+    shard(d, 10, slots=512, store=store)
+    grown = d.unionByName(docs(spark, [(i, "new " * 20) for i in range(4000, 4400)]))
+    for version, (data, shards) in enumerate([(d, 11), (grown, 11), (grown, 9)], 2):
+        placed = rebalance(data, store, shards, slots=512).collect()
+        sizes, places = collections.Counter(), collections.defaultdict(list)
+        for x in placed:
+            assert x.version == version
+            sizes[x.shard] += x.size
+            places[x.shard].append(x.place)
+        assert set(sizes) == set(range(shards)) and max(sizes.values()) < 1.05 * min(sizes.values())
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        assert read_map(spark, store).agg(F.max("version")).first()[0] == version
+    first = moves(spark, store, 1, 2).collect()
+    total = read_map(spark, store, 2).agg(F.sum("bytes")).first()[0]
+    assert sum(r.bytes for r in first if r.to_shard == 10) > 0.6 * sum(r.bytes for r in first) and sum(r.bytes for r in first) < 1.6 * total / 11
+    last = moves(spark, store, 3, 4).collect()
+    assert sum(r.bytes for r in last if r.from_shard < 9) < 0.4 * sum(r.bytes for r in last)
+    kept = {r.vslot: r.shard for r in read_map(spark, store, 1).collect()}
+    assert sum(kept[r.vslot] == r.shard for r in read_map(spark, store, 2).collect()) > 450
+
+
+def test_piece_cache_does_not_leak():
+    e = PieceEncoder(str(P.path("byte_bpe_50k.json")))
+    for n in range(4):
+        texts = [f"tab\t{'q' * 70}{n}{k} <|endoftext|> " + "z" * 100 for k in range(300)] + ["plain words"] + ["long " * 50_000]
+        ids, bounds = e.encode(texts)
+        used = e.pieces, e.used, len(e.place)
+        assert n == 0 or used == before
+        before = used
+        assert list(ids[bounds[3] : bounds[4]]) == e._ids(texts[3]) and list(ids[bounds[-2] :]) == e._ids(texts[-1])
+
+
+def test_equal_pieces_are_spread(spark):
+    rows = packing.token_pieces(docs(spark, [(5, "the same text")] * 4000), str(P.path("byte_bpe_50k.json")), 2)
+    sizes = [r["count"] for r in rows.repartition(40, "deal").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 100 and packing.pack(rows, task_pieces=100).count() >= 4000 * 4 // 1024
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_equal_whole_texts(name):
     rng, e = random.Random(1), PieceEncoder(str(P.path(name)))
@@ -211,6 +258,13 @@ def test_huffman(spark):
         assert x.start == start and list(x.ids) in texts[x.doc_id]
         start += x.n_tokens
     assert read_ids(write_ids(docs(spark, []), path)).count() == 0
+    long = docs(spark, [(1, "a b"), (2, "word and more " * 20_000), (3, None), (None, "x")])
+    store = write_ids(long, path)
+    some = {r.doc_id: list(r.ids) for r in read_some(store, spark.createDataFrame([(2,), (3,), (None,), (77,)], "doc_id long")).collect()}
+    assert set(some) == {2, 3} and some[2] == [*lib._ids("word and more " * 20_000), 1] and some[3] == [1]
+    block = open_block(encode_block([4], np.array([len(ids)]), ids, lengths, canonical_codes(lengths)))
+    for a, b in ((0, 0), (0, 1), (255, 257), (700, 1999), (len(ids) - 3, len(ids))):
+        assert (decode_slice(block, decode_table(lengths), a, b) == ids[a:b]).all()
 
 
 def words_of(t):
@@ -383,6 +437,73 @@ def test_classifier(spark):
     assert quality_classifier(d.limit(0), labels).count() == 0
 
 
+def test_classifier_posteriors_by_brute_force(spark):
+    d, labels = labelled(spark)
+    rng = random.Random(3)
+    host = {r.doc_id: "bad" if 100 <= (r.doc_id or 0) < 140 and r.doc_id != 139 else "few" if r.doc_id in (139, 1) else f"h{rng.randrange(4)}" for r in d.select("doc_id").collect()}
+    name = F.create_map(*[F.lit(x) for k, v in host.items() if k is not None for x in (k, v)])
+    d = d.withColumn("source", F.coalesce(name[F.col("doc_id")], F.lit(""))).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en"))
+    got = {r.doc_id: r for r in quality_classifier(d, labels).collect()}
+    where = {r.doc_id: (r.source, r.lang) for r in d.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in got and r.quality is not None and r.doc_id is not None}
+    e = {i: y.get(i, r.p_document) for i, r in got.items()}
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for i, (h, p) in where.items():
+        paths[h, p].append(e[i])
+        hosts[h].append(e[i])
+    n, all_e = len(e), list(e.values())
+    mean = np.mean(all_e)
+    within = sum(sum((x - np.mean(v)) ** 2 for x in v) for v in paths.values()) / (n - len(paths))
+    c = n - sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in paths.items())
+    between = max(0, (sum(len(v) * (np.mean(v) - np.mean(hosts[h])) ** 2 for (h, _), v in paths.items()) - (len(paths) - len(hosts)) * within) / c)
+    rest = sum(len(v) ** 2 / len(hosts[h]) for (h, _), v in paths.items()) - sum(len(v) ** 2 for v in paths.values()) / n
+    spread = sum(len(v) * (np.mean(v) - mean) ** 2 for v in hosts.values()) - (len(hosts) - 1) * within - between * rest
+    over = max(0, spread / (n - sum(len(v) ** 2 for v in hosts.values()) / n))
+    a, b = (within + between) / max(over, 1e-12), max(within, 1e-12) / max(between, 1e-12)
+    assert over > 0.01
+    logit = lambda p: np.log(p / (1 - p))
+    for i, r in got.items():
+        h, p = where[i]
+        host_prior = (sum(hosts[h]) - e[i] + a * mean) / (len(hosts[h]) - 1 + a)
+        path_prior = (sum(paths[h, p]) - e[i] + b * host_prior) / (len(paths[h, p]) - 1 + b)
+        assert abs(r.host_prior - host_prior) < 1e-6 and abs(r.path_prior - path_prior) < 1e-6
+        want = 1 / (1 + np.exp(logit(mean) - logit(r.p_document) - logit(np.clip(path_prior, 1e-6, 1 - 1e-6))))
+        assert abs(r.p_quality - want) < 1e-6
+    bad = np.mean([got[i].host_prior for i in range(100, 139)])
+    assert bad < 0.2 and abs(got[139].host_prior - mean) < abs(bad - mean) and min(got[i].host_prior for i in range(2, 80)) > 0.7
+    assert quality_classifier(d, labels, host_weight=1e9, path_weight=1e9).agg(F.max("host_prior") - F.min("host_prior")).first()[0] < 1e-4
+
+
+def test_classifier_reads_words(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 120) + (" dull hollow vapid" if i % 2 else "")) for i in range(300)] + [(1000, "long word " * 40_000)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(0, 200)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_classifier(docs(spark, rows), labels).collect()}
+    assert sum(got[i] == (i % 2 == 0) for i in range(200, 300)) >= 97
+
+
+def test_mixing_by_brute_force(spark):
+    d, labels = labelled(spark)
+    d = d.unionByName(docs(spark, [(900, "many words " * 30_000)]))
+    want = {"clean": 0.6, "toxic": 0.2, "low": 0.2}
+    mix, rated = fit_mixture(d, labels, want)
+    text = {r.doc_id: r.text or "" for r in d.collect()}
+    for r in rated.collect():
+        t = text[r.doc_id]
+        size = len(t) + 1
+        known = [len(re.findall(rf"(?i)\b(?:{'|'.join(w)})\b", t)) if w else 0 for w in mix.markers.values()]
+        x = np.array([np.log(size), len(re.findall("[A-Z]", t)) / size, len(re.findall(r"[#*$%&|<>!]", t)) / size, *np.log1p(known)])
+        logs = np.array([np.log(p) - 0.5 * np.log(v).sum() - ((x - np.array(m)) ** 2 / (2 * np.array(v))).sum() for p, m, v in zip(mix.prior, mix.mean, mix.var)])
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        rate = 1.0
+        for step in mix.steps:
+            rate = max(0.0, rate - float(np.dot(p, step)))
+        assert np.abs([r[f"__mix_{k}"] - p[k] for k in range(len(p))]).max() < 1e-6 and abs(r["__mix_rate"] - rate) < 1e-6 and r["__mix_tokens"] == len(words_of(t))
+    assert max(map(abs, mix.residual)) < 1e-6
+    short, _ = fit_mixture(d, labels, want, rounds=0)
+    assert not short.residual and not short.steps
+
+
 def test_mixing(spark):
     d, labels = labelled(spark)
     want = {"clean": 0.7, "toxic": 0.1, "low": 0.2}
