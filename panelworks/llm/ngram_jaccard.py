@@ -18,10 +18,11 @@ documents consist of little else.
 
 How copies are handled. Equal sets are one class with a number of its own, and links are made
 between classes; a row is one of its class, whatever its id, and classes that share an id are joined.
-Buckets are paired in full, so no link between different sets is lost; groups of near copies cost what
-they have links. A pair leaves the join only if its parity sketches, which bound the difference
-of the sets from below, allow the threshold; where sets are small for the sketch, what leaves is
-little more than the links and is verified without the other two orders.
+A pair leaves the join only if its parity sketches, which bound the difference of the sets from below, allow
+the threshold. `jaccard_links` pairs buckets in full, so a group of near copies costs what it has
+links, the square of its size. `jaccard_components` only needs what joins: in each bucket, classes are first
+compared with one leader alone, that with the fewest rarer tokens, which copies of one text are closest to; then
+buckets are paired in full, but only between classes that are not yet in one component, so groups stay near linear.
 """
 
 from __future__ import annotations
@@ -147,13 +148,20 @@ class Links(NamedTuple):
     pairs: DataFrame
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> Links:
-    """All links between different texts and the membership of classes.
+class _Prepared(NamedTuple):
+    """rows and classes as in `Links`; heads: classes with their prefixes under the three orders;
+    sets: whole sets of these; tokens: (token, cls, k, fit), a row for each prefix token under the first."""
 
-    Tables that a join needs with one row a key are stored first, so that Spark can split
-    the other side where a key is hot. Sets, links and nulls are as in `jaccard_components`.
-    """
-    whole = 1 << 40 if exact else WHOLE
+    rows: DataFrame
+    classes: DataFrame
+    heads: DataFrame
+    sets: DataFrame
+    tokens: DataFrame
+
+
+def _prepare(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, whole: int) -> _Prepared:
+    """Tables that a join needs with one row a key are stored first, so that Spark can split
+    the other side where a key is hot."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(shingle_signatures(d, words, whole), "signatures")
     linked = signed.where("n > 0 and id is not null")
@@ -162,9 +170,36 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = linked.join(classes, key)
     reps = materialise(of.where("id = rep").dropDuplicates(["cls"]).select("cls", "id", *key, "pool", "parity"), "representatives")
     rows = materialise(signed.select("id", F.when(F.col("id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b", "n").join(classes.drop("rep"), key, "left").select("id", "n", "cls"), "members")
-    pairs = _class_links(d, reps, words, percent, whole)
-    discard(signed, reps)
-    return Links(rows, classes.select("cls", "n", "rep"), pairs)
+    tokens = reps.select("cls", F.explode("pool").alias("token"))
+    shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
+    hits = tokens.join(shared, "token")
+    heads = hits.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # a pool at most
+    heads = heads.join(reps.select("cls", "id", "set_a", "set_b", "n", "parity"), "cls")
+    heads = heads.withColumn("need", need(F.col("n"), percent, whole)).where(F.size("hits") >= F.col("need"))
+    length = F.size("hits") - F.col("need") + 1
+    other = lambda seed: F.transform(F.slice(F.sort_array(F.transform("hits", lambda x: F.struct(F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))), 1, length), lambda x: x["token"])
+    heads = heads.select("cls", "id", "set_a", "set_b", "n", "parity", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
+    heads = materialise(heads, "prefixes")
+    discard(signed, reps, shared)
+    sets = materialise(shingle_sets(d.join(heads.select("id", "cls", "set_a", "set_b"), "id"), words).dropDuplicates(["cls"]), "sets")
+    at = heads.select("cls", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
+    at = at.select("token", "cls", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
+    return _Prepared(rows, classes.select("cls", "n", "rep"), heads, sets, at)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> Links:
+    """All links between different texts and the membership of classes. Sets, links and nulls are as
+    in `jaccard_components`."""
+    whole = 1 << 40 if exact else WHOLE
+    p = _prepare(docs, id_col, text_col, words, percent, whole)
+    left = p.tokens.select("token", F.col("cls").alias("a"), F.col("fit").alias("fa"))
+    right = p.tokens.select("token", F.col("cls").alias("b"), F.col("fit").alias("fb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits(F.col("fa"), F.col("fb"), percent, whole))
+    pairs = materialise(pairs.select("a", "b", (F.col("fa.n") + F.col("fb.n") <= 64 * SKETCH).alias("small")).distinct(), "pairs")
+    rest = _filtered(pairs.where("not small"), p.heads)  # small sets: the sketch leaves little more than links
+    out = materialise(_verified(pairs.where("small").select("a", "b").unionByName(rest), p.sets, percent), "jaccard-links")
+    discard(p.heads, p.sets, pairs)
+    return Links(p.rows, p.classes, out)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
@@ -178,41 +213,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id are one node, whose links are those of all its texts, and appear as often as they come, each
     with the shingles of its own text. Other columns are not read.
     """
-    links = jaccard_links(docs, id_col, text_col, words, percent, exact)
-    shared = links.rows.where("cls is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
-    same = links.rows.where("cls is not null").join(shared, "id").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    comp = connected_components(links.pairs.unionByName(same), "a", "b").select(F.col("node").alias("cls"), "component")
-    ends = links.classes.join(comp, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
+    whole = 1 << 40 if exact else WHOLE
+    p = _prepare(docs, id_col, text_col, words, percent, whole)
+    links = _joining_links(p, percent, whole)
+    shared = p.rows.where("cls is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
+    same = p.rows.where("cls is not null").join(shared, "id").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    comp = connected_components(links.unionByName(same), "a", "b").select(F.col("node").alias("cls"), "component")
+    ends = p.classes.join(comp, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
     least = materialise(ends.groupBy("root").agg(F.min("rep").alias("component_id")), "least-ids")
     ends = materialise(ends.join(least, "root").select("cls", "component_id"), "class-components")
-    discard(least, links.pairs)
-    out = links.rows.join(ends, "cls", "left")
+    discard(least, links, p.heads, p.sets)
+    out = p.rows.join(ends, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _class_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, whole: int) -> DataFrame:
-    """All verified links (a, b) between classes."""
-    tokens = reps.select("cls", F.explode("pool").alias("token"))
-    shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
-    hits = tokens.join(shared, "token")
-    heads = hits.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("hits"))  # a pool at most
-    heads = heads.join(reps.select("cls", "id", "set_a", "set_b", "n", "parity"), "cls")
-    heads = heads.withColumn("need", need(F.col("n"), percent, whole)).where(F.size("hits") >= F.col("need"))
-    length = F.size("hits") - F.col("need") + 1
-    other = lambda seed: F.transform(F.slice(F.sort_array(F.transform("hits", lambda x: F.struct(F.xxhash64(x["token"], F.lit(seed)).alias("h"), x["token"].alias("token")))), 1, length), lambda x: x["token"])
-    heads = heads.select("cls", "id", "set_a", "set_b", "n", "parity", "need", F.size("hits").alias("left"), F.slice("hits", 1, length).alias("first"), other(2).alias("second"), other(3).alias("third"))
-    heads = materialise(heads, "prefixes")
-    discard(shared)
-
-    sets = materialise(shingle_sets(docs.join(heads.select("id", "cls", "set_a", "set_b"), "id"), words).dropDuplicates(["cls"]), "sets")
-    rows = heads.select("cls", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
-    rows = rows.select("token", "cls", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
-
-    left = rows.select("token", F.col("cls").alias("a"), F.col("fit").alias("fa"))
-    right = rows.select("token", F.col("cls").alias("b"), F.col("fit").alias("fb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & fits(F.col("fa"), F.col("fb"), percent, whole))
-    pairs = materialise(pairs.select("a", "b", (F.col("fa.n") + F.col("fb.n") <= 64 * SKETCH).alias("small")).distinct(), "pairs")
-    rest = _filtered(pairs.where("not small"), heads)
-    out = materialise(_verified(pairs.where("small").select("a", "b").unionByName(rest), sets, percent), "jaccard-links")
-    discard(heads, sets, pairs)
+def _joining_links(p: _Prepared, percent: int, whole: int) -> DataFrame:
+    """Verified links (a, b) between classes that join all that any links join: with the leaders of
+    buckets, then between components that these leave apart."""
+    leaders = materialise(p.tokens.groupBy("token").agg(F.min_by(F.struct("cls", "fit"), F.struct("k", "cls")).alias("top")), "leaders")
+    star = p.tokens.join(leaders, "token").where((F.col("cls") != F.col("top.cls")) & fits(F.col("fit"), F.col("top.fit"), percent, whole))
+    star = materialise(star.select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct(), "star-pairs")
+    near = materialise(_verified(_filtered(star, p.heads), p.sets, percent), "star-links")
+    comp = connected_components(near, "a", "b").select(F.col("node").alias("cls"), "component")
+    placed = p.tokens.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    mixed = materialise(mixed, "mixed")
+    placed = materialise(placed.join(mixed, "token", "left_semi"), "buckets")
+    left = placed.select("token", F.col("cls").alias("ia"), F.col("component").alias("ca"), F.col("fit").alias("fa"))
+    right = placed.select("token", F.col("cls").alias("ib"), F.col("component").alias("cb"), F.col("fit").alias("fb"))
+    pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & fits(F.col("fa"), F.col("fb"), percent, whole))
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    out = materialise(near.unionByName(_verified(_filtered(pairs, p.heads), p.sets, percent)), "joining-links")
+    discard(leaders, star, near, mixed, placed)
     return out
