@@ -146,14 +146,15 @@ def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, miss: floa
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
     rows = classes.select("cls", "label", "vec").mapInArrow(_sign_rows(*table_shape(total, labels, threshold, miss)), "bucket long, cls long, s1 long, s2 long")
     rows = materialise(rows, "signatures")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    met = rows.join(materialise(sizes, "bucket-sizes"), "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialise(sizes, "large-buckets")
+    met = rows.join(sizes, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
     met = met.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("tile"), "cls", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), "s1", "s2")
     pairs = met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(_candidates(sketch_limit(threshold)), "a long, b long")
     pairs = materialise(pairs.distinct(), "candidates")
-    discard(rows)
+    discard(rows, sizes)
     held = lambda x: classes.select(F.col("cls").alias(x), F.col("vec").alias(f"v{x}"), F.col("label").alias(f"l{x}"))
     full = pairs.join(held("b"), "b").join(held("a"), "a").where("la = lb and size(va) = size(vb)")
     out = materialise(full.select("a", "b", "va", "vb").mapInArrow(_verify(threshold), "a long, b long"), "embedding-links")
