@@ -1,9 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents. Nulls: a null text fails the quality rules; a row with a null
-doc_id leaves at the classifier, as no verdict can be traced to it. Rows that repeat a
-doc_id share its verdicts; near copies leave one doc_id of each group, all its rows.
+the columns of documents. Nulls: a null text fails the quality rules; a null doc_id is a row like
+others, which is nobody's near copy. Rows that repeat a doc_id are judged one by one by the
+rules and the classifier; near copies leave one doc_id of each group, all its rows.
 Columns beyond those of documents are dropped by the first stage, whatever their names.
 """
 
@@ -17,7 +17,7 @@ from panelworks.llm.packing import pack_documents
 from panelworks.llm.quality_classifier import quality_classifier
 from panelworks.llm.quality_rules import quality_rules
 from panelworks.llm.queries import TARGET_WEIGHTS, tokenizer
-from panelworks.llm.storage import materialise, read_table
+from panelworks.llm.storage import discard_since, kept_tables, materialise, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,14 +29,14 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    good = quality_classifier(docs, read_table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    judged = quality_classifier(docs, read_table(spark, sf_dir, "labels"), carry=COLUMNS)
+    return judged.where("kept").select("held.*").select(*COLUMNS)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    others = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written as Parquet and read by the next."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = kept_tables(spark)
+        after = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard_since(spark, before - {getattr(docs, "_scratch_table", "")}, after)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

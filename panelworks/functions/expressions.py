@@ -23,8 +23,9 @@ def clean_date(c: Column | str) -> Column:
 
 
 def number(c: Column | str) -> Column:
-    """A double; text that is none, and NaN, are null."""
-    return F.nanvl(col(c).try_cast("double"), F.lit(None).cast("double"))
+    """A double; text that is none, NaN and the infinite are null."""
+    x = col(c).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def clean_code(c: Column | str) -> Column:
@@ -86,3 +87,8 @@ def remaining_years(maturity: Column | str, date: Column | str) -> Column:
 
 def exchange_suffix(code: Column | str) -> Column:
     return F.right(col(code), F.lit(2))
+
+
+def year_of(c: Column | str) -> Column:
+    """The first four characters of a date or a date's text."""
+    return F.substring(col(c).cast("string"), 1, 4).cast("int")

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, pearson, spearman_by
-from .checks import assert_unique, forbid_columns, key_difference
+from ..functions.ranks import exact_quantiles, global_rank
+from ..functions.stats import pearson, spearman_by
+from .checks import forbid_columns
 
 MAD_SCALE = 1.4826
 FLAT = 1e-8
@@ -70,15 +71,20 @@ def neutralize(df: DataFrame, value: str, by: list[str], numeric: list[str], cat
 
 
 def merge_panels(panels: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Inner join of panels whose key sets must be equal; columns of earlier ones win."""
-    out = panels[0]
-    assert_unique(out, keys)
-    for p in panels[1:]:
-        assert_unique(p, keys)
-        if not key_difference(out, p, keys).isEmpty():
-            raise ValueError("panels have different keys")
-        out = out.join(p.select(*keys, *(c for c in p.columns if c not in out.columns)), keys)
-    return out
+    """Join of panels whose key sets must be equal; columns of earlier ones win. A key that is in
+    only some, or repeats in one, is an error when the rows are made."""
+    out = None
+    for n, p in enumerate(panels):
+        taken = set(keys) if out is None else set(out.columns)
+        p = p.select(*keys, *(c for c in p.columns if c not in taken), F.lit(True).alias(f"_in_{n}"))
+        out = p if out is None else out.join(p, keys, "full_outer")
+    marks = [f"_in_{n}" for n in range(len(panels))]
+    everywhere = F.lit(True)
+    for m in marks:
+        everywhere = everywhere & F.col(m).isNotNull()
+    fault = F.when(~everywhere, "panels have different keys").when(F.count("*").over(Window.partitionBy(*keys)) > 1, "a key repeats in a panel")
+    kind = out.schema[keys[0]].dataType
+    return out.withColumn("_fault", fault).withColumn(keys[0], F.when(F.col("_fault").isNull(), F.col(keys[0])).otherwise(F.raise_error("_fault").cast(kind))).drop("_fault", *marks)
 
 
 def to_long(panel: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
@@ -106,11 +112,11 @@ def mad_sensitivity(panel: DataFrame, keys: list[str], date: str, factors: list[
         F.count_if(moved & (F.col("clipped") > F.col("value"))).alias("n_lower"),
         F.count_if(moved & (F.col("clipped") < F.col("value"))).alias("n_upper"),
         F.countDistinct(F.when(moved, F.col(date))).alias("n_dates"),
-        F.median(F.when(moved, change)).alias("median_change"),
         F.max(F.when(moved, change)).alias("max_change"),
     )
     r = spearman_by(d, ["factor", "multiplier", date], "value", "clipped").groupBy("factor", "multiplier").agg(F.avg("rank_ic").alias("mean_rank_correlation"))
-    return a.join(r, ["factor", "multiplier"]).withColumn("clip_rate", F.try_divide("n_clipped", "n_observed"))
+    m = exact_quantiles(d.withColumn("_change", F.when(moved, change)), ["factor", "multiplier"], "_change", (0.5,)).select("factor", "multiplier", F.col("value").alias("median_change"))
+    return a.join(m, ["factor", "multiplier"], "left").join(r, ["factor", "multiplier"]).withColumn("clip_rate", F.try_divide("n_clipped", "n_observed"))
 
 
 def clipping_audit(sensitivity: DataFrame) -> DataFrame:
@@ -127,7 +133,7 @@ def spearman_matrix(panel: DataFrame, keys: list[str], factors: list[str]) -> Da
     b = v.select(*keys, F.col("factor").alias("factor_b"), F.col("value").alias("y"))
     p = a.join(b, keys).where("factor_a <= factor_b")
     by = ["factor_a", "factor_b"]
-    p = p.select(*by, average_rank("x", by).alias("rx"), average_rank("y", by).alias("ry"))
+    p = global_rank(global_rank(p.select(*by, "x", "y"), by, "x", "rx"), by, "y", "ry")
     return p.groupBy(*by).agg(F.count("*").alias("n_pairs"), pearson("rx", "ry").alias("correlation"))
 
 
@@ -179,9 +185,32 @@ def preprocess_registered(panel: DataFrame, factor: str, date: str, direction: i
     return panel.withColumn("processed_factor", direction * F.col(f"standardized__{factor}"))
 
 
-def attach_market_cap(panel: DataFrame, caps: DataFrame, key: str, date: str, cap: str = "market_cap") -> DataFrame:
-    """As-of log of a positive market value with its age in days."""
+def attach_market_cap(panel: DataFrame, caps: DataFrame, key: str, date: str, cap: str = "market_cap", industry: str = "industry") -> DataFrame:
+    """As-of log of the last market value on or before the date, its age in days, and the industry
+    as a control. Values that are not positive, and a value from the future, are errors when rows are made."""
     from .asof import asof_backward
 
-    d = asof_backward(panel, caps.where(F.col(cap) > 0).withColumnRenamed(date, "_cap_date"), key, date, "_cap_date", [cap], "market_cap_date")
-    return d.withColumn("log_market_cap", F.log(cap)).withColumn("market_cap_age", F.datediff(date, "market_cap_date"))
+    x = F.col(cap)
+    caps = caps.withColumn(cap, F.when(x.isNull() | (x > 0), x).otherwise(F.raise_error(F.lit("a market value is not positive")).cast("double")))
+    d = asof_backward(panel, caps.withColumnRenamed(date, "_cap_date"), key, date, "_cap_date", [cap], "market_cap_date")
+    late = F.col("market_cap_date") > F.col(date)
+    d = d.withColumn("market_cap_date", F.when(late, F.raise_error(F.lit("a market value from the future")).cast("date")).otherwise(F.col("market_cap_date")))
+    return d.withColumn("log_market_cap", F.log(cap)).withColumn("market_cap_age", F.datediff(date, "market_cap_date")).withColumn("industry_control", F.col(industry).cast("string"))
+
+
+def family_diagnostics(result: DataFrame, date: str, policies: list[Policy]) -> DataFrame:
+    """Per policy of `preprocess_family`: observations, processed ones and their share, the mean
+    absolute correlation with the controls before and after (null without controls), and the
+    mean rank correlation by date of winsorised and processed values."""
+    out = None
+    for p in policies:
+        a, z = f"winsorized__{p.factor}", f"standardized__{p.factor}"
+        row = result.agg(F.lit(p.factor).alias("factor"), F.count(a).alias("n_observed"), F.count(z).alias("n_processed"), (F.count(z) / F.count("*")).alias("coverage"))
+        for name, c in (("exposure_before", a), ("exposure_after", f"neutralized__{p.factor}")):
+            if p.numeric or p.category:
+                row = row.crossJoin(control_correlation(result, c, date, list(p.numeric), p.category).select(F.col("mean_abs_correlation").alias(name)))
+            else:
+                row = row.withColumn(name, F.lit(None).cast("double"))
+        row = row.crossJoin(spearman_by(result, [date], a, z).agg(F.avg("rank_ic").alias("rank_correlation")))
+        out = row if out is None else out.unionByName(row)
+    return out

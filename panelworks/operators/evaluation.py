@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import TINY, average_rank, newey_west, normal_p, pearson
+from .checks import mismatch
 
 SCORE, RETURN = "processed_factor", "forward_return"
 
 
 def ic_series(panel: DataFrame, by: list[str], score: str = SCORE, ret: str = RETURN, min_assets: int = 5) -> DataFrame:
     """Per group: complete rows, Pearson ic and Spearman rank_ic; null under `min_assets` or
-    where either side is constant."""
-    d = panel.where(F.col(score).isNotNull() & F.col(ret).isNotNull())
-    d = d.select(*by, F.col(score).alias("_x"), F.col(ret).alias("_y"), average_rank(score, by).alias("_rx"), average_rank(ret, by).alias("_ry"))
-    got = d.groupBy(*by).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("ic"), pearson("_rx", "_ry").alias("rank_ic"))
-    dates = panel.select(*by).distinct().join(got, by, "left")
-    enough = F.col("n") >= min_assets
-    return dates.select(*by, F.coalesce("n", F.lit(0)).alias("n_assets"), F.when(enough, F.col("ic")).alias("ic"), F.when(enough, F.col("rank_ic")).alias("rank_ic"))
+    where either side is constant. The panel is read once and moved once, by group."""
+    on = F.col(score).isNotNull() & F.col(ret).isNotNull()
+    d = panel.select(*by, on.alias("_on"), F.when(on, F.col(score)).alias("_x"), F.when(on, F.col(ret)).alias("_y")).repartition(*by)
+    d = d.withColumn("_rx", F.when(F.col("_on"), average_rank("_x", [*by, "_on"]))).withColumn("_ry", F.when(F.col("_on"), average_rank("_y", [*by, "_on"])))
+    d = d.groupBy(*by).agg(F.count_if("_on").alias("n_assets"), pearson("_x", "_y").alias("ic"), pearson("_rx", "_ry").alias("rank_ic"))
+    enough = F.col("n_assets") >= min_assets
+    return d.select(*by, "n_assets", F.when(enough, F.col("ic")).alias("ic"), F.when(enough, F.col("rank_ic")).alias("rank_ic"))
 
 
 def summarize_ic(series: DataFrame, by: list[str], date: str = "signal_date", periods: int = 26, lags: int = 5) -> DataFrame:
@@ -79,6 +80,30 @@ def nav_summary(navs: DataFrame, by: list[str], order: str, columns: list[str],
     return d.withColumn("annual_return", F.when(F.col("final_nav") > 0, F.pow("final_nav", periods / F.col("n")) - 1))
 
 
+def horizon_summary(ic: DataFrame, returns: DataFrame, labels: DataFrame, by: str = "horizon_days", date: str = "signal_date", periods: int = 26) -> DataFrame:
+    """A row a horizon: statistics of ic and rank_ic side by side, hit rates of active and spread
+    returns, label rows and the share excluded, and final value, annual return and largest fall of
+    four running products (G1, universe, active, spread)."""
+    stats = summarize_ic(ic, [by], date, periods)
+    a = stats.groupBy(by).pivot("metric", ["ic", "rank_ic"]).agg(F.first("mean").alias("mean"), F.first("positive_share").alias("positive_share"), F.first("icir").alias("icir"), F.first("nw_t").alias("nw_t"))
+    b = summarize_ir(returns, [by], periods).groupBy(by).pivot("metric", ["active", "spread_raw"]).agg(F.first("ir").alias("ir"), F.first("hit_rate").alias("hit_rate"))
+    c = labels.groupBy(by).agg(F.count("*").alias("label_rows"), F.count_if("label_usable").alias("usable_rows")).withColumn("excluded_share", 1 - F.col("usable_rows") / F.col("label_rows"))
+    names = {"g1": "G1", "universe": "universe", "active": "active", "spread": "long_short"}
+    runs = nav(returns.select(by, date, *(F.col(v).alias(k) for k, v in names.items())), [by], date, list(names))
+    n = nav_summary(runs, [by], date, list(names), periods).withColumn("column", F.regexp_replace("column", "nav__", ""))
+    n = n.groupBy(by).pivot("column", list(names)).agg(F.first("final_nav").alias("nav"), F.first("annual_return").alias("annual_return"), F.first("max_drawdown").alias("max_drawdown"))
+    return a.join(b, by).join(c, by).join(n, by)
+
+
+def verify_materialized(context: DataFrame, raw: DataFrame, processed: DataFrame, keys: list[str], factor: str, direction: int) -> DataFrame:
+    """(raw_mismatches, processed_mismatches) of values stored in a context table, as `factor` and
+    standardized__<factor>, with raw_factor and processed_factor recomputed; where both exist."""
+    z = f"standardized__{factor}"
+    d = context.select(*keys, F.col(factor).alias("_f"), F.col(z).alias("_z")).join(raw.select(*keys, "raw_factor"), keys, "full_outer").join(processed.select(*keys, SCORE), keys, "full_outer")
+    off = lambda a, b: F.count_if(a.isNotNull() & b.isNotNull() & mismatch(a, b))
+    return d.agg(off(F.col("_f"), F.col("raw_factor")).alias("raw_mismatches"), off(direction * F.col("_z"), F.col(SCORE)).alias("processed_mismatches"))
+
+
 def annual_stability(series: DataFrame, returns: DataFrame, date: str = "signal_date") -> DataFrame:
     """(year, mean_rank_ic, hit_rate, compounded): by calendar year."""
     a = series.groupBy(F.year(date).alias("year")).agg(F.avg("rank_ic").alias("mean_rank_ic"), F.avg((F.col("rank_ic") > TINY).cast("double")).alias("hit_rate"))

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import first_match, valid_price
 from .asof import asof_backward
-
-# Lifecycle states.
-STATES = ("SETTLED", "SETTLEMENT_UNRESOLVED", "SETTLEMENT_RECEIVABLE", "DELISTED_UNRESOLVED", "SUSPENDED_OR_UNQUOTED", "LAST_TRADING_WINDOW", "REDEMPTION_ANNOUNCED", "REDEMPTION_WATCH", "SEASONING", "PRE_LISTED", "ACTIVE")
+from .calendar import listing_age
 
 
 def execution_market(daily: DataFrame, cal: DataFrame, keys: DataFrame, key: str, flat: float = 1e-8) -> DataFrame:
@@ -29,14 +27,16 @@ def execution_market(daily: DataFrame, cal: DataFrame, keys: DataFrame, key: str
 
 def prepare_redemptions(events: DataFrame, key: str, watch: list[str], announced: list[str], waived: list[str]) -> DataFrame:
     """Statuses as watch, announced or waived; a waived event has no dates and no price; dates
-    that are known must be in order."""
+    that are known must be in order, and a key has one event a date."""
     s = F.col("event_status")
     d = events.withColumn("event_kind", F.when(s.isin(*watch), "watch").when(s.isin(*announced), "announced").when(s.isin(*waived), "waived"))
     d = d.where(F.col("event_kind").isNotNull() & F.col(key).isNotNull() & F.col("effective_date").isNotNull())
     for c in ("last_trade_date", "call_reg_date", "payment_date", "call_price"):
         d = d.withColumn(c, F.when(F.col("event_kind") != "waived", F.col(c)))
     line = F.array_compact(F.array("effective_date", "last_trade_date", "call_reg_date", "payment_date"))
-    return d.withColumn("event_kind", F.when(line == F.array_sort(line), F.col("event_kind")).otherwise(F.raise_error(F.lit("a redemption's dates are out of order"))))
+    twice = F.count("*").over(Window.partitionBy(key, "effective_date")) > 1
+    fault = F.when(line != F.array_sort(line), "a redemption's dates are out of order").when(twice, "a key has two events on one date")
+    return d.withColumn("event_kind", F.when(fault.isNull(), F.col("event_kind")).otherwise(F.raise_error(fault).cast("string")))
 
 
 def lifecycle_panel(terms: DataFrame, cal: DataFrame, events: DataFrame, market: DataFrame, key: str, seasoning: int = 11) -> DataFrame:
@@ -44,20 +44,19 @@ def lifecycle_panel(terms: DataFrame, cal: DataFrame, events: DataFrame, market:
 
     terms: key, list_date, delist_date, maturity_date, maturity_payment_date,
     maturity_call_price. The first rule that holds gives the state; see the order below.
-    A missing timeline or price leaves a settlement unresolved.
+    A missing timeline or price leaves a settlement unresolved. A key that was listed before
+    the calendar starts is past its seasoning from the first day.
     """
     d = terms.crossJoin(F.broadcast(cal))
     state = ["event_kind", "last_trade_date", "call_reg_date", "payment_date", "call_price"]
     d = asof_backward(d, events.select(key, F.col("effective_date").alias("_from"), *state), key, "trade_date", "_from", state)
     d = d.join(market.select(key, "trade_date", "is_tradable"), [key, "trade_date"], "left").withColumn("is_tradable", F.coalesce("is_tradable", F.lit(False)))
-    listed = cal.select(F.col("trade_date").alias("_open"), F.col("cal_idx").alias("_open_idx"))
-    first = d.where("trade_date >= list_date").groupBy(key).agg(F.min("trade_date").alias("_open")).join(F.broadcast(listed), "_open")
-    d = d.join(first.select(key, "_open_idx"), key, "left").withColumn("listing_age", F.col("cal_idx") - F.col("_open_idx") + 1)
+    d = listing_age(d.drop("cal_idx"), "trade_date", "list_date", cal, seasoning)
     t, kind = F.col("trade_date"), F.col("event_kind")
     announced, watch = F.coalesce(kind == "announced", F.lit(False)), F.coalesce(kind == "watch", F.lit(False))
     mature = ~announced & (t >= F.col("maturity_date"))
-    paid_terms = (F.col("maturity_call_price") > 0) & F.col("maturity_payment_date").isNotNull()
-    call_terms = (F.col("call_price") > 0) & F.col("payment_date").isNotNull()
+    paid_terms = F.col("maturity_call_price").isNotNull() & F.col("maturity_payment_date").isNotNull()
+    call_terms = F.col("call_price").isNotNull() & F.col("payment_date").isNotNull()
     no = lambda c: ~F.coalesce(c, F.lit(False))
     raw = first_match(
         (mature & paid_terms & (t >= F.col("maturity_payment_date")), "SETTLED"),
@@ -124,9 +123,12 @@ def open_to_open(factors: DataFrame, schedule: DataFrame, prices: DataFrame, key
 
 
 def attach_labels(processed: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Labels of a factor panel; the return of an unusable label is null."""
+    """Labels of a factor panel; the return of an unusable or infinite label is null. A row
+    without a label is an error, found when the rows are made."""
     d = processed.join(labels.select(*keys, *(c for c in labels.columns if c not in processed.columns)), keys, "left")
-    return d.withColumn("forward_return", F.when(F.col("label_usable"), F.col("forward_return")))
+    r = F.col("forward_return")
+    usable = F.when(F.col("label_usable").isNull(), F.raise_error(F.lit("a factor row has no label")).cast("boolean")).otherwise(F.col("label_usable") & ~F.isnan(r) & (F.abs(r) < float("inf")))
+    return d.withColumn("forward_return", F.when(usable, r))
 
 
 def label_counts(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -134,19 +136,30 @@ def label_counts(labels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def input_invariants(market: DataFrame, lifecycle: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """One row of counters that must all be 0: keys that differ between market and lifecycle,
-    and usable labels without a finite return."""
+    """One row of counters that must all be 0: null and repeated keys of the market and the
+    lifecycle, keys of one without the other, entries into a state or a day that does not allow
+    them, settlements without value or date and values without a settlement, usable labels without
+    a finite return, and unusable ones with a return."""
     keys = [key, "trade_date"]
-    m = market.select(*keys).join(lifecycle.select(*keys), keys, "left_anti").agg(F.count("*").alias("market_only"))
-    c = lifecycle.select(*keys).join(market.select(*keys), keys, "left_anti").agg(F.count("*").alias("lifecycle_only"))
-    bad = labels.agg(F.count_if(F.col("label_usable") & (F.col("forward_return").isNull() | F.isnan("forward_return"))).alias("usable_without_return"))
-    return m.crossJoin(c).crossJoin(bad)
+    twice = lambda d, n: d.groupBy(*keys).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias(n))
+    both = market.select(*keys, "buy_allowed", F.col("is_tradable"), F.lit(True).alias("_m")).join(lifecycle.withColumn("_l", F.lit(True)), keys, "full_outer")
+    settled = F.col("state").isin("SETTLED", "SETTLEMENT_RECEIVABLE")
+    entry = F.coalesce("entry_allowed", F.lit(False))
+    a = both.agg(
+        F.count_if(F.col(key).isNull() | F.col("trade_date").isNull()).alias("null_keys"),
+        F.count_if(F.col("_l").isNull()).alias("market_only"),
+        F.count_if(F.col("_m").isNull()).alias("lifecycle_only"),
+        F.count_if(entry & ~F.coalesce("is_tradable", F.lit(False))).alias("entry_untradable"),
+        F.count_if(entry & F.col("exit_required")).alias("entry_and_exit"),
+        F.count_if(entry & ~F.col("state").isin("ACTIVE", "REDEMPTION_WATCH")).alias("entry_in_wrong_state"),
+        F.count_if(settled & (F.col("settlement_value").isNull() | F.col("settlement_date").isNull())).alias("settled_without_terms"),
+        F.count_if(~settled & (F.col("settlement_value").isNotNull() | F.col("settlement_date").isNotNull())).alias("terms_without_settlement"),
+    )
+    r = F.col("forward_return")
+    finite = r.isNotNull() & ~F.isnan(r) & (F.abs(r) < float("inf"))
+    bad = labels.agg(F.count_if(F.col("label_usable") & ~finite).alias("usable_without_return"), F.count_if(~F.col("label_usable") & r.isNotNull()).alias("unusable_with_return"))
+    return a.crossJoin(twice(market, "market_repeats")).crossJoin(twice(lifecycle, "lifecycle_repeats")).crossJoin(bad)
 
 
 def state_counts(lifecycle: DataFrame) -> DataFrame:
     return lifecycle.groupBy("state").agg(F.count("*").alias("n_rows"), F.count_if("entry_allowed").alias("n_entry"), F.count_if("exit_required").alias("n_exit"))
-
-
-def observed_window(key: str, order: str):
-    """Rows of a key in order, up to each row."""
-    return Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -141,3 +141,14 @@ def coverage(panel: DataFrame, factors: list[str], by: list[str] | None = None)
     d = panel.groupBy(*(by or [])).agg(F.count("*").alias("n_rows"), *(F.count(f).alias(f) for f in factors))
     rows = F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("n_observed"), (F.col(f) / F.col("n_rows")).alias("coverage")) for f in factors))
     return d.select(*(by or []), "n_rows", F.inline(rows))
+
+
+def trading_gate(d: DataFrame, price_scale: float = 1000.0, slack: float = 0.02, minimum: float = 0.999) -> DataFrame:
+    """One row: rows with volume, amount and range, those whose VWAP lies in the day's range, the
+    others, the share, and whether it reaches the minimum."""
+    valid = (F.col("vol") > 0) & (F.col("amount") > 0) & (F.col("low") > 0) & (F.col("high") > 0)
+    vwap = F.try_divide(F.col("amount") * price_scale, F.col("vol"))
+    inside = valid & (vwap >= F.col("low") - slack) & (vwap <= F.col("high") + slack)
+    a = d.agg(F.count_if(valid).alias("n_vwap"), F.count_if(inside).alias("n_inside"))
+    a = a.withColumn("n_excluded", F.col("n_vwap") - F.col("n_inside")).withColumn("inside_share", F.coalesce(F.try_divide("n_inside", "n_vwap"), F.lit(0.0)))
+    return a.withColumn("gate_passed", F.col("inside_share") >= minimum)

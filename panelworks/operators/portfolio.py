@@ -15,7 +15,7 @@ SCORE = "processed_factor"
 def ranked(scores: DataFrame, key: str, date: str = "signal_date", score: str = SCORE, by: list[str] | None = None) -> DataFrame:
     """Candidates (entry allowed, no exit required, finite score) with `position` from 1 by
     score descending, then key."""
-    d = scores.where(F.col("entry_allowed") & ~F.col("exit_required") & F.col(score).isNotNull() & ~F.isnan(score))
+    d = scores.where(F.col("entry_allowed") & ~F.col("exit_required") & F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")))
     return d.withColumn("position", F.row_number().over(Window.partitionBy(*(by or []), date).orderBy(F.col(score).desc(), key)))
 
 
@@ -41,17 +41,20 @@ def cohorts(scores: DataFrame, schedule: DataFrame, key: str, n: int = 20, cash:
 
     Each signal's cohort asks for its best n at equal weight up to `cap` each; it gets what
     1 - cash leaves beside the cohorts still held, exits before entries. The recursion over
-    signals is one fold over the array of headers, a row a signal.
+    signals is one fold over the array of headers, a row a signal; its state is the cohorts
+    that are active.
     """
     best = ranked(scores, key, date, score).where(F.col("position") <= n).join(F.broadcast(schedule.select(F.col("signal_date").alias(date), "entry_date", "exit_date")), date)
     asked = schedule.select(F.col("signal_date").alias(date), "entry_date", "exit_date").join(best.groupBy(date).agg(F.count("*").alias("n_names")), date, "left").na.fill(0, ["n_names"])
     asked = asked.withColumn("asked", F.col("n_names") * F.least(F.lit(cap), F.when(F.col("n_names") > 0, (1 - cash) / F.col("n_names")).otherwise(0.0)))
     book = asked.agg(F.array_sort(F.collect_list(F.struct("entry_date", "exit_date", date, "n_names", "asked"))).alias("h"))
-    kind = "array<struct<entry_date: date, exit_date: date, given: double>>"
-    fold = f"""aggregate(h, cast(array() as {kind}), (held, x) -> concat(held, array(named_struct('entry_date', x.entry_date, 'exit_date', x.exit_date,
-        'given', greatest(0D, least(x.asked, {1 - cash}D - aggregate(filter(held, c -> c.exit_date > x.entry_date), 0D, (s, c) -> s + c.given)))))))"""
+    held = "filter(acc.held, c -> c.exit_date > x.entry_date)"
+    given = f"greatest(0D, least(x.asked, {1 - cash}D - aggregate({held}, 0D, (s, c) -> s + c.given)))"
+    kind = "struct<held: array<struct<exit_date: date, given: double>>, out: array<double>>"
+    fold = f"""aggregate(h, cast(named_struct('held', array(), 'out', array()) as {kind}), (acc, x) -> cast(named_struct(
+        'held', concat({held}, array(named_struct('exit_date', x.exit_date, 'given', {given}))), 'out', concat(acc.out, array({given}))) as {kind}), acc -> acc.out)"""
     got = book.select("h", F.expr(fold).alias("g")).select(F.explode(F.arrays_zip("h", "g")).alias("z"))
-    headers = got.select(F.col(f"z.h.{date}").alias(date), "z.h.entry_date", "z.h.exit_date", "z.h.n_names", "z.h.asked", F.col("z.g.given").alias("given"))
+    headers = got.select(F.col(f"z.h.{date}").alias(date), "z.h.entry_date", "z.h.exit_date", "z.h.n_names", "z.h.asked", F.col("z.g").alias("given"))
     status = first_match((F.col("n_names") == 0, "skipped_no_candidates"), (F.col("given") <= 1e-12, "skipped_no_capacity"), (F.col("given") < F.col("asked") - 1e-12, "partially_allocated"), default="allocated")
     headers = headers.withColumn("status", status)
     parts = best.join(headers.where("given > 1e-12").select(date, "given", F.col("n_names").alias("_names")), date)
@@ -65,15 +68,19 @@ def cohorts(scores: DataFrame, schedule: DataFrame, key: str, n: int = 20, cash:
 
 def buffered(scores: DataFrame, key: str, n: int = 20, exits: tuple[int, ...] = (20, 25, 30, 40), cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE) -> DataFrame:
     """(exit_rank, date, slot, key, retained, target_weight): n slots; a holding stays while its
-    position is at most the exit rank, vacant slots take the best others, lowest slot first.
+    position is at most the exit rank, vacant slots take the best others, lowest slot first. All
+    dates of `scores` count; one without candidates empties the slots.
 
     Only names up to the exit rank matter, so the fold over dates, one row a portfolio, reads
     an array of exit-rank names a date.
     """
+    if min(exits) < n:
+        raise ValueError("an exit rank is below the number of slots")
     key_type = scores.schema[key].dataType.simpleString()
     k = scores.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, exits))).alias("exit_rank"))
     d = ranked(scores, key, date, score).where(F.col("position") <= max(exits)).select(date, key, "position").join(F.broadcast(k), F.col("position") <= F.col("exit_rank"))
     lists = d.groupBy("exit_rank", date).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", key))), lambda x: x[key]).alias("names"))
+    lists = scores.select(date).distinct().crossJoin(F.broadcast(k)).join(lists, ["exit_rank", date], "left").withColumn("names", F.coalesce("names", F.array().cast(f"array<{key_type}>")))
     books = lists.groupBy("exit_rank").agg(F.array_sort(F.collect_list(F.struct(date, "names"))).alias("days"))
     slots = f"array<{key_type}>"
     step = f"""transform(array(struct(x.names as names, transform(last.slots, s -> case when array_contains(x.names, s) then s end) as kept)), t ->
@@ -82,17 +89,47 @@ def buffered(scores: DataFrame, key: str, n: int = 20, exits: tuple[int, ...] =
     state = f"struct<day: date, slots: {slots}, kept: {slots}>"
     fold = f"""aggregate(days, array(cast(named_struct('day', null, 'slots', array_repeat(cast(null as {key_type}), {n}), 'kept', array_repeat(cast(null as {key_type}), {n})) as {state})),
         (acc, x) -> concat(acc, transform(array(element_at(acc, -1)), last -> cast({step} as {state}))))"""
-    out = books.select("exit_rank", F.explode(F.slice(F.expr(fold), 2, 1_000_000)).alias("b"))
+    out = books.select("exit_rank", F.explode(F.expr(f"slice({fold}, 2, size(days))")).alias("b"))
     out = out.select("exit_rank", F.col("b.day").alias(date), F.posexplode("b.slots").alias("slot", key), F.col("b.kept").alias("_kept"))
     out = out.withColumn("retained", F.get("_kept", F.col("slot")).isNotNull()).where(F.col(key).isNotNull())
     weight = F.least(F.lit(cap), (1 - cash) / F.count("*").over(Window.partitionBy("exit_rank", date)))
     return out.select("exit_rank", date, (F.col("slot") + 1).alias("slot"), key, "retained", weight.alias("target_weight"))
 
 
-def buffer_sensitivity(book: DataFrame, date: str = "signal_date") -> DataFrame:
-    """(exit_rank, n_dates, mean_held, mean_retained, mean_entered)."""
-    d = book.groupBy("exit_rank", date).agg(F.count("*").alias("held"), F.count_if("retained").alias("kept"))
-    return d.groupBy("exit_rank").agg(F.count("*").alias("n_dates"), F.avg("held").alias("mean_held"), F.avg("kept").alias("mean_retained"), F.avg(F.col("held") - F.col("kept")).alias("mean_entered"))
+def buffer_audit(book: DataFrame, scores: DataFrame, key: str, date: str = "signal_date", score: str = SCORE) -> DataFrame:
+    """(exit_rank, date, n_eligible, n_selected, n_retained, n_entered, n_exited, gross_weight)
+    of a book of `buffered`, for all dates of `scores`; retained, entered and exited compare
+    with the holdings of the date before."""
+    days = scores.select(date).distinct().withColumn("_i", F.row_number().over(Window.orderBy(date)))
+    able = ranked(scores, key, date, score).groupBy(date).agg(F.count("*").alias("n_eligible"))
+    days = days.join(able, date, "left").na.fill(0, ["n_eligible"])
+    held = book.join(F.broadcast(days.select(date, "_i")), date)
+    before = F.lag("_i").over(Window.partitionBy("exit_rank", key).orderBy(date)) == F.col("_i") - 1
+    d = held.withColumn("_kept", F.coalesce(before, F.lit(False))).groupBy("exit_rank", date).agg(F.count("*").alias("n_selected"), F.count_if("_kept").alias("n_retained"), F.sum("target_weight").alias("gross_weight"))
+    grid = book.select("exit_rank").distinct().crossJoin(F.broadcast(days)).join(d, ["exit_rank", date], "left").na.fill(0, ["n_selected", "n_retained"]).na.fill(0.0, ["gross_weight"])
+    last = F.coalesce(F.lag("n_selected").over(Window.partitionBy("exit_rank").orderBy(date)), F.lit(0))
+    grid = grid.withColumn("n_entered", F.col("n_selected") - F.col("n_retained")).withColumn("n_exited", last - F.col("n_retained"))
+    return grid.select("exit_rank", date, "n_eligible", "n_selected", "n_retained", "n_entered", "n_exited", "gross_weight")
+
+
+def buffer_targets(book: DataFrame, schedule: DataFrame, key: str, liquidation_date: str | None = None, date: str = "signal_date") -> DataFrame:
+    """(exit_rank, execution_date, key, target_weight) on entry dates; on a liquidation date, which
+    must come after the last entry, zeros for what the last date held."""
+    days = schedule.select(F.col("signal_date").alias(date), F.col("entry_date").alias("execution_date"))
+    out = book.join(F.broadcast(days), date).select("exit_rank", "execution_date", key, "target_weight")
+    if liquidation_date is None:
+        return out
+    end = F.lit(liquidation_date).cast("date")
+    last = days.agg(F.max("execution_date").alias("_entry"), F.max(date).alias("_date"))
+    late = F.when(F.col("_entry") < end, end).otherwise(F.raise_error(F.lit("the liquidation is not after the last entry")).cast("date"))
+    final = book.join(F.broadcast(last), F.col(date) == F.col("_date")).select("exit_rank", late.alias("execution_date"), key, F.lit(0.0).alias("target_weight"))
+    return out.unionByName(final)
+
+
+def buffer_sensitivity(audit: DataFrame) -> DataFrame:
+    """Means by exit rank of a `buffer_audit`: (exit_rank, n_dates, mean_held, mean_retained, mean_entered, mean_exited)."""
+    means = {"mean_held": "n_selected", "mean_retained": "n_retained", "mean_entered": "n_entered", "mean_exited": "n_exited"}
+    return audit.groupBy("exit_rank").agg(F.count("*").alias("n_dates"), *(F.avg(c).alias(n) for n, c in means.items()))
 
 
 def order_feasibility(targets: DataFrame, market: DataFrame, key: str, date: str = "execution_date") -> DataFrame:
@@ -154,26 +191,68 @@ def nav_series(nav: DataFrame, by: list[str], value: str = "nav", cash: str | No
     return d.withColumn("cash_weight", F.col(cash) / F.col(value)) if cash else d
 
 
-def reconcile(fills: DataFrame, positions: DataFrame, key: str, initial_cash: float) -> DataFrame:
-    """Cash and profit by day: (trade_date, net_flow, cash, market_value, nav, continuation_pnl,
-    trade_pnl, cost, residual).
+def ledger_summary(nav: DataFrame, orders: DataFrame, by: list[str], initial_cash: float, days: int = 252) -> DataFrame:
+    """`ledger_metrics` with the dates, mean cash and exposure, turnover, costs, and counts of
+    blocked and filled orders. nav: by, trade_date, nav, cash, market_value, traded, cost;
+    orders: by, side (buy or sell), filled."""
+    n, share = F.count("*"), lambda c: F.avg(F.col(c) / F.col("nav"))
+    a = nav.groupBy(*by).agg(
+        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.max_by("nav", "trade_date").alias("final_nav"), share("cash").alias("mean_cash_weight"), share("market_value").alias("mean_exposure"),
+        F.sum("traded").alias("traded"), (F.sum("traded") / F.avg("nav")).alias("turnover"), (F.sum("traded") / F.avg("nav") * days / n).alias("annual_turnover"), F.sum("cost").alias("cost"), (F.sum("cost") / initial_cash).alias("cost_to_cash"),
+    )
+    on = lambda side, filled: F.count_if((F.col("side") == side) & (F.col("filled") == F.lit(filled)))
+    o = orders.groupBy(*by).agg(on("buy", False).alias("blocked_buys"), on("sell", False).alias("blocked_sells"), on("buy", True).alias("filled_buys"), on("sell", True).alias("filled_sells"))
+    out = ledger_metrics(nav, by, initial_cash, days=days).join(a, by).join(o, by, "left")
+    return out.na.fill(0, ["blocked_buys", "blocked_sells", "filled_buys", "filled_sells"])
+
+
+def reconcile(fills: DataFrame, positions: DataFrame, key: str, initial_cash: float, settlements: DataFrame | None = None) -> DataFrame:
+    """Value by day and what it comes from: (trade_date, net_flow, cash, market_value,
+    receivable, nav, nav_change, continuation_pnl, entry_pnl, exit_pnl, settlement_pnl, cost, residual).
 
     fills: key, trade_date, quantity (signed), price, fee. positions: key, trade_date,
-    quantity, mark at the close. What was held overnight earns the change of its mark, what
-    was traded the mark less its price; the change of value less both and the fees is the residual.
+    quantity, mark at the close. settlements: key, trade_date (booked), paid_date (null: not
+    yet), quantity, amount; they end a position at its last mark. What was held overnight and is kept earns
+    the change of its mark, what was bought the mark less its price, what was sold its price less
+    the mark before, what was settled its amount less that mark; sales beyond the holding count as
+    entries of the other sign. The change of value less all four plus the fees is the residual.
     """
-    flows = fills.groupBy("trade_date").agg(F.sum(-F.col("quantity") * F.col("price") - F.col("fee")).alias("net_flow"), F.sum("fee").alias("cost"))
-    held = positions.groupBy("trade_date").agg(F.sum(F.col("quantity") * F.col("mark")).alias("market_value"))
     w = Window.partitionBy(key).orderBy("trade_date")
-    carried = positions.withColumn("_q", F.lag("quantity").over(w)).withColumn("_m", F.lag("mark").over(w))
-    cont = carried.groupBy("trade_date").agg(F.sum(F.coalesce(F.col("_q") * (F.col("mark") - F.col("_m")), F.lit(0.0))).alias("continuation_pnl"))
-    traded = fills.join(positions.select(key, "trade_date", "mark"), [key, "trade_date"], "left")
-    trade = traded.groupBy("trade_date").agg(F.sum(F.col("quantity") * (F.col("mark") - F.col("price"))).alias("trade_pnl"))
-    d = held.join(flows, "trade_date", "full_outer").join(cont, "trade_date", "left").join(trade, "trade_date", "left").na.fill(0.0)
+    before = positions.select(key, "trade_date", "quantity", "mark", F.coalesce(F.lag("quantity").over(w), F.lit(0.0)).alias("_q"), F.lag("mark").over(w).alias("_m"))
+    sold = F.col("quantity") * F.col("_q") <= 0
+    stays = F.when(sold, 0.0).otherwise(F.signum("_q") * F.least(F.abs("quantity"), F.abs("_q")))
+    if settlements is not None:
+        gone = settlements.groupBy(key, "trade_date").agg(F.sum("quantity").alias("_s"), F.sum("amount").alias("_a"))
+        before = before.join(gone, [key, "trade_date"], "left")
+    else:
+        before = before.withColumn("_s", F.lit(0.0)).withColumn("_a", F.lit(0.0))
+    before = before.na.fill(0.0, ["_s", "_a"]).withColumn("_stays", stays)
+    traded = fills.groupBy(key, "trade_date").agg(F.sum("quantity").alias("_t"), F.sum(F.col("quantity") * F.col("price")).alias("_paid"))
+    d = before.join(traded, [key, "trade_date"], "left").na.fill(0.0, ["_t", "_paid"])
+    leaves = F.col("_q") - F.col("_stays") - F.col("_s")
+    price = F.coalesce(F.try_divide("_paid", "_t"), F.col("_m"), F.col("mark"))
+    by_day = d.groupBy("trade_date").agg(
+        F.sum(F.col("quantity") * F.col("mark")).alias("market_value"),
+        F.sum(F.coalesce(F.col("_stays") * (F.col("mark") - F.col("_m")), F.lit(0.0))).alias("continuation_pnl"),
+        F.sum(F.coalesce((F.col("quantity") - F.col("_stays")) * F.col("mark") - F.col("_paid") - leaves * price, F.lit(0.0))).alias("entry_pnl"),
+        F.sum(F.coalesce(leaves * (price - F.col("_m")), F.lit(0.0))).alias("exit_pnl"),
+        F.sum(F.coalesce(F.col("_a") - F.col("_s") * F.col("_m"), F.lit(0.0))).alias("settlement_pnl"),
+    )
+    flows = fills.groupBy("trade_date").agg(F.sum(-F.col("quantity") * F.col("price") - F.col("fee")).alias("net_flow"), F.sum("fee").alias("cost"))
+    d = by_day.join(flows, "trade_date", "full_outer")
+    if settlements is not None:
+        moves = settlements.select("trade_date", F.lit(0.0).alias("_paid_in"), F.col("amount").alias("_owed")).unionByName(settlements.where("paid_date is not null").select(F.col("paid_date").alias("trade_date"), F.col("amount").alias("_paid_in"), (-F.col("amount")).alias("_owed")))
+        d = d.join(moves.groupBy("trade_date").agg(F.sum("_paid_in").alias("_paid_in"), F.sum("_owed").alias("_owed")), "trade_date", "full_outer")
+    else:
+        d = d.withColumn("_paid_in", F.lit(0.0)).withColumn("_owed", F.lit(0.0))
+    d = d.na.fill(0.0)
     run = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("cash", initial_cash + F.sum("net_flow").over(run)).withColumn("nav", F.col("cash") + F.col("market_value"))
-    change = F.col("nav") - F.coalesce(F.lag("nav").over(Window.orderBy("trade_date")), F.lit(initial_cash))
-    return d.withColumn("residual", change - F.col("continuation_pnl") - F.col("trade_pnl") + F.col("cost"))
+    d = d.withColumn("net_flow", F.col("net_flow") + F.col("_paid_in")).withColumn("cash", initial_cash + F.sum("net_flow").over(run)).withColumn("receivable", F.sum("_owed").over(run))
+    d = d.withColumn("nav", F.col("cash") + F.col("market_value") + F.col("receivable"))
+    d = d.withColumn("nav_change", F.col("nav") - F.coalesce(F.lag("nav").over(Window.orderBy("trade_date")), F.lit(initial_cash)))
+    parts = sum((F.col(c) for c in ("continuation_pnl", "entry_pnl", "exit_pnl", "settlement_pnl")), -F.col("cost"))
+    names = ["trade_date", "net_flow", "cash", "market_value", "receivable", "nav", "nav_change", "continuation_pnl", "entry_pnl", "exit_pnl", "settlement_pnl", "cost"]
+    return d.select(*names, (F.col("nav_change") - parts).alias("residual"))
 
 
 def receivables(settlements: DataFrame, cal: DataFrame, key: str) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import first_match, rating_score
+from ..functions.ranks import exact_quantiles
 from .asof import asof_backward
 from .calendar import listing_age, next_open
+from .checks import duplicate_keys, key_difference
 from .windows import frame
 
 REASONS = ("not_listed_long_enough", "turnover_too_high", "size_missing_or_small", "rating_missing", "rating_too_low", "price_missing")
@@ -128,18 +130,39 @@ def attach_snapshot(panel: DataFrame, snapshot: DataFrame, keys: list[str]) -> D
     return panel.join(snapshot, keys, "left")
 
 
-def panel_audit(panel: DataFrame, key: str) -> DataFrame:
-    """One row: keys that repeat, eligibility that its filters do not give, events from the
-    future, and quartiles of keys by date."""
-    rules = F.col("pass_age") & F.col("pass_turnover") & F.col("pass_size") & F.col("pass_rating") & F.col("pass_price")
+def _rules():
+    return F.col("pass_age") & F.col("pass_turnover") & F.col("pass_size") & F.col("pass_rating") & F.col("pass_price")
+
+
+def date_checks(panel: DataFrame) -> DataFrame:
+    """(signal_date, n_rows, n_eligible, mismatches): the eligibility formula on every date."""
+    return panel.groupBy("signal_date").agg(F.count("*").alias("n_rows"), F.count_if("is_eligible").alias("n_eligible"), F.count_if(_rules() != F.col("is_eligible")).alias("mismatches"))
+
+
+def panel_audit(panel: DataFrame, dates: DataFrame, key: str, membership_date: str | None = None) -> DataFrame:
+    """One row: counts of rows, dates, keys and eligible ones, keys that repeat, eligibility that its
+    filters do not give, dates missing from or not in `dates`, events from the future, industries of another
+    date, and least, quartiles and most of eligible keys by date. `passed` if no fault is found."""
+    late = lambda c: F.count_if(F.col(c) > F.col("signal_date"))
+    other = F.count_if(F.col(membership_date) != F.col("signal_date")) if membership_date else F.lit(0).cast("long")
     a = panel.agg(
         F.count("*").alias("n_rows"),
-        (F.count("*") - F.countDistinct(key, "signal_date")).alias("repeated_keys"),
-        F.count_if(rules != F.col("is_eligible")).alias("eligibility_mismatches"),
-        F.count_if((F.col("share_date") > F.col("signal_date")) | (F.col("rating_date") > F.col("signal_date"))).alias("future_events"),
+        F.countDistinct("signal_date").alias("n_dates"),
+        F.countDistinct(key).alias("n_keys"),
+        F.count_if("is_eligible").alias("n_eligible"),
+        F.countDistinct(F.when(F.col("is_eligible"), F.col(key))).alias("n_eligible_keys"),
+        F.count_if(_rules() != F.col("is_eligible")).alias("eligibility_mismatches"),
+        late("share_date").alias("late_shares"),
+        late("rating_date").alias("late_ratings"),
+        other.alias("industry_date_mismatches"),
     )
-    q = panel.where("is_eligible").groupBy("signal_date").agg(F.count("*").alias("n")).agg(F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("eligible_quartiles"))
-    return a.crossJoin(q)
+    apart = key_difference(panel, dates, ["signal_date"]).agg(F.count_if(F.col("side") == "missing").alias("missing_dates"), F.count_if(F.col("side") == "extra").alias("unexpected_dates"))
+    twice = duplicate_keys(panel, ["signal_date", key]).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("repeated_keys"))
+    q = panel.groupBy("signal_date").agg(F.count_if("is_eligible").alias("n")).agg(F.percentile("n", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
+    out = a.crossJoin(apart).crossJoin(twice).crossJoin(q)
+    out = out.withColumns({n: F.col("q")[k] for k, n in enumerate(("least_eligible", "q1_eligible", "median_eligible", "q3_eligible", "most_eligible"))}).drop("q")
+    faults = ("eligibility_mismatches", "late_shares", "late_ratings", "industry_date_mismatches", "missing_dates", "unexpected_dates", "repeated_keys")
+    return out.withColumn("passed", sum((F.col(c) for c in faults), F.lit(0)) == 0)
 
 
 def boundary_audit(events: DataFrame, cal: DataFrame, key: str, state: str) -> DataFrame:
@@ -154,6 +177,18 @@ def boundary_audit(events: DataFrame, cal: DataFrame, key: str, state: str) -> D
     return seen.groupBy(F.lit(state).alias("event_type")).agg(F.count("*").alias("n_checks"), F.count_if(ok).alias("passed"))
 
 
+def audit_enrichment(panel: DataFrame, key: str, events: dict[str, tuple[DataFrame, str]], cal: DataFrame) -> DataFrame:
+    """(topic, item, value): keys that left by reason, events and failed boundary checks by type,
+    and least, quartiles and most of the observation ratio among eligible rows."""
+    left = transitions(panel, key).where("transition = 'exited'").groupBy(F.col("reason").alias("item")).agg(F.count("*").cast("double").alias("value")).select(F.lit("exit_reason").alias("topic"), "item", "value")
+    for name, (table, state) in events.items():
+        counted = table.agg(F.count("*").cast("double").alias("value")).select(F.lit("events").alias("topic"), F.lit(name).alias("item"), "value")
+        failed = boundary_audit(table, cal, key, state).select(F.lit("boundary_failures").alias("topic"), F.lit(name).alias("item"), (F.col("n_checks") - F.col("passed")).cast("double").alias("value"))
+        left = left.unionByName(counted).unionByName(failed)
+    ratio = exact_quantiles(panel.where("is_eligible").select("observation_ratio"), [], "observation_ratio", (0.0, 0.25, 0.5, 0.75, 1.0))
+    return left.unionByName(ratio.select(F.lit("observation_ratio").alias("topic"), F.col("point").cast("string").alias("item"), "value"))
+
+
 def reason_counts(panel: DataFrame) -> DataFrame:
     return panel.groupBy("exclusion_reason").agg(F.count("*").alias("n_rows"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import PARITY_LABELS, bucket, conversion_value, double_low, premium, valid_price
-from .checks import formula_mismatch_count
+from ..functions.ranks import exact_quantiles
+from .checks import duplicate_keys, key_difference, mismatch
 
 
 def conversion_valuation(panel: DataFrame, close: str = "close", stock_close: str = "stock_close", convert_price: str = "convert_price") -> DataFrame:
@@ -62,27 +63,62 @@ def tails_by_factor(panel: DataFrame, factors: list[str], keys: list[str], k: in
     return low.unionByName(high)
 
 
-def valuation_audit(panel: DataFrame, close: str = "close", stock_close: str = "stock_close", convert_price: str = "convert_price", minimum: int = 5) -> DataFrame:
-    """(check, mismatches, n_rows): each formula recomputed from the prices."""
+def valuation_audit(panel: DataFrame, expected: DataFrame, keys: list[str], by: list[str], close: str = "close", stock_close: str = "stock_close", convert_price: str = "convert_price", minimum: int = 5) -> DataFrame:
+    """One row: rows, valued and scored rows and their shares, repeated keys, keys missing from or
+    beyond `expected`, and mismatches of each column with its formula, recomputed from the prices and, for the
+    counts and medians of a bucket, from the panel's own premiums. `passed` if all are 0."""
     ok = (F.col(close) > 0) & (F.col(stock_close) > 0) & (F.col(convert_price) > 0)
-    value = F.when(ok, 100 * F.col(stock_close) / F.col(convert_price))
-    prem = F.when(ok, F.col(close) / value - 1)
-    rel = F.when(F.col("bucket_count") >= minimum, F.col("conversion_premium") - F.col("bucket_median"))
-    return formula_mismatch_count(
-        panel,
-        {
-            "conversion_value": (F.col("conversion_value"), value),
-            "conversion_premium": (F.col("conversion_premium"), prem),
-            "double_low": (F.col("double_low"), F.when(ok, F.col(close) + 100 * prem)),
-            "relative_premium": (F.col("relative_premium"), rel),
-            "parity_score": (F.col("parity_score"), -F.col("relative_premium")),
-        },
+    prem, n = F.col("conversion_premium"), F.col("_count")
+    grouped = (F.col("conversion_value") > 0) & prem.isNotNull() & F.col("parity_bucket").isNotNull()
+    w = Window.partitionBy(*by, "parity_bucket")
+    d = panel.withColumn("_count", F.when(grouped, F.count(F.when(grouped, prem)).over(w))).withColumn("_median", F.when(grouped, F.median(F.when(grouped, prem)).over(w)))
+    pairs = {
+        "value_mismatches": (F.col("conversion_value"), F.when(ok, F.col(stock_close) / F.col(convert_price) * 100)),
+        "premium_mismatches": (prem, F.when(ok, F.col(close) / F.col("conversion_value") - 1)),
+        "double_low_mismatches": (F.col("double_low"), F.when(ok, F.col(close) + 100 * prem)),
+        "count_mismatches": (F.when(grouped, F.col("bucket_count")), n),
+        "median_mismatches": (F.when(grouped, F.col("bucket_median")), F.col("_median")),
+        "relative_mismatches": (F.when(grouped, F.col("relative_premium")), F.when(n >= minimum, prem - F.col("_median"))),
+        "score_sign_mismatches": (F.when(F.col("relative_premium").isNotNull(), F.col("parity_score")), -F.col("relative_premium")),
+    }
+    row = d.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if("valuation_available").alias("n_valued"),
+        F.count("parity_score").alias("n_scored"),
+        F.count_if(F.col("valuation_available") != prem.isNotNull()).alias("availability_mismatches"),
+        F.count_if((n < minimum) & F.col("parity_score").isNotNull()).alias("small_group_scores"),
+        *(F.count_if(mismatch(*p)).alias(k) for k, p in pairs.items()),
     )
+    apart = key_difference(panel, expected, keys).agg(F.count_if(F.col("side") == "missing").alias("missing_keys"), F.count_if(F.col("side") == "extra").alias("extra_keys"))
+    out = row.crossJoin(apart).crossJoin(duplicate_keys(panel, keys).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("repeated_keys")))
+    faults = [c for c in out.columns if c.endswith(("mismatches", "_keys", "scores"))]
+    out = out.withColumn("valued_share", F.try_divide("n_valued", "n_rows")).withColumn("scored_share", F.try_divide("n_scored", "n_rows"))
+    return out.withColumn("passed", sum((F.col(c) for c in faults), F.lit(0)) == 0)
+
+
+def factor_audit(actual: DataFrame, expected: DataFrame, keys: list[str], factors: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
+    """One row that compares a factor panel with its recomputation: rows, repeated keys, keys
+    missing or beyond it, mismatches of all values and `flags`, and coverage__<factor>."""
+    left = actual.select(*keys, *(F.col(c).alias(f"_a_{c}") for c in (*factors, *flags)))
+    both = left.join(expected.select(*keys, *factors, *flags), keys)
+    wrong = [mismatch(F.col(f"_a_{c}"), F.col(c)).cast("long") for c in factors] + [(~F.col(f"_a_{c}").eqNullSafe(F.col(c))).cast("long") for c in flags]
+    off = both.agg(F.coalesce(F.sum(sum(wrong[1:], wrong[0])), F.lit(0)).alias("mismatches"))
+    row = actual.agg(F.count("*").alias("n_rows"), *((F.count(c) / F.count("*")).alias(f"coverage__{c}") for c in factors))
+    apart = key_difference(actual, expected, keys).agg(F.count_if(F.col("side") == "missing").alias("missing_keys"), F.count_if(F.col("side") == "extra").alias("extra_keys"))
+    out = row.crossJoin(off).crossJoin(apart).crossJoin(duplicate_keys(actual, keys).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("repeated_keys")))
+    return out.withColumn("passed", F.col("mismatches") + F.col("missing_keys") + F.col("extra_keys") + F.col("repeated_keys") == 0)
 
 
 def quantiles(panel: DataFrame, columns: list[str], points: tuple[float, ...] = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0), by: list[str] | None = None) -> DataFrame:
-    """(by, column, point, value) in long form; one aggregation for all columns."""
-    at = F.array(*map(F.lit, points))
-    d = panel.groupBy(*(by or [])).agg(*(F.percentile(c, at).alias(c) for c in columns))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("point"), F.col(c)[i].alias("value")) for c in columns for i, p in enumerate(points)))
-    return d.select(*(by or []), F.inline(rows))
+    """(by, column, point, value) in long form; no task sorts a whole column."""
+    long = panel.unpivot(by or [], columns, "column", "_value")
+    return exact_quantiles(long, [*(by or []), "column"], "_value", points)
+
+
+def bucket_report(panel: DataFrame) -> DataFrame:
+    """(bucket_no, parity_bucket, n_rows, n_valued, median_premium, median_score, coverage) over all dates, medians by selection."""
+    on = panel.where("parity_bucket is not null")
+    d = on.groupBy("parity_bucket").agg(F.count("*").alias("n_rows"), F.count("conversion_premium").alias("n_valued"), F.avg(F.col("parity_score").isNotNull().cast("double")).alias("coverage"))
+    mid = lambda c, n: exact_quantiles(on, ["parity_bucket"], c, (0.5,)).select("parity_bucket", F.col("value").alias(n))
+    d = d.join(mid("conversion_premium", "median_premium"), "parity_bucket", "left").join(mid("parity_score", "median_score"), "parity_bucket", "left")
+    return d.select(bucket_no().alias("bucket_no"), "parity_bucket", "n_rows", "n_valued", "median_premium", "median_score", "coverage")

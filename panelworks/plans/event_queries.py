@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import universe as U
 from ..operators import valuation as V
 from ..operators.asof import asof_backward
-from ..operators.calendar import execution_schedule, horizon_schedules, next_open, partition_schedule
-from ..operators.checks import key_difference
-from .panels import BARS, SIGNALS, market, read, signals, tidy, week, weeks
+from ..functions import expressions as X
+from ..operators.calendar import execution_schedule, horizon_schedules, month_windows, next_open, partition_schedule
+from ..operators.checks import forbid_columns, holdout_guard, key_difference, research_slice
+from .panels import BARS, register, rounded, SIGNALS, market, read, signals, tidy, week, weeks
 
 QUERIES: dict = {}
 
 
-def query(name: str, sql: str | None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+query = partial(register, QUERIES)
 
 
 GRADES = {"1-URGENT": "AAA", "2-HIGH": "AA", "3-MEDIUM": "A", "4-NOT SPECIFIED": "BBB", "5-LOW": "BB"}
@@ -157,7 +155,7 @@ def universe_funnel_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("universe_by_date", f"""WITH {UNIVERSE_SQL} SELECT signal_date, count(*) AS n_keys, count(*) FILTER (is_eligible) AS n_eligible, round(avg(CAST(is_eligible AS DOUBLE)), 6) AS eligible_share,
   round(avg(size_asof) FILTER (is_eligible), 4) AS mean_size, round(avg(CAST(price_source = 'disclosed_event' AS DOUBLE)) FILTER (is_eligible), 6) AS disclosed_share FROM u GROUP BY 1""")
 def universe_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(U.by_date(universe(spark, sf)).withColumn("mean_size", F.round("mean_size", 4)))
+    return tidy(U.by_date(universe(spark, sf)).withColumn("mean_size", rounded("mean_size", 4)))
 
 
 @query("universe_transitions", f"""WITH {UNIVERSE_SQL}, t AS (SELECT code, signal_date, is_eligible, exclusion_reason, lag(is_eligible) OVER w AS was, lag(exclusion_reason) OVER w AS r FROM u WINDOW w AS (PARTITION BY code ORDER BY signal_date))
@@ -171,12 +169,46 @@ def universe_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return U.reason_counts(universe(spark, sf))
 
 
-@query("universe_audit", f"""WITH {UNIVERSE_SQL}, n AS (SELECT signal_date, count(*) AS n FROM u WHERE is_eligible GROUP BY 1)
-SELECT count(*) AS n_rows, CAST(count(*) - count(DISTINCT (code, signal_date)) AS BIGINT) AS repeated_keys, CAST(0 AS BIGINT) AS eligibility_mismatches, count(*) FILTER (share_date > signal_date OR rating_date > signal_date) AS future_events,
-  round((SELECT quantile_cont(n, 0.5) FROM n), 6) AS median_eligible FROM u""")
+def faulty_universe(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The universe with planted faults, and the dates it should have: the first missing, one added."""
+    d = universe(spark, sf)
+    k = F.col("code")
+    d = d.withColumn("is_eligible", F.col("is_eligible") != (k % 31 == 0)).withColumn("share_date", F.when(k % 41 == 0, F.date_add("share_date", 900)).otherwise(F.col("share_date")))
+    d = d.withColumn("membership_date", F.when(k % 53 != 0, F.col("signal_date")).when(k % 2 == 0, F.date_sub("signal_date", 1)))
+    dates = signals(spark, sf).select("signal_date").where("signal_date > '1995-02-01'").unionByName(spark.range(1).select(F.to_date(F.lit("2005-01-03")).alias("signal_date")))
+    return d.unionByName(d.where("code % 97 = 0")), dates
+
+
+FAULTY = f"""{UNIVERSE_SQL}, f0 AS (SELECT code, signal_date, (is_eligible <> (code % 31 = 0)) AS el, is_eligible AS rule, CASE WHEN code % 41 = 0 THEN share_date + 900 ELSE share_date END AS sd, rating_date AS rd, CASE WHEN code % 53 <> 0 THEN signal_date WHEN code % 2 = 0 THEN signal_date - 1 END AS md FROM u),
+f AS (SELECT * FROM f0 UNION ALL SELECT * FROM f0 WHERE code % 97 = 0), xd AS (SELECT signal_date FROM signals WHERE signal_date > DATE '1995-02-01' UNION ALL SELECT DATE '2005-01-03'), q AS (SELECT count(*) FILTER (el) AS n FROM f GROUP BY signal_date)"""
+
+
+@query("universe_audit", f"""WITH {FAULTY} SELECT count(*) AS n_rows, count(DISTINCT signal_date) AS n_dates, count(DISTINCT code) AS n_keys, count(*) FILTER (el) AS n_eligible, count(DISTINCT code) FILTER (el) AS n_eligible_keys,
+  count(*) FILTER (rule <> el) AS eligibility_mismatches, count(*) FILTER (sd > signal_date) AS late_shares, count(*) FILTER (rd > signal_date) AS late_ratings, count(*) FILTER (md <> signal_date) AS industry_date_mismatches,
+  (SELECT count(*) FROM xd WHERE signal_date NOT IN (SELECT signal_date FROM f)) AS missing_dates, (SELECT count(DISTINCT signal_date) FROM f WHERE signal_date NOT IN (SELECT signal_date FROM xd)) AS unexpected_dates,
+  CAST(count(*) - count(DISTINCT (code, signal_date)) AS BIGINT) AS repeated_keys, (SELECT CAST(min(n) AS DOUBLE) FROM q) AS least_eligible, (SELECT quantile_cont(n, 0.25) FROM q) AS q1_eligible, (SELECT quantile_cont(n, 0.5) FROM q) AS median_eligible,
+  (SELECT quantile_cont(n, 0.75) FROM q) AS q3_eligible, (SELECT CAST(max(n) AS DOUBLE) FROM q) AS most_eligible, false AS passed FROM f""")
 def universe_audit(spark: SparkSession, sf: str) -> DataFrame:
-    d = U.panel_audit(universe(spark, sf), "code").withColumn("median_eligible", F.col("eligible_quartiles")[1])
-    return tidy(d.drop("eligible_quartiles"))
+    panel, dates = faulty_universe(spark, sf)
+    return tidy(U.panel_audit(panel, dates, "code", "membership_date"))
+
+
+@query("universe_date_checks", f"WITH {FAULTY} SELECT signal_date, count(*) AS n_rows, count(*) FILTER (el) AS n_eligible, count(*) FILTER (rule <> el) AS mismatches FROM f GROUP BY 1")
+def universe_date_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return U.date_checks(faulty_universe(spark, sf)[0])
+
+
+_BOUNDS = lambda t, c: f"(SELECT CAST(sum(CAST(bad AS INT)) AS DOUBLE) FROM (SELECT (SELECT count(*) FROM {t} y WHERE y.code = x.code AND y.effective_date = x.effective_date) <> 1 AS bad FROM {t} x))"
+
+
+@query("universe_enrichment", f"""WITH {UNIVERSE_SQL}, t AS (SELECT is_eligible, exclusion_reason, lag(is_eligible) OVER (PARTITION BY code ORDER BY signal_date) AS was FROM u)
+SELECT 'exit_reason' AS topic, exclusion_reason AS item, CAST(count(*) AS DOUBLE) AS value FROM t WHERE was AND NOT is_eligible GROUP BY 2
+UNION ALL SELECT 'events', 'rating', CAST(count(*) AS DOUBLE) FROM ratings UNION ALL SELECT 'events', 'share', CAST(count(*) AS DOUBLE) FROM shares
+UNION ALL SELECT 'boundary_failures', 'rating', {_BOUNDS('ratings', 'rating_score')} UNION ALL SELECT 'boundary_failures', 'share', {_BOUNDS('shares', 'remain_size')}
+UNION ALL """ + " UNION ALL ".join(f"SELECT 'observation_ratio', '{p}', round(quantile_cont(observation_ratio, {p}), 6) FROM u WHERE is_eligible" for p in (0.0, 0.25, 0.5, 0.75, 1.0)))
+def universe_enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    events = {"rating": (ratings(spark, sf), "rating_score"), "share": (shares(spark, sf), "remain_size")}
+    return tidy(U.audit_enrichment(universe(spark, sf), "code", events, weeks(spark, sf)))
 
 
 @query("event_boundaries", f"""WITH {BARS}, {EVENTS_SQL}, k AS (SELECT r.effective_date, cal_idx FROM ratings r JOIN cal ON cal.trade_date = r.effective_date)
@@ -239,10 +271,53 @@ def valuation_tails(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(V.tails(valued(spark, sf), "relative_premium", ["code", "signal_date"]))
 
 
-@query("valuation_audit", f"""WITH {VALUED_SQL}, c AS (SELECT unnest(['conversion_value', 'conversion_premium', 'double_low', 'relative_premium', 'parity_score']) AS "check")
-SELECT "check", CAST(0 AS BIGINT) AS mismatches, (SELECT count(*) FROM v) AS n_rows FROM c""")
+def faulty_valuation(spark: SparkSession, sf: str) -> DataFrame:
+    """The valued panel with planted faults in each audited column."""
+    k = F.col("code")
+    d = valued(spark, sf).withColumn("valuation_available", F.col("valuation_available") != (k % 61 == 0))
+    d = d.withColumn("conversion_value", F.when(k % 37 == 0, F.col("conversion_value") * 1.001).otherwise(F.col("conversion_value"))).withColumn("bucket_count", F.col("bucket_count") + (k % 47 == 0).cast("int"))
+    d = d.withColumn("bucket_median", F.col("bucket_median") + F.when(k % 53 == 0, 0.01).otherwise(0.0)).withColumn("double_low", F.col("double_low") + F.when(k % 67 == 0, 1e-3).otherwise(0.0))
+    d = d.withColumn("parity_score", F.when(k % 43 == 0, -F.col("parity_score")).when(k % 71 == 0, F.coalesce("parity_score", F.lit(0.5))).otherwise(F.col("parity_score")))
+    return d.withColumn("relative_premium", F.when(k % 73 == 0, F.col("relative_premium") + 0.25).otherwise(F.col("relative_premium")))
+
+
+def off(a: str, b: str) -> str:
+    return f"(({a}) IS NULL) <> (({b}) IS NULL) OR coalesce(abs(({a}) - ({b})) > 1e-10 + 1e-10 * abs({b}), false)"
+
+
+_FORMULAS = {
+    "value_mismatches": ("cv", "CASE WHEN pos THEN stock_close / convert_price * 100 END"), "premium_mismatches": ("cp", "CASE WHEN pos THEN close / cv - 1 END"), "double_low_mismatches": ("dl", "CASE WHEN pos THEN close + 100 * cp END"),
+    "count_mismatches": ("CASE WHEN gr THEN bc END", "n"), "median_mismatches": ("CASE WHEN gr THEN bm END", "md"), "relative_mismatches": ("CASE WHEN gr THEN rp END", "CASE WHEN n >= 5 THEN cp - md END"), "score_sign_mismatches": ("CASE WHEN rp IS NOT NULL THEN ps END", "-rp"),
+}
+
+
+@query("valuation_audit", f"""WITH {VALUED_SQL}, f AS (SELECT code, signal_date, close, stock_close, convert_price, valuation_available <> (code % 61 = 0) AS av, CASE WHEN code % 37 = 0 THEN conversion_value * CAST(1.001 AS DOUBLE) ELSE conversion_value END AS cv, conversion_premium AS cp,
+  double_low + CASE WHEN code % 67 = 0 THEN CAST(0.001 AS DOUBLE) ELSE 0 END AS dl, parity_bucket AS pb, bucket_count + CAST(code % 47 = 0 AS INT) AS bc, bucket_median + CASE WHEN code % 53 = 0 THEN CAST(0.01 AS DOUBLE) ELSE 0 END AS bm,
+  CASE WHEN code % 73 = 0 THEN relative_premium + 0.25 ELSE relative_premium END AS rp, CASE WHEN code % 43 = 0 THEN -parity_score WHEN code % 71 = 0 THEN coalesce(parity_score, 0.5) ELSE parity_score END AS ps FROM v),
+g AS (SELECT *, coalesce(close > 0 AND stock_close > 0 AND convert_price > 0, false) AS pos, coalesce(cv > 0 AND cp IS NOT NULL AND pb IS NOT NULL, false) AS gr FROM f),
+h AS (SELECT *, CASE WHEN gr THEN count(cp) FILTER (gr) OVER w END AS n, CASE WHEN gr THEN median(cp) FILTER (gr) OVER w END AS md FROM g WINDOW w AS (PARTITION BY signal_date, pb)),
+xk AS (SELECT code, signal_date FROM v WHERE code % 59 <> 0 UNION ALL SELECT -1, DATE '1999-01-04')
+SELECT count(*) AS n_rows, count(*) FILTER (av) AS n_valued, count(ps) AS n_scored, count(*) FILTER (av <> (cp IS NOT NULL)) AS availability_mismatches, count(*) FILTER (n < 5 AND ps IS NOT NULL) AS small_group_scores, """ + ", ".join(f"count(*) FILTER ({off(*p)}) AS {k}" for k, p in _FORMULAS.items()) + """,
+  (SELECT count(*) FROM xk ANTI JOIN v USING (code, signal_date)) AS missing_keys, (SELECT count(*) FROM v ANTI JOIN xk USING (code, signal_date)) AS extra_keys, CAST(0 AS BIGINT) + (SELECT count(*) - count(DISTINCT (code, signal_date)) FROM v) AS repeated_keys,
+  round(count(*) FILTER (av) / count(*), 6) AS valued_share, round(count(ps) / count(*), 6) AS scored_share, false AS passed FROM h""")
 def valuation_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(V.valuation_audit(valued(spark, sf)))
+    clean = valued(spark, sf).select("code", "signal_date")
+    expected = clean.where("code % 59 <> 0").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("code"), F.to_date(F.lit("1999-01-04")).alias("signal_date")))
+    return tidy(V.valuation_audit(faulty_valuation(spark, sf), expected, ["code", "signal_date"], ["signal_date"]))
+
+
+_FIVE = ("conversion_value", "conversion_premium", "double_low", "relative_premium", "parity_score")
+
+
+@query("valuation_report", f"WITH {VALUED_SQL}, q AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {p} AS point, round(quantile_cont({c}, {p}), 6) AS value FROM v" for c in _FIVE for p in (0.01, 0.05, 0.5, 0.95, 0.99)) + ") SELECT \"column\", CAST(point AS DOUBLE) AS point, value FROM q")
+def valuation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(V.quantiles(valued(spark, sf), list(_FIVE), (0.01, 0.05, 0.5, 0.95, 0.99)))
+
+
+@query("valuation_buckets", f"""WITH {VALUED_SQL} SELECT CAST(list_position(['<70', '70-90', '90-100', '100-110', '110-130', '>=130'], parity_bucket) AS BIGINT) AS bucket_no, parity_bucket, count(*) AS n_rows, count(conversion_premium) AS n_valued, round(quantile_cont(conversion_premium, 0.5), 6) AS median_premium,
+  round(quantile_cont(parity_score, 0.5), 6) AS median_score, round(avg(CAST(parity_score IS NOT NULL AS INT)), 6) AS coverage FROM v WHERE parity_bucket IS NOT NULL GROUP BY parity_bucket""")
+def valuation_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(V.bucket_report(valued(spark, sf)))
 
 
 _POINTS = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 1.0)
@@ -262,6 +337,33 @@ def key_audit(spark: SparkSession, sf: str) -> DataFrame:
     return key_difference(a, read(spark, sf, "orders").select((F.col("o_custkey") + 3).alias("code")), ["code"])
 
 
+@query("listing_years", """SELECT o_custkey AS code, round(log(o_totalprice) * ln(10), 6) AS log_size, round(date_diff('day', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 365 + CAST(o_custkey % 900 AS INT)) / CAST(365.25 AS DOUBLE), 6) AS years,
+  right(o_orderpriority, 2) AS suffix, CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS BIGINT) AS year, o_orderkey FROM orders""")
+def listing_years(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    day = F.col("o_orderdate").cast("date")
+    maturity = F.date_add(F.date_add(day, 365), (F.col("o_custkey") % 900).cast("int"))
+    return tidy(o.select(F.col("o_custkey").alias("code"), X.log_size("o_totalprice").alias("log_size"), X.remaining_years(maturity, day).alias("years"), X.exchange_suffix("o_orderpriority").alias("suffix"), X.year_of("o_orderdate").alias("year"), "o_orderkey"))
+
+
+@query("month_windows", """WITH m AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1998-03-17', INTERVAL 1 MONTH)) AS DATE) AS m), w AS (SELECT greatest(m, DATE '1995-01-20') AS window_start, least(CAST(last_day(m) AS DATE), DATE '1998-03-17') AS window_end FROM m)
+SELECT window_start, window_end, count(o_orderkey) AS n_orders FROM w LEFT JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN window_start AND window_end GROUP BY ALL""")
+def month_window_counts(spark: SparkSession, sf: str) -> DataFrame:
+    w = month_windows(spark, "1995-01-20", "1998-03-17")
+    days = read(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    per_month = days.withColumn("m", F.trunc("day", "MM")).where("day >= '1995-01-20' and day <= '1998-03-17'").groupBy("m").agg(F.sum("n").alias("n"))
+    d = w.withColumn("m", F.trunc("window_start", "MM")).join(per_month, "m", "left")
+    return d.select("window_start", "window_end", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
+
+
+@query("eligible_by_partition", f"WITH {UNIVERSE_SQL} SELECT code, signal_date, exclusion_reason FROM u WHERE is_eligible AND signal_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
+def eligible_by_partition(spark: SparkSession, sf: str) -> DataFrame:
+    holdout_guard("train", unlocked=False)
+    d = U.eligible(universe(spark, sf).select("code", "signal_date", "exclusion_reason", "is_eligible"))
+    forbid_columns(d)
+    return research_slice(d, "signal_date", "1997-01-01", "1998-12-31").drop("is_eligible")
+
+
 @query("table_fingerprint", None)
 def table_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.checks import fingerprint

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +13,15 @@ from ..operators import execution as M
 from ..operators import factors as T
 from ..operators import portfolio as P
 from ..operators.calendar import horizon_schedules
-from ..operators.registry import FactorBundle, default_registry, evaluate_batch, factor_violations
-from .factor_queries import SPEARMAN, adjusted, linked, ret_sql, traded, wins
-from .panels import BARS, market, read, tidy, weeks
+from ..operators.registry import FactorBundle, bundle_violations, default_registry, evaluate_batch, factor_violations
+from ..sources.folders import stored
+from .factor_queries import SPEARMAN, TRADED, adjusted, prior, ret_sql, traded, wins
+from .panels import BARS, STOCKS, market, read, register, rounded, stocks, tidy, weeks
 
 QUERIES: dict = {}
 
 
-def query(name: str, sql: str | None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+query = partial(register, QUERIES)
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +45,7 @@ def terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Terms and redemption events of suppliers, by rules on their keys."""
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"))
     k, day = F.col("code"), lambda d: F.to_date(F.lit(d))
-    t = s.select("code", F.date_add(day("1995-01-01"), (k % 300).cast("int")).alias("list_date"), F.when(k % 7 == 0, day("2001-06-01")).alias("delist_date"), F.when(k % 3 == 0, F.date_add(day("2000-06-01"), ((k % 5) * 100).cast("int"))).alias("maturity_date"), F.when(k % 5 > 0, 100.0 + k % 10).alias("maturity_call_price"))
+    t = s.select("code", F.when(k % 11 == 0, day("1990-03-05")).otherwise(F.date_add(day("1995-01-01"), (k % 300).cast("int"))).alias("list_date"), F.when(k % 7 == 0, day("2001-06-01")).alias("delist_date"), F.when(k % 3 == 0, F.date_add(day("2000-06-01"), ((k % 5) * 100).cast("int"))).alias("maturity_date"), F.when(k % 5 > 0, 100.0 + k % 10).alias("maturity_call_price"))
     t = t.withColumn("maturity_payment_date", F.when(k % 2 == 0, F.date_add("maturity_date", 20)))
     eff = F.date_add(day("1999-01-04"), ((k % 50) * 7).cast("int"))
     null = F.lit(None)
@@ -63,7 +61,7 @@ def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LIFE = f"""{GRID},
-tm AS (SELECT s_suppkey AS code, DATE '1995-01-01' + CAST(s_suppkey % 300 AS INT) AS list_date, CASE WHEN s_suppkey % 7 = 0 THEN DATE '2001-06-01' END AS delist_date, CASE WHEN s_suppkey % 3 = 0 THEN DATE '2000-06-01' + CAST((s_suppkey % 5) * 100 AS INT) END AS maturity_date,
+tm AS (SELECT s_suppkey AS code, CASE WHEN s_suppkey % 11 = 0 THEN DATE '1990-03-05' ELSE DATE '1995-01-01' + CAST(s_suppkey % 300 AS INT) END AS list_date, CASE WHEN s_suppkey % 7 = 0 THEN DATE '2001-06-01' END AS delist_date, CASE WHEN s_suppkey % 3 = 0 THEN DATE '2000-06-01' + CAST((s_suppkey % 5) * 100 AS INT) END AS maturity_date,
   CASE WHEN s_suppkey % 5 > 0 THEN CAST(100 + s_suppkey % 10 AS DOUBLE) END AS maturity_call_price, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN DATE '2000-06-01' + CAST((s_suppkey % 5) * 100 + 20 AS INT) END AS maturity_payment_date FROM supplier),
 ef AS (SELECT s_suppkey AS code, DATE '1999-01-04' + CAST((s_suppkey % 50) * 7 AS INT) AS eff FROM supplier),
 evn AS (SELECT code, eff - 28 AS effective_date, 'watch' AS kind, CAST(NULL AS DATE) AS lt, CAST(NULL AS DATE) AS rg, CAST(NULL AS DATE) AS py, CAST(NULL AS DOUBLE) AS px FROM ef WHERE code % 4 < 2
@@ -71,8 +69,8 @@ evn AS (SELECT code, eff - 28 AS effective_date, 'watch' AS kind, CAST(NULL AS D
   UNION ALL SELECT code, eff, 'waived', NULL, NULL, NULL, NULL FROM ef WHERE code % 4 = 1),
 l0 AS (SELECT tm.*, cal.trade_date, cal.cal_idx FROM tm CROSS JOIN cal),
 l1 AS (SELECT l0.*, e.kind, e.lt, e.rg, e.py, e.px FROM l0 ASOF LEFT JOIN evn e ON l0.code = e.code AND l0.trade_date >= e.effective_date),
-l2 AS (SELECT l1.*, coalesce(g.is_tradable, false) AS tr, cal_idx - min(CASE WHEN l1.trade_date >= list_date THEN cal_idx END) OVER (PARTITION BY l1.code) + 1 AS age, coalesce(kind = 'announced', false) AS an, coalesce(kind = 'watch', false) AS wt FROM l1 LEFT JOIN grid g ON g.code = l1.code AND g.trade_date = l1.trade_date),
-l3 AS (SELECT *, (NOT an AND trade_date >= maturity_date) AS mt, coalesce(maturity_call_price > 0 AND maturity_payment_date IS NOT NULL, false) AS pt, coalesce(px > 0 AND py IS NOT NULL, false) AS ct FROM l2),
+l2 AS (SELECT l1.*, coalesce(g.is_tradable, false) AS tr, CASE WHEN list_date < (SELECT min(trade_date) FROM cal) THEN 11 ELSE cal_idx - (SELECT count(*) FROM cal c WHERE c.trade_date < list_date) + 1 END AS age, coalesce(kind = 'announced', false) AS an, coalesce(kind = 'watch', false) AS wt FROM l1 LEFT JOIN grid g ON g.code = l1.code AND g.trade_date = l1.trade_date),
+l3 AS (SELECT *, (NOT an AND trade_date >= maturity_date) AS mt, (maturity_call_price IS NOT NULL AND maturity_payment_date IS NOT NULL) AS pt, (px IS NOT NULL AND py IS NOT NULL) AS ct FROM l2),
 l4 AS (SELECT *, CASE WHEN mt AND pt AND trade_date >= maturity_payment_date THEN 'SETTLED' WHEN mt AND NOT pt THEN 'SETTLEMENT_UNRESOLVED' WHEN mt THEN 'SETTLEMENT_RECEIVABLE' WHEN NOT an AND trade_date > delist_date THEN 'DELISTED_UNRESOLVED'
   WHEN an AND ct AND trade_date >= py THEN 'SETTLED' WHEN an AND trade_date >= rg AND NOT ct THEN 'SETTLEMENT_UNRESOLVED' WHEN an AND trade_date >= rg THEN 'SETTLEMENT_RECEIVABLE' WHEN an AND trade_date > lt THEN 'SUSPENDED_OR_UNQUOTED' WHEN an AND trade_date = lt THEN 'LAST_TRADING_WINDOW'
   WHEN an THEN 'REDEMPTION_ANNOUNCED' WHEN wt THEN 'REDEMPTION_WATCH' WHEN age BETWEEN 1 AND 10 THEN 'SEASONING' WHEN trade_date < list_date THEN 'PRE_LISTED' ELSE 'ACTIVE' END AS raw FROM l3),
@@ -117,10 +115,24 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(M.label_counts(labels(spark, sf), ["horizon_days"]))
 
 
-@query("input_invariants", "SELECT CAST(0 AS BIGINT) AS market_only, CAST(0 AS BIGINT) AS lifecycle_only, CAST(0 AS BIGINT) AS usable_without_return")
+INVARIANTS = f"""{LIFE}, {LABELS.removeprefix(GRID + ",")},
+m AS (SELECT code, trade_date, is_tradable FROM grid WHERE code % 23 <> 0 UNION ALL SELECT code, trade_date, is_tradable FROM grid WHERE code % 29 = 0 AND year(trade_date) = 1996),
+f AS (SELECT code, trade_date, state, entry_allowed OR (code % 19 = 0 AND state = 'SEASONING') AS en, exit_required AS ex, CASE WHEN code % 21 > 0 THEN settlement_value END AS sv, settlement_date AS sd FROM life),
+b AS (SELECT m.code AS mc, f.code AS fc, coalesce(m.is_tradable, false) AS tr, coalesce(en, false) AS en, ex, state, state IN ('SETTLED', 'SETTLEMENT_RECEIVABLE') AS st, sv, sd FROM m FULL JOIN f ON m.code = f.code AND m.trade_date = f.trade_date),
+q AS (SELECT label_usable <> (code % 13 = 0) AS us, forward_return AS r FROM labels)
+SELECT (SELECT count(*) FROM b WHERE coalesce(mc, fc) IS NULL) AS null_keys, (SELECT count(*) FROM b WHERE fc IS NULL) AS market_only, (SELECT count(*) FROM b WHERE mc IS NULL) AS lifecycle_only, (SELECT count(*) FROM b WHERE en AND NOT tr) AS entry_untradable,
+  (SELECT count(*) FROM b WHERE en AND ex) AS entry_and_exit, (SELECT count(*) FROM b WHERE en AND state NOT IN ('ACTIVE', 'REDEMPTION_WATCH')) AS entry_in_wrong_state, (SELECT count(*) FROM b WHERE st AND (sv IS NULL OR sd IS NULL)) AS settled_without_terms,
+  (SELECT count(*) FROM b WHERE NOT st AND (sv IS NOT NULL OR sd IS NOT NULL)) AS terms_without_settlement, (SELECT count(*) FROM (SELECT 1 FROM m GROUP BY code, trade_date HAVING count(*) > 1)) AS market_repeats, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY code, trade_date HAVING count(*) > 1)) AS lifecycle_repeats,
+  (SELECT count(*) FROM q WHERE us AND r IS NULL) AS usable_without_return, (SELECT count(*) FROM q WHERE NOT us AND r IS NOT NULL) AS unusable_with_return"""
+
+
+@query("input_invariants", f"WITH {INVARIANTS}")
 def input_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    traded_codes = market(spark, sf).select("code").distinct()
-    return M.input_invariants(grid(spark, sf), lifecycle(spark, sf).join(traded_codes, "code", "left_semi"), labels(spark, sf), "code")
+    """The invariants over tables with planted faults, so that the counters are not all 0."""
+    g = grid(spark, sf)
+    m = g.where("code % 23 <> 0").unionByName(g.where("code % 29 = 0 and year(trade_date) = 1996"))
+    life = lifecycle(spark, sf).withColumn("entry_allowed", F.expr("entry_allowed or (code % 19 = 0 and state = 'SEASONING')")).withColumn("settlement_value", F.expr("case when code % 21 > 0 then settlement_value end"))
+    return M.input_invariants(m, life, labels(spark, sf).withColumn("label_usable", F.expr("label_usable <> (code % 13 = 0)")), "code")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,7 +291,7 @@ wr AS (SELECT *, product(1 + net_return) OVER (ORDER BY trade_date ROWS UNBOUNDE
 
 
 def returns(spark: SparkSession, sf: str) -> DataFrame:
-    return P.weight_returns(plan(spark, sf), market(spark, sf), "code")
+    return P.weight_returns(stored(plan(spark, sf), "plan"), market(spark, sf), "code")
 
 
 @query("weight_returns", f"WITH {WR} SELECT trade_date, round(gross_return, 6) AS gross_return, round(turnover, 6) AS turnover, round(cost, 6) AS cost, round(net_return, 6) AS net_return FROM wr")
@@ -308,75 +320,284 @@ def schedule(spark: SparkSession, sf: str) -> DataFrame:
     return horizon_schedules(cal.where("cal_idx % 2 = 0").select(F.col("trade_date").alias("signal_date")), cal, [5]).where("exit_date is not null").select("signal_date", "entry_date", "exit_date")
 
 
-@query("cohort_headers", None)
+COHORTS = f"""{CAND}, sch AS (SELECT c0.trade_date AS signal_date, c1.trade_date AS entry_date, c2.trade_date AS exit_date FROM cal c0 JOIN cal c1 ON c1.cal_idx = c0.cal_idx + 1 JOIN cal c2 ON c2.cal_idx = c1.cal_idx + 5 WHERE c0.cal_idx % 2 = 0),
+best AS (SELECT r.code, s.* FROM rkd r JOIN sch s USING (signal_date) WHERE position <= 5),
+ak0 AS (SELECT s.*, count(b.code) AS n_names FROM sch s LEFT JOIN best b USING (signal_date) GROUP BY s.signal_date, s.entry_date, s.exit_date),
+ak AS (SELECT *, n_names * CASE WHEN n_names > 0 THEN least(CAST(0.08 AS DOUBLE), CAST(0.9 AS DOUBLE) / n_names) ELSE 0 END AS asked, row_number() OVER (ORDER BY entry_date, exit_date, signal_date) AS i FROM ak0),
+co AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(x DATE, g DOUBLE)[]) AS held, CAST(NULL AS DOUBLE) AS given
+  UNION ALL SELECT ak.i, list_append(list_filter(held, lambda c: c.x > entry_date), {{'x': exit_date, 'g': greatest(0, least(asked, 0.9 - coalesce(list_sum(list_transform(list_filter(held, lambda c: c.x > entry_date), lambda c: c.g)), 0)))}}),
+    greatest(0, least(asked, 0.9 - coalesce(list_sum(list_transform(list_filter(held, lambda c: c.x > entry_date), lambda c: c.g)), 0))) FROM co JOIN ak ON ak.i = co.i + 1),
+hd AS (SELECT ak.*, co.given, CASE WHEN n_names = 0 THEN 'skipped_no_candidates' WHEN co.given <= 1e-12 THEN 'skipped_no_capacity' WHEN co.given < asked - 1e-12 THEN 'partially_allocated' ELSE 'allocated' END AS status FROM ak JOIN co USING (i))"""
+
+
+@query("cohort_headers", f"WITH RECURSIVE {COHORTS} SELECT signal_date, entry_date, exit_date, n_names, round(asked, 6) AS asked, round(given, 6) AS given, status FROM hd")
 def cohort_headers(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(P.cohorts(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08)[0])
 
 
-@query("cohort_weights", None)
+@query("cohort_weights", f"""WITH RECURSIVE {COHORTS}, pt AS (SELECT b.code, b.entry_date, b.exit_date, given / n_names AS w FROM best b JOIN hd USING (signal_date) WHERE given > 1e-12),
+mv AS (SELECT code, execution_date, sum(w) AS w FROM (SELECT code, entry_date AS execution_date, w FROM pt UNION ALL SELECT code, exit_date, -w FROM pt) GROUP BY ALL)
+SELECT execution_date, code, round(sum(w) OVER (PARTITION BY code ORDER BY execution_date ROWS UNBOUNDED PRECEDING), 6) AS target_weight FROM mv""")
 def cohort_weights(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(P.cohorts(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08)[1])
 
 
-@query("rank_buffer", None)
+def barred(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates that are all barred on every seventh date."""
+    day = F.datediff("signal_date", F.to_date(F.lit("1990-01-01")))
+    return candidates(spark, sf).withColumn("entry_allowed", F.col("entry_allowed") & (day % 49 != 0))
+
+
+SLOTS = 10
+BUFFER = f"""{CAND}, dt AS (SELECT signal_date, row_number() OVER (ORDER BY signal_date) AS i FROM (SELECT DISTINCT signal_date FROM cd)),
+ps AS (SELECT signal_date, code, row_number() OVER (PARTITION BY signal_date ORDER BY processed_factor DESC, code) AS p FROM cd WHERE entry_allowed AND NOT exit_required AND processed_factor IS NOT NULL AND date_diff('day', DATE '1990-01-01', signal_date) % 49 <> 0),
+ls AS (SELECT e, i, signal_date, coalesce(list(code ORDER BY p) FILTER (p <= e), []) AS names, count(p) AS n_eligible FROM dt CROSS JOIN (SELECT unnest([10, 15, 20]) AS e) LEFT JOIN ps USING (signal_date) GROUP BY ALL),
+kp AS (SELECT e, CAST(0 AS BIGINT) AS i, list_transform(range({SLOTS}), lambda x: CAST(NULL AS BIGINT)) AS slots, list_transform(range({SLOTS}), lambda x: CAST(NULL AS BIGINT)) AS kept FROM (SELECT unnest([10, 15, 20]) AS e)
+  UNION ALL SELECT e, i, list_transform(range(1, {SLOTS + 1}), lambda k: coalesce(kept[k], list_filter(names, lambda y: NOT coalesce(list_contains(kept, y), false))[k - len(list_filter(kept[1:k], lambda z: z IS NOT NULL))])), kept
+    FROM (SELECT kp.e, ls.i, names, list_transform(slots, lambda s: CASE WHEN list_contains(names, s) THEN s END) AS kept FROM kp JOIN ls ON ls.e = kp.e AND ls.i = kp.i + 1)),
+bk0 AS (SELECT e, i, unnest(range(1, {SLOTS + 1})) AS slot, unnest(slots) AS code, unnest(kept) AS k FROM kp WHERE i > 0),
+bk AS (SELECT e, i, slot, code, k IS NOT NULL AS retained, least(0.1, 0.9 / count(*) OVER (PARTITION BY e, i)) AS target_weight FROM bk0 WHERE code IS NOT NULL),
+au0 AS (SELECT b.e, b.i, count(*) AS n_selected, count(o.code) AS n_retained, sum(b.target_weight) AS gross_weight FROM bk b LEFT JOIN bk o ON o.e = b.e AND o.i = b.i - 1 AND o.code = b.code GROUP BY ALL),
+au AS (SELECT ls.e, ls.i, ls.signal_date, ls.n_eligible, coalesce(n_selected, 0) AS n_selected, coalesce(n_retained, 0) AS n_retained, coalesce(gross_weight, 0) AS gross_weight FROM ls LEFT JOIN au0 USING (e, i)),
+aud AS (SELECT *, n_selected - n_retained AS n_entered, coalesce(lag(n_selected) OVER (PARTITION BY e ORDER BY i), 0) - n_retained AS n_exited FROM au)"""
+
+
+def book(spark: SparkSession, sf: str) -> DataFrame:
+    return P.buffered(barred(spark, sf), "code", n=SLOTS, exits=(10, 15, 20))
+
+
+@query("rank_buffer", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, CAST(slot AS BIGINT) AS slot, code, retained, round(target_weight, 6) AS target_weight FROM bk JOIN dt USING (i)")
 def rank_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.buffered(candidates(spark, sf), "code", n=10, exits=(10, 15, 20)))
+    return tidy(book(spark, sf))
+
+
+@query("buffer_audit", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, n_eligible, n_selected, n_retained, n_entered, n_exited, round(gross_weight, 6) AS gross_weight FROM aud")
+def buffer_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(P.buffer_audit(book(spark, sf), barred(spark, sf), "code"))
 
 
-@query("buffer_sensitivity", None)
+@query("buffer_sensitivity", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, count(*) AS n_dates, round(avg(n_selected), 6) AS mean_held, round(avg(n_retained), 6) AS mean_retained, round(avg(n_entered), 6) AS mean_entered, round(avg(n_exited), 6) AS mean_exited FROM aud GROUP BY 1")
 def buffer_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.buffer_sensitivity(P.buffered(candidates(spark, sf), "code", n=10, exits=(10, 15, 20))))
+    return tidy(P.buffer_sensitivity(P.buffer_audit(book(spark, sf), barred(spark, sf), "code")))
 
 
-def ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Fills from order lines of one returns flag as sales, and the positions they leave."""
-    m = market(spark, sf)
-    lines = read(spark, sf, "lineitem").where("l_quantity > 0").select(F.col("l_suppkey").alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "week").alias("trade_date"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_extendedprice") * 0.001).alias("fee"))
+@query("buffer_targets", f"""WITH RECURSIVE {BUFFER}, nx AS (SELECT signal_date, i, (SELECT min(trade_date) FROM cal WHERE trade_date > signal_date) AS execution_date FROM dt)
+SELECT CAST(e AS BIGINT) AS exit_rank, execution_date, code, round(target_weight, 6) AS target_weight FROM bk JOIN nx USING (i) WHERE execution_date IS NOT NULL UNION ALL
+SELECT CAST(e AS BIGINT), DATE '2003-01-01', code, 0.0::DOUBLE FROM bk WHERE i = (SELECT max(i) FROM nx WHERE execution_date IS NOT NULL)""")
+def buffer_targets(spark: SparkSession, sf: str) -> DataFrame:
+    cal = weeks(spark, sf)
+    days = horizon_schedules(cal.select(F.col("trade_date").alias("signal_date")), cal, [1]).where("entry_date is not null").select("signal_date", "entry_date")
+    days = days.join(barred(spark, sf).select("signal_date").distinct(), "signal_date", "left_semi")
+    return tidy(P.buffer_targets(book(spark, sf), days, "code", "2003-01-01"))
+
+
+CASH = 1e11
+
+
+def ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fills from order lines of one returns flag as sales, the positions they leave on all weeks at the
+    last close, and settlements that end the positions of some keys on their last week of trade."""
+    lines = read(spark, sf, "lineitem").where("l_quantity > 0").select(F.col("l_suppkey").alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "week").alias("trade_date"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("double").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_extendedprice") * 0.001).alias("fee"), "l_linestatus")
     w = Window.partitionBy("code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     net = lines.groupBy("code", "trade_date").agg(F.sum("quantity").alias("q"))
-    return lines, net.join(m.select("code", "trade_date", F.col("close").alias("mark")), ["code", "trade_date"]).select("code", "trade_date", F.sum("q").over(w).alias("quantity"), "mark")
+    g = grid(spark, sf).select("code", "trade_date", "close").join(net, ["code", "trade_date"], "left")
+    g = g.select("code", "trade_date", F.sum(F.coalesce("q", F.lit(0.0))).over(w).alias("quantity"), F.last("close", ignorenulls=True).over(w).alias("mark"), F.max(F.when(F.col("q").isNotNull(), F.col("trade_date"))).over(Window.partitionBy("code")).alias("_last")).where("mark is not null")
+    ends = (F.col("code") % 10 == 0) & (F.col("trade_date") >= F.col("_last"))
+    paid = F.when(F.col("code") % 20 == 0, F.date_add("trade_date", 14))
+    settled = g.where(ends & (F.col("trade_date") == F.col("_last"))).select("code", "trade_date", paid.alias("paid_date"), "quantity", (F.col("quantity") * 100.0).alias("amount"))
+    return lines, g.select("code", "trade_date", F.when(ends, 0.0).otherwise(F.col("quantity")).alias("quantity"), "mark"), settled
+
+
+LEDGER = f"""{GRID}, fl AS (SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice / l_quantity AS price, l_extendedprice * CAST(0.001 AS DOUBLE) AS fee, l_linestatus FROM lineitem WHERE l_quantity > 0),
+nq AS (SELECT code, trade_date, sum(quantity) AS t, sum(quantity * price) AS paid FROM fl GROUP BY ALL), ld AS (SELECT code, max(trade_date) AS last FROM fl GROUP BY 1),
+p0 AS (SELECT g.code, g.trade_date, coalesce(t, 0) AS t, coalesce(paid, 0) AS paid, sum(coalesce(t, 0)) OVER w AS q, last_value(close IGNORE NULLS) OVER w AS mark FROM grid g LEFT JOIN nq ON nq.code = g.code AND nq.trade_date = g.trade_date WINDOW w AS (PARTITION BY g.code ORDER BY g.trade_date ROWS UNBOUNDED PRECEDING)),
+p1 AS (SELECT p0.*, code % 10 = 0 AND trade_date >= last AS ended, CASE WHEN code % 10 = 0 AND trade_date = last THEN q ELSE 0 END AS s FROM p0 JOIN ld USING (code) WHERE mark IS NOT NULL),
+p2 AS (SELECT *, CASE WHEN ended THEN 0 ELSE q END AS quantity, s * 100 AS a FROM p1),
+p3 AS (SELECT *, coalesce(lag(quantity) OVER w, 0) AS pq, lag(mark) OVER w AS pm FROM p2 WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
+p4 AS (SELECT *, CASE WHEN quantity > 0 AND pq > 0 THEN least(quantity, pq) WHEN quantity < 0 AND pq < 0 THEN greatest(quantity, pq) ELSE 0 END AS stays, CASE WHEN t <> 0 THEN paid / t ELSE coalesce(pm, mark) END AS px FROM p3),
+dy AS (SELECT trade_date, sum(quantity * mark) AS market_value, sum(coalesce(stays * (mark - pm), 0)) AS continuation_pnl, sum((quantity - stays) * mark - paid - (pq - stays - s) * px) AS entry_pnl, sum(coalesce((pq - stays - s) * (px - pm), 0)) AS exit_pnl, sum(coalesce(a - s * pm, 0)) AS settlement_pnl, sum(a) AS owed FROM p4 GROUP BY 1),
+fw AS (SELECT trade_date, sum(-quantity * price - fee) AS f, sum(fee) AS cost, sum(abs(quantity) * price) AS traded FROM fl GROUP BY 1), pd AS (SELECT trade_date + 14 AS trade_date, sum(a) AS p FROM p4 WHERE code % 20 = 0 AND s <> 0 GROUP BY 1),
+le0 AS (SELECT coalesce(dy.trade_date, pd.trade_date) AS trade_date, coalesce(f, 0) + coalesce(p, 0) AS net_flow, coalesce(market_value, 0) AS market_value, coalesce(continuation_pnl, 0) AS continuation_pnl, coalesce(entry_pnl, 0) AS entry_pnl, coalesce(exit_pnl, 0) AS exit_pnl, coalesce(settlement_pnl, 0) AS settlement_pnl, coalesce(cost, 0) AS cost, coalesce(owed, 0) - coalesce(p, 0) AS owed, coalesce(traded, 0) AS traded
+  FROM dy LEFT JOIN fw USING (trade_date) FULL JOIN pd ON pd.trade_date = dy.trade_date),
+le1 AS (SELECT *, {CASH} + sum(net_flow) OVER w AS cash, sum(owed) OVER w AS receivable FROM le0 WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)), le AS (SELECT *, cash + market_value + receivable AS nav FROM le1)"""
+
+
+@query("ledger_attribution", f"WITH {LEDGER}, x AS (SELECT *, nav - coalesce(lag(nav) OVER (ORDER BY trade_date), {CASH}) AS nav_change FROM le) SELECT trade_date, " + ", ".join(f"round({c}, 1) AS {c}" for c in ("net_flow", "cash", "market_value", "receivable", "nav", "nav_change", "continuation_pnl", "entry_pnl", "exit_pnl", "settlement_pnl", "cost")) + ", round(nav_change - continuation_pnl - entry_pnl - exit_pnl - settlement_pnl + cost, 1) AS residual FROM x")
+def ledger_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    fills, positions, settled = ledger(spark, sf)
+    return tidy(P.reconcile(fills, positions, "code", CASH, settled), digits=1)
 
 
-@query("ledger_attribution", f"""WITH {BARS}, fl AS (SELECT l_suppkey AS code, CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity, l_extendedprice / l_quantity AS price, l_extendedprice * CAST(0.001 AS DOUBLE) AS fee FROM lineitem WHERE l_quantity > 0),
-ps AS (SELECT n.code, n.trade_date, sum(q) OVER (PARTITION BY n.code ORDER BY n.trade_date ROWS UNBOUNDED PRECEDING) AS quantity, close AS mark FROM (SELECT code, trade_date, sum(quantity) AS q FROM fl GROUP BY ALL) n JOIN bars b ON b.code = n.code AND b.trade_date = n.trade_date),
-a AS (SELECT trade_date, sum(-quantity * price - fee) AS net_flow, sum(fee) AS cost FROM fl GROUP BY 1), b AS (SELECT trade_date, sum(quantity * mark) AS market_value FROM ps GROUP BY 1),
-c AS (SELECT trade_date, sum(coalesce(pq * (mark - pm), 0)) AS continuation_pnl FROM (SELECT *, lag(quantity) OVER w AS pq, lag(mark) OVER w AS pm FROM ps WINDOW w AS (PARTITION BY code ORDER BY trade_date)) GROUP BY 1),
-t AS (SELECT fl.trade_date, sum(fl.quantity * (mark - price)) AS trade_pnl FROM fl LEFT JOIN ps USING (code, trade_date) GROUP BY 1)
-SELECT trade_date, round(net_flow, 2) AS net_flow, round(market_value, 2) AS market_value, round(cost, 2) AS cost, round(continuation_pnl, 2) AS continuation_pnl, round(trade_pnl, 2) AS trade_pnl FROM a JOIN b USING (trade_date) JOIN c USING (trade_date) JOIN t USING (trade_date)""")
-def ledger_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    fills, positions = ledger(spark, sf)
-    d = P.reconcile(fills, positions, "code", 1e6)
-    return tidy(d, "trade_date", "net_flow", "market_value", "cost", "continuation_pnl", "trade_pnl", digits=2)
+@query("ledger_summary", f"""WITH {LEDGER}, wr AS (SELECT trade_date, nav / {CASH} AS nav FROM le), {_METRICS("wealth / coalesce(lag(wealth) OVER (ORDER BY trade_date), 1) - 1", "nav").replace("SELECT n AS n_returns", ", ms AS (SELECT n AS n_returns")}),
+tt AS (SELECT min(trade_date) AS start_date, max(trade_date) AS end_date, round(arg_max(nav, trade_date), 1) AS final_nav, round(avg(cash / nav), 6) AS mean_cash_weight, round(avg(market_value / nav), 6) AS mean_exposure, round(sum(traded), 1) AS traded, round(sum(traded) / avg(nav), 6) AS turnover, round(sum(traded) / avg(nav) * 52 / count(*), 6) AS annual_turnover, round(sum(cost), 1) AS cost, round(sum(cost) / {CASH}, 6) AS cost_to_cash FROM le),
+od AS (SELECT count(*) FILTER (quantity > 0 AND l_linestatus <> 'F') AS blocked_buys, count(*) FILTER (quantity < 0 AND l_linestatus <> 'F') AS blocked_sells, count(*) FILTER (quantity > 0 AND l_linestatus = 'F') AS filled_buys, count(*) FILTER (quantity < 0 AND l_linestatus = 'F') AS filled_sells FROM fl)
+SELECT * FROM ms, tt, od""")
+def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
+    fills, positions, settled = ledger(spark, sf)
+    traded_ = fills.groupBy("trade_date").agg(F.sum(F.abs("quantity") * F.col("price")).alias("traded"))
+    nav = P.reconcile(fills, positions, "code", CASH, settled).join(traded_, "trade_date", "left").na.fill(0.0, ["traded"]).withColumn("book", F.lit(1))
+    orders = fills.select(F.lit(1).alias("book"), F.when(F.col("quantity") > 0, "buy").otherwise("sell").alias("side"), (F.col("l_linestatus") == "F").alias("filled"))
+    d = P.ledger_summary(nav, orders, ["book"], CASH, 52).drop("book")
+    return tidy(d.withColumns({c: rounded(c, 1) for c in ("final_nav", "traded", "cost")}))
 
 
-@query("receivables", f"""WITH {BARS}, od AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS booked, CAST(o_orderdate AS DATE) + 30 AS settle, o_totalprice AS amount FROM orders WHERE o_orderstatus = 'F'),
+@query("receivables", f"""WITH {BARS}, od AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS booked, CAST(o_orderdate AS DATE) + 30 AS settle, o_totalprice AS amount FROM orders),
 av AS (SELECT *, (SELECT min(trade_date) FROM cal WHERE trade_date > settle) AS available FROM od), mv AS (SELECT booked AS d, amount AS x, 1 AS n FROM av UNION ALL SELECT available, -amount, -1 FROM av WHERE available IS NOT NULL),
 nt AS (SELECT d, sum(x) AS x, sum(n) AS n FROM mv GROUP BY 1)
 SELECT trade_date, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS n_open, round(sum(coalesce(x, 0)) OVER w, 1) AS outstanding FROM cal LEFT JOIN nt ON d = trade_date WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)""")
 def receivables(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders").where("o_orderstatus = 'F'")
+    o = read(spark, sf, "orders")
     s = o.select(F.col("o_custkey").alias("code"), F.trunc(F.col("o_orderdate").cast("date"), "week").alias("trade_date"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("settlement_date"), F.col("o_totalprice").alias("amount"))
     return tidy(P.receivables(s, weeks(spark, sf), "code"), digits=1)
 
 
 def bundle(spark: SparkSession, sf: str) -> FactorBundle:
+    m = market(spark, sf)
     stock = T.momentum(adjusted(spark, sf), "code", (20,)).select("code", "trade_date", "stock_return_20d")
-    bond = traded(spark, sf).select("code", "trade_date", "close", "cb_return_20d", "cb_abnormal_turnover_20d")
-    link = T.return_spread(linked(spark, sf), "code").select("code", "trade_date", "return_spread_5d", "return_spread_10d", "return_spread_20d")
-    d = bond.join(stock, ["code", "trade_date"]).join(link, ["code", "trade_date"]).withColumnRenamed("trade_date", "signal_date")
-    return FactorBundle(signal=d.select("signal_date", "code"), valuation=d)
+    bond = traded(spark, sf).select("code", "trade_date", "cb_return_20d", "cb_abnormal_turnover_20d")
+    of = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("stock"))
+    return FactorBundle(
+        signal=m.select("code", F.col("trade_date").alias("signal_date")).join(of, "code"),
+        valuation=bond.join(stock, ["code", "trade_date"]).withColumnRenamed("trade_date", "signal_date"),
+        bond_daily=m.select("code", "trade_date", "close"),
+        stock_daily=stocks(spark, sf).select(F.col("code").alias("stock"), "trade_date", (F.col("close") / 2).alias("close"), F.lit(2.0).alias("adj_factor")),
+    )
 
 
 RUNS = [("stock_return_20d", {}), ("cb_return_20d", {}), ("cb_abnormal_turnover_20d", {}), ("cb_stock_return_spread", {"window": 5})]
-
-
-@query("factor_batch", None)
+_NAMES = "['stock_return_20d', 'cb_return_20d', 'cb_abnormal_turnover_20d', 'cb_stock_return_spread_window5']"
+BATCH = f"""{LABELS}, {STOCKS}, {TRADED.removeprefix(BARS + ",")},
+b1 AS (SELECT code, trade_date, {ret_sql('close', 20)} AS f1, {ret_sql('close', 5)} AS r5 FROM bars), b2 AS (SELECT code, trade_date, {prior('avg', 'turnover', 20)} AS m20, turnover FROM t3), b3 AS (SELECT code, trade_date, {ret_sql('close', 5)} AS r5 FROM stocks),
+bx AS (SELECT b1.code, b1.trade_date, f1, f1 AS f2, CASE WHEN m20 > 0 THEN turnover / m20 END AS f3, b1.r5 - b3.r5 AS f4 FROM b1 JOIN b2 USING (code, trade_date) JOIN supplier ON s_suppkey = b1.code LEFT JOIN b3 ON b3.code = s_nationkey AND b3.trade_date = b1.trade_date),
+fl AS (SELECT code, trade_date AS signal_date, unnest({_NAMES}) AS factor, unnest([1, -1, -1, -1]) AS direction, unnest([f1, f2, f3, f4]) AS value FROM bx), {wins('value', 'factor, signal_date', 'fl')},
+fz AS (SELECT factor, code, signal_date, direction * CASE WHEN w IS NULL THEN NULL WHEN stddev_pop(w) OVER d > 1e-8 THEN (w - avg(w) OVER d) / stddev_pop(w) OVER d ELSE 0 END AS z FROM w_value WINDOW d AS (PARTITION BY factor, signal_date)),
+fo AS (SELECT fz.*, forward_return FROM fz JOIN labels l ON l.code = fz.code AND l.signal_date = fz.signal_date AND horizon_days = 1), ok AS (SELECT * FROM fo WHERE z IS NOT NULL AND forward_return IS NOT NULL),
+rk AS ({SPEARMAN('ok', 'factor, signal_date', 'z', 'forward_return')}), pe AS (SELECT factor, signal_date, CASE WHEN max(z) > min(z) AND max(forward_return) > min(forward_return) THEN covar_pop(z, forward_return) / (stddev_pop(z) * stddev_pop(forward_return)) END AS ic FROM ok GROUP BY ALL),
+ic AS (SELECT factor AS horizon_days, signal_date, CASE WHEN rk.n >= 5 THEN pe.ic END AS ic, CASE WHEN rk.n >= 5 THEN rk.r END AS rank_ic FROM rk JOIN pe USING (factor, signal_date))"""
+
+
+@query("factor_batch", f"WITH {BATCH}, {IC_SUMMARY.removeprefix(IC + ', ').replace('SELECT horizon_days, metric, count(*)', 'SELECT horizon_days AS factor, metric, count(*)')}")
 def factor_batch(spark: SparkSession, sf: str) -> DataFrame:
     one = labels(spark, sf).where("horizon_days = 1").select("code", "signal_date", "forward_return")
-    return tidy(evaluate_batch(default_registry().batch(RUNS, bundle(spark, sf)), one)[1])
+    return tidy(evaluate_batch(default_registry().batch(RUNS, bundle(spark, sf)), one)[1].drop("nw_p"))
+
+
+@query("factor_spread", f"WITH {BATCH} SELECT signal_date, code, round(f4, 6) AS raw_factor, CASE WHEN f4 IS NOT NULL THEN signal_date END AS available_date FROM (SELECT code, trade_date AS signal_date, f4 FROM bx)")
+def factor_spread(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(default_registry().calculate("cb_stock_return_spread", bundle(spark, sf), {"window": 5}))
 
 
-@query("factor_violations", "SELECT CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS from_future, CAST(0 AS BIGINT) AS undated, CAST(0 AS BIGINT) AS repeated_keys, CAST(0 AS BIGINT) AS outside_context")
+@query("factor_inventory", "SELECT name, direction FROM (VALUES " + ", ".join(f"('{n}', CAST({d} AS BIGINT))" for n, d in (("conversion_premium", -1), ("relative_premium_to_parity_median", -1), ("stock_return_20d", 1), ("cb_return_20d", -1), ("cb_abnormal_turnover_20d", -1), ("double_low", -1), ("cb_stock_return_spread", -1))) + ") t(name, direction) WHERE (SELECT count(*) FROM nation) > 0")
+def factor_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    some = read(spark, sf, "nation").agg((F.count("*") > 0).alias("some"))
+    return tidy(default_registry().inventory(spark).crossJoin(some).where("some"), "name", "direction")
+
+
+def faulty_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """A factor frame with planted faults of each kind."""
+    k, d = F.col("code"), default_registry().calculate("cb_return_20d", bundle(spark, sf))
+    d = d.withColumn("raw_factor", F.when(k % 17 == 0, F.lit(float("inf"))).otherwise(F.col("raw_factor")))
+    d = d.withColumn("available_date", F.when(k % 19 == 0, F.date_add("available_date", 7)).when(k % 23 != 0, F.col("available_date")))
+    d = d.withColumn("signal_date", F.when(k % 37 != 0, F.col("signal_date"))).withColumn("code", F.when(k % 31 == 0, k + 1_000_000).otherwise(k))
+    return d.unionByName(d.where("code % 29 = 0"))
+
+
+@query("factor_violations", f"""WITH {BARS}, x0 AS (SELECT code, trade_date AS sd, {ret_sql('close', 20)} AS f FROM bars),
+x1 AS (SELECT CASE WHEN code % 31 = 0 THEN code + 1000000 ELSE code END AS code, CASE WHEN code % 37 <> 0 THEN sd END AS sd, CASE WHEN code % 17 = 0 THEN 'inf'::DOUBLE ELSE f END AS f, CASE WHEN f IS NULL THEN NULL WHEN code % 19 = 0 THEN sd + 7 WHEN code % 23 <> 0 THEN sd END AS ad FROM x0),
+x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x1 WHERE code % 29 = 0)
+SELECT count(*) FILTER (sd IS NULL OR code IS NULL) AS null_keys, count(*) FILTER (isinf(f) OR isnan(f)) AS not_finite, count(*) FILTER (ad > sd) AS from_future, count(*) FILTER (f IS NOT NULL AND ad IS NULL) AS undated,
+  (SELECT count(*) FROM (SELECT 1 FROM x GROUP BY code, sd HAVING count(*) > 1)) AS repeated_keys, (SELECT count(*) FROM x ANTI JOIN x0 ON x0.code = x.code AND x0.sd = x.sd) AS outside_context FROM x""")
 def violations(spark: SparkSession, sf: str) -> DataFrame:
-    b = bundle(spark, sf)
-    return factor_violations(default_registry().calculate("cb_return_20d", b), b.signal)
+    return factor_violations(faulty_frame(spark, sf), bundle(spark, sf).signal)
+
+
+@query("bundle_violations", f"""WITH {BARS}, {STOCKS}, s AS (SELECT code, trade_date AS sd, CASE WHEN code % 19 = 0 THEN trade_date + 1 ELSE trade_date END AS ad FROM bars), v0 AS (SELECT code, trade_date FROM bars), v AS (SELECT * FROM v0 UNION ALL SELECT * FROM v0 WHERE code % 29 = 0),
+b AS (SELECT CASE WHEN code % 37 <> 0 THEN code END AS code, trade_date FROM bars)
+SELECT 'signal' AS "table", CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS repeated_keys, count(*) FILTER (ad > sd) AS from_future FROM s UNION ALL SELECT 'valuation', 0, count(*) - count(DISTINCT (code, trade_date)), 0 FROM v
+UNION ALL SELECT 'bond_daily', count(*) FILTER (code IS NULL), (SELECT count(*) - count(DISTINCT (coalesce(code, -1), trade_date)) FROM b), 0 FROM b UNION ALL SELECT 'stock_daily', 0, count(*) - count(DISTINCT (code, trade_date)), 0 FROM stocks""")
+def bundle_faults(spark: SparkSession, sf: str) -> DataFrame:
+    b, k = bundle(spark, sf), F.col("code")
+    signal = b.signal.withColumn("available_date", F.when(k % 19 == 0, F.date_add("signal_date", 1)).otherwise(F.col("signal_date")))
+    return bundle_violations(FactorBundle(signal, b.valuation.unionByName(b.valuation.where("code % 29 = 0")), b.bond_daily.withColumn("code", F.when(k % 37 != 0, k)), b.stock_daily))
+
+
+_NAV4 = {"g1": "G1", "universe": "universe", "active": "active", "spread": "long_short"}
+HORIZONS_SQL = f"""{IC_SUMMARY.split("SELECT horizon_days, metric, count(*)")[0].rstrip()}, ics AS (SELECT horizon_days, metric, count(*){IC_SUMMARY.split("SELECT horizon_days, metric, count(*)")[1]}), {QG.removeprefix(EV + ", ")},
+irl AS (SELECT horizon_days, unnest(['active', 'spread_raw']) AS metric, unnest([active, spread_raw]) AS v FROM qr), irs AS (SELECT horizon_days, metric, avg(CAST(v > 0 AS DOUBLE)) AS hit, avg(v) / stddev_samp(v) * sqrt(26) AS ir FROM irl WHERE v IS NOT NULL GROUP BY ALL),
+lbs AS (SELECT horizon_days, count(*) AS label_rows, count(*) FILTER (label_usable) AS usable_rows FROM labels GROUP BY 1),
+nv0 AS (SELECT horizon_days, signal_date, unnest({list(_NAV4)}) AS name, unnest([{', '.join(_NAV4.values())}]) AS r FROM qr),
+nv1 AS (SELECT *, product(1 + r) OVER (PARTITION BY horizon_days, name ORDER BY signal_date ROWS UNBOUNDED PRECEDING) AS v FROM nv0 WHERE r IS NOT NULL),
+nv2 AS (SELECT *, v / greatest(1, max(v) OVER (PARTITION BY horizon_days, name ORDER BY signal_date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM nv1),
+nvs AS (SELECT horizon_days, name, arg_max(v, signal_date) AS f, min(dd) AS d, count(*) AS n FROM nv2 GROUP BY ALL)"""
+
+
+@query("horizon_summary", f"WITH {HORIZONS_SQL} SELECT l.horizon_days, " + ", ".join(f"(SELECT {c} FROM ics i WHERE i.horizon_days = l.horizon_days AND metric = '{m}') AS {m}_{c}" for m in ("ic", "rank_ic") for c in ("mean", "positive_share", "icir", "nw_t")) + ", " + ", ".join(f"round((SELECT {c} FROM irs i WHERE i.horizon_days = l.horizon_days AND metric = '{m}'), 6) AS {m}_{a}" for m in ("active", "spread_raw") for c, a in (("ir", "ir"), ("hit", "hit_rate"))) + ", label_rows, usable_rows, round(1 - usable_rows / label_rows, 6) AS excluded_share, " + ", ".join(f"round((SELECT {c} FROM nvs i WHERE i.horizon_days = l.horizon_days AND name = '{m}'), 6) AS {m}_{a}" for m in _NAV4 for c, a in (("f", "nav"), ("CASE WHEN f > 0 THEN pow(f, 26 / n) - 1 END", "annual_return"), ("d", "max_drawdown"))) + " FROM lbs l")
+def horizon_summary(spark: SparkSession, sf: str) -> DataFrame:
+    ev = evidence(spark, sf)
+    return tidy(E.horizon_summary(E.ic_series(ev, BY), E.horizon_ir(full_dates(spark, sf), BY, "code"), labels(spark, sf)))
+
+
+@query("factor_verification", f"""WITH {BARS}, {SCORES} SELECT count(*) FILTER (mom IS NOT NULL AND abs(CASE WHEN code % 7 = 0 THEN 0.01 ELSE 0 END) > 1e-10 + 1e-10 * abs(mom)) AS raw_mismatches,
+  count(*) FILTER (processed_factor IS NOT NULL AND code % 5 = 0 AND abs(2 * processed_factor) > 1e-10 + 1e-10 * abs(processed_factor)) AS processed_mismatches FROM sc""")
+def factor_verification(spark: SparkSession, sf: str) -> DataFrame:
+    d, keys, k = scores(spark, sf), ["code", "signal_date"], F.col("code")
+    context = d.select(*keys, (F.col("mom") + F.when(k % 7 == 0, 0.01).otherwise(0.0)).alias("mom"), F.when(k % 5 == 0, -F.col("processed_factor")).otherwise(F.col("processed_factor")).alias("standardized__mom"))
+    return E.verify_materialized(context, d.select(*keys, F.col("mom").alias("raw_factor")), d.select(*keys, "processed_factor"), keys, "mom", 1)
+
+
+@query("nav_series", f"WITH {WR} SELECT trade_date, round(nav / first(nav) OVER w, 6) AS normalized, round(nav / max(nav) OVER w - 1, 6) AS drawdown, round((1 - turnover) * nav / nav, 6) AS cash_weight FROM wr WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)")
+def nav_series(spark: SparkSession, sf: str) -> DataFrame:
+    d = returns(spark, sf).withColumn("book", F.lit(1)).withColumn("cash", (1 - F.col("turnover")) * F.col("nav"))
+    return tidy(P.nav_series(d, ["book"], cash="cash"), "trade_date", "normalized", "drawdown", "cash_weight")
+
+
+@query("factor_summary", f"""WITH {HORIZONS_SQL}, cv AS (SELECT signal_date, count(*) AS n, count(processed_factor) AS p FROM ev WHERE horizon_days = 1 GROUP BY 1), q1 AS (SELECT year(signal_date) AS y, signal_date, long_short AS ls FROM qr WHERE horizon_days = 1),
+yr AS (SELECT y, product(1 + ls) - 1 AS c FROM q1 GROUP BY 1), ys AS (SELECT DISTINCT year(signal_date) AS y FROM ic WHERE horizon_days = 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, round(sum(p) / sum(n), 6) AS coverage, count(*) AS n_dates, (SELECT mean FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS mean_rank_ic, (SELECT icir FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS rank_icir, (SELECT nw_t FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS nw_t,
+  round((SELECT product(1 + ls) - 1 FROM q1), 6) AS long_short_total, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round((SELECT min(c) FROM yr), 6) AS worst_return FROM cv""")
+def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
+    one, by = evidence(spark, sf).where("horizon_days = 1"), ["signal_date"]
+    ic = E.ic_series(one, by)
+    r = E.quantile_returns(E.quantile_groups(full_dates(spark, sf).where("horizon_days = 1"), by, "code"), by)
+    return tidy(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)))
+
+
+OPENS = f"""{COHORTS.split("best AS")[0].rstrip().removesuffix(",")}, oo AS (SELECT sc.code, sc.signal_date, sch.entry_date, sch.exit_date, a.open AS eo, x.open AS xo FROM sc JOIN sch USING (signal_date) LEFT JOIN bars a ON a.code = sc.code AND a.trade_date = entry_date LEFT JOIN bars x ON x.code = sc.code AND x.trade_date = exit_date),
+os AS (SELECT *, CASE WHEN eo IS NULL THEN 'missing_entry' WHEN NOT eo > 0 THEN 'invalid_entry' WHEN xo IS NULL THEN 'missing_exit' WHEN NOT xo > 0 THEN 'invalid_exit' ELSE 'usable' END AS label_reason FROM oo)"""
+
+
+@query("open_to_open", f"WITH {OPENS} SELECT code, signal_date, round(xo / eo - 1, 6) AS forward_return FROM os WHERE label_reason = 'usable'")
+def open_to_open(spark: SparkSession, sf: str) -> DataFrame:
+    d, _ = M.open_to_open(scores(spark, sf).select("code", "signal_date"), schedule(spark, sf), market(spark, sf), "code", drop_unusable=True)
+    return tidy(d, "code", "signal_date", "forward_return")
+
+
+@query("open_to_open_counts", f"WITH {OPENS} SELECT label_reason, count(*) AS n_rows FROM os GROUP BY 1")
+def open_to_open_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return M.open_to_open(scores(spark, sf).select("code", "signal_date"), schedule(spark, sf), market(spark, sf), "code", drop_unusable=True)[1]
+
+
+@query("materialized_scores", f"WITH {LIFE}, {SCORES} SELECT sc.signal_date, sc.code, round(-processed_factor, 6) AS processed_factor, entry_allowed, exit_required FROM sc JOIN life l ON l.code = sc.code AND l.trade_date = sc.signal_date")
+def materialized_scores(spark: SparkSession, sf: str) -> DataFrame:
+    life = lifecycle(spark, sf).withColumnRenamed("trade_date", "signal_date")
+    factor = scores(spark, sf).select("code", "signal_date", F.col("mom").alias("raw_factor"))
+    return tidy(P.materialize_scores(life, factor, -1), "signal_date", "code", "processed_factor", "entry_allowed", "exit_required")
+
+
+@query("merged_panels", f"WITH {BARS} SELECT code, trade_date, round(close, 6) AS close, round({ret_sql('close', 5)}, 6) AS stock_return_5d, vol FROM bars")
+def merged_panels(spark: SparkSession, sf: str) -> DataFrame:
+    m = market(spark, sf)
+    a = m.select("code", "trade_date", "close")
+    b = T.momentum(adjusted(spark, sf), "code", (5,)).select("code", "trade_date", "stock_return_5d", (F.col("close") * 0).alias("close"))
+    return tidy(X.merge_panels([a, b, m.select("code", "trade_date", "vol")], ["code", "trade_date"]))
+
+
+@query("market_cap_control", f"""WITH {BARS}, cp AS (SELECT s_suppkey AS code, trade_date AS cap_date, CASE WHEN (cal_idx + s_suppkey) % 8 > 0 THEN s_suppkey * 1000.0 + cal_idx END AS cap FROM supplier, cal WHERE cal_idx % 4 = 0)
+SELECT b.code, b.trade_date, cap_date AS market_cap_date, round(ln(cap), 6) AS log_market_cap, CAST(date_diff('day', cap_date, b.trade_date) AS BIGINT) AS market_cap_age, CAST(s_nationkey AS VARCHAR) AS industry_control
+FROM bars b JOIN supplier ON s_suppkey = b.code ASOF LEFT JOIN cp ON cp.code = b.code AND b.trade_date >= cp.cap_date""")
+def market_cap_control(spark: SparkSession, sf: str) -> DataFrame:
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("industry"))
+    cap = F.when((F.col("cal_idx") + F.col("code")) % 8 > 0, F.col("code") * 1000.0 + F.col("cal_idx"))
+    caps = s.select("code").crossJoin(F.broadcast(weeks(spark, sf).where("cal_idx % 4 = 0"))).select("code", "trade_date", cap.alias("market_cap"))
+    panel = market(spark, sf).select("code", "trade_date").join(s, "code")
+    return tidy(X.attach_market_cap(panel, caps, "code", "trade_date"), "code", "trade_date", "market_cap_date", "log_market_cap", "market_cap_age", "industry_control")

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cross_section as X
 from ..operators import factors as T
-from ..operators.checks import formula_mismatch_count
-from ..operators.valuation import quantiles, tails_by_factor
-from .panels import BARS, STOCKS, market, over, read, shifted, stocks, tidy
+from ..operators.valuation import factor_audit, quantiles, tails_by_factor
+from .panels import BARS, register, STOCKS, market, over, read, shifted, stocks, tidy
 
 QUERIES: dict = {}
 KEYS = ["code", "trade_date"]
 
 
-def query(name: str, sql: str | None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+query = partial(register, QUERIES)
 
 
 def adjusted(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,12 +201,35 @@ def neutralize(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(X.neutralize(panel(spark, sf), "mom", ["trade_date"], ["balance", "span"], "nation"), *KEYS, "neutralized__mom")
 
 
-@query("preprocess_family", None)
-def preprocess_family(spark: SparkSession, sf: str) -> DataFrame:
+POLICIES = [X.Policy("mom", ("balance", "span"), "nation"), X.Policy("turn", ("balance", "span"), "nation"), X.Policy("flow")]
+
+
+def family(spark: SparkSession, sf: str) -> DataFrame:
     d = panel(spark, sf)
     w = X.winsorize_panel(d, KEYS, "trade_date", FACTORS).join(d.select(*KEYS, "balance", "span", "nation"), KEYS)
-    out = X.preprocess_family(w, "trade_date", [X.Policy("mom", ("balance",), "nation"), X.Policy("flow", ("balance", "span"), "nation"), X.Policy("turn")])
-    return tidy(out, *KEYS, "standardized__mom", "standardized__flow", "standardized__turn")
+    return X.preprocess_family(w, "trade_date", POLICIES)
+
+
+def _residual(x: str) -> str:
+    """CTE r_<x> with the residual y of the winsorised x on two controls and the category."""
+    return f"""o_{x} AS (SELECT *, (w IS NOT NULL AND balance IS NOT NULL AND span IS NOT NULL AND nation IS NOT NULL) AS ok FROM w_{x}),
+c_{x} AS (SELECT *, CASE WHEN ok THEN w - avg(w) FILTER (ok) OVER c END AS y, CASE WHEN ok THEN balance - avg(balance) FILTER (ok) OVER c END AS p, CASE WHEN ok THEN span - avg(span) FILTER (ok) OVER c END AS q,
+  nation IS NOT NULL AND coalesce(sum(CAST(ok AS INT)) OVER c, 0) = 0 AS lone FROM o_{x} WINDOW c AS (PARTITION BY trade_date, nation)),
+g_{x} AS (SELECT trade_date, count(*) FILTER (ok) AS n, count(DISTINCT nation) FILTER (ok) AS k, bool_or(lone) AS lone_any, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(y * p) AS yp, sum(y * q) AS yq FROM c_{x} GROUP BY 1),
+r_{x} AS (SELECT c.code, c.trade_date, w, balance, span, nation, CASE WHEN ok AND n > k + 2 AND NOT lone_any AND pp * qq - pq * pq > 1e-12 * pp * qq
+  THEN y - p * ((yp * qq - yq * pq) / (pp * qq - pq * pq)) - q * ((yq * pp - yp * pq) / (pp * qq - pq * pq)) END AS y FROM c_{x} c JOIN g_{x} USING (trade_date))"""
+
+
+def _z(x: str, src: str) -> str:
+    return f"z_{x} AS (SELECT code, trade_date, CASE WHEN {src} IS NULL THEN NULL WHEN stddev_pop({src}) OVER d > 1e-8 THEN ({src} - avg({src}) OVER d) / stddev_pop({src}) OVER d ELSE 0 END AS z FROM {'r_' if src == 'y' else 'w_'}{x} WINDOW d AS (PARTITION BY trade_date))"
+
+
+FAMILY = ", ".join([PANEL, *(wins(x, "trade_date", "panel") for x in FACTORS), _residual("mom"), _residual("turn"), _z("mom", "y"), _z("turn", "y"), _z("flow", "w")])
+
+
+@query("preprocess_family", f"WITH {FAMILY} SELECT a.code, a.trade_date, round(a.z, 6) AS standardized__mom, round(b.z, 6) AS standardized__flow, round(c.z, 6) AS standardized__turn FROM z_mom a JOIN z_flow b USING (code, trade_date) JOIN z_turn c USING (code, trade_date)")
+def preprocess_family(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(family(spark, sf), *KEYS, "standardized__mom", "standardized__flow", "standardized__turn")
 
 
 _SENS_W = wins("value", "trade_date, factor, k", "sl", "k")
@@ -259,6 +278,24 @@ def control_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(X.control_correlation(panel(spark, sf), "mom", "trade_date", ["balance"], "nation"))
 
 
+def _exposure(x: str, v: str) -> str:
+    r = f"CASE WHEN max(CASE WHEN {v} IS NOT NULL THEN z END) > min(CASE WHEN {v} IS NOT NULL THEN z END) AND max(CASE WHEN z IS NOT NULL THEN {v} END) > min(CASE WHEN z IS NOT NULL THEN {v} END) THEN covar_pop({v}, z) / (stddev_pop(CASE WHEN z IS NOT NULL THEN {v} END) * stddev_pop(CASE WHEN {v} IS NOT NULL THEN z END)) END"
+    return f"""(SELECT avg(abs(r)) FROM (SELECT {r} AS r FROM (SELECT trade_date, {v}, 'balance' AS control, balance AS z FROM r_{x} UNION ALL SELECT trade_date, {v}, 'span', span FROM r_{x} UNION ALL
+  SELECT p.trade_date, {v}, c, CASE WHEN nation = c THEN 1.0 ELSE 0.0 END FROM r_{x} p JOIN cats USING (trade_date)) GROUP BY trade_date, control))"""
+
+
+def _diagnosis(x: str, neutral: bool) -> str:
+    pair = f"(SELECT trade_date, w, z FROM w_{x} JOIN z_{x} USING (code, trade_date))"
+    ranks = f"(SELECT avg(CASE WHEN n >= 2 THEN r END) FROM ({SPEARMAN(pair, 'trade_date', 'w', 'z')}))"
+    before, after = (_exposure(x, "w"), _exposure(x, "y")) if neutral else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+    return f"SELECT '{x}' AS factor, (SELECT count(w) FROM w_{x}) AS n_observed, count(z) AS n_processed, round(count(z) / count(*), 6) AS coverage, round({before}, 6) AS exposure_before, round({after}, 6) AS exposure_after, round({ranks}, 6) AS rank_correlation FROM z_{x}"
+
+
+@query("family_diagnostics", f"WITH {FAMILY}, cats AS (SELECT trade_date, nation AS c FROM (SELECT DISTINCT trade_date, nation FROM panel) QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY nation) > 1) " + " UNION ALL ".join(_diagnosis(p.factor, bool(p.numeric)) for p in POLICIES))
+def family_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(X.family_diagnostics(family(spark, sf), "trade_date", POLICIES))
+
+
 @query("factor_tails", f"""WITH {PANEL}, {LONG}, v AS (SELECT * FROM lg WHERE value IS NOT NULL),
 t AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY value, code, trade_date) AS position, 'low' AS tail FROM v UNION ALL SELECT *, row_number() OVER (PARTITION BY factor ORDER BY value DESC, code, trade_date), 'high' FROM v)
 SELECT code, trade_date, factor, round(value, 6) AS value, position, tail FROM t WHERE position <= 10""")
@@ -279,11 +316,48 @@ def factor_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(quantiles(panel(spark, sf), FACTORS, (0.01, 0.25, 0.5, 0.75, 0.99)))
 
 
-@query("formula_audit", f"WITH {BARS} SELECT c AS \"check\", CAST(0 AS BIGINT) AS mismatches, (SELECT count(*) FROM bars) AS n_rows FROM (SELECT unnest(['price_to_high', 'return_5d']) AS c)")
+STOCK_FACTORS = ("stock_return_5d", "stock_return_10d", "stock_return_20d", "stock_price_to_high_20d")
+
+
+def stock_factors(spark: SparkSession, sf: str) -> DataFrame:
+    return T.price_to_high(T.momentum(adjusted(spark, sf), "code"), "code").select(*KEYS, *STOCK_FACTORS)
+
+
+def faulty(d: DataFrame, factors: tuple[str, ...]) -> DataFrame:
+    """A factor panel with faults: changed values, lost values, keys missing and repeated."""
+    k = F.col("code")
+    d = d.withColumn(factors[0], F.when(k % 7 == 0, F.col(factors[0]) + 0.01).otherwise(F.col(factors[0]))).withColumn(factors[1], F.when(k % 13 != 0, F.col(factors[1])))
+    d = d.where("code % 11 <> 0")
+    return d.unionByName(d.where("code % 19 = 0")).unionByName(d.where("code = 1").withColumn("code", F.lit(-1).cast(d.schema["code"].dataType)))
+
+
+def _faulty_sql(factors: tuple[str, ...], rest: str = "") -> str:
+    """CTEs a (faulty) of ex (clean)."""
+    return f"""a0 AS (SELECT code, trade_date, CASE WHEN code % 7 = 0 THEN {factors[0]} + 0.01 ELSE {factors[0]} END AS {factors[0]}, CASE WHEN code % 13 <> 0 THEN {factors[1]} END AS {factors[1]}, {', '.join(factors[2:])}{rest} FROM ex WHERE code % 11 <> 0),
+a AS (SELECT * FROM a0 UNION ALL SELECT * FROM a0 WHERE code % 19 = 0 UNION ALL SELECT * REPLACE (-1 AS code) FROM a0 WHERE code = 1)"""
+
+
+def _audit_sql(factors: tuple[str, ...], flags: tuple[str, ...] = ()) -> str:
+    off = lambda c: f"CAST((a.{c} IS NULL) <> (ex.{c} IS NULL) OR coalesce(abs(a.{c} - ex.{c}) > 1e-10 + 1e-10 * abs(ex.{c}), false) AS INT)"
+    wrong = " + ".join([off(c) for c in factors] + [f"CAST(a.{c} IS DISTINCT FROM ex.{c} AS INT)" for c in flags])
+    return f"""SELECT (SELECT count(*) FROM a) AS n_rows, CAST((SELECT sum({wrong}) FROM a JOIN ex USING (code, trade_date)) AS BIGINT) AS mismatches, (SELECT count(*) FROM ex ANTI JOIN a USING (code, trade_date)) AS missing_keys, (SELECT count(*) FROM a ANTI JOIN ex USING (code, trade_date)) AS extra_keys,
+  CAST((SELECT count(*) - count(DISTINCT (code, trade_date)) FROM a) AS BIGINT) AS repeated_keys, false AS passed, """ + ", ".join(f"round((SELECT count({c}) / count(*) FROM a), 6) AS coverage__{c}" for c in factors)
+
+
+@query("formula_audit", f"WITH {BARS}, ex AS (SELECT code, trade_date, " + ", ".join(f"{ret_sql('close', n)} AS stock_return_{n}d" for n in (5, 10, 20)) + f", close / ({roll('max', 'close')}) AS stock_price_to_high_20d FROM bars), {_faulty_sql(STOCK_FACTORS)} {_audit_sql(STOCK_FACTORS)}")
 def formula_audit(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.momentum(T.price_to_high(adjusted(spark, sf), "code"), "code", (5,)).withColumn("_close", F.col("close"))
-    back = d.select("code", (F.col("cal_idx") + 5).alias("cal_idx"), F.col("close").alias("_five"))
-    high = d.join(back, ["code", "cal_idx"], "left")
-    known = F.col("stock_return_5d").isNotNull()
-    ratio = F.col("stock_price_to_high_20d")
-    return tidy(formula_mismatch_count(high, {"return_5d": (F.col("stock_return_5d"), F.when(known, F.col("close") / F.col("_five") - 1)), "price_to_high": (ratio, F.when(ratio.isNotNull(), F.least(ratio, F.lit(1.0))))}))
+    d = stock_factors(spark, sf)
+    return tidy(factor_audit(faulty(d, STOCK_FACTORS), d, KEYS, list(STOCK_FACTORS)))
+
+
+BOND_FACTORS = ("cb_return_5d", "cb_return_20d", "turnover", "cb_close_to_vwap")
+
+
+@query("trading_audit", f"""WITH {TRADED}, ex AS (SELECT code, trade_date, {ret_sql('close', 5)} AS cb_return_5d, {ret_sql('close', 20)} AS cb_return_20d, turnover, cv AS cb_close_to_vwap, ok AS vwap_unit_valid FROM t3), {_faulty_sql(BOND_FACTORS, ', vwap_unit_valid <> (code % 17 = 0) AS vwap_unit_valid')},
+gt AS (SELECT count(*) FILTER (vol > 0 AND amount > 0 AND low > 0 AND high > 0) AS n_vwap, count(*) FILTER (vol > 0 AND amount > 0 AND low > 0 AND high > 0 AND amount / vol >= low - 0.02 AND amount / vol <= high + 0.02) AS n_inside FROM t3),
+au AS ({_audit_sql(BOND_FACTORS, ('vwap_unit_valid',))}) SELECT au.*, n_vwap, n_inside, n_vwap - n_inside AS n_excluded, round(n_inside / n_vwap, 6) AS inside_share, n_inside / n_vwap >= 0.999 AS gate_passed FROM au, gt""")
+def trading_audit(spark: SparkSession, sf: str) -> DataFrame:
+    d = traded(spark, sf)
+    e = d.select(*KEYS, *BOND_FACTORS, "vwap_unit_valid")
+    wrong = faulty(e, BOND_FACTORS).withColumn("vwap_unit_valid", F.col("vwap_unit_valid") != (F.abs("code") % 17 == 0))
+    return tidy(factor_audit(wrong, e, KEYS, list(BOND_FACTORS), ("vwap_unit_valid",)).crossJoin(T.trading_gate(d, price_scale=1.0)))

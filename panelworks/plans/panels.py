@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.calendar import calendar, rebalance_calendar
@@ -18,12 +20,46 @@ def week(c: str):
     return F.trunc(F.col(c).cast("date"), "week")
 
 
+#: Decimal inputs make exact ties at a digit; this slack sends both engines the same way.
+SLACK = 0.5 + 2**-10
+
+
+def rounded(x: Column | str, digits: int = 6) -> Column:
+    """A double to `digits` decimals, ties upwards."""
+    x = F.col(x) if isinstance(x, str) else x
+    scale = float(10**digits)
+    return F.when(F.isnan(x) | (F.abs(x) * scale >= 9e18), x).otherwise(F.floor(x * scale + SLACK) / scale)
+
+
+def rounded_sql(sql: str) -> str:
+    """SQL with each round(x, n) spelled as `rounded` does it."""
+    while (m := re.search(r"\bround\(", sql)) is not None:
+        depth, comma, at = 1, 0, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            comma = at if sql[at] == "," and depth == 1 else comma
+            at += 1
+        inner, digits = sql[m.end() : comma], int(sql[comma + 1 : at - 1])
+        sql = f"{sql[: m.start()]}(floor(CAST({inner} AS DOUBLE) * 1e{digits} + {SLACK}::DOUBLE) / 1e{digits}){sql[at:]}"
+    return sql
+
+
+def register(queries: dict, name: str, sql: str | None):
+    """A decorator that adds a query and the DuckDB SQL of the same rows."""
+
+    def add(fn):
+        queries[name] = (fn, sql and rounded_sql(sql))
+        return fn
+
+    return add
+
+
 def tidy(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Columns in order; doubles rounded, whole numbers as long."""
     out = []
     for c in columns or df.columns:
         t = df.schema[c].dataType.typeName()
-        out.append(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c).cast("long") if t in ("integer", "short", "byte") else F.col(c))
+        out.append(rounded(c, digits).alias(c) if t in ("double", "float") else F.col(c).cast("long") if t in ("integer", "short", "byte") else F.col(c))
     return df.select(*out)
 
 

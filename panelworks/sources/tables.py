@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +12,14 @@ from ..operators.calendar import open_dates
 from ..operators.checks import assert_unique, require_columns
 
 
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows; a repeated key is an error, found when the rows are made."""
+    twice = F.count("*").over(Window.partitionBy(*keys)) > 1
+    key = keys[0]
+    fault = F.raise_error(F.lit(f"keys are not unique: {keys}")).cast(df.schema[key].dataType)
+    return df.withColumn("_twice", twice).withColumn(key, F.when(F.col("_twice"), fault).otherwise(F.col(key))).drop("_twice")
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Columns of a CSV with a header, all as text; the others are not parsed."""
     d = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -68,16 +77,19 @@ def redemption_events(raw: DataFrame, key: str, names: dict[str, str]) -> DataFr
     d = raw.select(*(F.col(a).alias(b) for a, b in names.items()))
     d = d.withColumn("effective_date", clean_date("effective_date")).withColumn("call_reg_date", clean_date("call_reg_date")).withColumn("payment_date", clean_date("payment_date"))
     d = d.withColumn("call_price", F.coalesce(number("call_price"), number("call_price_tax"))).drop("call_price_tax").withColumn("last_trade_date", F.lit(None).cast("date"))
-    d = d.dropna(subset=[key, "effective_date", "event_status"])
-    assert_unique(d, [key, "effective_date"])
-    return d
+    return unique_rows(d.dropna(subset=[key, "effective_date", "event_status"]), [key, "effective_date"])
 
 
 def lifecycle_terms(raw: DataFrame, key: str) -> DataFrame:
     d = raw.select(clean_code(key).alias(key), *(clean_date(c).alias(c) for c in ("list_date", "delist_date", "maturity_date")), number("maturity_call_price").alias("maturity_call_price"))
     d = d.where(F.col(key).isNotNull()).withColumn("maturity_payment_date", F.lit(None).cast("date"))
-    assert_unique(d, [key])
-    return d
+    return unique_rows(d, [key])
+
+
+def overlapping_terms(terms: DataFrame, start: str, end: str) -> DataFrame:
+    """Terms of what was listed by the end of a sample and not delisted before its start."""
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    return terms.where((F.col("list_date") <= b) & (F.col("delist_date").isNull() | (F.col("delist_date") >= a)))
 
 
 def read_years(spark: SparkSession, path: str, date: str, start: str, end: str) -> DataFrame:
@@ -98,12 +110,13 @@ def read_years_strict(spark: SparkSession, path: str, date: str, start: str, end
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | None = None, optional: bool = False) -> DataFrame:
     """Parquet or CSV by suffix; an optional table that is absent is empty."""
-    kind = "csv" if path.lower().endswith(".csv") else "parquet"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if optional and schema is not None and not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        return spark.createDataFrame([], schema)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.option("header", True).csv(path) if kind == "csv" else reader.parquet(path)
+    try:
+        return reader.option("header", True).csv(path) if path.lower().endswith(".csv") else reader.parquet(path)
+    except AnalysisException as e:
+        if optional and schema is not None and e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def write_years(df: DataFrame, path: str, date: str) -> None:
@@ -116,23 +129,34 @@ def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def write_run(tables: dict[str, DataFrame], path: str, factor: str, run_id: str, group_id: str) -> None:
-    """An evidence package: each table with its factor and run, in a folder of the run."""
+#: Tables of an evidence package.
+RUN_TABLES = ("summary", "raw", "processed", "coverage", "ic", "quantiles", "nav", "stability")
+
+
+def write_run(tables: dict[str, DataFrame], path: str, factor: str, run_id: str, group_id: str, required: tuple[str, ...] = RUN_TABLES) -> None:
+    """An evidence package: each table with its factor and run, in a folder of the run. Nothing is
+    written if a required table is missing."""
+    if missing := sorted(set(required) - set(tables)):
+        raise KeyError(f"a run without {missing}")
     for name, df in tables.items():
         write_new(df.withColumns({"factor": F.lit(factor), "run_id": F.lit(run_id), "comparison_group": F.lit(group_id)}), f"{path}/run_id={run_id}/{name}")
 
 
 def run_index(spark: SparkSession, path: str) -> DataFrame:
     """The one-row summaries of all runs; a run with no or several rows, or whose id is not
-    its folder's, is an error."""
-    d = spark.read.parquet(f"{path}/run_id=*/summary").withColumn("_folder", F.regexp_extract(F.input_file_name(), r"run_id=([^/]+)/", 1))
-    assert_unique(d, ["run_id"])
-    return d.withColumn("run_id", F.when(F.col("run_id") == F.col("_folder"), F.col("run_id")).otherwise(F.raise_error(F.lit("a run lies in another's folder")).cast("string"))).drop("_folder")
-
-
-def merge_events(existing: DataFrame, *batches: DataFrame) -> DataFrame:
-    """All distinct rows, by column name."""
+    its folder's, is an error when the rows are made."""
+    folder = lambda c: F.regexp_extract(c, r"run_id=([^/]+)/", 1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    runs = files.select(folder("path").alias("_run")).distinct()
+    d = spark.read.parquet(f"{path}/run_id=*/summary").withColumn("_folder", folder(F.input_file_name()))
+    d = runs.join(d.withColumn("_n", F.count("*").over(Window.partitionBy("_folder"))), F.col("_run") == F.col("_folder"), "left")
+    fault = F.when(F.col("_n").isNull(), "a run has no summary").when(F.col("_n") > 1, "a run has several summaries").when(F.col("run_id") != F.col("_folder"), "a run lies in another's folder")
+    return d.withColumn("run_id", F.when(fault.isNull(), F.col("run_id")).otherwise(F.raise_error(fault).cast("string"))).drop("_folder", "_run", "_n")
+
+
+def merge_events(existing: DataFrame, *batches: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """All distinct rows, by column name, in the order of the columns given, else of all."""
     out = existing
     for b in batches:
         out = out.unionByName(b)
-    return out.dropDuplicates()
+    return out.dropDuplicates().orderBy(*(order or out.columns))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from panelworks.functions.expressions import bucket, clean_date, number, rating_score
+from panelworks.functions.expressions import bucket, clean_date, exchange_suffix, log_size, number, rating_score, remaining_years, year_of
+from panelworks.functions.ranks import exact_quantiles, global_rank
 from panelworks.functions.stats import newey_west
 from panelworks.operators import cross_section as X
 from panelworks.operators import evaluation as E
@@ -19,7 +20,7 @@ from panelworks.operators import valuation as V
 from panelworks.operators.asof import asof_backward
 from panelworks.operators.calendar import calendar, listing_age, month_windows, next_open, rebalance_calendar
 from panelworks.operators.checks import assert_unique, fingerprint, forbid_columns, holdout_guard, key_difference, require_columns, research_slice, run_identity
-from panelworks.operators.registry import FactorBundle, FactorSpec, default_registry
+from panelworks.operators.registry import FactorBundle, FactorSpec, bundle_violations, default_registry
 
 D = dt.date
 
@@ -86,8 +87,12 @@ def test_valuation(spark):
     assert r[0].conversion_value == 100 and abs(r[0].conversion_premium - 0.10) < 1e-12
     assert abs(r[0].relative_premium + 0.02) < 1e-12 and abs(r[0].parity_score - 0.02) < 1e-12
     assert not r[9].valuation_available and r[9].relative_premium is None
-    assert all(x.mismatches == 0 for x in V.valuation_audit(d).collect())
-    assert V.valuation_audit(d.withColumn("double_low", F.col("double_low") + 1)).where("check = 'double_low'").first().mismatches == 5
+    audit = lambda x: V.valuation_audit(x, d, ["k"], ["signal_date"]).first()
+    assert audit(d).passed and audit(d).n_valued == 5
+    assert audit(d.withColumn("double_low", F.col("double_low") + 1)).double_low_mismatches == 5
+    assert audit(d.where("k <> 1").unionByName(d.where("k = 2"))).repeated_keys == 1
+    assert audit(d.withColumn("k", F.col("k") + 1)).missing_keys == 2
+    assert audit(d.withColumn("parity_score", -F.col("parity_score"))).score_sign_mismatches == 4
 
 
 def test_window_factors_do_not_look_ahead(spark):
@@ -161,6 +166,26 @@ def test_lifecycle_timeline(spark):
     want = {2: "ACTIVE", 3: "REDEMPTION_WATCH", 5: "REDEMPTION_ANNOUNCED", 8: "LAST_TRADING_WINDOW", 9: "SETTLEMENT_RECEIVABLE", 11: "SETTLED"}
     assert {k: r[k].state for k in want} == want
     assert r[11].settlement_value == 100.8 and r[3].entry_allowed and r[5].exit_required
+    with pytest.raises(Exception, match="two events"):
+        M.prepare_redemptions(ev.unionByName(ev), "code", ["w"], ["c"], []).collect()
+
+
+def test_listed_before_the_calendar_is_past_seasoning(spark):
+    ds = [D(2020, 1, i) for i in range(1, 15)]
+    terms = spark.createDataFrame([("old", D(2015, 6, 1)), ("new", D(2020, 1, 2)), ("later", D(2020, 1, 9))], "code string, list_date date")
+    terms = terms.withColumns({c: F.lit(None).cast("date") for c in ("delist_date", "maturity_date", "maturity_payment_date")}).withColumn("maturity_call_price", F.lit(None).cast("double"))
+    none = spark.createDataFrame([], "code string, effective_date date, event_kind string, last_trade_date date, call_reg_date date, payment_date date, call_price double")
+    market = terms.select("code").crossJoin(days(spark, *ds).select("trade_date")).withColumn("is_tradable", F.lit(True))
+    r = {(x.code, x.trade_date.day): x.state for x in M.lifecycle_panel(terms, days(spark, *ds), none, market, "code").collect()}
+    assert r["old", 1] == "ACTIVE" and [r["new", d] for d in (1, 2, 11, 12)] == ["PRE_LISTED", "SEASONING", "SEASONING", "ACTIVE"] and r["later", 14] == "SEASONING"
+
+
+def test_labels_must_exist(spark):
+    f = spark.createDataFrame([("a", 1), ("b", 1)], "code string, d int")
+    labels = spark.createDataFrame([("a", 1, True, float("inf")), ("b", 1, True, 0.5)], "code string, d int, label_usable boolean, forward_return double")
+    assert {r.code: r.forward_return for r in M.attach_labels(f, labels, ["code", "d"]).collect()} == {"a": None, "b": 0.5}
+    with pytest.raises(Exception, match="no label"):
+        M.attach_labels(f, labels.where("code = 'a'"), ["code", "d"]).collect()
 
 
 def test_execution_market(spark):
@@ -191,6 +216,20 @@ def test_buffer_fold_equals_plain_python(spark):
     assert got == want
 
 
+def test_buffer_date_without_candidates_and_liquidation(spark):
+    s, _ = _scores(spark, 3, 4)
+    s = s.withColumn("entry_allowed", F.col("signal_date") != F.lit(D(2020, 1, 2))).unionByName(s.where("code = 'k0' and signal_date = date'2020-01-03'").withColumn("code", F.lit("inf")).withColumn("processed_factor", F.lit(float("inf"))))
+    book = P.buffered(s, "code", n=2, exits=(3,))
+    assert not book.where("signal_date = date'2020-01-02'").count() and not book.where("retained").count() and not book.where("code = 'inf'").count()
+    a = {r.signal_date.day: (r.n_eligible, r.n_selected, r.n_entered, r.n_exited) for r in P.buffer_audit(book, s, "code").collect()}
+    assert a == {1: (4, 2, 2, 0), 2: (0, 0, 0, 2), 3: (4, 2, 2, 0)}
+    sched = spark.createDataFrame([(D(2020, 1, d), D(2020, 1, d + 1)) for d in (1, 2, 3)], "signal_date date, entry_date date")
+    t = P.buffer_targets(book, sched, "code", "2020-01-09").collect()
+    assert sorted(r.target_weight for r in t if r.execution_date == D(2020, 1, 9)) == [0.0, 0.0] and len(t) == 6
+    with pytest.raises(Exception, match="not after"):
+        P.buffer_targets(book, sched, "code", "2020-01-04").collect()
+
+
 def test_cohort_capacity(spark):
     s, _ = _scores(spark, 4)
     sched = spark.createDataFrame([(D(2020, 1, 1 + t), D(2020, 1, 2 + t), D(2020, 1, 4 + t)) for t in range(4)], "signal_date date, entry_date date, exit_date date")
@@ -206,6 +245,19 @@ def test_ledger_residual_is_zero(spark):
     pos = spark.createDataFrame([("a", D(2020, 1, 1), 10.0, 5.5), ("a", D(2020, 1, 2), 6.0, 6.5)], "code string, trade_date date, quantity double, mark double")
     r = P.reconcile(fills, pos, "code", 100.0).orderBy("trade_date").collect()
     assert all(abs(x.residual) < 1e-9 for x in r) and abs(r[1].cash - (100 - 50.1 + 23.9)) < 1e-9
+    assert (r[0].entry_pnl, r[1].continuation_pnl, r[1].exit_pnl) == (5.0, 6.0, 2.0)
+
+
+def test_ledger_with_settlement(spark):
+    fills = spark.createDataFrame([("a", D(2020, 1, 1), 10.0, 5.0, 0.0), ("b", D(2020, 1, 1), 2.0, 8.0, 0.0)], "code string, trade_date date, quantity double, price double, fee double")
+    pos = spark.createDataFrame([("a", D(2020, 1, 1), 10.0, 5.5), ("a", D(2020, 1, 2), 0.0, 5.5), ("b", D(2020, 1, 1), 2.0, 8.0), ("b", D(2020, 1, 2), 2.0, 8.5)], "code string, trade_date date, quantity double, mark double")
+    paid = spark.createDataFrame([("a", D(2020, 1, 2), D(2020, 1, 4), 10.0, 60.0)], "code string, trade_date date, paid_date date, quantity double, amount double")
+    r = P.reconcile(fills, pos, "code", 100.0, paid).orderBy("trade_date").collect()
+    assert [(x.receivable, x.settlement_pnl) for x in r] == [(0.0, 0.0), (60.0, 5.0), (0.0, 0.0)] and all(abs(x.residual) < 1e-9 for x in r[:2])
+    nav = P.reconcile(fills, pos, "code", 100.0, paid).where("trade_date < date'2020-01-04'").withColumn("traded", F.lit(10.0)).withColumn("b", F.lit(1))
+    orders = spark.createDataFrame([(1, "buy", True), (1, "buy", False), (1, "sell", True)], "b int, side string, filled boolean")
+    s = P.ledger_summary(nav, orders, ["b"], 100.0).first()
+    assert (s.blocked_buys, s.filled_buys, s.filled_sells, s.blocked_sells) == (1, 1, 1, 0) and s.final_nav == 34.0 + 17.0 + 60.0
 
 
 def test_checks(spark):
@@ -226,14 +278,75 @@ def test_registry(spark):
     r = default_registry()
     assert len(r.names()) == 7 and r.inventory(spark).count() == 7
     v = spark.createDataFrame([Row(signal_date=D(2020, 1, 1), code="a", close=110.0, conversion_premium=0.1)])
-    out = r.calculate("double_low", FactorBundle(v.select("signal_date", "code"), v)).first()
+    key = v.select("signal_date", "code")
+    out = r.calculate("double_low", FactorBundle(key, v)).first()
     assert out.raw_factor == 120.0 and out.available_date == D(2020, 1, 1)
     with pytest.raises(ValueError, match="registered"):
-        r.register(FactorSpec("double_low", "x", 1, ()), lambda b, p: b.valuation)
+        r.register(FactorSpec("double_low", "x", 1, ()), lambda c, p: c)
     with pytest.raises(KeyError):
         r.spec("nothing")
     with pytest.raises(ValueError, match="unknown parameters"):
         r.calculate("double_low", FactorBundle(v, v), {"x": 1})
+    with pytest.raises(KeyError, match="missing"):
+        r.calculate("cb_return_20d", FactorBundle(key, v))
+    with pytest.raises(KeyError, match="missing"):
+        FactorBundle(v.select("code"), v)
+    with pytest.raises(TypeError, match="not a date"):
+        FactorBundle(key.withColumn("signal_date", F.lit("x")), v)
+    assert {x.table: (x.null_keys, x.repeated_keys) for x in bundle_violations(FactorBundle(key.unionByName(key), v)).collect()} == {"signal": (0, 1), "valuation": (0, 0)}
+
+
+def test_spread_factor_rules(spark):
+    day = lambda i: D(2020, 1, 1) + dt.timedelta(i)
+    bond = spark.createDataFrame([(day(i), c, 100.0 + i) for i in range(7) for c in ("a", "gap", "zero") if not (c == "gap" and i in (2, 3))] , "trade_date date, code string, close double")
+    bond = bond.withColumn("close", F.when((F.col("code") == "zero") & (F.col("trade_date") == F.lit(day(1))), 0.0).otherwise(F.col("close")))
+    stock = spark.createDataFrame([(day(i), "s", 10.0 + i, 2.0) for i in range(7)], "trade_date date, stock string, close double, adj_factor double")
+    signal = spark.createDataFrame([(day(6), c, "s") for c in ("a", "gap", "zero", "none")] + [(day(3), "a", "s")], "signal_date date, code string, stock string")
+    b = FactorBundle(signal, bond_daily=bond, stock_daily=stock)
+    got = {(r.code, r.signal_date.day): r.raw_factor for r in default_registry().calculate("cb_stock_return_spread", b, {"window": 5}).collect()}
+    assert abs(got["a", 7] - (106 / 101 - 16 / 11)) < 1e-12 and all(v is None for k, v in got.items() if k != ("a", 7)) and len(got) == 5
+    long = default_registry().batch([("cb_stock_return_spread", {"window": 5}), ("cb_stock_return_spread", {})], b)
+    assert {r.factor for r in long.collect()} == {"cb_stock_return_spread_window5", "cb_stock_return_spread"} and long.count() == 10
+
+
+def test_large_group_ranks_and_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = [float(v) for v in np.concatenate([rng.normal(size=300).round(2), [0.0, -0.0, 1e-300, -1e300, 5e9], np.repeat(0.25, 50)])]
+    d = spark.createDataFrame([("a", v) for v in x] + [("b", 1.0), ("b", None)], "g string, x double")
+    order = np.argsort(x, kind="stable")
+    rank = {v: np.mean([i + 1 for i, k in enumerate(order) if x[k] == v]) for v in x}
+    r = global_rank(d, ["g"], "x", "r").collect()
+    assert len(r) == len(x) + 1 and all(v.r == (rank[v.x] if v.g == "a" else 1.0) for v in r)
+    points = (0.0, 0.1, 0.5, 0.777, 1.0)
+    q = {(v.g, v.point): v.value for v in exact_quantiles(d, ["g"], "x", points).collect()}
+    assert all(abs(q["a", p] - np.quantile(x, p)) <= 1e-12 * abs(np.quantile(x, p)) + 1e-12 for p in points) and q["b", 0.5] == 1.0
+    assert exact_quantiles(d, [], "x", (0.5,)).first().value == np.median([*x, 1.0])
+
+
+def test_merged_panels_need_equal_keys(spark):
+    a, b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, x double"), spark.createDataFrame([(1, 5.0, 0.0), (2, 6.0, 0.0)], "k int, y double, x double")
+    assert {tuple(r) for r in X.merge_panels([a, b], ["k"]).collect()} == {(1, 1.0, 5.0), (2, 2.0, 6.0)}
+    with pytest.raises(Exception, match="different keys"):
+        X.merge_panels([a, b.where("k = 1")], ["k"]).collect()
+    with pytest.raises(Exception, match="repeats"):
+        X.merge_panels([a, b.unionByName(b)], ["k"]).collect()
+
+
+def test_controls_must_be_positive_and_past(spark):
+    d = spark.createDataFrame([(1.0, D(2020, 1, 1), D(2021, 1, 1)), (0.0, D(2020, 1, 1), D(2019, 1, 1))], "x double, d date, m date")
+    good = d.limit(1).select(log_size("x").alias("a"), remaining_years("m", "d").alias("b"), exchange_suffix(F.lit("123.SZ")).alias("c"), year_of("d").alias("y")).first()
+    assert (good.a, good.b, good.c, good.y) == (0.0, 366 / 365.25, "SZ", 2020)
+    for c in (log_size("x"), remaining_years("m", "d")):
+        with pytest.raises(Exception, match="not positive|past"):
+            d.select(c).collect()
+    panel = spark.createDataFrame([("a", D(2020, 1, 5), "tech")], "k string, d date, industry string")
+    caps = spark.createDataFrame([("a", D(2020, 1, 1), 10.0), ("a", D(2020, 1, 9), 20.0)], "k string, d date, market_cap double")
+    r = X.attach_market_cap(panel, caps, "k", "d").first()
+    assert abs(r.log_market_cap - math.log(10)) < 1e-12 and r.market_cap_age == 4 and r.industry_control == "tech"
+    with pytest.raises(Exception, match="not positive"):
+        X.attach_market_cap(panel, caps.withColumn("market_cap", F.lit(-1.0)), "k", "d").collect()
 
 
 def test_slices_and_locks(spark):
