@@ -84,7 +84,7 @@ def merge_panels(panels: list[DataFrame], keys: list[str]) -> DataFrame:
         everywhere = everywhere & F.col(m).isNotNull()
     fault = F.when(~everywhere, "panels have different keys").when(F.count("*").over(Window.partitionBy(*keys)) > 1, "a key repeats in a panel")
     kind = out.schema[keys[0]].dataType
-    return out.withColumn("_fault", fault).withColumn(keys[0], F.when(F.col("_fault").isNull(), F.col(keys[0])).otherwise(F.raise_error("_fault").cast(kind))).drop("_fault", *marks)
+    return out.withColumn("_fault", fault).withColumn(keys[0], F.when(F.col("_fault").isNull(), F.col(keys[0])).otherwise(F.raise_error(F.col("_fault")).cast(kind))).drop("_fault", *marks)
 
 
 def to_long(panel: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.asof import asof_backward
 from ..functions import expressions as X
 from ..operators.calendar import execution_schedule, horizon_schedules, month_windows, next_open, partition_schedule
 from ..operators.checks import forbid_columns, holdout_guard, key_difference, research_slice
-from .panels import BARS, register, rounded, SIGNALS, market, read, signals, tidy, week, weeks
+from .panels import BARS, SIGNALS, market, read, register, rounded, signals, tidy, week, weeks
 
 QUERIES: dict = {}
 

@@ -16,7 +16,7 @@ from ..operators.calendar import horizon_schedules
 from ..operators.registry import FactorBundle, bundle_violations, default_registry, evaluate_batch, factor_violations
 from ..sources.folders import stored
 from .factor_queries import SPEARMAN, TRADED, adjusted, prior, ret_sql, traded, wins
-from .panels import BARS, STOCKS, market, read, register, rounded, stocks, tidy, weeks
+from .panels import BARS, STOCKS, market, read, register, rounded, squashed, squashed_sql, stocks, tidy, weeks
 
 QUERIES: dict = {}
 
@@ -531,10 +531,11 @@ nv2 AS (SELECT *, v / greatest(1, max(v) OVER (PARTITION BY horizon_days, name O
 nvs AS (SELECT horizon_days, name, arg_max(v, signal_date) AS f, min(dd) AS d, count(*) AS n FROM nv2 GROUP BY ALL)"""
 
 
-@query("horizon_summary", f"WITH {HORIZONS_SQL} SELECT l.horizon_days, " + ", ".join(f"(SELECT {c} FROM ics i WHERE i.horizon_days = l.horizon_days AND metric = '{m}') AS {m}_{c}" for m in ("ic", "rank_ic") for c in ("mean", "positive_share", "icir", "nw_t")) + ", " + ", ".join(f"round((SELECT {c} FROM irs i WHERE i.horizon_days = l.horizon_days AND metric = '{m}'), 6) AS {m}_{a}" for m in ("active", "spread_raw") for c, a in (("ir", "ir"), ("hit", "hit_rate"))) + ", label_rows, usable_rows, round(1 - usable_rows / label_rows, 6) AS excluded_share, " + ", ".join(f"round((SELECT {c} FROM nvs i WHERE i.horizon_days = l.horizon_days AND name = '{m}'), 6) AS {m}_{a}" for m in _NAV4 for c, a in (("f", "nav"), ("CASE WHEN f > 0 THEN pow(f, 26 / n) - 1 END", "annual_return"), ("d", "max_drawdown"))) + " FROM lbs l")
+@query("horizon_summary", f"WITH {HORIZONS_SQL} SELECT l.horizon_days, " + ", ".join(f"(SELECT {c} FROM ics i WHERE i.horizon_days = l.horizon_days AND metric = '{m}') AS {m}_{c}" for m in ("ic", "rank_ic") for c in ("mean", "positive_share", "icir", "nw_t")) + ", " + ", ".join(f"round((SELECT {c} FROM irs i WHERE i.horizon_days = l.horizon_days AND metric = '{m}'), 6) AS {m}_{a}" for m in ("active", "spread_raw") for c, a in (("ir", "ir"), ("hit", "hit_rate"))) + ", label_rows, usable_rows, round(1 - usable_rows / label_rows, 6) AS excluded_share, " + ", ".join(f"round((SELECT {c} FROM nvs i WHERE i.horizon_days = l.horizon_days AND name = '{m}'), 6) AS {m}_{a}" for m in _NAV4 for c, a in ((squashed_sql("f"), "nav_log"), (squashed_sql("CASE WHEN f > 0 THEN pow(f, 26 / n) - 1 END"), "annual_return_log"), ("d", "max_drawdown"))) + " FROM lbs l")
 def horizon_summary(spark: SparkSession, sf: str) -> DataFrame:
     ev = evidence(spark, sf)
-    return tidy(E.horizon_summary(E.ic_series(ev, BY), E.horizon_ir(full_dates(spark, sf), BY, "code"), labels(spark, sf)))
+    d = E.horizon_summary(E.ic_series(ev, BY), E.horizon_ir(full_dates(spark, sf), BY, "code"), labels(spark, sf))
+    return tidy(squashed(d, *(f"{m}_{c}" for m in _NAV4 for c in ("nav", "annual_return"))))
 
 
 @query("factor_verification", f"""WITH {BARS}, {SCORES} SELECT count(*) FILTER (mom IS NOT NULL AND abs(CASE WHEN code % 7 = 0 THEN 0.01 ELSE 0 END) > 1e-10 + 1e-10 * abs(mom)) AS raw_mismatches,
@@ -545,21 +546,21 @@ def factor_verification(spark: SparkSession, sf: str) -> DataFrame:
     return E.verify_materialized(context, d.select(*keys, F.col("mom").alias("raw_factor")), d.select(*keys, "processed_factor"), keys, "mom", 1)
 
 
-@query("nav_series", f"WITH {WR} SELECT trade_date, round(nav / first(nav) OVER w, 6) AS normalized, round(nav / max(nav) OVER w - 1, 6) AS drawdown, round((1 - turnover) * nav / nav, 6) AS cash_weight FROM wr WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)")
+@query("nav_series", f"WITH {WR} SELECT trade_date, round(sign(nav / first(nav) OVER w) * ln(1 + abs(nav / first(nav) OVER w)), 6) AS normalized_log, round(nav / max(nav) OVER w - 1, 6) AS drawdown, round((1 - turnover) * nav / nav, 6) AS cash_weight FROM wr WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)")
 def nav_series(spark: SparkSession, sf: str) -> DataFrame:
     d = returns(spark, sf).withColumn("book", F.lit(1)).withColumn("cash", (1 - F.col("turnover")) * F.col("nav"))
-    return tidy(P.nav_series(d, ["book"], cash="cash"), "trade_date", "normalized", "drawdown", "cash_weight")
+    return tidy(squashed(P.nav_series(d, ["book"], cash="cash"), "normalized"), "trade_date", "normalized_log", "drawdown", "cash_weight")
 
 
 @query("factor_summary", f"""WITH {HORIZONS_SQL}, cv AS (SELECT signal_date, count(*) AS n, count(processed_factor) AS p FROM ev WHERE horizon_days = 1 GROUP BY 1), q1 AS (SELECT year(signal_date) AS y, signal_date, long_short AS ls FROM qr WHERE horizon_days = 1),
 yr AS (SELECT y, product(1 + ls) - 1 AS c FROM q1 GROUP BY 1), ys AS (SELECT DISTINCT year(signal_date) AS y FROM ic WHERE horizon_days = 1)
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, round(sum(p) / sum(n), 6) AS coverage, count(*) AS n_dates, (SELECT mean FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS mean_rank_ic, (SELECT icir FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS rank_icir, (SELECT nw_t FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS nw_t,
-  round((SELECT product(1 + ls) - 1 FROM q1), 6) AS long_short_total, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round((SELECT min(c) FROM yr), 6) AS worst_return FROM cv""")
+  round({squashed_sql("(SELECT product(1 + ls) - 1 FROM q1)")}, 6) AS long_short_total_log, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round((SELECT min(c) FROM yr), 6) AS worst_return FROM cv""")
 def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
     one, by = evidence(spark, sf).where("horizon_days = 1"), ["signal_date"]
     ic = E.ic_series(one, by)
     r = E.quantile_returns(E.quantile_groups(full_dates(spark, sf).where("horizon_days = 1"), by, "code"), by)
-    return tidy(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)))
+    return tidy(squashed(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)), "long_short_total"))
 
 
 OPENS = f"""{COHORTS.split("best AS")[0].rstrip().removesuffix(",")}, oo AS (SELECT sc.code, sc.signal_date, sch.entry_date, sch.exit_date, a.open AS eo, x.open AS xo FROM sc JOIN sch USING (signal_date) LEFT JOIN bars a ON a.code = sc.code AND a.trade_date = entry_date LEFT JOIN bars x ON x.code = sc.code AND x.trade_date = exit_date),

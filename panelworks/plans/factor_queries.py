@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cross_section as X
 from ..operators import factors as T
 from ..operators.valuation import factor_audit, quantiles, tails_by_factor
-from .panels import BARS, register, STOCKS, market, over, read, shifted, stocks, tidy
+from .panels import BARS, STOCKS, market, over, read, register, rounded, shifted, stocks, tidy
 
 QUERIES: dict = {}
 KEYS = ["code", "trade_date"]
@@ -285,7 +285,7 @@ def _exposure(x: str, v: str) -> str:
 
 
 def _diagnosis(x: str, neutral: bool) -> str:
-    pair = f"(SELECT trade_date, w, z FROM w_{x} JOIN z_{x} USING (code, trade_date))"
+    pair = f"(SELECT trade_date, w, round(z, 9) AS z FROM w_{x} JOIN z_{x} USING (code, trade_date))"
     ranks = f"(SELECT avg(CASE WHEN n >= 2 THEN r END) FROM ({SPEARMAN(pair, 'trade_date', 'w', 'z')}))"
     before, after = (_exposure(x, "w"), _exposure(x, "y")) if neutral else ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
     return f"SELECT '{x}' AS factor, (SELECT count(w) FROM w_{x}) AS n_observed, count(z) AS n_processed, round(count(z) / count(*), 6) AS coverage, round({before}, 6) AS exposure_before, round({after}, 6) AS exposure_after, round({ranks}, 6) AS rank_correlation FROM z_{x}"
@@ -293,7 +293,8 @@ def _diagnosis(x: str, neutral: bool) -> str:
 
 @query("family_diagnostics", f"WITH {FAMILY}, cats AS (SELECT trade_date, nation AS c FROM (SELECT DISTINCT trade_date, nation FROM panel) QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY nation) > 1) " + " UNION ALL ".join(_diagnosis(p.factor, bool(p.numeric)) for p in POLICIES))
 def family_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(X.family_diagnostics(family(spark, sf), "trade_date", POLICIES))
+    d = family(spark, sf)  # where a fit is perfect, only the noise of rounding is left, which must not be ranked
+    return tidy(X.family_diagnostics(d.withColumns({f"standardized__{f}": rounded(f"standardized__{f}", 9) for f in FACTORS}), "trade_date", POLICIES))
 
 
 @query("factor_tails", f"""WITH {PANEL}, {LONG}, v AS (SELECT * FROM lg WHERE value IS NOT NULL),

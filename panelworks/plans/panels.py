@@ -31,6 +31,17 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) * scale >= 9e18), x).otherwise(F.floor(x * scale + SLACK) / scale)
 
 
+def squashed(df: DataFrame, *columns: str) -> DataFrame:
+    """Values that compound without bound as sign(x) ln(1 + |x|), named <column>_log, so that rounding means the same at any size."""
+    for c in columns:
+        df = df.withColumn(f"{c}_log", F.signum(c) * F.log1p(F.abs(c))).drop(c)
+    return df
+
+
+def squashed_sql(x: str) -> str:
+    return f"sign({x}) * ln(1 + abs({x}))"
+
+
 def rounded_sql(sql: str) -> str:
     """SQL with each round(x, n) spelled as `rounded` does it."""
     while (m := re.search(r"\bround\(", sql)) is not None:

@@ -128,12 +128,12 @@ def year_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(S.read_years(spark, yearly(spark, sf), "day", "1994-05-10", "1996-02-20").drop("is_eligible"))
 
 
-@query("year_partitions_strict", "SELECT o_orderkey, o_custkey AS code, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-05-10' AND DATE '1995-02-20' AND o_orderstatus = 'F'")
+@query("year_partitions_strict", "SELECT o_orderkey, o_custkey AS code, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-05-10' AND DATE '1996-02-20' AND o_orderstatus = 'F'")
 def year_partitions_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(S.read_years_strict(spark, yearly(spark, sf), "day", "1994-05-10", "1995-02-20", ["o_orderkey"], "is_eligible").drop("is_eligible"))
+    return tidy(S.read_years_strict(spark, yearly(spark, sf), "day", "1995-05-10", "1996-02-20", ["o_orderkey"], "is_eligible").drop("is_eligible"))
 
 
-@query("format_dispatch", "SELECT 'parquet' AS kind, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 'csv', r_regionkey, r_name FROM region")
+@query("format_dispatch", "SELECT 'parquet' AS kind, CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation UNION ALL SELECT 'csv', r_regionkey, r_name FROM region")
 def format_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     path = new_folder(spark, "formats")
     S.write_new(read(spark, sf, "nation").select("n_nationkey", "n_name"), f"{path}/nation.parquet")
