@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import cross_section as X
 from ..operators import factors as T
 from ..operators.valuation import factor_audit, quantiles, tails_by_factor
+from ..sources.folders import stored
 from .panels import BARS, STOCKS, market, over, read, register, rounded, shifted, stocks, tidy
 
 QUERIES: dict = {}
@@ -294,7 +295,8 @@ def _diagnosis(x: str, neutral: bool) -> str:
 @query("family_diagnostics", f"WITH {FAMILY}, cats AS (SELECT trade_date, nation AS c FROM (SELECT DISTINCT trade_date, nation FROM panel) QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY nation) > 1) " + " UNION ALL ".join(_diagnosis(p.factor, bool(p.numeric)) for p in POLICIES))
 def family_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     d = family(spark, sf)  # where a fit is perfect, only the noise of rounding is left, which must not be ranked
-    return tidy(X.family_diagnostics(d.withColumns({f"standardized__{f}": rounded(f"standardized__{f}", 9) for f in FACTORS}), "trade_date", POLICIES))
+    d = stored(d.withColumns({f"standardized__{f}": rounded(f"standardized__{f}", 9) for f in FACTORS}), "family")
+    return tidy(X.family_diagnostics(d, "trade_date", POLICIES))
 
 
 @query("factor_tails", f"""WITH {PANEL}, {LONG}, v AS (SELECT * FROM lg WHERE value IS NOT NULL),
