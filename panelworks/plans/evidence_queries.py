@@ -181,8 +181,12 @@ def ic_significance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return complete_dates(evidence(spark, sf))
+
+
+def complete_dates(panel: DataFrame) -> DataFrame:
     """Complete rows of dates with five assets or more."""
-    d = evidence(spark, sf).where("processed_factor is not null and forward_return is not null")
+    d = panel.where("processed_factor is not null and forward_return is not null")
     return d.withColumn("_n", F.count("*").over(Window.partitionBy(*BY))).where("_n >= 5").drop("_n")
 
 
@@ -533,8 +537,9 @@ nvs AS (SELECT horizon_days, name, arg_max(v, signal_date) AS f, min(dd) AS d, c
 
 @query("horizon_summary", f"WITH {HORIZONS_SQL} SELECT l.horizon_days, " + ", ".join(f"(SELECT {c} FROM ics i WHERE i.horizon_days = l.horizon_days AND metric = '{m}') AS {m}_{c}" for m in ("ic", "rank_ic") for c in ("mean", "positive_share", "icir", "nw_t")) + ", " + ", ".join(f"round((SELECT {c} FROM irs i WHERE i.horizon_days = l.horizon_days AND metric = '{m}'), 6) AS {m}_{a}" for m in ("active", "spread_raw") for c, a in (("ir", "ir"), ("hit", "hit_rate"))) + ", label_rows, usable_rows, round(1 - usable_rows / label_rows, 6) AS excluded_share, " + ", ".join(f"round((SELECT {c} FROM nvs i WHERE i.horizon_days = l.horizon_days AND name = '{m}'), 6) AS {m}_{a}" for m in _NAV4 for c, a in ((squashed_sql("f"), "nav_log"), (squashed_sql("CASE WHEN f > 0 THEN pow(f, 26 / n) - 1 END"), "annual_return_log"), ("d", "max_drawdown"))) + " FROM lbs l")
 def horizon_summary(spark: SparkSession, sf: str) -> DataFrame:
-    ev = evidence(spark, sf)
-    d = E.horizon_summary(E.ic_series(ev, BY), E.horizon_ir(full_dates(spark, sf), BY, "code"), labels(spark, sf))
+    ev = stored(evidence(spark, sf), "evidence")
+    returns_ = stored(E.horizon_ir(complete_dates(ev), BY, "code"), "horizon-returns")
+    d = E.horizon_summary(stored(E.ic_series(ev, BY), "horizon-ic"), returns_, labels(spark, sf))
     return tidy(squashed(d, *(f"{m}_{c}" for m in _NAV4 for c in ("nav", "annual_return"))))
 
 
@@ -557,9 +562,9 @@ yr AS (SELECT y, product(1 + ls) - 1 AS c FROM q1 GROUP BY 1), ys AS (SELECT DIS
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, round(sum(p) / sum(n), 6) AS coverage, count(*) AS n_dates, (SELECT mean FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS mean_rank_ic, (SELECT icir FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS rank_icir, (SELECT nw_t FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS nw_t,
   round({squashed_sql("(SELECT product(1 + ls) - 1 FROM q1)")}, 6) AS long_short_total_log, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round((SELECT min(c) FROM yr), 6) AS worst_return FROM cv""")
 def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
-    one, by = evidence(spark, sf).where("horizon_days = 1"), ["signal_date"]
-    ic = E.ic_series(one, by)
-    r = E.quantile_returns(E.quantile_groups(full_dates(spark, sf).where("horizon_days = 1"), by, "code"), by)
+    one, by = stored(evidence(spark, sf).where("horizon_days = 1"), "evidence"), ["signal_date"]
+    ic = stored(E.ic_series(one, by), "daily-ic")
+    r = stored(E.quantile_returns(E.quantile_groups(complete_dates(one), by, "code"), by), "quantile-returns")
     return tidy(squashed(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)), "long_short_total"))
 
 
