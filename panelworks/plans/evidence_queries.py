@@ -560,12 +560,12 @@ def nav_series(spark: SparkSession, sf: str) -> DataFrame:
 @query("factor_summary", f"""WITH {HORIZONS_SQL}, cv AS (SELECT signal_date, count(*) AS n, count(processed_factor) AS p FROM ev WHERE horizon_days = 1 GROUP BY 1), q1 AS (SELECT year(signal_date) AS y, signal_date, long_short AS ls FROM qr WHERE horizon_days = 1),
 yr AS (SELECT y, product(1 + ls) - 1 AS c FROM q1 GROUP BY 1), ys AS (SELECT DISTINCT year(signal_date) AS y FROM ic WHERE horizon_days = 1)
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, round(sum(p) / sum(n), 6) AS coverage, count(*) AS n_dates, (SELECT mean FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS mean_rank_ic, (SELECT icir FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS rank_icir, (SELECT nw_t FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS nw_t,
-  round({squashed_sql("(SELECT product(1 + ls) - 1 FROM q1)")}, 6) AS long_short_total_log, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round((SELECT min(c) FROM yr), 6) AS worst_return FROM cv""")
+  round({squashed_sql("(SELECT product(1 + ls) - 1 FROM q1)")}, 6) AS long_short_total_log, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round({squashed_sql("(SELECT min(c) FROM yr)")}, 6) AS worst_return_log FROM cv""")
 def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
     one, by = stored(evidence(spark, sf).where("horizon_days = 1"), "evidence"), ["signal_date"]
     ic = stored(E.ic_series(one, by), "daily-ic")
     r = stored(E.quantile_returns(E.quantile_groups(complete_dates(one), by, "code"), by), "quantile-returns")
-    return tidy(squashed(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)), "long_short_total"))
+    return tidy(squashed(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)), "long_short_total", "worst_return"))
 
 
 OPENS = f"""{COHORTS.split("best AS")[0].rstrip().removesuffix(",")}, oo AS (SELECT sc.code, sc.signal_date, sch.entry_date, sch.exit_date, a.open AS eo, x.open AS xo FROM sc JOIN sch USING (signal_date) LEFT JOIN bars a ON a.code = sc.code AND a.trade_date = entry_date LEFT JOIN bars x ON x.code = sc.code AND x.trade_date = exit_date),
