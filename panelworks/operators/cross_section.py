@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import exact_quantiles, global_rank
+from ..functions.ranks import below, clean, dealt_values, exact_quantiles
 from ..functions.stats import pearson, spearman_by
+from ..sources.folders import stored
 from .checks import forbid_columns
 
 MAD_SCALE = 1.4826
@@ -100,10 +101,15 @@ def winsorize_panel(panel: DataFrame, keys: list[str], date: str, factors: list[
 
 def mad_sensitivity(panel: DataFrame, keys: list[str], date: str, factors: list[str], multipliers: tuple[float, ...] = (2.5, 3.0, 3.5)) -> DataFrame:
     """Per factor and multiplier: observations, clipped rows and rate, affected dates, median
-    and largest change, and mean rank correlation by date of raw and clipped values."""
+    and largest change, and mean rank correlation by date of raw and clipped values. Medians and deviations are made
+    once for all multipliers; the clipped rows are stored and the parts of the report read them there."""
     forbid_columns(panel)
-    d = to_long(panel, keys, factors).withColumn("multiplier", F.explode(F.array(*map(F.lit, multipliers))))
-    d = winsorize_mad(d, "value", [date, "factor", "multiplier"], F.col("multiplier"), "clipped")
+    w, x = Window.partitionBy(date, "factor"), F.col("value")
+    d = to_long(panel, keys, factors).withColumn("_med", F.median(x).over(w)).withColumn("_mad", F.median(F.abs(x - F.col("_med"))).over(w))
+    d = d.withColumn("multiplier", F.explode(F.array(*map(F.lit, multipliers))))
+    reach = F.col("multiplier") * F.col("_mad") * MAD_SCALE
+    clipped = F.when(x.isNotNull() & (F.col("_mad") > FLAT), F.greatest(F.col("_med") - reach, F.least(F.col("_med") + reach, x))).otherwise(x)
+    d = stored(d.select(date, "factor", "multiplier", "value", clipped.alias("clipped")), "clipped-panel")
     change = F.abs(F.col("clipped") - F.col("value"))
     moved = change > 1e-8 + 1e-5 * F.abs(F.col("value"))
     a = d.groupBy("factor", "multiplier").agg(
@@ -127,14 +133,25 @@ def clipping_audit(sensitivity: DataFrame) -> DataFrame:
 
 
 def spearman_matrix(panel: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
-    """(factor_a, factor_b, n_pairs, correlation) for a <= b, on pairwise complete rows."""
-    v = to_long(panel, keys, factors).where("value is not null")
-    a = v.select(*keys, F.col("factor").alias("factor_a"), F.col("value").alias("x"))
-    b = v.select(*keys, F.col("factor").alias("factor_b"), F.col("value").alias("y"))
-    p = a.join(b, keys).where("factor_a <= factor_b")
-    by = ["factor_a", "factor_b"]
-    p = global_rank(global_rank(p.select(*by, "x", "y"), by, "x", "rx"), by, "y", "ry")
-    return p.groupBy(*by).agg(F.count("*").alias("n_pairs"), pearson("rx", "ry").alias("correlation"))
+    """(factor_a, factor_b, n_pairs, correlation) for a <= b, on pairwise complete rows. Keys are unique in the panel.
+
+    The rank of a value of a among the rows that also have b is what the rows with b count below it, so one pass over
+    the distinct values of each factor, with a count for each other factor, gives the ranks for all pairs. A row's ranks
+    then meet by its keys, and only sums by pair are shuffled. The panel is read once and stored in long form.
+    NaN is null; infinities are the ends.
+    """
+    there = {f: clean(f).isNotNull() for f in factors}
+    rows = F.array(*(F.struct(F.lit(k).alias("_f"), clean(f).alias("_x")) for k, f in enumerate(factors)))
+    wide = panel.select(*keys, *(on.alias(f"_has{k}") for k, on in enumerate(there.values())), rows.alias("_rows"))
+    has, counts = [f"_has{k}" for k in range(len(factors))], [f"_n{k}" for k in range(len(factors))]
+    long = stored(wide.select(*keys, *has, F.inline("_rows")).where("_x is not null"), "long-panel")
+    v = below(dealt_values(long, ["_f"], "_x", {n: F.count_if(h) for n, h in zip(counts, has, strict=True)}), ["_f"], "_x", counts)
+    rank = F.array(*(F.col(f"{n}_below") + (F.col(n) + 1) / 2.0 for n in counts))
+    ranked = long.select(*keys, "_f", "_x").join(v.select("_f", "_x", rank.alias("_r")), ["_f", "_x"])
+    met = ranked.groupBy(*keys).agg(*(F.first(F.when(F.col("_f") == k, F.col("_r")), ignorenulls=True).alias(f"_r{k}") for k in range(len(factors))))
+    pair = lambda a, b: F.struct(F.lit(min(factors[a], factors[b])).alias("factor_a"), F.lit(max(factors[a], factors[b])).alias("factor_b"), F.get(f"_r{a}", F.lit(b)).alias("rx"), F.get(f"_r{b}", F.lit(a)).alias("ry"))
+    pairs = met.select(F.inline(F.array(*(pair(a, b) for a in range(len(factors)) for b in range(a, len(factors))))))
+    return pairs.where("rx is not null and ry is not null").groupBy("factor_a", "factor_b").agg(F.count("*").alias("n_pairs"), pearson("rx", "ry").alias("correlation"))
 
 
 def rank_overlap(matrix: DataFrame, k: int = 8) -> DataFrame:
@@ -165,17 +182,91 @@ class Policy:
     category: str | None = None
 
 
+def family_fits(panel: DataFrame, date: str, values: list[str], numeric: list[str], category: str | None = None) -> DataFrame:
+    """(date, _cat, _fits): for each date and category, by number of the value, the means, slopes and residual deviation of least-squares
+    fits of all `values` on the same controls (an intercept, up to two numeric ones, the dummies of the category).
+
+    Rows are summed by date, category and missing pattern of the values: the centred products of the controls are made once
+    for a pattern, whatever the number of values, and those with each value beside them. The
+    patterns that a value occurs in are merged by their means, so nothing cancels, and the 1 or 2 normal
+    equations are solved on a row for each date and value. Only such sums are shuffled; a hot date is combined before.
+    """
+    if len(numeric) > 2 or len(values) > 62:
+        raise ValueError("two numeric controls and 62 values at most")
+    x, k = [F.col(c).cast("double") for c in numeric], len(numeric)
+    cat = F.col(category) if category else F.lit(0)
+    complete = cat.isNotNull()
+    for c in x:
+        complete = complete & c.isNotNull()
+    there = [complete & F.col(v).isNotNull() for v in values]
+    pattern = sum((F.when(on, F.lit(1 << p)).otherwise(F.lit(0)).cast("long") for p, on in enumerate(there)), F.lit(0).cast("long"))
+    d = panel.select(date, cat.alias("_cat"), pattern.alias("_pattern"), *(c.alias(f"_x{i}") for i, c in enumerate(x)), *(F.col(v).cast("double").alias(f"_y{p}") for p, v in enumerate(values)))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    product = lambda a, b: F.covar_pop(a, b) * F.count("*")
+    sums = d.groupBy(date, "_cat", "_pattern").agg(
+        F.count("*").alias("n"), *(F.avg(f"_x{i}").alias(f"m{i}") for i in range(k)), *(product(f"_x{i}", f"_x{j}").alias(f"c{i}_{j}") for i, j in pairs),
+        *(s for p in range(len(values)) for s in (F.avg(f"_y{p}").alias(f"my{p}"), product(f"_y{p}", f"_y{p}").alias(f"cy{p}"), *(product(f"_x{i}", f"_y{p}").alias(f"c{i}_y{p}") for i in range(k)))),
+    )
+    cats = sums.where("_cat is not null").groupBy(date).agg(F.countDistinct("_cat").alias("_all"))
+    # the value is variable k, beside the controls 0 to k - 1
+    one = lambda p: F.struct(F.lit(p).alias("p"), F.col(f"my{p}").alias(f"m{k}"), F.col(f"cy{p}").alias(f"c{k}_{k}"), *(F.col(f"c{i}_y{p}").alias(f"c{i}_{k}") for i in range(k)))
+    rows = F.filter(F.array(*map(one, range(len(values)))), lambda r: F.col("_pattern").bitwiseAND(F.pow(F.lit(2.0), r["p"]).cast("long")) != 0)
+    d = sums.select(date, "_cat", "n", *(f"m{i}" for i in range(k)), *(f"c{i}_{j}" for i, j in pairs), F.inline(rows))
+    every = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+
+    def merged(d: DataFrame, by: list[str], center: list[str]) -> DataFrame:
+        """Sums of parts of a group around the means of the whole: n, means and centred products."""
+        w = Window.partitionBy(*by)
+        d = d.withColumns({f"_g{i}": F.sum(F.col("n") * F.col(f"m{i}")).over(w) / F.sum("n").over(w) for i in range(k + 1)})
+        shifted = lambda i, j: F.col(f"c{i}_{j}") + F.col("n") * (F.col(f"m{i}") - F.col(f"_g{i}")) * (F.col(f"m{j}") - F.col(f"_g{j}"))
+        return d.groupBy(*by).agg(F.sum("n").alias("n"), *(F.first(f"_g{i}").alias(f"m{i}") for i in range(k + 1)), *(F.sum(shifted(i, j)).alias(f"c{i}_{j}") for i, j in every), *center)
+
+    within = merged(d, [date, "_cat", "p"], [])
+    whole = merged(within, [date, "p"], [F.count("*").alias("_cats"), *(F.sum(f"c{i}_{j}").alias(f"s{i}_{j}") for i, j in every)]).join(cats, date)
+    s = lambda i, j: F.col(f"s{min(i, j)}_{max(i, j)}")
+    usable = (F.col("n") > F.col("_cats") + k) & (F.col("_cats") == F.col("_all"))
+    if k == 0:
+        slopes = []
+    elif k == 1:
+        usable = usable & (s(0, 0) > 1e-12 * F.col("c0_0"))
+        slopes = [F.try_divide(s(0, 1), s(0, 0))]
+    else:
+        det = s(0, 0) * s(1, 1) - s(0, 1) * s(0, 1)
+        usable = usable & (det > 1e-12 * s(0, 0) * s(1, 1))
+        slopes = [F.try_divide(s(0, 2) * s(1, 1) - s(1, 2) * s(0, 1), det), F.try_divide(s(1, 2) * s(0, 0) - s(0, 2) * s(0, 1), det)]
+    usable = usable if numeric or category else F.lit(True)
+    left = s(k, k) - sum((b * s(i, k) for i, b in enumerate(slopes)), F.lit(0.0))
+    std = F.when(left > 1e-13 * s(k, k), F.sqrt(left / F.col("n"))).otherwise(0.0)  # below is the rounding of a perfect fit
+    solved = whole.select(date, "p", usable.alias("usable"), std.alias("std"), F.array(*slopes).cast("array<double>").alias("slopes"))
+    fits = within.select(date, "_cat", "p", F.array(*(f"m{i}" for i in range(k + 1))).alias("means")).join(solved, [date, "p"])
+    return fits.groupBy(date, "_cat").agg(F.map_from_entries(F.collect_list(F.struct("p", F.struct("usable", "means", "slopes", "std")))).alias("_fits"))
+
+
 def preprocess_family(panel: DataFrame, date: str, policies: list[Policy]) -> DataFrame:
-    """neutralized__ and standardized__ columns of each policy's winsorized__ factor."""
+    """neutralized__ and standardized__ columns of each policy's winsorized__ factor.
+
+    Policies with the same controls are fitted together (`family_fits`), and their fits, a row for each date and category, are joined to the
+    panel once; the panel itself is not shuffled as long as Spark broadcasts the fits. It is read once for each set of controls and
+    once for the result, so a panel that is not stored should be.
+    """
     forbid_columns(panel)
+    columns, out = panel.columns, {}
+    groups: dict[tuple, list[Policy]] = {}
     for p in policies:
-        x = f"winsorized__{p.factor}"
-        if p.numeric or p.category:
-            panel = neutralize(panel, x, [date], list(p.numeric), p.category, f"neutralized__{p.factor}")
-        else:
-            panel = panel.withColumn(f"neutralized__{p.factor}", F.col(x))
-        panel = standardize(panel, f"neutralized__{p.factor}", [date], f"standardized__{p.factor}")
-    return panel
+        groups.setdefault((p.numeric, p.category), []).append(p)
+    for g, ((numeric, category), members) in enumerate(groups.items()):
+        fits = family_fits(panel.select(columns), date, [f"winsorized__{m.factor}" for m in members], list(numeric), category)
+        fits = fits.withColumnsRenamed({"_cat": f"_cat{g}", "_fits": f"_fits{g}"})
+        panel = panel.withColumn(f"_cat{g}", F.col(category) if category else F.lit(0)).join(fits, [date, f"_cat{g}"], "left")
+        for k, m in enumerate(members):
+            fit, y = F.element_at(f"_fits{g}", F.lit(k)), F.col(f"winsorized__{m.factor}")
+            residual = y - F.get(fit["means"], F.lit(len(numeric)))
+            for i, c in enumerate(numeric):
+                residual = residual - F.get(fit["slopes"], F.lit(i)) * (F.col(c) - F.get(fit["means"], F.lit(i)))
+            residual = F.when(fit["usable"], residual)
+            out[f"neutralized__{m.factor}"] = residual if numeric or category else y
+            out[f"standardized__{m.factor}"] = F.when(residual.isNull(), None).when(fit["std"] > FLAT, residual / fit["std"]).otherwise(0.0)
+    return panel.withColumns(out).select(*(c for c in columns if c not in out), *out)
 
 
 def preprocess_registered(panel: DataFrame, factor: str, date: str, direction: int, n_mad: float = 3.0) -> DataFrame:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import frame, min_periods, rolling, shift
+from .windows import frame, long_frames, min_periods, rolling, running, shift
 
 
 def window_return(value: Column | str, n: int, key: str, idx: str = "cal_idx", ratio: float = 0.8) -> Column:
@@ -79,18 +79,38 @@ def return_spread(d: DataFrame, key: str, windows: tuple[int, ...] = (5, 10, 20)
 
 
 def beta_correlation(d: DataFrame, key: str, windows: tuple[int, ...] = (20, 60), bond: str = "bond_return", stock: str = "stock_return") -> DataFrame:
-    """Beta and correlation of paired returns; moments are centred in the frame, and a
-    variance of nearly nothing gives null."""
+    """Beta and correlation of paired returns; a variance of nearly nothing gives null.
+
+    Moments are differences of running sums (`long_frames`) of returns centred in their block, so a row costs the same for any length
+    of window. Whether a window is constant is decided exactly, by the length of the run of equal pairs' values that it ends in.
+    """
     on = F.col(bond).isNotNull() & F.col(stock).isNotNull()
-    y, x = F.when(on, F.col(bond)), F.when(on, F.col(stock))
+    d = d.withColumn("_y", F.when(on, F.col(bond))).withColumn("_x", F.when(on, F.col(stock)))
+    order = Window.partitionBy(key).orderBy("cal_idx")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_pairs": F.count("_x").over(so_far)} | {f"{c}_last": F.last(c, ignorenulls=True).over(past) for c in ("_x", "_y")})
+    for c in ("_x", "_y"):  # how many paired rows in a row have had this value
+        begun = F.when(on & ~F.col(c).eqNullSafe(F.col(f"{c}_last")), F.col("_pairs"))
+        d = d.withColumn(f"{c}_run", F.col("_pairs") - F.last(begun, ignorenulls=True).over(so_far) + 1)
+    d, w = long_frames(d, key, "cal_idx", max(windows))
+    block = Window.partitionBy(key, "_block")
+    d = d.withColumn("_u", F.col("_x") - F.avg("_x").over(block)).withColumn("_v", F.col("_y") - F.avg("_y").over(block))
     out = {}
     for n in windows:
-        w = frame(key, "cal_idx", -(n - 1), 0)
-        enough = F.count(x).over(w) >= min_periods(n)
-        cov, vx, vy = F.covar_pop(x, y).over(w), F.greatest(F.var_pop(x).over(w), F.lit(0.0)), F.greatest(F.var_pop(y).over(w), F.lit(0.0))
-        out[f"beta_{n}d"] = F.when(enough & (vx > 1e-18), cov / vx)
-        out[f"correlation_{n}d"] = F.when(enough & (vx > 1e-18) & (vy > 1e-18), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / (F.sqrt(vx) * F.sqrt(vy)))))
-    return d.withColumns(out)
+        total = lambda c, n=n: running(F.sum, c, w, n)
+        count = running(F.count, F.col("_x"), w, n)
+        mean = {c: F.try_divide(total(F.col(c)), count) for c in ("_u", "_v")}
+        moment = lambda a, b, count=count, mean=mean, total=total: F.try_divide(total(F.col(a) * F.col(b)), count) - mean[a] * mean[b]
+        vx, vy = (F.when(F.col(f"{r}_run") >= count, 0.0).otherwise(F.greatest(moment(c, c), F.lit(0.0))) for r, c in (("_x", "_u"), ("_y", "_v")))
+        out |= {f"_n{n}": count, f"_c{n}": moment("_u", "_v"), f"_vx{n}": vx, f"_vy{n}": vy}
+    d = d.withColumns(out).where("_block_own").drop("_block", "_block_own", "_u", "_v", *(f"{c}{end}" for c in ("_x", "_y") for end in ("", "_last", "_run")), "_pairs")
+    last = {}
+    for n in windows:
+        enough, cov, vx, vy = F.col(f"_n{n}") >= min_periods(n), F.col(f"_c{n}"), F.col(f"_vx{n}"), F.col(f"_vy{n}")
+        last[f"beta_{n}d"] = F.when(enough & (vx > 1e-18), cov / vx)
+        last[f"correlation_{n}d"] = F.when(enough & (vx > 1e-18) & (vy > 1e-18), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / (F.sqrt(vx) * F.sqrt(vy)))))
+    return d.withColumns(last).drop(*out)
 
 
 def underlying_map(d: DataFrame, key: str, stock: str) -> DataFrame:
@@ -116,10 +136,12 @@ def bond_trading(d: DataFrame, key: str, windows: tuple[int, ...] = (5, 10, 20),
     close against VWAP, on the columns of `bond_trading_base` and bond_return."""
     d = d.withColumns({f"cb_return_{n}d": window_return(close, n, key) for n in windows})
     d = d.withColumn("cb_short_long_momentum_5_20d", F.col("cb_return_5d") - F.col("cb_return_20d"))
-    out = {}
+    d, w = long_frames(d, key, "cal_idx", 61)  # the 60 positions before this one
     for n in (20, 60):
-        mean = rolling(F.avg, F.col("turnover"), n, key, "cal_idx", prior=True)
-        out[f"cb_abnormal_turnover_{n}d"] = F.when(mean > 0, F.col("turnover") / mean)
+        count = running(F.count, F.col("turnover"), w, n, prior=True)
+        mean = F.when(count >= min_periods(n), running(F.sum, F.col("turnover"), w, n, prior=True) / count)
+        d = d.withColumn(f"cb_abnormal_turnover_{n}d", F.when(mean > 1e-12 * F.max(F.abs("turnover")).over(Window.partitionBy(key, "_block")), F.col("turnover") / mean))
+    d, out = d.where("_block_own").drop("_block", "_block_own"), {}
     log_a = F.when(F.col("notional").isNotNull(), F.log("notional"))
     mean, std = (rolling(f, log_a, 20, key, "cal_idx", prior=True) for f in (F.avg, F.stddev_samp))
     out["cb_log_amount_zscore_20d"] = F.when(std > 1e-12, (log_a - mean) / std)

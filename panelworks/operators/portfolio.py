@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import first_match
+from .intervals import interval_join
 
 SCORE = "processed_factor"
 
@@ -36,29 +41,55 @@ def top_targets(scores: DataFrame, key: str, n: int = 20, cash: float = 0.1, cap
     return d.select(date, key, "position", "target_weight", (1 - F.sum("target_weight").over(w)).alias("implied_cash"))
 
 
-def cohorts(scores: DataFrame, schedule: DataFrame, key: str, n: int = 20, cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE) -> tuple[DataFrame, DataFrame]:
-    """(headers, snapshots) of a book of cohorts that are bought at entry and sold at exit.
+class CohortBook(NamedTuple):
+    """What a run of cohorts leaves for the next: stored, it lets new signals extend the book."""
+
+    #: (date, entry_date, exit_date, n_names, asked, given, status), a row for each signal.
+    headers: DataFrame
+    #: (key, entry_date, exit_date, weight), a row for each name that a cohort bought.
+    parts: DataFrame
+
+
+def cohort_book(scores: DataFrame, schedule: DataFrame, key: str, n: int = 20, cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE, before: CohortBook | None = None) -> CohortBook:
+    """A book of cohorts that are bought at entry and sold at exit.
 
     Each signal's cohort asks for its best n at equal weight up to `cap` each; it gets what
-    1 - cash leaves beside the cohorts still held, exits before entries. The recursion over
-    signals is one fold over the array of headers, a row a signal; its state is the cohorts
-    that are active.
+    1 - cash leaves beside the cohorts still held, exits before entries. The recursion goes over signals
+    in the order of their entries and keeps the cohorts that are active, so it takes time in proportion to the signals. With
+    `before`, whose signals all entered earlier, only the new signals of `schedule` are gone through; the cohorts that are still
+    active then, a few rows, come from its headers. The new book does not repeat the old one's rows.
     """
-    best = ranked(scores, key, date, score).where(F.col("position") <= n).join(F.broadcast(schedule.select(F.col("signal_date").alias(date), "entry_date", "exit_date")), date)
-    asked = schedule.select(F.col("signal_date").alias(date), "entry_date", "exit_date").join(best.groupBy(date).agg(F.count("*").alias("n_names")), date, "left").na.fill(0, ["n_names"])
-    asked = asked.withColumn("asked", F.col("n_names") * F.least(F.lit(cap), F.when(F.col("n_names") > 0, (1 - cash) / F.col("n_names")).otherwise(0.0)))
-    book = asked.agg(F.array_sort(F.collect_list(F.struct("entry_date", "exit_date", date, "n_names", "asked"))).alias("h"))
-    held = "filter(acc.held, c -> c.exit_date > x.entry_date)"
-    given = f"greatest(0D, least(x.asked, {1 - cash}D - aggregate({held}, 0D, (s, c) -> s + c.given)))"
-    kind = "struct<held: array<struct<exit_date: date, given: double>>, out: array<double>>"
-    fold = f"""aggregate(h, cast(named_struct('held', array(), 'out', array()) as {kind}), (acc, x) -> cast(named_struct(
-        'held', concat({held}, array(named_struct('exit_date', x.exit_date, 'given', {given}))), 'out', concat(acc.out, array({given}))) as {kind}), acc -> acc.out)"""
-    got = book.select("h", F.expr(fold).alias("g")).select(F.explode(F.arrays_zip("h", "g")).alias("z"))
-    headers = got.select(F.col(f"z.h.{date}").alias(date), "z.h.entry_date", "z.h.exit_date", "z.h.n_names", "z.h.asked", F.col("z.g").alias("given"))
+    days = schedule.select(F.col("signal_date").alias(date), "entry_date", "exit_date")
+    best = ranked(scores, key, date, score).where(F.col("position") <= n).join(F.broadcast(days), date)
+    asked = days.join(best.groupBy(date).agg(F.count("*").alias("n_names")), date, "left").na.fill(0, ["n_names"])
+    asked = asked.select(date, "entry_date", "exit_date", "n_names", (F.col("n_names") * F.least(F.lit(cap), F.when(F.col("n_names") > 0, (1 - cash) / F.col("n_names")).otherwise(0.0))).alias("asked"))
+    active: list[tuple] = []
+    if before is not None:
+        first = days.agg(F.min("entry_date").alias("_first"))
+        held = before.headers.join(F.broadcast(first), F.col("exit_date") > F.col("_first")).where("given > 0")
+        active = [(r["exit_date"], r["given"]) for r in held.select("exit_date", "given").collect()]
+    fields = T.StructType([*asked.schema.fields, T.StructField("given", T.DoubleType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(active)
+        for batch in batches:
+            given = []
+            for entry, end, want in zip(*(batch[c].to_pylist() for c in ("entry_date", "exit_date", "asked")), strict=True):
+                held = [c for c in held if c[0] > entry]
+                given.append(max(0.0, min(want, 1 - cash - sum(g for _, g in held))))
+                held.append((end, given[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(given, pa.float64())], names=fields.names)
+
+    headers = asked.coalesce(1).sortWithinPartitions("entry_date", "exit_date", date).mapInArrow(fold, fields)
     status = first_match((F.col("n_names") == 0, "skipped_no_candidates"), (F.col("given") <= 1e-12, "skipped_no_capacity"), (F.col("given") < F.col("asked") - 1e-12, "partially_allocated"), default="allocated")
     headers = headers.withColumn("status", status)
     parts = best.join(headers.where("given > 1e-12").select(date, "given", F.col("n_names").alias("_names")), date)
-    parts = parts.select(key, "entry_date", "exit_date", (F.col("given") / F.col("_names")).alias("weight"))
+    return CohortBook(headers, parts.select(key, "entry_date", "exit_date", (F.col("given") / F.col("_names")).alias("weight")))
+
+
+def cohorts(scores: DataFrame, schedule: DataFrame, key: str, n: int = 20, cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE) -> tuple[DataFrame, DataFrame]:
+    """(headers, weights) of a `cohort_book`: weights (execution_date, key, target_weight) on the dates that change them."""
+    headers, parts = cohort_book(scores, schedule, key, n, cash, cap, date, score)
     moves = parts.select(F.col("entry_date").alias("event_date"), key, "weight").unionByName(parts.select(F.col("exit_date").alias("event_date"), key, (-F.col("weight")).alias("weight")))
     net = moves.groupBy("event_date", key).agg(F.sum("weight").alias("_move"))
     total = F.sum("_move").over(Window.partitionBy(key).orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0))
@@ -66,34 +97,67 @@ def cohorts(scores: DataFrame, schedule: DataFrame, key: str, n: int = 20, cash:
     return headers, net.select(F.col("event_date").alias("execution_date"), key, weight.alias("target_weight"))
 
 
-def buffered(scores: DataFrame, key: str, n: int = 20, exits: tuple[int, ...] = (20, 25, 30, 40), cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE) -> DataFrame:
+def cohort_snapshots(parts: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    """(execution_date, key, n_cohorts, target_weight): all that a book holds after each date on which a cohort is bought or sold,
+    from the parts of a `cohort_book` (several books of one history may be put together). A name is held while entry_date <= date <
+    exit_date. On a date that leaves nothing, what was sold that day has weight 0. The parts are
+    joined with the dates by interval bins."""
+    dates = parts.select(F.col("entry_date").alias("execution_date")).union(parts.select("exit_date")).distinct()
+    held = interval_join(dates, parts, "execution_date", "entry_date", "exit_date", hot_rows=hot_rows)
+    held = held.groupBy("execution_date", key).agg(F.count("*").alias("n_cohorts"), F.sum("weight").alias("target_weight"))
+    flat = dates.join(held.select("execution_date").distinct(), "execution_date", "left_anti")
+    sold = parts.select(F.col("exit_date").alias("execution_date"), key).join(flat, "execution_date").distinct()
+    return held.unionByName(sold.select("execution_date", key, F.lit(0).cast("long").alias("n_cohorts"), F.lit(0.0).alias("target_weight")))
+
+
+def buffered(scores: DataFrame, key: str, n: int = 20, exits: tuple[int, ...] = (20, 25, 30, 40), cash: float = 0.1, cap: float = 0.1, date: str = "signal_date", score: str = SCORE, start: DataFrame | None = None) -> DataFrame:
     """(exit_rank, date, slot, key, retained, target_weight): n slots; a holding stays while its
     position is at most the exit rank, vacant slots take the best others, lowest slot first. All
     dates of `scores` count; one without candidates empties the slots.
 
-    Only names up to the exit rank matter, so the fold over dates, one row a portfolio, reads
-    an array of exit-rank names a date.
+    Only names up to the exit rank matter, so the recursion, one portfolio after the other in the order of dates, reads a row with
+    at most exit-rank names a date, and keeps n slots; it takes time in proportion to the dates. `start`, a `book_snapshot`, fills the
+    slots before the first date: later dates extend a stored book without going through its history.
     """
     if min(exits) < n:
         raise ValueError("an exit rank is below the number of slots")
-    key_type = scores.schema[key].dataType.simpleString()
+    kind = scores.schema[key]
     k = scores.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, exits))).alias("exit_rank"))
     d = ranked(scores, key, date, score).where(F.col("position") <= max(exits)).select(date, key, "position").join(F.broadcast(k), F.col("position") <= F.col("exit_rank"))
     lists = d.groupBy("exit_rank", date).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", key))), lambda x: x[key]).alias("names"))
-    lists = scores.select(date).distinct().crossJoin(F.broadcast(k)).join(lists, ["exit_rank", date], "left").withColumn("names", F.coalesce("names", F.array().cast(f"array<{key_type}>")))
-    books = lists.groupBy("exit_rank").agg(F.array_sort(F.collect_list(F.struct(date, "names"))).alias("days"))
-    slots = f"array<{key_type}>"
-    step = f"""transform(array(struct(x.names as names, transform(last.slots, s -> case when array_contains(x.names, s) then s end) as kept)), t ->
-        transform(array(struct(t.kept as kept, filter(t.names, y -> not coalesce(array_contains(array_compact(t.kept), y), false)) as others)), u ->
-        named_struct('day', x.{date}, 'slots', transform(u.kept, (s, i) -> coalesce(s, get(u.others, size(filter(slice(u.kept, 1, i + 1), v -> v is null)) - 1))), 'kept', u.kept))[0])[0]"""
-    state = f"struct<day: date, slots: {slots}, kept: {slots}>"
-    fold = f"""aggregate(days, array(cast(named_struct('day', null, 'slots', array_repeat(cast(null as {key_type}), {n}), 'kept', array_repeat(cast(null as {key_type}), {n})) as {state})),
-        (acc, x) -> concat(acc, transform(array(element_at(acc, -1)), last -> cast({step} as {state}))))"""
-    out = books.select("exit_rank", F.explode(F.expr(f"slice({fold}, 2, size(days))")).alias("b"))
-    out = out.select("exit_rank", F.col("b.day").alias(date), F.posexplode("b.slots").alias("slot", key), F.col("b.kept").alias("_kept"))
-    out = out.withColumn("retained", F.get("_kept", F.col("slot")).isNotNull()).where(F.col(key).isNotNull())
+    lists = scores.select(date).distinct().crossJoin(F.broadcast(k)).join(lists, ["exit_rank", date], "left").withColumn("names", F.coalesce("names", F.array().cast(T.ArrayType(kind.dataType))))
+    held: dict[int, list] = {}
+    for r in start.collect() if start is not None else ():  # n rows for each exit rank at most
+        held.setdefault(r["exit_rank"], [None] * n)[r["slot"] - 1] = r[key]
+    fields = T.StructType([lists.schema["exit_rank"], lists.schema[date], T.StructField("slot", T.IntegerType()), T.StructField(key, kind.dataType), T.StructField("retained", T.BooleanType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, slots = None, []
+        for batch in batches:
+            rows = []
+            for r, day, names in zip(*(batch[c].to_pylist() for c in ("exit_rank", date, "names")), strict=True):
+                if r != rank:
+                    rank, slots = r, list(held.get(r, [None] * n))
+                able, kept = set(names), {s for s in slots if s is not None}
+                slots = [s if s in able else None for s in slots]
+                others = (x for x in names if x not in kept)
+                for i, s in enumerate(slots):
+                    slots[i] = next(others, None) if s is None else s
+                    if slots[i] is not None:
+                        rows.append((r, day, i + 1, slots[i], s is not None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate((batch["exit_rank"].type, batch[date].type, pa.int32(), batch["names"].type.value_type, pa.bool_()))], names=fields.names)
+
+    out = lists.repartition("exit_rank").sortWithinPartitions("exit_rank", date).mapInArrow(fold, fields)
     weight = F.least(F.lit(cap), (1 - cash) / F.count("*").over(Window.partitionBy("exit_rank", date)))
-    return out.select("exit_rank", date, (F.col("slot") + 1).alias("slot"), key, "retained", weight.alias("target_weight"))
+    return out.withColumn("target_weight", weight)
+
+
+def book_snapshot(book: DataFrame, key: str, day: str | None = None, date: str = "signal_date") -> DataFrame:
+    """(exit_rank, slot, key): what a book of `buffered` holds on a date, its last one if none is given; a date on which it holds nothing has
+    no rows."""
+    on = F.lit(day).cast("date") if day is not None else None
+    last = book if on is not None else book.join(F.broadcast(book.agg(F.max(date).alias("_last"))), F.col(date) == F.col("_last"))
+    return (last.where(F.col(date) == on) if on is not None else last).select("exit_rank", "slot", key)
 
 
 def buffer_audit(book: DataFrame, scores: DataFrame, key: str, date: str = "signal_date", score: str = SCORE) -> DataFrame:

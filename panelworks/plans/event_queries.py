@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators import universe as U
 from ..operators import valuation as V
-from ..operators.asof import asof_backward
+from ..operators.asof import asof_backward, asof_spread
 from ..functions import expressions as X
 from ..operators.calendar import execution_schedule, horizon_schedules, month_windows, next_open, partition_schedule
 from ..operators.checks import forbid_columns, holdout_guard, key_difference, research_slice
+from ..operators.intervals import interval_join
 from .panels import BARS, SIGNALS, market, read, register, rounded, signals, tidy, week, weeks
 
 QUERIES: dict = {}
@@ -106,6 +107,33 @@ def asof_query(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(asof_backward(panel, ratings(spark, sf), "code", "signal_date", "effective_date", ["rating", "rating_score"], "rating_date"))
 
 
+HOT_SQL = """
+ev AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_custkey END AS code, CAST(o_orderdate AS DATE) AS day, o_orderpriority, o_totalprice FROM orders
+  QUALIFY row_number() OVER (PARTITION BY CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_custkey END, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) = 1),
+ln AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_suppkey END AS code, CAST(l_shipdate AS DATE) AS day FROM lineitem)"""
+
+
+@query("asof_hot_key", f"WITH {HOT_SQL} SELECT l_orderkey, l_linenumber, ln.code, o_orderpriority AS state, round(o_totalprice, 6) AS size, ev.day AS state_date FROM ln ASOF LEFT JOIN ev ON ln.code = ev.code AND ln.day >= ev.day")
+def asof_hot_key(spark: SparkSession, sf: str) -> DataFrame:
+    """As-of states of shipments where one code has half of all orders and shipments."""
+    merged = lambda c: F.when(F.col(c) % 2 == 0, F.lit(0)).otherwise(F.col(c)).alias("code")
+    o = read(spark, sf, "orders").groupBy(merged("o_custkey"), F.col("o_orderdate").cast("date").alias("day")).agg(F.max_by(F.struct(F.col("o_orderpriority").alias("state"), F.col("o_totalprice").alias("size")), "o_orderkey").alias("s"))
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", merged("l_suppkey"), F.col("l_shipdate").cast("date").alias("day"))
+    d = asof_spread(lines, o.select("code", F.col("day").alias("effective"), "s.state", "s.size"), "code", "day", "effective", ["state", "size"], "state_date")
+    return tidy(d.drop("day"))
+
+
+@query("orders_in_reach", """WITH o AS (SELECT o_orderkey, o_custkey % 10 AS region, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders),
+i AS (SELECT o_orderkey AS anchor, region, day AS start, day + 1 + CAST(o_orderkey % 30 AS INTEGER) AS stop FROM o WHERE o_orderkey % 5 = 0)
+SELECT anchor, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM i JOIN o ON o.region = i.region AND o.day >= i.start AND o.day < i.stop GROUP BY 1""")
+def orders_in_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a group of customers within the 1 to 30 days that each fifth order starts: intervals that overlap, by key."""
+    o = read(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("region"), F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    i = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("anchor"), "region", F.col("day").alias("start"), F.date_add("day", (F.col("o_orderkey") % 30 + 1).cast("int")).alias("stop"))
+    d = interval_join(o, i, "day", "start", "stop", ["region"], hot_rows=100_000).groupBy("anchor").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    return d.select("anchor", "n_orders", rounded("total", 2).alias("total"))
+
+
 def universe(spark: SparkSession, sf: str) -> DataFrame:
     orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderdate").cast("date").alias("day"))
     first = orders.groupBy("code").agg(F.min("day").alias("list_date"))

@@ -346,6 +346,14 @@ def cohort_weights(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(P.cohorts(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08)[1])
 
 
+@query("active_cohorts", f"""WITH RECURSIVE {COHORTS}, pt AS (SELECT b.code, b.entry_date, b.exit_date, given / n_names AS w FROM best b JOIN hd USING (signal_date) WHERE given > 1e-12),
+ed AS (SELECT entry_date AS d FROM pt UNION SELECT exit_date FROM pt), ac AS (SELECT d, code, count(*) AS n, sum(w) AS w FROM ed JOIN pt ON entry_date <= d AND d < exit_date GROUP BY ALL)
+SELECT d AS execution_date, code, n AS n_cohorts, round(w, 6) AS target_weight FROM ac UNION ALL SELECT DISTINCT exit_date, code, 0, 0.0 FROM pt WHERE exit_date NOT IN (SELECT d FROM ac)""")
+def active_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = P.cohort_book(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08).parts
+    return tidy(P.cohort_snapshots(stored(parts, "cohort-parts"), "code"), "execution_date", "code", "n_cohorts", "target_weight")
+
+
 def barred(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates that are all barred on every seventh date."""
     day = F.datediff("signal_date", F.to_date(F.lit("1990-01-01")))
@@ -370,11 +378,27 @@ def book(spark: SparkSession, sf: str) -> DataFrame:
     return P.buffered(barred(spark, sf), "code", n=SLOTS, exits=(10, 15, 20))
 
 
-@query("rank_buffer", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, CAST(slot AS BIGINT) AS slot, code, retained, round(target_weight, 6) AS target_weight FROM bk JOIN dt USING (i)")
+RANK_BUFFER = f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, CAST(slot AS BIGINT) AS slot, code, retained, round(target_weight, 6) AS target_weight FROM bk JOIN dt USING (i)"
+
+
+@query("rank_buffer", RANK_BUFFER)
 def rank_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(book(spark, sf))
 
 
+#: Where the extended book stops and starts again.
+CUT = "1998-06-01"
+
+
+@query("extended_book", RANK_BUFFER)
+def extended_book(spark: SparkSession, sf: str) -> DataFrame:
+    """The book of rank_buffer in two runs: the second starts from a stored snapshot of the first's last date."""
+    d = stored(barred(spark, sf), "scores")
+    first = stored(P.buffered(d.where(f"signal_date < '{CUT}'"), "code", SLOTS, (10, 15, 20)), "book")
+    start = stored(P.book_snapshot(first, "code"), "snapshot")
+    return tidy(first.unionByName(P.buffered(d.where(f"signal_date >= '{CUT}'"), "code", SLOTS, (10, 15, 20), start=start)))
+
+
 @query("buffer_audit", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, n_eligible, n_selected, n_retained, n_entered, n_exited, round(gross_weight, 6) AS gross_weight FROM aud")
 def buffer_audit(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(P.buffer_audit(book(spark, sf), barred(spark, sf), "code"))
