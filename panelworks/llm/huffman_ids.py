@@ -27,8 +27,10 @@ HEAD = struct.Struct("<4sHHIIQ")
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     """Bits of each id, 0 for ids without a count. Package-merge, so no code of at most
-    `limit` bits is shorter in total."""
+    `limit` bits is shorter in total. More ids than 2**limit have no such code, which raises."""
     ids = np.flatnonzero(counts)
+    if len(ids) > 1 << limit:
+        raise ValueError(f"{len(ids)} ids cannot have codes of {limit} bits")
     out = np.zeros(len(counts), np.uint8)
     if len(ids) < 2:
         out[ids] = 1

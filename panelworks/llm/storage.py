@@ -104,6 +104,11 @@ def discard_since(spark: SparkSession, before: set[str], *still_read: DataFrame)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def release(spark: SparkSession) -> None:
+    """Drops all intermediate tables of the application, also those that results still read: for the end of a session."""
+    spark.sql(f"DROP DATABASE IF EXISTS {scratch(spark)} CASCADE")
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most `most` rows by the hash of the key. A cut of the hash comes first, so that
     all tasks together send about that many, however many tasks there are."""

@@ -107,7 +107,3 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
             on = length > k
             h[on] = mix(h[on] * U64(3) + words[first[on] + k])
     return h, out_bounds
-
-
-def split_rows(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    return [values[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]

@@ -271,6 +271,20 @@ def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")))
 
 
+def test_too_many_ids_for_the_code():
+    assert code_lengths(np.ones(1 << 16, np.int64)).max() == 16
+    with pytest.raises(ValueError, match="cannot have codes"):
+        code_lengths(np.ones((1 << 16) + 1, np.int64))
+
+
+def test_release(spark):
+    from panelworks.llm.storage import kept_tables, materialise, release
+
+    materialise(spark.range(3), "some")
+    release(spark)
+    assert not kept_tables(spark)
+
+
 def test_jaccard(spark):
     rng = random.Random(9)
     passage = prose(rng, 60)
@@ -474,6 +488,24 @@ def test_classifier_posteriors_by_brute_force(spark):
     assert quality_classifier(d, labels, host_weight=1e9, path_weight=1e9).agg(F.max("host_prior") - F.min("host_prior")).first()[0] < 1e-4
 
 
+def test_classifier_on_sparse_sites(spark):
+    d, labels = labelled(spark)
+    one = quality_classifier(d.limit(1), labels.limit(0)).collect()
+    assert len(one) == 1 and one[0].kept and one[0].host_prior == one[0].path_prior
+    alone = d.withColumn("source", F.concat(F.lit("host"), "doc_id"))
+    rows = quality_classifier(alone, labels).collect()
+    assert len(rows) == d.count() and len({r.host_prior for r in rows}) == 1 and all(r.path_prior == r.host_prior and 0 < r.p_quality < 1 for r in rows)
+    paths = quality_classifier(d.withColumn("source", F.lit("h")).withColumn("lang", F.concat(F.lit("p"), "doc_id")), labels).collect()
+    assert len(paths) == d.count() and all(r.path_prior == r.host_prior for r in paths)
+    for given, known in ((d.withColumn("source", F.lit("h")).withColumn("lang", F.lit("p")), labels), (alone, labels.limit(0)), (d.limit(0), labels)):
+        rows = quality_classifier(given, known).collect()
+        assert len(rows) == given.count() and all(0 <= r.p_quality <= 1 for r in rows)
+    same = quality_classifier(d.withColumn("text", F.lit("one text")).withColumn("source", F.concat(F.lit("host"), "doc_id")), labels.limit(0))
+    assert {r.kept for r in same.collect()} == {True}
+    for a, b in ((0.0, 0.0), (5.0, 0.0), (0.0, 5.0)):
+        assert quality_classifier(alone, labels, host_weight=a, path_weight=b).where("path_prior is null or p_quality is null").count() == 0
+
+
 def test_classifier_reads_words(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, 120) + (" dull hollow vapid" if i % 2 else "")) for i in range(300)] + [(1000, "long word " * 40_000)]

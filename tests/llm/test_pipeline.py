@@ -34,3 +34,16 @@ def test_packing_stage_keeps_ids(spark):
 
     rows = corpus_pipeline.packing_stage(spark, docs(spark, [(1, "some words " * 700), (2, None)]), "").collect()
     assert rows and all(len(r.ids) == r.length for r in rows)
+
+
+def test_a_document_per_host(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from test_llm_small import labelled
+
+    d, labels = labelled(spark)
+    d.withColumn("source", F.concat(F.lit("host"), "doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    d.where("doc_id = 3").write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "one" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "one")).count() == 1
