@@ -1,9 +1,10 @@
 """Near copies among embeddings: sign hashing, exact cosines, connected components.
 
 Equal vectors of a label are one class from the start. A class goes into one bucket of each table, by
-the signs of its vector against random hyperplanes, as a row with its number and a sketch of
-SKETCH signs, never the vector. Pairs that meet in a bucket and whose sketches are near enough are
-candidates; each is kept once, its vectors are fetched by number, and its cosine is computed in
+the signs of its vector against random hyperplanes, as a row with its number and a sketch, the signs of
+all tables, never the vector. Pairs that meet in a bucket and whose sketches are near enough are
+candidates. The sketches also say in which tables two classes meet, so a pair is taken in the first of them alone: no
+pair is made twice, and none needs to be told from others. The vectors of a candidate are fetched by number, and its cosine is computed in
 double precision. A pair at the threshold is missed with probability `miss` by the tables and
 SKETCH_MISS by the sketches; any closer pair with less.
 """
@@ -25,7 +26,7 @@ from .textkernel import U64, mix
 THRESHOLD = 0.98
 #: A pair at the threshold stays unseen by all tables with at most this probability.
 MISS = 1e-6
-#: Signs of a sketch, and the probability that a pair at the threshold differs in more than is let pass.
+#: Signs of a sketch at least, and the probability that a pair at the threshold differs in more than is let pass.
 SKETCH, SKETCH_MISS = 128, 1e-9
 #: Unrelated classes of its label that a class meets in a bucket, about.
 LOAD = 16
@@ -41,14 +42,19 @@ def table_shape(vectors: int, labels: int, threshold: float = THRESHOLD, miss: f
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
 
-def sketch_limit(threshold: float = THRESHOLD, miss: float = SKETCH_MISS) -> int:
+def sketch_limit(signs: int = SKETCH, threshold: float = THRESHOLD, miss: float = SKETCH_MISS) -> int:
     """The fewest signs so that a pair at the threshold differs in more with probability `miss` at most."""
     p, at_most = math.acos(threshold) / math.pi, 0.0
-    for k in range(SKETCH + 1):
-        at_most += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+    for k in range(signs + 1):
+        at_most += math.comb(signs, k) * p**k * (1 - p) ** (signs - k)
         if 1 - at_most <= miss:
             return k
-    return SKETCH
+    return signs
+
+
+def sketch_words(bits: int, tables: int) -> int:
+    """Longs of a sketch: the signs of all tables, and more up to SKETCH."""
+    return -(-max(SKETCH, bits * tables) // 64)
 
 
 def planes(dim: int, count: int) -> np.ndarray:
@@ -71,28 +77,38 @@ def _matrices(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _sign_rows(bits: int, tables: int):
-    """Rows (cls, label, vec) to (bucket, cls, s1, s2), one for each table."""
+    """Rows (cls, label, vec) to (bucket, cls, no, s0, s1, ...), one for each table `no`."""
+    words = sketch_words(bits, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls, label = (batch[x].to_numpy() for x in ("cls", "label"))
             for at, m in _matrices(batch["vec"]):
-                sign = m / np.abs(m).max(1, keepdims=True) @ planes(m.shape[1], bits * tables + SKETCH) > 0
+                sign = m / np.abs(m).max(1, keepdims=True) @ planes(m.shape[1], 64 * words) > 0
                 code = sign[:, : bits * tables].reshape(len(at), tables, bits) @ (U64(1) << np.arange(bits, dtype=U64))
                 place = mix(label[at].view(U64) ^ mix(np.array([m.shape[1]], U64)))[:, None] + np.arange(tables, dtype=U64)
                 bucket = mix(mix(place) ^ code)
-                sketch = np.packbits(sign[:, bits * tables :], axis=1).view(np.int64)
-                cols = [bucket.view(np.int64).ravel(), np.repeat(cls[at], tables), *(np.repeat(sketch[:, k], tables) for k in range(2))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "cls", "s1", "s2"])
+                sketch = np.packbits(sign, axis=1).view(np.int64)
+                cols = [bucket.view(np.int64).ravel(), np.repeat(cls[at], tables), np.tile(np.arange(tables, dtype=np.int16), len(at)), *(np.repeat(sketch[:, k], tables) for k in range(words))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "cls", "no", *(f"s{k}" for k in range(words))])
 
     return run
 
 
-def _candidates(limit: int):
-    """Rows sorted by tile to pairs (a, b), a < b, whose sketches differ in `limit` signs at most."""
+def first_meeting(apart: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The first table in which two classes have the same signs, from the exclusive-or of their sketches, a row a pair."""
+    differs = np.unpackbits(np.ascontiguousarray(apart).view(np.uint8), axis=1, count=bits * tables)
+    return differs.reshape(-1, tables, bits).any(2).argmin(1)
+
+
+def _candidates(limit: int, bits: int, tables: int):
+    """Rows sorted by tile to pairs (a, b), a < b, whose sketches differ in `limit` signs at most and that
+    meet in no earlier table."""
+    words = sketch_words(bits, tables)
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
-        c = {k: t[k].to_numpy() for k in ("tile", "cls", "chunk", "s1", "s2")} | {"inner": t["inner"].to_numpy(zero_copy_only=False)}
+        c = {k: t[k].to_numpy() for k in ("tile", "cls", "chunk", "no")} | {"inner": t["inner"].to_numpy(zero_copy_only=False)}
+        sketch = np.column_stack([t[f"s{k}"].to_numpy() for k in range(words)]).view(U64)  # bits of negative longs are not those of their size
         i, found = np.arange(len(t)), []
         for d in range(1, len(t)):
             i = i[i + d < len(t)]
@@ -100,12 +116,13 @@ def _candidates(limit: int):
             if not len(i):
                 break
             j = i + d
-            apart = np.bitwise_count(c["s1"][i] ^ c["s1"][j]) + np.bitwise_count(c["s2"][i] ^ c["s2"][j])
-            on = (apart <= limit) & (c["inner"][i] | (c["chunk"][i] != c["chunk"][j]))
-            found.append((c["cls"][i[on]], c["cls"][j[on]]))
+            apart = sketch[i] ^ sketch[j]
+            on = (np.bitwise_count(apart).sum(1) <= limit) & (c["inner"][i] | (c["chunk"][i] != c["chunk"][j]))
+            x, y, apart = i[on], j[on], apart[on]
+            new = first_meeting(apart, bits, tables) == c["no"][x]
+            found.append((c["cls"][x[new]], c["cls"][y[new]]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        both = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -144,16 +161,19 @@ def _verify(threshold: float):
 def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(a, b): pairs a < b of classes (cls, label long, vec) of equal labels and lengths that link."""
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
-    rows = classes.select("cls", "label", "vec").mapInArrow(_sign_rows(*table_shape(total, labels, threshold, miss)), "bucket long, cls long, s1 long, s2 long")
+    bits, tables = table_shape(total, labels, threshold, miss)
+    signs = [f"s{k}" for k in range(sketch_words(bits, tables))]
+    rows = classes.select("cls", "label", "vec").mapInArrow(_sign_rows(bits, tables), "bucket long, cls long, no short, " + ", ".join(f"{s} long" for s in signs))
     rows = materialise(rows, "signatures")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     sizes = materialise(sizes, "large-buckets")
     met = rows.join(sizes, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    met = met.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("tile"), "cls", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), "s1", "s2")
-    pairs = met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(_candidates(sketch_limit(threshold)), "a long, b long")
-    pairs = materialise(pairs.distinct(), "candidates")
+    met = met.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("tile"), "cls", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), "no", *signs)
+    limit = sketch_limit(64 * len(signs), threshold)
+    pairs = met.repartition("tile").sortWithinPartitions("tile", "cls").mapInArrow(_candidates(limit, bits, tables), "a long, b long")
+    pairs = materialise(pairs, "candidates")
     discard(rows, sizes)
     held = lambda x: classes.select(F.col("cls").alias(x), F.col("vec").alias(f"v{x}"), F.col("label").alias(f"l{x}"))
     full = pairs.join(held("b"), "b").join(held("a"), "a").where("la = lb and size(va) = size(vb)")

@@ -23,6 +23,11 @@ the threshold. `jaccard_links` pairs buckets in full, so a group of near copies
 links, the square of its size. `jaccard_components` only needs what joins: in each bucket, classes are first
 compared with one leader alone, that with the fewest rarer tokens, which copies of one text are closest to; then
 buckets are paired in full, but only between classes that are not yet in one component, so groups stay near linear.
+
+How links are counted. Every link lies inside a component, so `jaccard_join` deals the classes of each component into blocks
+of bounded size and compares each two blocks in one task: prefixes must meet under all three orders there too, what
+is left is verified on whole sets, and only a number for each class and pair of blocks comes out. No link is left out, and no row is
+made for a pair; a component of m classes sends each of them m / BLOCK_CLASSES times.
 """
 
 from __future__ import annotations
@@ -45,6 +50,10 @@ WORDS, PERCENT = 5, 75
 WHOLE, CUT = 256, 64
 #: Chance at most that cut pools of two similar sets share fewer tokens than `need`.
 MISS = 1e-11
+#: Classes, and tokens of their sets, that a block of a component holds on average at most.
+BLOCK_CLASSES, BLOCK_TOKENS = 128, 500_000
+#: Tokens that are counted together in a comparison of two blocks.
+COLUMNS = 4096
 #: Bits of a set's parity sketch, as longs: two sketches differ in no more bits than the
 #: sets in tokens.
 SKETCH = 16
@@ -142,7 +151,7 @@ class Links(NamedTuple):
 
     #: (id, n, cls): a row for each row of the documents; cls is null without shingles or id.
     rows: DataFrame
-    #: (cls, n, rep): classes of equal sets with their smallest id.
+    #: (cls, n, rep, copies): classes of equal sets with their smallest id and number of rows.
     classes: DataFrame
     #: (a, b): every verified pair of different classes, once with a < b.
     pairs: DataFrame
@@ -166,10 +175,10 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     signed = materialise(shingle_signatures(d, words, whole), "signatures")
     linked = signed.where("n > 0 and id is not null")
     key = ["set_a", "set_b", "n"]
-    classes = materialise(linked.groupBy(*key).agg(F.min("id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = materialise(linked.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     of = linked.join(classes, key)
     reps = materialise(of.where("id = rep").dropDuplicates(["cls"]).select("cls", "id", *key, "pool", "parity"), "representatives")
-    rows = materialise(signed.select("id", F.when(F.col("id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b", "n").join(classes.drop("rep"), key, "left").select("id", "n", "cls"), "members")
+    rows = materialise(signed.select("id", F.when(F.col("id").isNotNull(), F.col("set_a")).alias("set_a"), "set_b", "n").join(classes.drop("rep", "copies"), key, "left").select("id", "n", "cls"), "members")
     tokens = reps.select("cls", F.explode("pool").alias("token"))
     shared = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared-tokens")
     hits = tokens.join(shared, "token")
@@ -184,7 +193,7 @@ def _prepare(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     sets = materialise(shingle_sets(d.join(heads.select("id", "cls", "set_a", "set_b"), "id"), words).dropDuplicates(["cls"]), "sets")
     at = heads.select("cls", "n", "need", "left", "parity", F.posexplode("first.token").alias("k", "token"))
     at = at.select("token", "cls", "k", F.struct("n", "need", (F.col("left") - F.col("k")).alias("left"), "parity").alias("fit"))
-    return _Prepared(rows, classes.select("cls", "n", "rep"), heads, sets, at)
+    return _Prepared(rows, classes.select("cls", "n", "rep", "copies"), heads, sets, at)
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> Links:
@@ -202,6 +211,64 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return Links(p.rows, p.classes, out)
 
 
+def overlaps(lists: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common values of each list of `left` with each other one of `right`, from lists of distinct longs; what a list
+    has in common with itself is not told."""
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1  # values of one list alone are in no pair
+    keep = n[at] > 1
+    row, column = row[keep], number[at[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, width, COLUMNS):
+        i, j = np.searchsorted(column, (c, c + COLUMNS))
+        part = np.zeros((len(lists), min(COLUMNS, width - c)), np.float32)
+        part[row[i:j], column[i:j] - c] = 1
+        out += part[left] @ part[right].T
+    return out.astype(np.int64)
+
+
+def block_links(t: pa.Table, percent: int) -> pa.Table:
+    """(cls, linked) of two blocks `lo` and `hi` of a component: for each class the rows of the classes of the other block, or of the
+    same if there is but one, that it links with."""
+    lists = {c: t[c].combine_chunks() for c in ("first", "second", "third", "tokens")}
+    block, copies, cls = (t[c].to_numpy() for c in ("block", "copies", "cls"))
+    lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    link = np.ones((len(left), len(right)), bool)
+    if lo == hi:
+        np.fill_diagonal(link, False)
+    for order in ("first", "second", "third"):
+        if link.any():
+            link &= overlaps(lists[order], left, right) > 0
+    if link.any():
+        size, common = lists["tokens"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), overlaps(lists["tokens"], left, right)
+        link &= 100 * common >= percent * (size[left][:, None] + size[right][None] - common)
+    sides = [(left, link @ copies[right])] + ([(right, copies[left] @ link)] if lo != hi else [])
+    at, linked = (np.concatenate(x) for x in zip(*sides, strict=True))
+    some = linked > 0
+    return pa.table({"cls": pa.array(cls[at[some]], pa.int64()), "linked": pa.array(linked[some], pa.int64())})
+
+
+def _link_counts(p: _Prepared, comp: DataFrame, percent: int) -> DataFrame:
+    """(cls, linked): the rows of other classes that each class links with; classes without links have no row."""
+    members = p.heads.select("cls", "n", F.col("first.token").alias("first"), "second", "third").join(comp, "cls")
+    sizes = members.groupBy("component").agg(F.count("*").alias("_m"), F.sum("n").alias("_t")).where("_m > 1")
+    blocks = F.ceil(F.greatest(F.col("_m") / BLOCK_CLASSES, F.col("_t") / BLOCK_TOKENS)).cast("int")
+    sizes = materialise(sizes.select("component", blocks.alias("blocks")), "component-blocks")
+    d = members.drop("n").join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    d = d.join(p.classes.select("cls", "copies"), "cls").join(p.sets, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("component", "cls", "copies", "first", "second", "third", "tokens", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    counted = d.groupBy("component", "lo", "hi").applyInArrow(lambda t: block_links(t, percent), "cls long, linked long")
+    out = materialise(counted.groupBy("cls").agg(F.sum("linked").alias("linked")), "link-counts")
+    discard(sizes)
+    return out
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
     """A row for each row of `docs`: `id_col`, n_shingles, component_id.
 
@@ -213,18 +280,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id are one node, whose links are those of all its texts, and appear as often as they come, each
     with the shingles of its own text. Other columns are not read.
     """
+    return _joined(docs, id_col, text_col, words, percent, exact, False)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, exact: bool = False) -> DataFrame:
+    """As `jaccard_components`, with n_links: how many other rows a row links with, from all links. Rows of a null id, or without
+    shingles, have 0; rows that share an id count each for itself."""
+    return _joined(docs, id_col, text_col, words, percent, exact, True)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, exact: bool, count: bool) -> DataFrame:
     whole = 1 << 40 if exact else WHOLE
     p = _prepare(docs, id_col, text_col, words, percent, whole)
     links = _joining_links(p, percent, whole)
     shared = p.rows.where("cls is not null").groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z")
     same = p.rows.where("cls is not null").join(shared, "id").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
     comp = connected_components(links.unionByName(same), "a", "b").select(F.col("node").alias("cls"), "component")
-    ends = p.classes.join(comp, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
+    counts = _link_counts(p, comp, percent) if count else None
+    ends = p.classes.join(comp, "cls", "left").select("cls", "rep", "copies", F.coalesce("component", "cls").alias("root"))
     least = materialise(ends.groupBy("root").agg(F.min("rep").alias("component_id")), "least-ids")
-    ends = materialise(ends.join(least, "root").select("cls", "component_id"), "class-components")
-    discard(least, links, p.heads, p.sets)
+    ends = ends.join(least, "root")
+    if count:
+        ends = ends.join(counts, "cls", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
+    ends = materialise(ends.select("cls", "component_id", *["n_links"] * count), "class-components")
+    discard(least, links, p.heads, p.sets, *([counts] if count else []))
     out = p.rows.join(ends, "cls", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] * count))
 
 
 def _joining_links(p: _Prepared, percent: int, whole: int) -> DataFrame:

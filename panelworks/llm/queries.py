@@ -14,7 +14,7 @@ from .html_extraction import extract_text
 from .huffman_ids import read_ids, write_ids
 from .katz_lm import katz_scores
 from .mixing import mixing_rates
-from .ngram_jaccard import jaccard_components
+from .ngram_jaccard import jaccard_join
 from .packing import pack_documents
 from .quality_classifier import quality_classifier
 from .quality_rules import RULES, STOP_WORDS, quality_rules
@@ -149,7 +149,7 @@ def op9_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = r"""
@@ -164,9 +164,10 @@ l AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
   JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
-r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT r.a AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
-FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a, n.n
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT r.a AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, CAST(coalesce(k.k, 0) AS BIGINT) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = r.a LEFT JOIN k ON k.a = r.a GROUP BY r.a, n.n, k.k
 """
 
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,27 @@ def test_embeddings(spark):
     assert embedding_dedup(d.limit(0)).count() == 0
 
 
+def test_embeddings_with_several_tables(spark):
+    """Every link of two thousand vectors is found, each pair once, also inside families larger than a block."""
+    from panelworks.llm import embedding_dedup as near
+
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 24))
+    v = [base[k] + 0.08 * rng.normal(size=24) for k in range(300) for _ in range(4)] + [base[0] + 0.02 * rng.normal(size=24) for _ in range(700)]
+    v = np.array(v).astype(np.float32).astype(float)
+    bits, tables = near.table_shape(len(v), 1)
+    assert bits > 5 and tables > 8
+    d = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r.n_links for r in embedding_dedup(d).collect()}
+    assert [got[i] for i in range(len(v))] == link.sum(1).tolist() and link.sum() > 400_000
+    classes = d.select(F.col("vec_id").alias("cls"), F.lit(0).cast("long").alias("label"), F.col("embedding").alias("vec"))
+    pairs = [tuple(r) for r in near.embedding_links(classes).collect()]
+    assert len(pairs) == len(set(pairs)) == link.sum() // 2 and all(a < b for a, b in pairs)
+
+
 def test_archive(spark):
     big = "<p>" + "é" * 900
     rows = [(1, "u1", big), (2, "u2\r\nX: y", big), (3, "u3", big), (4, "u4", "small"), (5, None, "small"), (6, "u6", None), (3, "u3", big)]
@@ -349,6 +370,42 @@ def test_jaccard_ids_with_several_texts(spark):
     assert got[7] == {(56, 5), (57, 5)} and len(got) == 54
 
 
+@pytest.mark.parametrize("classes", [128, 7])
+def test_jaccard_counts_all_links(spark, monkeypatch, classes):
+    """Every link is counted, whether a component is one block or many."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_CLASSES", classes)
+    rng, rows = random.Random(41), []
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    for k in range(60):
+        rows.append((k, " ".join([*base[:-1], f"u{k}"])))
+    for n in (20, 90, 400):
+        text = [f"t{rng.randrange(9000)}" for _ in range(n)]
+        for _ in range(25):
+            w = list(text)
+            for _ in range(rng.randrange(n // 15 + 1)):
+                w[rng.randrange(n)] = f"v{rng.randrange(10**6)}"
+            rows.append((100 + len(rows), " ".join(w)))
+    rows += [(900, rows[3][1]), (901, rows[3][1]), (None, rows[4][1]), (902, None), (903, "alone here"), (904, "alone here"), (905, "alone there")]
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()) for i, t in rows for w in [words_of(t)]]
+    want = {i: sum(1 for j, b in sets if j is not None and j != i and a and b and 100 * len(a & b) >= 75 * len(a | b)) for i, a in sets if i is not None}
+    got = {r.doc_id: r for r in ngram_jaccard.jaccard_join(docs(spark, rows)).collect()}
+    assert {i: r.n_links for i, r in got.items() if i is not None} == want and got[None].n_links == 0
+    assert sum(want[i] for i in range(60)) == 2 * 1770 + 60 * 2
+    assert ngram_jaccard.jaccard_join(docs(spark, [])).count() == 0
+
+
+def test_overlaps_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_jaccard, "COLUMNS", 5)
+    rng = random.Random(2)
+    lists = [rng.sample(range(-40, 40), rng.randrange(0, 30)) for _ in range(20)]
+    left, right = np.arange(0, 12), np.arange(12, 20)
+    got = ngram_jaccard.overlaps(pa.array(lists, pa.list_(pa.int64())), left, right)
+    assert got.tolist() == [[len(set(lists[i]) & set(lists[j])) for j in right] for i in left]
+    assert ngram_jaccard.overlaps(pa.array([[], []], pa.list_(pa.int64())), left[:1], left[1:2]).tolist() == [[0]]
+
+
 def brute_katz(texts, train, order):
     """(log10 score of each text, P(word | context)) by counting in dictionaries."""
     c = [collections.Counter() for _ in range(order)]
@@ -418,6 +475,28 @@ def test_katz(spark, order):
     assert katz_lm.katz_scores(docs(spark, []), order=order).scores.count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 3])
+def test_a_stored_katz_model_scores_texts(spark, tmp_path, order):
+    from panelworks.llm.katz_model import load_model, save_model, score_texts
+
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randrange(0, 60))) for i in range(120)] + [(500, None), (501, ""), (None, prose(rng, 9)), (502, "one two " * 4000), (3, prose(rng, 20))]
+    model = katz_lm.katz_scores(docs(spark, rows), order=order, chunk_text=3000, bucket_entries=400)
+    was = sorted(model.scores.collect(), key=str)
+    save_model(model, str(tmp_path / "lm"))
+    model = load_model(spark, str(tmp_path / "lm"))
+    near = lambda a, b: str(a[:5]) == str(b[:5]) and abs(a.base_score - b.base_score) < 1e-9 and abs(a.score - b.score) < 1e-9
+    got = sorted(score_texts(model, docs(spark, rows), chunk_text=7000).collect(), key=str)
+    assert len(got) == len(was)
+    by = lambda x: (str(x.doc_id), x.n_tokens, round(x.score, 6))
+    assert all(near(a, b) for a, b in zip(sorted(got, key=by), sorted(was, key=by), strict=True))
+    new = {r.doc_id: r for r in score_texts(model, docs(spark, [(1, "quite unheard-of words"), (2, rows[5][1]), (2, rows[5][1])])).collect()}
+    assert new[1].n_known == 1 and new[1].score < 0 and abs(new[2].score - next(r.score for r in was if r.doc_id == 5)) < 1e-9
+    assert score_texts(model, docs(spark, [])).count() == 0
+    with pytest.raises(Exception, match="exists"):
+        save_model(model, str(tmp_path / "lm"))
+
+
 def test_katz_discounts_and_hashed_keys(spark, monkeypatch):
     for freq in ([0] * 6, [5, 0, 0, 0, 0, 0], [100, 40, 20, 12, 8, 6], [1, 50, 3, 70, 1, 9]):
         d = katz_lm.Discounts.of(freq)(np.arange(1, 10_000))
