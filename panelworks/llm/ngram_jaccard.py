@@ -51,7 +51,7 @@ WHOLE, CUT = 256, 64
 #: Chance at most that cut pools of two similar sets share fewer tokens than `need`.
 MISS = 1e-11
 #: Classes, and tokens of their sets, that a block of a component holds on average at most.
-BLOCK_CLASSES, BLOCK_TOKENS = 128, 500_000
+BLOCK_CLASSES, BLOCK_TOKENS = 48, 200_000
 #: Tokens that are counted together in a comparison of two blocks.
 COLUMNS = 4096
 #: Bits of a set's parity sketch, as longs: two sketches differ in no more bits than the
