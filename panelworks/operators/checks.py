@@ -15,9 +15,16 @@ def require_columns(df: DataFrame, names: list[str]) -> None:
         raise KeyError(f"missing columns: {missing}")
 
 
-def forbid_columns(df: DataFrame, prefixes: tuple[str, ...] = ("forward_return", "label_")) -> None:
-    found = [c for c in df.columns if c.startswith(prefixes)]
-    if found:
+#: How names of columns begin that look into the future.
+FUTURE = ("forward_return", "label_")
+
+
+def future_columns(df: DataFrame, prefixes: tuple[str, ...] = FUTURE) -> list[str]:
+    return [c for c in df.columns if c.startswith(prefixes)]
+
+
+def forbid_columns(df: DataFrame, prefixes: tuple[str, ...] = FUTURE) -> None:
+    if found := future_columns(df, prefixes):
         raise ValueError(f"columns from the future: {found}")
 
 
@@ -36,12 +43,6 @@ def mismatch(actual: Column, expected: Column, atol: float = 1e-10, rtol: float
     return (actual.isNull() != expected.isNull()) | F.coalesce(far, F.lit(False))
 
 
-def formula_mismatch_count(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(check, mismatches, n_rows) for each named (actual, expected)."""
-    one = df.agg(F.count("*").alias("n_rows"), *(F.sum(mismatch(*p).cast("long")).alias(k) for k, p in pairs.items()))
-    return one.select("n_rows", F.explode(F.create_map(*[x for k in pairs for x in (F.lit(k), F.coalesce(F.col(k), F.lit(0)))])).alias("check", "mismatches")).select("check", "mismatches", "n_rows")
-
-
 def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys in only one of two tables, with side `missing` (not in a) or `extra` (not in b)."""
     x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
@@ -49,9 +50,15 @@ def key_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(n_rows, hash_xor, hash_sum): equal for equal rows in any order."""
-    h = F.xxhash64(*sorted(df.columns))
-    return df.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("hash_xor"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"))
+    """(n_rows, hash_xor, hash_sum): equal for equal rows in any order, in any engine that has MD5: a row's number is the first 15
+    hexadecimal digits of the MD5 of its values as text, by column name, each after a v, or n alone for null, with 0x1F between
+    them. hash_sum is decimal text. Floating-point columns, which engines spell differently, are an error: round and cast them first."""
+    if floats := [f.name for f in df.schema if f.dataType.typeName() in ("float", "double")]:
+        raise TypeError(f"floating-point columns have no one text: {floats}")
+    row = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in sorted(df.columns)))
+    h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
+    out = df.select(h.alias("h")).agg(F.count("*").alias("n_rows"), F.bit_xor("h").alias("hash_xor"), F.sum(F.col("h").cast("decimal(38,0)")).alias("hash_sum"))
+    return out.withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 def holdout_guard(partition: str, unlocked: bool, locked: tuple[str, ...] = ("holdout",)) -> None:

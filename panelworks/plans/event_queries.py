@@ -12,7 +12,7 @@ from ..operators import valuation as V
 from ..operators.asof import asof_backward, asof_spread
 from ..functions import expressions as X
 from ..operators.calendar import execution_schedule, horizon_schedules, month_windows, next_open, partition_schedule
-from ..operators.checks import forbid_columns, holdout_guard, key_difference, research_slice
+from ..operators.checks import fingerprint, forbid_columns, holdout_guard, key_difference, research_slice
 from ..operators.intervals import interval_join
 from .panels import BARS, SIGNALS, market, read, register, rounded, signals, tidy, week, weeks
 
@@ -134,6 +134,18 @@ def orders_in_reach(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("anchor", "n_orders", rounded("total", 2).alias("total"))
 
 
+@query("attached_industry", f"""WITH {BARS}, {SIGNALS}, mb AS (SELECT CAST(o_orderdate AS DATE) AS d, o_custkey AS code, c_mktsegment AS g FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT CAST(o_orderdate AS DATE), o_custkey, 'MIXED' FROM orders WHERE o_orderkey % 7 = 0),
+rs AS (SELECT d, code, CASE WHEN count(*) = 1 THEN any_value(g) END AS industry, count(*) > 1 AS is_ambiguous, string_agg(g, '|' ORDER BY g) AS candidates FROM mb GROUP BY ALL)
+SELECT c_custkey AS code, signal_date, industry, is_ambiguous, candidates FROM customer CROSS JOIN signals LEFT JOIN rs ON rs.code = c_custkey AND rs.d = signal_date""")
+def attached_industry(spark: SparkSession, sf: str) -> DataFrame:
+    """Industries of the exact signal date on a panel of all customers; a date without a membership stays empty."""
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderdate").cast("date").alias("signal_date"), "o_orderkey")
+    segments = read(spark, sf, "customer").select(F.col("c_custkey").alias("code"), F.col("c_mktsegment").alias("industry"))
+    named = o.join(segments, "code").select("signal_date", "code", "industry").unionByName(o.where("o_orderkey % 7 = 0").select("signal_date", "code", F.lit("MIXED").alias("industry")))
+    panel = segments.select("code").crossJoin(F.broadcast(signals(spark, sf).select("signal_date")))
+    return U.attach_snapshot(panel, U.resolve_membership(named, ["signal_date", "code"]), ["signal_date", "code"]).select("code", "signal_date", "industry", "is_ambiguous", "candidates")
+
+
 def universe(spark: SparkSession, sf: str) -> DataFrame:
     orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderdate").cast("date").alias("day"))
     first = orders.groupBy("code").agg(F.min("day").alias("list_date"))
@@ -392,8 +404,8 @@ def eligible_by_partition(spark: SparkSession, sf: str) -> DataFrame:
     return research_slice(d, "signal_date", "1997-01-01", "1998-12-31").drop("is_eligible")
 
 
-@query("table_fingerprint", None)
+@query("table_fingerprint", """WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws(chr(31), 'v' || o_custkey, coalesce('v' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'n'), 'v' || o_orderkey, coalesce('v' || CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END, 'n'))), 1, 15) AS BIGINT) AS h FROM orders)
+SELECT count(*) AS n_rows, bit_xor(h) AS hash_xor, CAST(sum(h) AS VARCHAR) AS hash_sum FROM h""")
 def table_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.checks import fingerprint
-
-    return fingerprint(market(spark, sf).drop("amount", "pct_chg"))
+    o = read(spark, sf, "orders")
+    return fingerprint(o.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("o_orderpriority")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,21 +12,51 @@ from ..operators import evaluation as E
 from ..operators import execution as M
 from ..operators import factors as T
 from ..operators import portfolio as P
-from ..operators.calendar import horizon_schedules
+from ..operators import valuation as V
+from ..operators.audits import input_audit as input_reconciliation
+from ..operators.calendar import calendar, horizon_schedules
 from ..operators.registry import FactorBundle, bundle_violations, default_registry, evaluate_batch, factor_violations
 from ..sources.folders import stored
-from .factor_queries import SPEARMAN, TRADED, adjusted, prior, ret_sql, traded, wins
+from .event_queries import _EDGES
+from .factor_queries import SPEARMAN, TRADED, prior, ret_sql, traded, wins
 from .panels import BARS, STOCKS, market, read, register, rounded, squashed, squashed_sql, stocks, tidy, weeks
 
 QUERIES: dict = {}
 
 
-query = partial(register, QUERIES)
+class Study:
+    """What the queries of this module share while one of them is planned: the weekly bars are stored when they are first
+    asked for, and all that is built from them, however often, reads them there."""
 
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        self.spark, self.sf = spark, sf
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    bars = market(spark, sf)
-    return M.execution_market(bars, weeks(spark, sf), bars, "code")
+    @cached_property
+    def bars(self) -> DataFrame:
+        return stored(market(self.spark, self.sf), "bars")
+
+    @cached_property
+    def cal(self) -> DataFrame:
+        """The weeks with bars, which are the weeks of `panels.weeks`."""
+        return stored(calendar(self.bars), "calendar")
+
+    def read(self, name: str) -> DataFrame:
+        return read(self.spark, self.sf, name)
+
+
+def query(name: str, sql: str | None):
+    """Registers a function of a study; each call of the query has a study of its own."""
+
+    def add(fn):
+        register(QUERIES, name, sql)(lambda spark, sf: fn(Study(spark, sf)))
+        return fn
+
+    return add
+
+
+def grid(st: Study) -> DataFrame:
+    bars = st.bars
+    return M.execution_market(bars, st.cal, bars, "code")
 
 
 GRID = f"""{BARS},
@@ -37,13 +67,13 @@ grid AS (SELECT *, has_positive_trade AND valid_open AND NOT (one_price AND up)
 
 
 @query("execution_market", f"WITH {GRID} SELECT code, trade_date, has_market_observation, has_positive_trade, one_price, buy_allowed, sell_allowed, is_tradable FROM grid")
-def execution_market(spark: SparkSession, sf: str) -> DataFrame:
-    return grid(spark, sf).select("code", "trade_date", "has_market_observation", "has_positive_trade", "one_price", "buy_allowed", "sell_allowed", "is_tradable")
+def execution_market(st: Study) -> DataFrame:
+    return grid(st).select("code", "trade_date", "has_market_observation", "has_positive_trade", "one_price", "buy_allowed", "sell_allowed", "is_tradable")
 
 
-def terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def terms(st: Study) -> tuple[DataFrame, DataFrame]:
     """Terms and redemption events of suppliers, by rules on their keys."""
-    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"))
+    s = st.read("supplier").select(F.col("s_suppkey").alias("code"))
     k, day = F.col("code"), lambda d: F.to_date(F.lit(d))
     t = s.select("code", F.when(k % 11 == 0, day("1990-03-05")).otherwise(F.date_add(day("1995-01-01"), (k % 300).cast("int"))).alias("list_date"), F.when(k % 7 == 0, day("2001-06-01")).alias("delist_date"), F.when(k % 3 == 0, F.date_add(day("2000-06-01"), ((k % 5) * 100).cast("int"))).alias("maturity_date"), F.when(k % 5 > 0, 100.0 + k % 10).alias("maturity_call_price"))
     t = t.withColumn("maturity_payment_date", F.when(k % 2 == 0, F.date_add("maturity_date", 20)))
@@ -55,9 +85,9 @@ def terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return t, M.prepare_redemptions(watch.unionByName(call).unionByName(waive), "code", ["near"], ["called"], ["waived"])
 
 
-def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    t, e = terms(spark, sf)
-    return M.lifecycle_panel(t, weeks(spark, sf), e, grid(spark, sf), "code")
+def lifecycle(st: Study) -> DataFrame:
+    t, e = terms(st)
+    return M.lifecycle_panel(t, st.cal, e, grid(st), "code")
 
 
 LIFE = f"""{GRID},
@@ -80,20 +110,20 @@ life AS (SELECT code, trade_date, state, state IN ('ACTIVE', 'REDEMPTION_WATCH')
 
 
 @query("lifecycle_state", f"WITH {LIFE} SELECT * FROM life")
-def lifecycle_state(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(lifecycle(spark, sf))
+def lifecycle_state(st: Study) -> DataFrame:
+    return tidy(lifecycle(st))
 
 
 @query("lifecycle_counts", f"WITH {LIFE} SELECT state, count(*) AS n_rows, count(*) FILTER (entry_allowed) AS n_entry, count(*) FILTER (exit_required) AS n_exit FROM life GROUP BY 1")
-def lifecycle_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return M.state_counts(lifecycle(spark, sf))
+def lifecycle_counts(st: Study) -> DataFrame:
+    return M.state_counts(lifecycle(st))
 
 
-def labels(spark: SparkSession, sf: str) -> DataFrame:
-    cal = weeks(spark, sf)
+def labels(st: Study) -> DataFrame:
+    cal = st.cal
     sig = cal.select(F.col("trade_date").alias("signal_date"))
-    keys = market(spark, sf).select("code", F.col("trade_date").alias("signal_date"))
-    return M.forward_returns(keys, horizon_schedules(sig, cal, [1, 5, 10], "2001-06-30"), grid(spark, sf), "code")
+    keys = st.bars.select("code", F.col("trade_date").alias("signal_date"))
+    return M.forward_returns(keys, horizon_schedules(sig, cal, [1, 5, 10], "2001-06-30"), grid(st), "code")
 
 
 LABELS = f"""{GRID},
@@ -106,13 +136,13 @@ labels AS (SELECT code, signal_date, horizon_days, entry_date, exit_date, label_
 
 
 @query("forward_returns", f"WITH {LABELS} SELECT code, signal_date, horizon_days, entry_date, exit_date, label_reason, label_usable, round(forward_return, 6) AS forward_return FROM labels")
-def forward_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(labels(spark, sf))
+def forward_returns(st: Study) -> DataFrame:
+    return tidy(labels(st))
 
 
 @query("label_counts", f"WITH {LABELS} SELECT horizon_days, label_reason, count(*) AS n_rows FROM labels GROUP BY ALL")
-def label_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(M.label_counts(labels(spark, sf), ["horizon_days"]))
+def label_counts(st: Study) -> DataFrame:
+    return tidy(M.label_counts(labels(st), ["horizon_days"]))
 
 
 INVARIANTS = f"""{LIFE}, {LABELS.removeprefix(GRID + ",")},
@@ -127,16 +157,39 @@ SELECT (SELECT count(*) FROM b WHERE coalesce(mc, fc) IS NULL) AS null_keys, (SE
 
 
 @query("input_invariants", f"WITH {INVARIANTS}")
-def input_invariants(spark: SparkSession, sf: str) -> DataFrame:
+def input_invariants(st: Study) -> DataFrame:
     """The invariants over tables with planted faults, so that the counters are not all 0."""
-    g = grid(spark, sf)
+    g = grid(st)
     m = g.where("code % 23 <> 0").unionByName(g.where("code % 29 = 0 and year(trade_date) = 1996"))
-    life = lifecycle(spark, sf).withColumn("entry_allowed", F.expr("entry_allowed or (code % 19 = 0 and state = 'SEASONING')")).withColumn("settlement_value", F.expr("case when code % 21 > 0 then settlement_value end"))
-    return M.input_invariants(m, life, labels(spark, sf).withColumn("label_usable", F.expr("label_usable <> (code % 13 = 0)")), "code")
-
-
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.momentum(adjusted(spark, sf), "code", (5,)).select("code", F.col("trade_date").alias("signal_date"), F.col("stock_return_5d").alias("mom"))
+    life = lifecycle(st).withColumn("entry_allowed", F.expr("entry_allowed or (code % 19 = 0 and state = 'SEASONING')")).withColumn("settlement_value", F.expr("case when code % 21 > 0 then settlement_value end"))
+    return M.input_invariants(m, life, labels(st).withColumn("label_usable", F.expr("label_usable <> (code % 13 = 0)")), "code")
+
+
+@query("input_audit", f"""WITH {LIFE}, {LABELS.removeprefix(GRID + ",")},
+cx AS (SELECT code, trade_date AS d FROM bars UNION ALL SELECT code, trade_date FROM bars WHERE code % 31 = 0 AND year(trade_date) = 1997), ch AS (SELECT code, d, count(*) AS n FROM cx GROUP BY ALL),
+tr AS (SELECT code FROM tm WHERE code % 17 <> 3), mk AS (SELECT * FROM grid WHERE code % 23 <> 0), lf AS (SELECT code, trade_date FROM life UNION ALL SELECT code, trade_date FROM life WHERE code % 43 = 1 AND year(trade_date) = 1999),
+lb AS (SELECT * REPLACE (label_usable <> (code % 13 = 0) AS label_usable) FROM labels WHERE code % 37 <> 5 UNION ALL SELECT * REPLACE (-code AS code) FROM labels WHERE code = 7),
+lg AS (SELECT code, signal_date AS d, horizon_days AS h, count(*) AS n FROM lb GROUP BY ALL), ce AS (SELECT code, d, n, unnest([1, 5, 10]) AS h FROM ch),
+kd AS (SELECT code, trade_date, count(*) FILTER (s = 'm') AS m, count(*) FILTER (s = 'l') AS l FROM (SELECT code, trade_date, 'm' AS s FROM mk UNION ALL SELECT code, trade_date, 'l' FROM lf) GROUP BY ALL)
+SELECT (SELECT count(*) FROM cx) AS n_context, (SELECT count(DISTINCT d) FROM cx) AS n_dates, (SELECT count(*) FROM tr) AS n_terms, (SELECT count(*) FROM mk) AS n_market, (SELECT count(*) FROM lf) AS n_lifecycle, (SELECT count(*) FROM lb) AS n_labels, (SELECT count(*) FROM lb WHERE label_usable) AS n_usable,
+  (SELECT count(*) FROM mk WHERE one_price AND up) AS one_price_up, (SELECT count(*) FROM mk WHERE one_price AND down) AS one_price_down, (SELECT count(*) FROM mk WHERE NOT has_market_observation) AS unobserved,
+  0::BIGINT AS null_keys, (SELECT count(*) FROM ce WHERE n > 1) AS context_repeats, 0::BIGINT AS terms_repeats, (SELECT count(*) FROM kd WHERE m > 1) AS market_repeats, (SELECT count(*) FROM kd WHERE l > 1) AS lifecycle_repeats, (SELECT count(*) FROM lg WHERE n > 1) AS label_repeats,
+  (SELECT count(*) FROM (SELECT DISTINCT code FROM cx) ANTI JOIN tr USING (code)) AS context_without_terms, (SELECT count(*) FROM kd WHERE m > 0 AND l = 0) AS market_only, (SELECT count(*) FROM kd WHERE m = 0 AND l > 0) AS lifecycle_only,
+  (SELECT count(*) FROM ce ANTI JOIN lg ON lg.code = ce.code AND lg.d = ce.d AND lg.h = ce.h) AS context_without_label, (SELECT count(*) FROM lg ANTI JOIN ce ON lg.code = ce.code AND lg.d = ce.d AND lg.h = ce.h) AS label_without_context,
+  (SELECT count(*) FROM lb WHERE label_usable AND forward_return IS NULL) AS usable_without_return, (SELECT count(*) FROM lb WHERE label_usable AND exit_date > DATE '2001-03-31') AS usable_past_end, (SELECT count(*) FROM lb WHERE NOT label_usable AND forward_return IS NOT NULL) AS unusable_with_return, false AS passed""")
+def input_audit(st: Study) -> DataFrame:
+    """Context, terms, market, lifecycle and labels with planted faults: repeats, lost keys and labels, flipped flags, labels past the end."""
+    bars = st.bars.select("code", F.col("trade_date").alias("signal_date"))
+    life, marked = lifecycle(st), labels(st)
+    marked = marked.where("code % 37 <> 5").withColumn("label_usable", F.expr("label_usable <> (code % 13 = 0)")).unionByName(marked.where("code = 7").withColumn("code", -F.col("code")))
+    return input_reconciliation(
+        bars.unionByName(bars.where("code % 31 = 0 and year(signal_date) = 1997")), terms(st)[0].where("code % 17 <> 3"), grid(st).where("code % 23 <> 0"),
+        life.unionByName(life.where("code % 43 = 1 and year(trade_date) = 1999")), marked, "code", "2001-03-31", (1, 5, 10),
+    )
+
+
+def scores(st: Study) -> DataFrame:
+    d = T.momentum(st.bars.withColumn("adj_factor", F.lit(1.0)), "code", (5,)).select("code", F.col("trade_date").alias("signal_date"), F.col("stock_return_5d").alias("mom"))
     d = X.preprocess_registered(d, "mom", "signal_date", 1)
     return d.select("code", "signal_date", "mom", "processed_factor")
 
@@ -145,8 +198,8 @@ SCORES = f"""sp AS (SELECT code, trade_date, trade_date AS signal_date, {ret_sql
 sc AS (SELECT code, signal_date, mom, CASE WHEN w IS NULL THEN NULL WHEN stddev_pop(w) OVER d > 1e-8 THEN (w - avg(w) OVER d) / stddev_pop(w) OVER d ELSE 0 END AS processed_factor FROM w_mom WINDOW d AS (PARTITION BY signal_date))"""
 
 
-def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return M.attach_labels(scores(spark, sf), labels(spark, sf), ["code", "signal_date"])
+def evidence(st: Study) -> DataFrame:
+    return M.attach_labels(scores(st), labels(st), ["code", "signal_date"])
 
 
 EV = f"{LABELS}, {SCORES}, ev AS (SELECT sc.code, sc.signal_date, horizon_days, mom, processed_factor, forward_return FROM sc JOIN labels USING (code, signal_date)), ok AS (SELECT * FROM ev WHERE processed_factor IS NOT NULL AND forward_return IS NOT NULL)"
@@ -158,8 +211,8 @@ ic AS (SELECT d.horizon_days, d.signal_date, CAST(coalesce(rk.n, 0) AS BIGINT) A
 
 
 @query("ic_series", f"WITH {IC} SELECT horizon_days, signal_date, n_assets, round(ic, 6) AS ic, round(rank_ic, 6) AS rank_ic FROM ic")
-def ic_series(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.ic_series(evidence(spark, sf), BY))
+def ic_series(st: Study) -> DataFrame:
+    return tidy(E.ic_series(evidence(st), BY))
 
 
 _NW = " + ".join(f"2 * CASE WHEN l >= {k} THEN (1 - {k} / (l + 1)) * coalesce(u * lag(u, {k}) OVER o, 0) ELSE 0 END" for k in range(1, 6))
@@ -171,17 +224,21 @@ SELECT horizon_days, metric, count(*) AS n, round(avg(v), 6) AS mean, round(stdd
 
 
 @query("ic_summary", f"WITH {IC_SUMMARY}")
-def ic_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.summarize_ic(E.ic_series(evidence(spark, sf), BY), ["horizon_days"]).drop("nw_p"))
+def ic_summary(st: Study) -> DataFrame:
+    return tidy(E.summarize_ic(E.ic_series(evidence(st), BY), ["horizon_days"]).drop("nw_p"))
+
+
+_TAIL = "list_sum([exp((2 * k + 1) * ln(greatest(abs(t), 1e-30)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1) - t * t / 2) FOR k IN range(400)]) * sqrt(2 / pi())"
 
 
-@query("ic_significance", None)
-def ic_significance(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.summarize_ic(E.ic_series(evidence(spark, sf), BY), ["horizon_days"]), "horizon_days", "metric", "nw_t", "nw_p")
+@query("ic_significance", f"""WITH {IC_SUMMARY.split("SELECT horizon_days, metric, count(*)")[0].rstrip()}, nt AS (SELECT horizon_days, metric, CASE WHEN count(*) > 1 AND stddev_samp(v) > 0 THEN avg(v) / sqrt(sum(s)) * count(*) END AS t FROM iw GROUP BY ALL)
+SELECT horizon_days, metric, round(t, 6) AS nw_t, round(1 - {_TAIL}, 6) AS nw_p FROM nt""")
+def ic_significance(st: Study) -> DataFrame:
+    return tidy(E.summarize_ic(E.ic_series(evidence(st), BY), ["horizon_days"]), "horizon_days", "metric", "nw_t", "nw_p")
 
 
-def full_dates(spark: SparkSession, sf: str) -> DataFrame:
-    return complete_dates(evidence(spark, sf))
+def full_dates(st: Study) -> DataFrame:
+    return complete_dates(evidence(st))
 
 
 def complete_dates(panel: DataFrame) -> DataFrame:
@@ -197,43 +254,43 @@ qr AS (SELECT *, G1 - G5 AS spread_raw, (G1 - G5) / 2 AS long_short, G1 - univer
 
 
 @query("quantile_groups", f"WITH {QG} SELECT code, signal_date, horizon_days, CAST(q AS BIGINT) AS quantile FROM qg")
-def quantile_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.quantile_groups(full_dates(spark, sf), BY, "code"), "code", "signal_date", "horizon_days", "quantile")
+def quantile_groups(st: Study) -> DataFrame:
+    return tidy(E.quantile_groups(full_dates(st), BY, "code"), "code", "signal_date", "horizon_days", "quantile")
 
 
 @query("quantile_returns", f"WITH {QG} SELECT horizon_days, signal_date, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("G1", "G2", "G3", "G4", "G5", "spread_raw", "long_short")) + " FROM qr")
-def quantile_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.quantile_returns(E.quantile_groups(full_dates(spark, sf), BY, "code"), BY))
+def quantile_returns(st: Study) -> DataFrame:
+    return tidy(E.quantile_returns(E.quantile_groups(full_dates(st), BY, "code"), BY))
 
 
 NAVS = f"{QG}, nv AS (SELECT *, CASE WHEN long_short IS NOT NULL THEN product(1 + long_short) OVER w END AS n1, CASE WHEN active IS NOT NULL THEN product(1 + active) OVER w END AS n2 FROM qr WINDOW w AS (PARTITION BY horizon_days ORDER BY signal_date ROWS UNBOUNDED PRECEDING))"
 
 
-def navs(spark: SparkSession, sf: str) -> DataFrame:
-    return E.nav(E.horizon_ir(full_dates(spark, sf), BY, "code"), ["horizon_days"], "signal_date", ["long_short", "active"])
+def navs(st: Study) -> DataFrame:
+    return E.nav(E.horizon_ir(full_dates(st), BY, "code"), ["horizon_days"], "signal_date", ["long_short", "active"])
 
 
 @query("quantile_nav", f"WITH {NAVS} SELECT horizon_days, signal_date, round(n1, 6) AS nav__long_short, round(n2, 6) AS nav__active FROM nv WHERE horizon_days = 1")
-def quantile_nav(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(navs(spark, sf).where("horizon_days = 1"), "horizon_days", "signal_date", "nav__long_short", "nav__active")
+def quantile_nav(st: Study) -> DataFrame:
+    return tidy(navs(st).where("horizon_days = 1"), "horizon_days", "signal_date", "nav__long_short", "nav__active")
 
 
 @query("horizon_ir", f"WITH {QG} SELECT horizon_days, signal_date, round(G1, 6) AS G1, round(universe, 6) AS universe, round(active, 6) AS active, round(spread_raw, 6) AS spread_raw FROM qr")
-def horizon_ir(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.horizon_ir(full_dates(spark, sf), BY, "code"), *BY, "G1", "universe", "active", "spread_raw")
+def horizon_ir(st: Study) -> DataFrame:
+    return tidy(E.horizon_ir(full_dates(st), BY, "code"), *BY, "G1", "universe", "active", "spread_raw")
 
 
 @query("horizon_ir_summary", f"""WITH {QG}, lg AS (SELECT horizon_days, unnest(['active', 'spread_raw']) AS metric, unnest([active, spread_raw]) AS v FROM qr)
 SELECT horizon_days, metric, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(avg(CAST(v > 0 AS DOUBLE)), 6) AS hit_rate, round(CASE WHEN count(v) > 1 AND stddev_samp(v) > 0 THEN avg(v) / stddev_samp(v) * sqrt(26) END, 6) AS ir FROM lg WHERE v IS NOT NULL GROUP BY ALL""")
-def horizon_ir_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(E.summarize_ir(E.horizon_ir(full_dates(spark, sf), BY, "code"), ["horizon_days"]))
+def horizon_ir_summary(st: Study) -> DataFrame:
+    return tidy(E.summarize_ir(E.horizon_ir(full_dates(st), BY, "code"), ["horizon_days"]))
 
 
 @query("nav_summary", f"""WITH {NAVS}, a AS (SELECT signal_date, n1, n1 / greatest(1, max(n1) OVER (ORDER BY signal_date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM nv WHERE horizon_days = 1 AND n1 IS NOT NULL),
 s AS (SELECT count(*) AS n, arg_max(n1, signal_date) AS f, min(dd) AS d FROM a)
 SELECT 'nav__long_short' AS "column", n, round(f, 6) AS final_nav, round(d, 6) AS max_drawdown, round(CASE WHEN f > 0 THEN pow(f, 26 / n) - 1 END, 6) AS annual_return FROM s WHERE n > 0""")
-def nav_summary(spark: SparkSession, sf: str) -> DataFrame:
-    d = navs(spark, sf).where("horizon_days = 1").drop("horizon_days")
+def nav_summary(st: Study) -> DataFrame:
+    d = navs(st).where("horizon_days = 1").drop("horizon_days")
     return tidy(E.nav_summary(d, [], "signal_date", ["long_short"]))
 
 
@@ -242,20 +299,20 @@ qg AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY horizon_days, signa
 qr AS (SELECT signal_date, (avg(forward_return) FILTER (q = 1) - avg(forward_return) FILTER (q = 5)) / 2 AS ls FROM qg WHERE horizon_days = 1 GROUP BY ALL),
 a AS (SELECT CAST(year(signal_date) AS BIGINT) AS year, avg(rank_ic) AS m, avg(CAST(rank_ic > 1e-12 AS DOUBLE)) AS h FROM ic WHERE horizon_days = 1 GROUP BY 1), b AS (SELECT CAST(year(signal_date) AS BIGINT) AS year, product(1 + ls) - 1 AS c FROM qr GROUP BY 1)
 SELECT year, round(m, 6) AS mean_rank_ic, round(h, 6) AS hit_rate, round(c, 6) AS compounded FROM a LEFT JOIN b USING (year)""")
-def annual_stability(spark: SparkSession, sf: str) -> DataFrame:
-    ic = E.ic_series(evidence(spark, sf).where("horizon_days = 1"), ["signal_date"])
-    r = E.quantile_returns(E.quantile_groups(full_dates(spark, sf).where("horizon_days = 1"), ["signal_date"], "code"), ["signal_date"])
+def annual_stability(st: Study) -> DataFrame:
+    ic = E.ic_series(evidence(st).where("horizon_days = 1"), ["signal_date"])
+    r = E.quantile_returns(E.quantile_groups(full_dates(st).where("horizon_days = 1"), ["signal_date"], "code"), ["signal_date"])
     return tidy(E.annual_stability(ic, r))
 
 
 @query("coverage_by_date", f"WITH {EV} SELECT signal_date, count(*) AS n_rows, count(mom) AS n_raw, count(processed_factor) AS n_processed, count(*) FILTER (processed_factor IS NOT NULL AND forward_return IS NOT NULL) AS n_labelled FROM ev WHERE horizon_days = 1 GROUP BY 1")
-def coverage_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    return E.coverage_by_date(evidence(spark, sf).where("horizon_days = 1"), "signal_date", "mom")
+def coverage_by_date(st: Study) -> DataFrame:
+    return E.coverage_by_date(evidence(st).where("horizon_days = 1"), "signal_date", "mom")
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    life = lifecycle(spark, sf).select("code", F.col("trade_date").alias("signal_date"), "entry_allowed", "exit_required")
-    return scores(spark, sf).join(life, ["code", "signal_date"])
+def candidates(st: Study) -> DataFrame:
+    life = lifecycle(st).select("code", F.col("trade_date").alias("signal_date"), "entry_allowed", "exit_required")
+    return scores(st).join(life, ["code", "signal_date"])
 
 
 CAND = f"{LIFE}, {SCORES}, cd AS (SELECT sc.*, entry_allowed, exit_required FROM sc JOIN life l ON l.code = sc.code AND l.trade_date = sc.signal_date), rkd AS (SELECT *, row_number() OVER (PARTITION BY signal_date ORDER BY processed_factor DESC, code) AS position FROM cd WHERE entry_allowed AND NOT exit_required AND processed_factor IS NOT NULL)"
@@ -263,13 +320,13 @@ TOPN = f"{CAND}, tp AS (SELECT signal_date, code, position, least(0.1, 0.9 / cou
 
 
 @query("topn_targets", f"WITH {TOPN} SELECT signal_date, code, position, round(target_weight, 6) AS target_weight, round(1 - sum(target_weight) OVER (PARTITION BY signal_date), 6) AS implied_cash FROM tp")
-def topn_targets(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.top_targets(candidates(spark, sf), "code"))
+def topn_targets(st: Study) -> DataFrame:
+    return tidy(P.top_targets(candidates(st), "code"))
 
 
-def plan(spark: SparkSession, sf: str) -> DataFrame:
+def plan(st: Study) -> DataFrame:
     """Top-20 targets on every week with zeros for what drops out."""
-    t = P.top_targets(candidates(spark, sf), "code").select(F.col("signal_date").alias("execution_date"), "code", "target_weight")
+    t = P.top_targets(candidates(st), "code").select(F.col("signal_date").alias("execution_date"), "code", "target_weight")
     days = t.select("execution_date").distinct().withColumn("_next", F.lead("execution_date").over(Window.orderBy("execution_date")))
     out = t.join(days, "execution_date").where("_next is not null").select(F.col("_next").alias("execution_date"), "code").join(t.select("execution_date", "code"), ["execution_date", "code"], "left_anti")
     return t.unionByName(out.withColumn("target_weight", F.lit(0.0)))
@@ -283,8 +340,8 @@ ch AS (SELECT *, target_weight - coalesce(lag(target_weight) OVER (PARTITION BY
 @query("order_feasibility", f"""WITH {PLAN}, o AS (SELECT CASE WHEN c > 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN has_market_observation IS NULL OR NOT has_market_observation THEN 'no_quote' WHEN NOT has_positive_trade THEN 'no_trade'
   WHEN CASE WHEN c > 0 THEN buy_allowed ELSE sell_allowed END THEN 'feasible' ELSE 'one_price_block' END AS outcome, abs(c) AS a FROM ch LEFT JOIN grid g ON g.code = ch.code AND g.trade_date = execution_date WHERE abs(c) > 1e-12)
 SELECT side, outcome, count(*) AS n_orders, round(sum(a), 6) AS weight FROM o GROUP BY ALL""")
-def order_feasibility(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.order_feasibility(plan(spark, sf), grid(spark, sf), "code"))
+def order_feasibility(st: Study) -> DataFrame:
+    return tidy(P.order_feasibility(plan(st), grid(st), "code"))
 
 
 WR = f"""{PLAN}, br AS (SELECT code, trade_date, close / lag(close) OVER w - 1 AS r, lag(trade_date) OVER w AS pd FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date)),
@@ -294,13 +351,13 @@ wr0 AS (SELECT gr.*, coalesce(turnover, 0) AS turnover FROM gr LEFT JOIN tn USIN
 wr AS (SELECT *, product(1 + net_return) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS nav FROM wr1)"""
 
 
-def returns(spark: SparkSession, sf: str) -> DataFrame:
-    return P.weight_returns(stored(plan(spark, sf), "plan"), market(spark, sf), "code")
+def returns(st: Study) -> DataFrame:
+    return P.weight_returns(stored(plan(st), "plan"), st.bars, "code")
 
 
 @query("weight_returns", f"WITH {WR} SELECT trade_date, round(gross_return, 6) AS gross_return, round(turnover, 6) AS turnover, round(cost, 6) AS cost, round(net_return, 6) AS net_return FROM wr")
-def weight_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(returns(spark, sf), "trade_date", "gross_return", "turnover", "cost", "net_return")
+def weight_returns(st: Study) -> DataFrame:
+    return tidy(returns(st), "trade_date", "gross_return", "turnover", "cost", "net_return")
 
 
 _METRICS = lambda r, wealth: f"""mx0 AS (SELECT trade_date, {wealth} AS wealth FROM wr), mx1 AS (SELECT *, {r} AS r, wealth / greatest(1, max(wealth) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM mx0),
@@ -310,17 +367,17 @@ SELECT n AS n_returns, round(t, 6) AS total_return, round(d, 6) AS max_drawdown,
 
 
 @query("nav_metrics", f"WITH {WR}, " + _METRICS("wealth / coalesce(lag(wealth) OVER (ORDER BY trade_date), 1) - 1", "nav"))
-def nav_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.ledger_metrics(returns(spark, sf).withColumn("book", F.lit(1)), ["book"], 1.0, days=52).drop("book"))
+def nav_metrics(st: Study) -> DataFrame:
+    return tidy(P.ledger_metrics(returns(st).withColumn("book", F.lit(1)), ["book"], 1.0, days=52).drop("book"))
 
 
 @query("series_metrics", f"WITH {WR}, " + _METRICS("wealth / lag(wealth) OVER (ORDER BY trade_date) - 1", "nav / first(nav) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)"))
-def series_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.series_metrics(returns(spark, sf).withColumn("book", F.lit(1)), ["book"], days=52).drop("book"))
+def series_metrics(st: Study) -> DataFrame:
+    return tidy(P.series_metrics(returns(st).withColumn("book", F.lit(1)), ["book"], days=52).drop("book"))
 
 
-def schedule(spark: SparkSession, sf: str) -> DataFrame:
-    cal = weeks(spark, sf)
+def schedule(st: Study) -> DataFrame:
+    cal = st.cal
     return horizon_schedules(cal.where("cal_idx % 2 = 0").select(F.col("trade_date").alias("signal_date")), cal, [5]).where("exit_date is not null").select("signal_date", "entry_date", "exit_date")
 
 
@@ -335,29 +392,29 @@ hd AS (SELECT ak.*, co.given, CASE WHEN n_names = 0 THEN 'skipped_no_candidates'
 
 
 @query("cohort_headers", f"WITH RECURSIVE {COHORTS} SELECT signal_date, entry_date, exit_date, n_names, round(asked, 6) AS asked, round(given, 6) AS given, status FROM hd")
-def cohort_headers(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.cohorts(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08)[0])
+def cohort_headers(st: Study) -> DataFrame:
+    return tidy(P.cohorts(candidates(st), schedule(st), "code", n=5, cap=0.08)[0])
 
 
 @query("cohort_weights", f"""WITH RECURSIVE {COHORTS}, pt AS (SELECT b.code, b.entry_date, b.exit_date, given / n_names AS w FROM best b JOIN hd USING (signal_date) WHERE given > 1e-12),
 mv AS (SELECT code, execution_date, sum(w) AS w FROM (SELECT code, entry_date AS execution_date, w FROM pt UNION ALL SELECT code, exit_date, -w FROM pt) GROUP BY ALL)
 SELECT execution_date, code, round(sum(w) OVER (PARTITION BY code ORDER BY execution_date ROWS UNBOUNDED PRECEDING), 6) AS target_weight FROM mv""")
-def cohort_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.cohorts(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08)[1])
+def cohort_weights(st: Study) -> DataFrame:
+    return tidy(P.cohorts(candidates(st), schedule(st), "code", n=5, cap=0.08)[1])
 
 
 @query("active_cohorts", f"""WITH RECURSIVE {COHORTS}, pt AS (SELECT b.code, b.entry_date, b.exit_date, given / n_names AS w FROM best b JOIN hd USING (signal_date) WHERE given > 1e-12),
 ed AS (SELECT entry_date AS d FROM pt UNION SELECT exit_date FROM pt), ac AS (SELECT d, code, count(*) AS n, sum(w) AS w FROM ed JOIN pt ON entry_date <= d AND d < exit_date GROUP BY ALL)
 SELECT d AS execution_date, code, n AS n_cohorts, round(w, 6) AS target_weight FROM ac UNION ALL SELECT DISTINCT exit_date, code, 0, 0.0 FROM pt WHERE exit_date NOT IN (SELECT d FROM ac)""")
-def active_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    parts = P.cohort_book(candidates(spark, sf), schedule(spark, sf), "code", n=5, cap=0.08).parts
+def active_cohorts(st: Study) -> DataFrame:
+    parts = P.cohort_book(candidates(st), schedule(st), "code", n=5, cap=0.08).parts
     return tidy(P.cohort_snapshots(stored(parts, "cohort-parts"), "code"), "execution_date", "code", "n_cohorts", "target_weight")
 
 
-def barred(spark: SparkSession, sf: str) -> DataFrame:
+def barred(st: Study) -> DataFrame:
     """Candidates that are all barred on every seventh date."""
     day = F.datediff("signal_date", F.to_date(F.lit("1990-01-01")))
-    return candidates(spark, sf).withColumn("entry_allowed", F.col("entry_allowed") & (day % 49 != 0))
+    return candidates(st).withColumn("entry_allowed", F.col("entry_allowed") & (day % 49 != 0))
 
 
 SLOTS = 10
@@ -374,16 +431,16 @@ au AS (SELECT ls.e, ls.i, ls.signal_date, ls.n_eligible, coalesce(n_selected, 0)
 aud AS (SELECT *, n_selected - n_retained AS n_entered, coalesce(lag(n_selected) OVER (PARTITION BY e ORDER BY i), 0) - n_retained AS n_exited FROM au)"""
 
 
-def book(spark: SparkSession, sf: str) -> DataFrame:
-    return P.buffered(barred(spark, sf), "code", n=SLOTS, exits=(10, 15, 20))
+def book(st: Study) -> DataFrame:
+    return P.buffered(barred(st), "code", n=SLOTS, exits=(10, 15, 20))
 
 
 RANK_BUFFER = f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, CAST(slot AS BIGINT) AS slot, code, retained, round(target_weight, 6) AS target_weight FROM bk JOIN dt USING (i)"
 
 
 @query("rank_buffer", RANK_BUFFER)
-def rank_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(book(spark, sf))
+def rank_buffer(st: Study) -> DataFrame:
+    return tidy(book(st))
 
 
 #: Where the extended book stops and starts again.
@@ -391,44 +448,44 @@ CUT = "1998-06-01"
 
 
 @query("extended_book", RANK_BUFFER)
-def extended_book(spark: SparkSession, sf: str) -> DataFrame:
+def extended_book(st: Study) -> DataFrame:
     """The book of rank_buffer in two runs: the second starts from a stored snapshot of the first's last date."""
-    d = stored(barred(spark, sf), "scores")
+    d = stored(barred(st), "scores")
     first = stored(P.buffered(d.where(f"signal_date < '{CUT}'"), "code", SLOTS, (10, 15, 20)), "book")
     start = stored(P.book_snapshot(first, "code"), "snapshot")
     return tidy(first.unionByName(P.buffered(d.where(f"signal_date >= '{CUT}'"), "code", SLOTS, (10, 15, 20), start=start)))
 
 
 @query("buffer_audit", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, signal_date, n_eligible, n_selected, n_retained, n_entered, n_exited, round(gross_weight, 6) AS gross_weight FROM aud")
-def buffer_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.buffer_audit(book(spark, sf), barred(spark, sf), "code"))
+def buffer_audit(st: Study) -> DataFrame:
+    return tidy(P.buffer_audit(book(st), barred(st), "code"))
 
 
 @query("buffer_sensitivity", f"WITH RECURSIVE {BUFFER} SELECT CAST(e AS BIGINT) AS exit_rank, count(*) AS n_dates, round(avg(n_selected), 6) AS mean_held, round(avg(n_retained), 6) AS mean_retained, round(avg(n_entered), 6) AS mean_entered, round(avg(n_exited), 6) AS mean_exited FROM aud GROUP BY 1")
-def buffer_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(P.buffer_sensitivity(P.buffer_audit(book(spark, sf), barred(spark, sf), "code")))
+def buffer_sensitivity(st: Study) -> DataFrame:
+    return tidy(P.buffer_sensitivity(P.buffer_audit(book(st), barred(st), "code")))
 
 
 @query("buffer_targets", f"""WITH RECURSIVE {BUFFER}, nx AS (SELECT signal_date, i, (SELECT min(trade_date) FROM cal WHERE trade_date > signal_date) AS execution_date FROM dt)
 SELECT CAST(e AS BIGINT) AS exit_rank, execution_date, code, round(target_weight, 6) AS target_weight FROM bk JOIN nx USING (i) WHERE execution_date IS NOT NULL UNION ALL
 SELECT CAST(e AS BIGINT), DATE '2003-01-01', code, 0.0::DOUBLE FROM bk WHERE i = (SELECT max(i) FROM nx WHERE execution_date IS NOT NULL)""")
-def buffer_targets(spark: SparkSession, sf: str) -> DataFrame:
-    cal = weeks(spark, sf)
+def buffer_targets(st: Study) -> DataFrame:
+    cal = st.cal
     days = horizon_schedules(cal.select(F.col("trade_date").alias("signal_date")), cal, [1]).where("entry_date is not null").select("signal_date", "entry_date")
-    days = days.join(barred(spark, sf).select("signal_date").distinct(), "signal_date", "left_semi")
-    return tidy(P.buffer_targets(book(spark, sf), days, "code", "2003-01-01"))
+    days = days.join(barred(st).select("signal_date").distinct(), "signal_date", "left_semi")
+    return tidy(P.buffer_targets(book(st), days, "code", "2003-01-01"))
 
 
 CASH = 1e11
 
 
-def ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ledger(st: Study) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fills from order lines of one returns flag as sales, the positions they leave on all weeks at the
     last close, and settlements that end the positions of some keys on their last week of trade."""
-    lines = read(spark, sf, "lineitem").where("l_quantity > 0").select(F.col("l_suppkey").alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "week").alias("trade_date"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("double").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_extendedprice") * 0.001).alias("fee"), "l_linestatus")
+    lines = st.read("lineitem").where("l_quantity > 0").select(F.col("l_suppkey").alias("code"), F.trunc(F.col("l_shipdate").cast("date"), "week").alias("trade_date"), F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("double").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_extendedprice") * 0.001).alias("fee"), "l_linestatus")
     w = Window.partitionBy("code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     net = lines.groupBy("code", "trade_date").agg(F.sum("quantity").alias("q"))
-    g = grid(spark, sf).select("code", "trade_date", "close").join(net, ["code", "trade_date"], "left")
+    g = grid(st).select("code", "trade_date", "close").join(net, ["code", "trade_date"], "left")
     g = g.select("code", "trade_date", F.sum(F.coalesce("q", F.lit(0.0))).over(w).alias("quantity"), F.last("close", ignorenulls=True).over(w).alias("mark"), F.max(F.when(F.col("q").isNotNull(), F.col("trade_date"))).over(Window.partitionBy("code")).alias("_last")).where("mark is not null")
     ends = (F.col("code") % 10 == 0) & (F.col("trade_date") >= F.col("_last"))
     paid = F.when(F.col("code") % 20 == 0, F.date_add("trade_date", 14))
@@ -451,8 +508,8 @@ le1 AS (SELECT *, {CASH} + sum(net_flow) OVER w AS cash, sum(owed) OVER w AS rec
 
 
 @query("ledger_attribution", f"WITH {LEDGER}, x AS (SELECT *, nav - coalesce(lag(nav) OVER (ORDER BY trade_date), {CASH}) AS nav_change FROM le) SELECT trade_date, " + ", ".join(f"round({c}, 1) AS {c}" for c in ("net_flow", "cash", "market_value", "receivable", "nav", "nav_change", "continuation_pnl", "entry_pnl", "exit_pnl", "settlement_pnl", "cost")) + ", round(nav_change - continuation_pnl - entry_pnl - exit_pnl - settlement_pnl + cost, 1) AS residual FROM x")
-def ledger_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    fills, positions, settled = ledger(spark, sf)
+def ledger_attribution(st: Study) -> DataFrame:
+    fills, positions, settled = ledger(st)
     return tidy(P.reconcile(fills, positions, "code", CASH, settled), digits=1)
 
 
@@ -460,8 +517,8 @@ def ledger_attribution(spark: SparkSession, sf: str) -> DataFrame:
 tt AS (SELECT min(trade_date) AS start_date, max(trade_date) AS end_date, round(arg_max(nav, trade_date), 1) AS final_nav, round(avg(cash / nav), 6) AS mean_cash_weight, round(avg(market_value / nav), 6) AS mean_exposure, round(sum(traded), 1) AS traded, round(sum(traded) / avg(nav), 6) AS turnover, round(sum(traded) / avg(nav) * 52 / count(*), 6) AS annual_turnover, round(sum(cost), 1) AS cost, round(sum(cost) / {CASH}, 6) AS cost_to_cash FROM le),
 od AS (SELECT count(*) FILTER (quantity > 0 AND l_linestatus <> 'F') AS blocked_buys, count(*) FILTER (quantity < 0 AND l_linestatus <> 'F') AS blocked_sells, count(*) FILTER (quantity > 0 AND l_linestatus = 'F') AS filled_buys, count(*) FILTER (quantity < 0 AND l_linestatus = 'F') AS filled_sells FROM fl)
 SELECT * FROM ms, tt, od""")
-def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
-    fills, positions, settled = ledger(spark, sf)
+def ledger_summary(st: Study) -> DataFrame:
+    fills, positions, settled = ledger(st)
     traded_ = fills.groupBy("trade_date").agg(F.sum(F.abs("quantity") * F.col("price")).alias("traded"))
     nav = P.reconcile(fills, positions, "code", CASH, settled).join(traded_, "trade_date", "left").na.fill(0.0, ["traded"]).withColumn("book", F.lit(1))
     orders = fills.select(F.lit(1).alias("book"), F.when(F.col("quantity") > 0, "buy").otherwise("sell").alias("side"), (F.col("l_linestatus") == "F").alias("filled"))
@@ -473,31 +530,40 @@ def ledger_summary(spark: SparkSession, sf: str) -> DataFrame:
 av AS (SELECT *, (SELECT min(trade_date) FROM cal WHERE trade_date > settle) AS available FROM od), mv AS (SELECT booked AS d, amount AS x, 1 AS n FROM av UNION ALL SELECT available, -amount, -1 FROM av WHERE available IS NOT NULL),
 nt AS (SELECT d, sum(x) AS x, sum(n) AS n FROM mv GROUP BY 1)
 SELECT trade_date, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS n_open, round(sum(coalesce(x, 0)) OVER w, 1) AS outstanding FROM cal LEFT JOIN nt ON d = trade_date WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)""")
-def receivables(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders")
+def receivables(st: Study) -> DataFrame:
+    o = st.read("orders")
     s = o.select(F.col("o_custkey").alias("code"), F.trunc(F.col("o_orderdate").cast("date"), "week").alias("trade_date"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("settlement_date"), F.col("o_totalprice").alias("amount"))
-    return tidy(P.receivables(s, weeks(spark, sf), "code"), digits=1)
-
-
-def bundle(spark: SparkSession, sf: str) -> FactorBundle:
-    m = market(spark, sf)
-    stock = T.momentum(adjusted(spark, sf), "code", (20,)).select("code", "trade_date", "stock_return_20d")
-    bond = traded(spark, sf).select("code", "trade_date", "cb_return_20d", "cb_abnormal_turnover_20d")
-    of = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("stock"))
+    return tidy(P.receivables(s, st.cal, "code"), digits=1)
+
+
+def bundle(st: Study) -> FactorBundle:
+    """The four tables of a factor study, each stored once: every factor and every check reads them there."""
+    m = st.bars
+    of = st.read("supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("stock"))
+    stock = stored(stocks(st.spark, st.sf).select(F.col("code").alias("stock"), "trade_date", (F.col("close") / 2).alias("close"), F.lit(2.0).alias("adj_factor")), "stock-daily")
+    made = T.momentum(traded(st.bars).withColumn("adj_factor", F.lit(1.0)), "code", (20,))
+    made = made.select("code", "trade_date", "close", "stock_return_20d", "cb_return_20d", "cb_abnormal_turnover_20d").join(of, "code")
+    made = made.join(stock.select("stock", "trade_date", (F.col("close") * F.col("adj_factor")).alias("stock_close")), ["stock", "trade_date"], "left")
+    valued = V.conversion_valuation(made.withColumn("convert_price", 1000.0 + F.col("code") % 10 * 100).withColumnRenamed("trade_date", "signal_date"))
+    valued = V.relative_premium(valued, ["signal_date"])
+    noisy = ("conversion_premium", "relative_premium", "cb_abnormal_turnover_20d")  # equal ratios of other numbers must not be ranked by their rounding
+    valued = valued.withColumns({c: rounded(c, 9) for c in noisy})
     return FactorBundle(
-        signal=m.select("code", F.col("trade_date").alias("signal_date")).join(of, "code"),
-        valuation=bond.join(stock, ["code", "trade_date"]).withColumnRenamed("trade_date", "signal_date"),
-        bond_daily=m.select("code", "trade_date", "close"),
-        stock_daily=stocks(spark, sf).select(F.col("code").alias("stock"), "trade_date", (F.col("close") / 2).alias("close"), F.lit(2.0).alias("adj_factor")),
+        signal=stored(m.select("code", F.col("trade_date").alias("signal_date")).join(of, "code"), "signal"),
+        valuation=stored(valued.select("code", "signal_date", "close", "conversion_premium", "relative_premium", "stock_return_20d", "cb_return_20d", "cb_abnormal_turnover_20d"), "valuation"),
+        bond_daily=stored(m.select("code", "trade_date", "close"), "bond-daily"),
+        stock_daily=stock,
     )
 
 
-RUNS = [("stock_return_20d", {}), ("cb_return_20d", {}), ("cb_abnormal_turnover_20d", {}), ("cb_stock_return_spread", {"window": 5})]
-_NAMES = "['stock_return_20d', 'cb_return_20d', 'cb_abnormal_turnover_20d', 'cb_stock_return_spread_window5']"
+RUNS = [(n, {}) for n in ("conversion_premium", "double_low", "relative_premium_to_parity_median", "stock_return_20d", "cb_return_20d", "cb_abnormal_turnover_20d")] + [("cb_stock_return_spread", {"window": 5})]
+_NAMES = [n + "".join(f"_{k}{v}" for k, v in p.items()) for n, p in RUNS]
 BATCH = f"""{LABELS}, {STOCKS}, {TRADED.removeprefix(BARS + ",")},
-b1 AS (SELECT code, trade_date, {ret_sql('close', 20)} AS f1, {ret_sql('close', 5)} AS r5 FROM bars), b2 AS (SELECT code, trade_date, {prior('avg', 'turnover', 20)} AS m20, turnover FROM t3), b3 AS (SELECT code, trade_date, {ret_sql('close', 5)} AS r5 FROM stocks),
-bx AS (SELECT b1.code, b1.trade_date, f1, f1 AS f2, CASE WHEN m20 > 0 THEN turnover / m20 END AS f3, b1.r5 - b3.r5 AS f4 FROM b1 JOIN b2 USING (code, trade_date) JOIN supplier ON s_suppkey = b1.code LEFT JOIN b3 ON b3.code = s_nationkey AND b3.trade_date = b1.trade_date),
-fl AS (SELECT code, trade_date AS signal_date, unnest({_NAMES}) AS factor, unnest([1, -1, -1, -1]) AS direction, unnest([f1, f2, f3, f4]) AS value FROM bx), {wins('value', 'factor, signal_date', 'fl')},
+b1 AS (SELECT code, trade_date, close, {ret_sql('close', 20)} AS f1, {ret_sql('close', 5)} AS r5 FROM bars), b2 AS (SELECT code, trade_date, {prior('avg', 'turnover', 20)} AS m20, turnover FROM t3), b3 AS (SELECT code, trade_date, close, {ret_sql('close', 5)} AS r5, {ret_sql('close', 20)} AS r20 FROM stocks),
+bv AS (SELECT b1.code, b1.trade_date, b1.close, f1, b1.r5 - b3.r5 AS f4, f1 - b3.r20 AS f5, b3.close / (1000 + b1.code % 10 * 100) * 100 AS conversion_value FROM b1 JOIN supplier ON s_suppkey = b1.code LEFT JOIN b3 ON b3.code = s_nationkey AND b3.trade_date = b1.trade_date),
+bw AS (SELECT *, close / conversion_value - 1 AS cp, CASE WHEN conversion_value IS NULL THEN NULL {_EDGES} ELSE '>=130' END AS pb FROM bv), bq AS (SELECT *, CASE WHEN pb IS NOT NULL AND count(cp) OVER w >= 5 THEN cp - median(cp) OVER w END AS rp FROM bw WINDOW w AS (PARTITION BY trade_date, pb)),
+bx AS (SELECT code, trade_date, round(cp, 9) AS cp, close + 100 * round(cp, 9) AS dl, round(rp, 9) AS rp, f1, f1 AS f2, round(CASE WHEN m20 > 0 THEN turnover / m20 END, 9) AS f3, f4, f5 FROM bq JOIN b2 USING (code, trade_date)),
+fl AS (SELECT code, trade_date AS signal_date, unnest({_NAMES}) AS factor, unnest([-1, -1, -1, 1, -1, -1, -1]) AS direction, unnest([cp, dl, rp, f1, f2, f3, f4]) AS value FROM bx), {wins('value', 'factor, signal_date', 'fl')},
 fz AS (SELECT factor, code, signal_date, direction * CASE WHEN w IS NULL THEN NULL WHEN stddev_pop(w) OVER d > 1e-8 THEN (w - avg(w) OVER d) / stddev_pop(w) OVER d ELSE 0 END AS z FROM w_value WINDOW d AS (PARTITION BY factor, signal_date)),
 fo AS (SELECT fz.*, forward_return FROM fz JOIN labels l ON l.code = fz.code AND l.signal_date = fz.signal_date AND horizon_days = 1), ok AS (SELECT * FROM fo WHERE z IS NOT NULL AND forward_return IS NOT NULL),
 rk AS ({SPEARMAN('ok', 'factor, signal_date', 'z', 'forward_return')}), pe AS (SELECT factor, signal_date, CASE WHEN max(z) > min(z) AND max(forward_return) > min(forward_return) THEN covar_pop(z, forward_return) / (stddev_pop(z) * stddev_pop(forward_return)) END AS ic FROM ok GROUP BY ALL),
@@ -505,25 +571,31 @@ ic AS (SELECT factor AS horizon_days, signal_date, CASE WHEN rk.n >= 5 THEN pe.i
 
 
 @query("factor_batch", f"WITH {BATCH}, {IC_SUMMARY.removeprefix(IC + ', ').replace('SELECT horizon_days, metric, count(*)', 'SELECT horizon_days AS factor, metric, count(*)')}")
-def factor_batch(spark: SparkSession, sf: str) -> DataFrame:
-    one = labels(spark, sf).where("horizon_days = 1").select("code", "signal_date", "forward_return")
-    return tidy(evaluate_batch(default_registry().batch(RUNS, bundle(spark, sf)), one)[1].drop("nw_p"))
+def factor_batch(st: Study) -> DataFrame:
+    one = labels(st).where("horizon_days = 1").select("code", "signal_date", "forward_return")
+    return tidy(evaluate_batch(default_registry().batch(RUNS, bundle(st)), one)[1].drop("nw_p"))
 
 
 @query("factor_spread", f"WITH {BATCH} SELECT signal_date, code, round(f4, 6) AS raw_factor, CASE WHEN f4 IS NOT NULL THEN signal_date END AS available_date FROM (SELECT code, trade_date AS signal_date, f4 FROM bx)")
-def factor_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(default_registry().calculate("cb_stock_return_spread", bundle(spark, sf), {"window": 5}))
+def factor_spread(st: Study) -> DataFrame:
+    return tidy(default_registry().calculate("cb_stock_return_spread", bundle(st), {"window": 5}))
+
+
+_SEVEN = "unnest(['conversion_premium', 'double_low', 'relative_premium_to_parity_median', 'stock_return_20d', 'cb_return_20d', 'cb_abnormal_turnover_20d', 'cb_stock_return_spread']) AS name, unnest([-1, -1, -1, 1, -1, -1, -1]) AS direction, unnest([cp, dl, rp, f1, f2, f3, f5]) AS v"
 
 
-@query("factor_inventory", "SELECT name, direction FROM (VALUES " + ", ".join(f"('{n}', CAST({d} AS BIGINT))" for n, d in (("conversion_premium", -1), ("relative_premium_to_parity_median", -1), ("stock_return_20d", 1), ("cb_return_20d", -1), ("cb_abnormal_turnover_20d", -1), ("double_low", -1), ("cb_stock_return_spread", -1))) + ") t(name, direction) WHERE (SELECT count(*) FROM nation) > 0")
-def factor_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    some = read(spark, sf, "nation").agg((F.count("*") > 0).alias("some"))
-    return tidy(default_registry().inventory(spark).crossJoin(some).where("some"), "name", "direction")
+@query("factor_inventory", f"WITH {BATCH}, iv AS (SELECT {_SEVEN} FROM bx) SELECT name, CAST(direction AS BIGINT) AS direction, count(*) AS n_rows, count(v) AS n_observed, round(count(v) / count(*), 6) AS coverage FROM iv GROUP BY ALL")
+def factor_inventory(st: Study) -> DataFrame:
+    """The known factors with what each observes on the signal keys at its default parameters."""
+    r = default_registry()
+    seen = r.batch([(n, {}) for n in r.names()], bundle(st)).groupBy(F.col("factor").alias("name")).agg(F.count("*").alias("n_rows"), F.count("raw_factor").alias("n_observed"))
+    d = r.inventory(st.spark).select("name", "direction").join(seen, "name").withColumn("coverage", F.col("n_observed") / F.col("n_rows"))
+    return tidy(d, "name", "direction", "n_rows", "n_observed", "coverage")
 
 
-def faulty_frame(spark: SparkSession, sf: str) -> DataFrame:
+def faulty_frame(st: Study) -> DataFrame:
     """A factor frame with planted faults of each kind."""
-    k, d = F.col("code"), default_registry().calculate("cb_return_20d", bundle(spark, sf))
+    k, d = F.col("code"), default_registry().calculate("cb_return_20d", bundle(st))
     d = d.withColumn("raw_factor", F.when(k % 17 == 0, F.lit(float("inf"))).otherwise(F.col("raw_factor")))
     d = d.withColumn("available_date", F.when(k % 19 == 0, F.date_add("available_date", 7)).when(k % 23 != 0, F.col("available_date")))
     d = d.withColumn("signal_date", F.when(k % 37 != 0, F.col("signal_date"))).withColumn("code", F.when(k % 31 == 0, k + 1_000_000).otherwise(k))
@@ -535,16 +607,16 @@ x1 AS (SELECT CASE WHEN code % 31 = 0 THEN code + 1000000 ELSE code END AS code,
 x AS (SELECT * FROM x1 UNION ALL SELECT * FROM x1 WHERE code % 29 = 0)
 SELECT count(*) FILTER (sd IS NULL OR code IS NULL) AS null_keys, count(*) FILTER (isinf(f) OR isnan(f)) AS not_finite, count(*) FILTER (ad > sd) AS from_future, count(*) FILTER (f IS NOT NULL AND ad IS NULL) AS undated,
   (SELECT count(*) FROM (SELECT 1 FROM x GROUP BY code, sd HAVING count(*) > 1)) AS repeated_keys, (SELECT count(*) FROM x ANTI JOIN x0 ON x0.code = x.code AND x0.sd = x.sd) AS outside_context FROM x""")
-def violations(spark: SparkSession, sf: str) -> DataFrame:
-    return factor_violations(faulty_frame(spark, sf), bundle(spark, sf).signal)
+def violations(st: Study) -> DataFrame:
+    return factor_violations(faulty_frame(st), bundle(st).signal)
 
 
 @query("bundle_violations", f"""WITH {BARS}, {STOCKS}, s AS (SELECT code, trade_date AS sd, CASE WHEN code % 19 = 0 THEN trade_date + 1 ELSE trade_date END AS ad FROM bars), v0 AS (SELECT code, trade_date FROM bars), v AS (SELECT * FROM v0 UNION ALL SELECT * FROM v0 WHERE code % 29 = 0),
 b AS (SELECT CASE WHEN code % 37 <> 0 THEN code END AS code, trade_date FROM bars)
 SELECT 'signal' AS "table", CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS repeated_keys, count(*) FILTER (ad > sd) AS from_future FROM s UNION ALL SELECT 'valuation', 0, count(*) - count(DISTINCT (code, trade_date)), 0 FROM v
 UNION ALL SELECT 'bond_daily', count(*) FILTER (code IS NULL), (SELECT count(*) - count(DISTINCT (coalesce(code, -1), trade_date)) FROM b), 0 FROM b UNION ALL SELECT 'stock_daily', 0, count(*) - count(DISTINCT (code, trade_date)), 0 FROM stocks""")
-def bundle_faults(spark: SparkSession, sf: str) -> DataFrame:
-    b, k = bundle(spark, sf), F.col("code")
+def bundle_faults(st: Study) -> DataFrame:
+    b, k = bundle(st), F.col("code")
     signal = b.signal.withColumn("available_date", F.when(k % 19 == 0, F.date_add("signal_date", 1)).otherwise(F.col("signal_date")))
     return bundle_violations(FactorBundle(signal, b.valuation.unionByName(b.valuation.where("code % 29 = 0")), b.bond_daily.withColumn("code", F.when(k % 37 != 0, k)), b.stock_daily))
 
@@ -560,24 +632,24 @@ nvs AS (SELECT horizon_days, name, arg_max(v, signal_date) AS f, min(dd) AS d, c
 
 
 @query("horizon_summary", f"WITH {HORIZONS_SQL} SELECT l.horizon_days, " + ", ".join(f"(SELECT {c} FROM ics i WHERE i.horizon_days = l.horizon_days AND metric = '{m}') AS {m}_{c}" for m in ("ic", "rank_ic") for c in ("mean", "positive_share", "icir", "nw_t")) + ", " + ", ".join(f"round((SELECT {c} FROM irs i WHERE i.horizon_days = l.horizon_days AND metric = '{m}'), 6) AS {m}_{a}" for m in ("active", "spread_raw") for c, a in (("ir", "ir"), ("hit", "hit_rate"))) + ", label_rows, usable_rows, round(1 - usable_rows / label_rows, 6) AS excluded_share, " + ", ".join(f"round((SELECT {c} FROM nvs i WHERE i.horizon_days = l.horizon_days AND name = '{m}'), 6) AS {m}_{a}" for m in _NAV4 for c, a in ((squashed_sql("f"), "nav_log"), (squashed_sql("CASE WHEN f > 0 THEN pow(f, 26 / n) - 1 END"), "annual_return_log"), ("d", "max_drawdown"))) + " FROM lbs l")
-def horizon_summary(spark: SparkSession, sf: str) -> DataFrame:
-    ev = stored(evidence(spark, sf), "evidence")
+def horizon_summary(st: Study) -> DataFrame:
+    ev = stored(evidence(st), "evidence")
     returns_ = stored(E.horizon_ir(complete_dates(ev), BY, "code"), "horizon-returns")
-    d = E.horizon_summary(stored(E.ic_series(ev, BY), "horizon-ic"), returns_, labels(spark, sf))
+    d = E.horizon_summary(stored(E.ic_series(ev, BY), "horizon-ic"), returns_, labels(st))
     return tidy(squashed(d, *(f"{m}_{c}" for m in _NAV4 for c in ("nav", "annual_return"))))
 
 
 @query("factor_verification", f"""WITH {BARS}, {SCORES} SELECT count(*) FILTER (mom IS NOT NULL AND abs(CASE WHEN code % 7 = 0 THEN 0.01 ELSE 0 END) > 1e-10 + 1e-10 * abs(mom)) AS raw_mismatches,
   count(*) FILTER (processed_factor IS NOT NULL AND code % 5 = 0 AND abs(2 * processed_factor) > 1e-10 + 1e-10 * abs(processed_factor)) AS processed_mismatches FROM sc""")
-def factor_verification(spark: SparkSession, sf: str) -> DataFrame:
-    d, keys, k = scores(spark, sf), ["code", "signal_date"], F.col("code")
+def factor_verification(st: Study) -> DataFrame:
+    d, keys, k = scores(st), ["code", "signal_date"], F.col("code")
     context = d.select(*keys, (F.col("mom") + F.when(k % 7 == 0, 0.01).otherwise(0.0)).alias("mom"), F.when(k % 5 == 0, -F.col("processed_factor")).otherwise(F.col("processed_factor")).alias("standardized__mom"))
     return E.verify_materialized(context, d.select(*keys, F.col("mom").alias("raw_factor")), d.select(*keys, "processed_factor"), keys, "mom", 1)
 
 
 @query("nav_series", f"WITH {WR} SELECT trade_date, round(sign(nav / first(nav) OVER w) * ln(1 + abs(nav / first(nav) OVER w)), 6) AS normalized_log, round(nav / max(nav) OVER w - 1, 6) AS drawdown, round((1 - turnover) * nav / nav, 6) AS cash_weight FROM wr WINDOW w AS (ORDER BY trade_date ROWS UNBOUNDED PRECEDING)")
-def nav_series(spark: SparkSession, sf: str) -> DataFrame:
-    d = returns(spark, sf).withColumn("book", F.lit(1)).withColumn("cash", (1 - F.col("turnover")) * F.col("nav"))
+def nav_series(st: Study) -> DataFrame:
+    d = returns(st).withColumn("book", F.lit(1)).withColumn("cash", (1 - F.col("turnover")) * F.col("nav"))
     return tidy(squashed(P.nav_series(d, ["book"], cash="cash"), "normalized"), "trade_date", "normalized_log", "drawdown", "cash_weight")
 
 
@@ -585,8 +657,8 @@ def nav_series(spark: SparkSession, sf: str) -> DataFrame:
 yr AS (SELECT y, product(1 + ls) - 1 AS c FROM q1 GROUP BY 1), ys AS (SELECT DISTINCT year(signal_date) AS y FROM ic WHERE horizon_days = 1)
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, round(sum(p) / sum(n), 6) AS coverage, count(*) AS n_dates, (SELECT mean FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS mean_rank_ic, (SELECT icir FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS rank_icir, (SELECT nw_t FROM ics WHERE horizon_days = 1 AND metric = 'rank_ic') AS nw_t,
   round({squashed_sql("(SELECT product(1 + ls) - 1 FROM q1)")}, 6) AS long_short_total_log, (SELECT CAST(arg_min(y, c) AS BIGINT) FROM yr) AS worst_year, round({squashed_sql("(SELECT min(c) FROM yr)")}, 6) AS worst_return_log FROM cv""")
-def factor_summary(spark: SparkSession, sf: str) -> DataFrame:
-    one, by = stored(evidence(spark, sf).where("horizon_days = 1"), "evidence"), ["signal_date"]
+def factor_summary(st: Study) -> DataFrame:
+    one, by = stored(evidence(st).where("horizon_days = 1"), "evidence"), ["signal_date"]
     ic = stored(E.ic_series(one, by), "daily-ic")
     r = stored(E.quantile_returns(E.quantile_groups(complete_dates(one), by, "code"), by), "quantile-returns")
     return tidy(squashed(E.factor_summary(E.coverage_by_date(one, "signal_date", "mom"), E.summarize_ic(ic, []), r, E.annual_stability(ic, r)), "long_short_total", "worst_return"))
@@ -597,37 +669,37 @@ os AS (SELECT *, CASE WHEN eo IS NULL THEN 'missing_entry' WHEN NOT eo > 0 THEN
 
 
 @query("open_to_open", f"WITH {OPENS} SELECT code, signal_date, round(xo / eo - 1, 6) AS forward_return FROM os WHERE label_reason = 'usable'")
-def open_to_open(spark: SparkSession, sf: str) -> DataFrame:
-    d, _ = M.open_to_open(scores(spark, sf).select("code", "signal_date"), schedule(spark, sf), market(spark, sf), "code", drop_unusable=True)
+def open_to_open(st: Study) -> DataFrame:
+    d, _ = M.open_to_open(scores(st).select("code", "signal_date"), schedule(st), st.bars, "code", drop_unusable=True)
     return tidy(d, "code", "signal_date", "forward_return")
 
 
 @query("open_to_open_counts", f"WITH {OPENS} SELECT label_reason, count(*) AS n_rows FROM os GROUP BY 1")
-def open_to_open_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return M.open_to_open(scores(spark, sf).select("code", "signal_date"), schedule(spark, sf), market(spark, sf), "code", drop_unusable=True)[1]
+def open_to_open_counts(st: Study) -> DataFrame:
+    return M.open_to_open(scores(st).select("code", "signal_date"), schedule(st), st.bars, "code", drop_unusable=True)[1]
 
 
 @query("materialized_scores", f"WITH {LIFE}, {SCORES} SELECT sc.signal_date, sc.code, round(-processed_factor, 6) AS processed_factor, entry_allowed, exit_required FROM sc JOIN life l ON l.code = sc.code AND l.trade_date = sc.signal_date")
-def materialized_scores(spark: SparkSession, sf: str) -> DataFrame:
-    life = lifecycle(spark, sf).withColumnRenamed("trade_date", "signal_date")
-    factor = scores(spark, sf).select("code", "signal_date", F.col("mom").alias("raw_factor"))
+def materialized_scores(st: Study) -> DataFrame:
+    life = lifecycle(st).withColumnRenamed("trade_date", "signal_date")
+    factor = scores(st).select("code", "signal_date", F.col("mom").alias("raw_factor"))
     return tidy(P.materialize_scores(life, factor, -1), "signal_date", "code", "processed_factor", "entry_allowed", "exit_required")
 
 
 @query("merged_panels", f"WITH {BARS} SELECT code, trade_date, round(close, 6) AS close, round({ret_sql('close', 5)}, 6) AS stock_return_5d, vol FROM bars")
-def merged_panels(spark: SparkSession, sf: str) -> DataFrame:
-    m = market(spark, sf)
+def merged_panels(st: Study) -> DataFrame:
+    m = st.bars
     a = m.select("code", "trade_date", "close")
-    b = T.momentum(adjusted(spark, sf), "code", (5,)).select("code", "trade_date", "stock_return_5d", (F.col("close") * 0).alias("close"))
+    b = T.momentum(st.bars.withColumn("adj_factor", F.lit(1.0)), "code", (5,)).select("code", "trade_date", "stock_return_5d", (F.col("close") * 0).alias("close"))
     return tidy(X.merge_panels([a, b, m.select("code", "trade_date", "vol")], ["code", "trade_date"]))
 
 
 @query("market_cap_control", f"""WITH {BARS}, cp AS (SELECT s_suppkey AS code, trade_date AS cap_date, CASE WHEN (cal_idx + s_suppkey) % 8 > 0 THEN s_suppkey * 1000.0 + cal_idx END AS cap FROM supplier, cal WHERE cal_idx % 4 = 0)
 SELECT b.code, b.trade_date, cap_date AS market_cap_date, round(ln(cap), 6) AS log_market_cap, CAST(date_diff('day', cap_date, b.trade_date) AS BIGINT) AS market_cap_age, CAST(s_nationkey AS VARCHAR) AS industry_control
 FROM bars b JOIN supplier ON s_suppkey = b.code ASOF LEFT JOIN cp ON cp.code = b.code AND b.trade_date >= cp.cap_date""")
-def market_cap_control(spark: SparkSession, sf: str) -> DataFrame:
-    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("industry"))
+def market_cap_control(st: Study) -> DataFrame:
+    s = st.read("supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("industry"))
     cap = F.when((F.col("cal_idx") + F.col("code")) % 8 > 0, F.col("code") * 1000.0 + F.col("cal_idx"))
-    caps = s.select("code").crossJoin(F.broadcast(weeks(spark, sf).where("cal_idx % 4 = 0"))).select("code", "trade_date", cap.alias("market_cap"))
-    panel = market(spark, sf).select("code", "trade_date").join(s, "code")
+    caps = s.select("code").crossJoin(F.broadcast(st.cal.where("cal_idx % 4 = 0"))).select("code", "trade_date", cap.alias("market_cap"))
+    panel = st.bars.select("code", "trade_date").join(s, "code")
     return tidy(X.attach_market_cap(panel, caps, "code", "trade_date"), "code", "trade_date", "market_cap_date", "log_market_cap", "market_cap_age", "industry_control")

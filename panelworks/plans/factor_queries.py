@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import cross_section as X
 from ..operators import factors as T
+from ..operators.audits import preprocessing_audit as audit_of_panel
 from ..operators.valuation import factor_audit, quantiles, tails_by_factor
 from ..sources.folders import stored
-from .panels import BARS, STOCKS, market, over, read, register, rounded, shifted, stocks, tidy
+from .panels import BARS, STOCKS, market, over, read, register, rounded, shifted, stocks, tidy, weeks
 
 QUERIES: dict = {}
 KEYS = ["code", "trade_date"]
@@ -113,8 +114,8 @@ def beta_corr(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(T.beta_correlation(linked(spark, sf), "code"), *KEYS, "beta_20d", "correlation_20d", "beta_60d", "correlation_60d")
 
 
-def traded(spark: SparkSession, sf: str) -> DataFrame:
-    d = T.bond_daily_return(market(spark, sf).withColumn("remain_size", F.lit(1e6) + F.col("code") * 1000), "code")
+def traded(bars: DataFrame) -> DataFrame:
+    d = T.bond_daily_return(bars.withColumn("remain_size", F.lit(1e6) + F.col("code") * 1000), "code")
     d = T.bond_trading_base(d, price_scale=1.0, volume_scale=1000.0, amount_scale=1.0)
     return T.bond_trading(d, "code")
 
@@ -129,30 +130,30 @@ t3 AS (SELECT *, ln(notional) AS la, abs(bond_return) / notional AS il, CASE WHE
 @query("abnormal_turnover", f"""WITH {TRADED}, a AS (SELECT code, trade_date, turnover, {prior('avg', 'turnover', 20)} AS m20, {prior('avg', 'turnover', 60)} AS m60 FROM t3)
 SELECT code, trade_date, round(turnover, 6) AS turnover, round(CASE WHEN m20 > 0 THEN turnover / m20 END, 6) AS cb_abnormal_turnover_20d, round(CASE WHEN m60 > 0 THEN turnover / m60 END, 6) AS cb_abnormal_turnover_60d FROM a""")
 def abnormal_turnover(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(traded(spark, sf), *KEYS, "turnover", "cb_abnormal_turnover_20d", "cb_abnormal_turnover_60d")
+    return tidy(traded(market(spark, sf)), *KEYS, "turnover", "cb_abnormal_turnover_20d", "cb_abnormal_turnover_60d")
 
 
 @query("amount_zscore", f"""WITH {TRADED}, a AS (SELECT code, trade_date, la, {prior('avg', 'la', 20)} AS m, {prior('stddev_samp', 'la', 20)} AS s FROM t3)
 SELECT code, trade_date, round(CASE WHEN s > 1e-12 THEN (la - m) / s END, 6) AS cb_log_amount_zscore_20d FROM a""")
 def amount_zscore(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(traded(spark, sf), *KEYS, "cb_log_amount_zscore_20d")
+    return tidy(traded(market(spark, sf)), *KEYS, "cb_log_amount_zscore_20d")
 
 
 @query("bond_returns", f"WITH {TRADED}, a AS (SELECT code, trade_date, " + ", ".join(f"{ret_sql('close', n)} AS r{n}" for n in (5, 10, 20)) + " FROM t3) SELECT code, trade_date, round(r5, 6) AS cb_return_5d, round(r10, 6) AS cb_return_10d, round(r20, 6) AS cb_return_20d, round(r5 - r20, 6) AS cb_short_long_momentum_5_20d FROM a")
 def bond_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(traded(spark, sf), *KEYS, "cb_return_5d", "cb_return_10d", "cb_return_20d", "cb_short_long_momentum_5_20d")
+    return tidy(traded(market(spark, sf)), *KEYS, "cb_return_5d", "cb_return_10d", "cb_return_20d", "cb_short_long_momentum_5_20d")
 
 
 @query("vwap_check", f"""WITH {TRADED} SELECT code, trade_date, ok AS vwap_unit_valid, round(cv, 6) AS cb_close_to_vwap, round(CASE WHEN cv IS NOT NULL THEN {roll('avg', 'cv', 5)} END, 6) AS cb_close_to_vwap_mean_5d,
   round(CASE WHEN notional IS NOT NULL THEN ({roll('avg', 'il')}) * 1e8 END, 6) AS cb_amihud_20d FROM t3""")
 def vwap_check(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(traded(spark, sf), *KEYS, "vwap_unit_valid", "cb_close_to_vwap", "cb_close_to_vwap_mean_5d", "cb_amihud_20d")
+    return tidy(traded(market(spark, sf)), *KEYS, "vwap_unit_valid", "cb_close_to_vwap", "cb_close_to_vwap_mean_5d", "cb_amihud_20d")
 
 
 @query("vwap_audit", f"""WITH {TRADED}, a AS (SELECT CAST(code % 4 AS VARCHAR) AS exchange, CAST(year(trade_date) AS BIGINT) AS year, CAST(ok AS INT) AS ok FROM t3 WHERE vwap IS NOT NULL)
 SELECT exchange, year, count(*) AS n_rows, CAST(sum(ok) AS BIGINT) AS n_valid, round(sum(ok) / count(*), 6) AS valid_share FROM a GROUP BY CUBE (exchange, year) HAVING grouping(exchange, year) > 0""")
 def vwap_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(T.vwap_audit(traded(spark, sf), (F.col("code") % 4).cast("string"), F.year("trade_date")))
+    return tidy(T.vwap_audit(traded(market(spark, sf)), (F.col("code") % 4).cast("string"), F.year("trade_date")))
 
 
 FACTORS = ["mom", "flow", "turn"]
@@ -259,6 +260,28 @@ def clipping_audit(spark: SparkSession, sf: str) -> DataFrame:
     return X.clipping_audit(X.mad_sensitivity(panel(spark, sf), KEYS, "trade_date", FACTORS))
 
 
+_AUDITED = f"""WITH {PANEL}, {LONG}, sl AS (SELECT lg.*, k FROM lg CROSS JOIN (SELECT unnest([CAST(2.5 AS DOUBLE), 3.0, 3.5]) AS k)), {_SENS_W},
+x AS (SELECT *, abs(w - value) > 1e-8 + 1e-5 * abs(value) AS mv FROM w_value), sp AS ({SPEARMAN('w_value', 'factor, k, trade_date', 'value', 'w')}), sm AS (SELECT factor, k, avg(CASE WHEN n >= 2 THEN r END) AS mr FROM sp GROUP BY ALL),
+st AS (SELECT factor, k, count(*) FILTER (mv) / count(value) AS cr, count(*) FILTER (mv) AS c FROM x GROUP BY ALL), mo AS (SELECT *, lag(c) OVER (PARTITION BY factor ORDER BY k) AS p FROM st),
+cp AS (SELECT s_suppkey AS code, trade_date AS cap_date, CASE WHEN (cal_idx + s_suppkey) % 8 > 0 THEN s_suppkey * 1000.0 + cal_idx END AS cap FROM supplier, cal WHERE cal_idx % 4 = 0),
+p0 AS (SELECT p.*, cap, CAST(date_diff('day', cap_date, p.trade_date) AS BIGINT) AS age, nation AS ind FROM panel p ASOF LEFT JOIN cp ON cp.code = p.code AND p.trade_date >= cp.cap_date),
+p1 AS (SELECT * FROM p0 UNION ALL SELECT * FROM p0 WHERE code % 41 = 0 AND year(trade_date) = 1996)"""
+
+
+@query("preprocessing_audit", f"""{_AUDITED} SELECT count(*) AS n_rows, count(DISTINCT trade_date) AS n_dates, count(DISTINCT code) AS n_entities, count(*) - (SELECT count(*) FROM p0) AS repeated_keys,
+  {", ".join(f"round(count({f}) / count(*), 6) AS coverage__{f}" for f in ("mom", "flow", "turn"))}, round(count(cap) / count(*), 6) AS cap_coverage, round(count(ind) / count(*), 6) AS industry_coverage, round(count(*) FILTER (cap IS NOT NULL AND ind IS NOT NULL) / count(*), 6) AS joint_coverage, max(age) AS oldest_cap,
+  1::BIGINT AS missing_outputs, 1::BIGINT AS forbidden_columns, {", ".join(f"round((SELECT cr FROM st WHERE factor = '{f}' AND k = 3), 6) AS clip_rate__{f}, round((SELECT mr FROM sm WHERE factor = '{f}' AND k = 3), 6) AS rank_correlation__{f}" for f in ("mom", "flow", "turn"))},
+  (SELECT count(*) FROM (SELECT factor FROM mo GROUP BY 1 HAVING bool_or(c > p))) AS not_monotone, false AS passed FROM p1""")
+def preprocessing_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """A panel with planted faults: repeated keys, an output that is missing, a column from the future."""
+    p = stored(panel(spark, sf), "panel")
+    cap = F.when((F.col("cal_idx") + F.col("code")) % 8 > 0, F.col("code") * 1000.0 + F.col("cal_idx"))
+    caps = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("code")).crossJoin(F.broadcast(weeks(spark, sf).where("cal_idx % 4 = 0"))).select("code", "trade_date", cap.alias("market_cap"))
+    d = X.attach_market_cap(p, caps, "code", "trade_date", industry="nation").withColumn("label_next", F.lit(None).cast("double"))
+    d = d.unionByName(d.where("code % 41 = 0 and year(trade_date) = 1996")).withColumn("winsorized__mom", F.col("mom"))
+    return tidy(audit_of_panel(d, "code", "trade_date", FACTORS, X.mad_sensitivity(p, KEYS, "trade_date", FACTORS), ["winsorized__mom", "standardized__mom"]))
+
+
 @query("spearman_matrix", f"WITH {MATRIX} SELECT factor_a, factor_b, n AS n_pairs, round(r, 6) AS correlation FROM mx")
 def spearman_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(X.spearman_matrix(panel(spark, sf), KEYS, FACTORS))
@@ -360,7 +383,7 @@ BOND_FACTORS = ("cb_return_5d", "cb_return_20d", "turnover", "cb_close_to_vwap")
 gt AS (SELECT count(*) FILTER (vol > 0 AND amount > 0 AND low > 0 AND high > 0) AS n_vwap, count(*) FILTER (vol > 0 AND amount > 0 AND low > 0 AND high > 0 AND amount / vol >= low - 0.02 AND amount / vol <= high + 0.02) AS n_inside FROM t3),
 au AS ({_audit_sql(BOND_FACTORS, ('vwap_unit_valid',))}) SELECT au.*, n_vwap, n_inside, n_vwap - n_inside AS n_excluded, round(n_inside / n_vwap, 6) AS inside_share, n_inside / n_vwap >= 0.999 AS gate_passed FROM au, gt""")
 def trading_audit(spark: SparkSession, sf: str) -> DataFrame:
-    d = traded(spark, sf)
+    d = traded(market(spark, sf))
     e = d.select(*KEYS, *BOND_FACTORS, "vwap_unit_valid")
     wrong = faulty(e, BOND_FACTORS).withColumn("vwap_unit_valid", F.col("vwap_unit_valid") != (F.abs("code") % 17 == 0))
     return tidy(factor_audit(wrong, e, KEYS, list(BOND_FACTORS), ("vwap_unit_valid",)).crossJoin(T.trading_gate(d, price_scale=1.0)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.calendar import calendar, rebalance_calendar
 
-FIRST, LAST, STEP = "1995-01-01", "2001-09-30", 28
+FIRST, LAST, STEP = "1995-01-01", "2009-12-31", 28
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

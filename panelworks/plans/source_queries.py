@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import run_identity
+from ..sources import event_log
 from ..sources import tables as S
 from ..sources.folders import new_folder
-from .panels import read, register, rounded, tidy
+from .panels import BARS, SIGNALS, read, register, rounded, signals, tidy
 
 QUERIES: dict = {}
 query = partial(register, QUERIES)
@@ -161,3 +162,23 @@ def merged_events(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "events").select((F.col("event_id") % 1000).alias("k"), "event_type")
     merged = S.merge_events(d.where("k < 400"), d.where("k >= 300 and k < 800"), d.where("k >= 700"), order=["k", "event_type"])
     return merged.groupBy("k", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("event_log", """SELECT event_id % 1000 AS k, event_type, min(CASE WHEN event_id % 1000 < 400 THEN 0 WHEN event_id % 1000 < 800 THEN 1 ELSE 2 END) AS version, 1 AS n FROM events GROUP BY ALL""")
+def merged_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Three overlapping batches into a log; the version of a row is that of the first batch that had it."""
+    d = read(spark, sf, "events").select((F.col("event_id") % 1000).alias("k"), "event_type")
+    path, out = new_folder(spark, "event-log"), None
+    for version, rows in enumerate(("k < 400", "k >= 300 and k < 800", "k >= 100")):
+        event_log.add_events(d.where(rows), path, version)
+    for version in range(3):
+        seen = event_log.read_events(spark, path, d.schema, version).groupBy("k", "event_type").agg(F.count("*").alias("n")).withColumn("version", F.lit(version))
+        out = seen if out is None else out.unionByName(seen)
+    return tidy(out.groupBy("k", "event_type").agg(F.min("version").alias("version"), F.max("n").alias("n")))
+
+
+@query("schedule_panel", f"""WITH {BARS}, {SIGNALS} SELECT o_orderkey, o_custkey AS code, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS BIGINT) AS year
+FROM orders WHERE CAST(o_orderdate AS DATE) IN (SELECT signal_date FROM signals WHERE signal_date BETWEEN DATE '1996-03-01' AND DATE '1997-10-31')""")
+def schedule_panel(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = signals(spark, sf).where("signal_date between '1996-03-01' and '1997-10-31'")
+    return tidy(S.read_on_schedule(spark, yearly(spark, sf), "day", wanted).drop("is_eligible"), "o_orderkey", "code", "day", "year")

@@ -98,6 +98,14 @@ def read_years(spark: SparkSession, path: str, date: str, start: str, end: str)
     return d.where(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def read_on_schedule(spark: SparkSession, path: str, date: str, schedule: DataFrame, on: str = "signal_date") -> DataFrame:
+    """The rows of a year-partitioned table on the dates of a schedule. The schedule's years reach the scan as a
+    dynamic filter, so other years are not opened, without a job before. Years and dates, a row a day at most, are broadcast."""
+    known = schedule.where(F.col(on) >= F.lit("0001-01-01").cast("date"))  # a comparison, as Spark makes no dynamic filter from a side that has none
+    dates, years = known.select(F.col(on).alias(date)).distinct(), known.select(F.year(on).alias("year")).distinct()
+    return spark.read.parquet(path).join(F.broadcast(years), "year", "left_semi").join(F.broadcast(dates), date, "left_semi")
+
+
 def read_years_strict(spark: SparkSession, path: str, date: str, start: str, end: str, keys: list[str], flag: str | None = None) -> DataFrame:
     """As `read_years`; a year without rows, or a repeated key, is an error."""
     d = read_years(spark, path, date, start, end)
