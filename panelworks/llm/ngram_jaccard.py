@@ -21,7 +21,8 @@ between classes; a row is one of its class, whatever its id, and classes that sh
 A pair leaves the join only if its parity sketches, which bound the difference of the sets from below, allow
 the threshold. `jaccard_links` pairs buckets in full, so a group of near copies costs what it has
 links, the square of its size. `jaccard_components` only needs what joins: in each bucket, classes are first
-compared with one leader alone, that with the fewest rarer tokens, which copies of one text are closest to; then
+compared with one leader alone, that with the fewest rarer tokens, which copies of one text are closest to; what it leaves apart
+gets a leader of its own in the next round; at last
 buckets are paired in full, but only between classes that are not yet in one component, so groups stay near linear.
 
 How links are counted. Every link lies inside a component, so `jaccard_join` deals the classes of each component into blocks
@@ -52,6 +53,8 @@ WHOLE, CUT = 256, 64
 MISS = 1e-11
 #: Classes, and tokens of their sets, that a block of a component holds on average at most.
 BLOCK_CLASSES, BLOCK_TOKENS = 48, 200_000
+#: Rounds in which a bucket has a leader, before what is still apart is paired in full.
+LEADER_ROUNDS = 3
 #: Tokens that are counted together in a comparison of two blocks.
 COLUMNS = 4096
 #: Bits of a set's parity sketch, as longs: two sketches differ in no more bits than the
@@ -309,21 +312,32 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 
 
 def _joining_links(p: _Prepared, percent: int, whole: int) -> DataFrame:
-    """Verified links (a, b) between classes that join all that any links join: with the leaders of
-    buckets, then between components that these leave apart."""
-    leaders = materialise(p.tokens.groupBy("token").agg(F.min_by(F.struct("cls", "fit"), F.struct("k", "cls")).alias("top")), "leaders")
-    star = p.tokens.join(leaders, "token").where((F.col("cls") != F.col("top.cls")) & fits(F.col("fit"), F.col("top.fit"), percent, whole))
-    star = materialise(star.select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct(), "star-pairs")
-    near = materialise(_verified(_filtered(star, p.heads), p.sets, percent), "star-links")
-    comp = connected_components(near, "a", "b").select(F.col("node").alias("cls"), "component")
-    placed = p.tokens.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    mixed = materialise(mixed, "mixed")
-    placed = materialise(placed.join(mixed, "token", "left_semi"), "buckets")
+    """Verified links (a, b) between classes that join all that any links join: in LEADER_ROUNDS rounds with a leader of each
+    bucket, then between all components that these leave apart in a bucket.
+
+    A leader is compared with the classes of other components alone. It is, of the classes that nothing has joined yet if there are any,
+    the one with the fewest rarer tokens, so what one leader misses has a leader of its own in the next round, and
+    little is left to pair in full."""
+    placed, found, tried, old = p.tokens.withColumn("component", F.col("cls")), None, None, []
+    for n in range(LEADER_ROUNDS):
+        first = F.struct(F.col("component") != F.col("cls"), "k", F.xxhash64("cls", F.lit(n)), "cls")
+        leaders = materialise(placed.groupBy("token").agg(F.min_by(F.struct("cls", "fit", "component"), first).alias("top")), "leaders")
+        star = placed.join(leaders, "token").where((F.col("component") != F.col("top.component")) & fits(F.col("fit"), F.col("top.fit"), percent, whole))
+        star = star.select(F.least("cls", "top.cls").alias("a"), F.greatest("cls", "top.cls").alias("b")).distinct()
+        star = materialise(star.join(tried, ["a", "b"], "left_anti") if tried is not None else star, "star-pairs")
+        near = materialise(_verified(_filtered(star, p.heads), p.sets, percent), "star-links")
+        found, tried = (near, star) if found is None else (found.unionByName(near), tried.unionByName(star))
+        comp = connected_components(found, "a", "b").select(F.col("node").alias("cls"), "component")
+        now = p.tokens.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+        mixed = materialise(mixed, "mixed")
+        before, placed = placed, materialise(now.join(mixed, "token", "left_semi"), "buckets")
+        discard(leaders, mixed, *([before] if n else []))
+        old += [star, near]
     left = placed.select("token", F.col("cls").alias("ia"), F.col("component").alias("ca"), F.col("fit").alias("fa"))
     right = placed.select("token", F.col("cls").alias("ib"), F.col("component").alias("cb"), F.col("fit").alias("fb"))
     pairs = left.join(right, "token").where((F.col("ca") < F.col("cb")) & fits(F.col("fa"), F.col("fb"), percent, whole))
-    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    out = materialise(near.unionByName(_verified(_filtered(pairs, p.heads), p.sets, percent)), "joining-links")
-    discard(leaders, star, near, mixed, placed)
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    out = materialise(found.unionByName(_verified(_filtered(pairs, p.heads), p.sets, percent)), "joining-links")
+    discard(placed, *old)
     return out
