@@ -48,7 +48,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     Dates and whole numbers are positions. Points and intervals with a null bound or key, and intervals that do
     not end after they start, join nothing; repeated rows count each time. Of the bin sizes only those that
     intervals have are looked up (one small job reads them: a number for each size). With `hot_rows`, a bin that more points than
-    that lie in is dealt over several tasks, and its intervals are sent to each; it costs a count of points by bin.
+    that lie in is dealt over several tasks, and its intervals are sent to each; it costs a count of points by bin, and points in their bins are written once.
     """
     keys = keys or []
     clash = {c: f"{c}_interval" if c in points.columns else c for c in intervals.columns if c not in keys}
@@ -63,10 +63,11 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     dots = live(points, at).select(*names(), F.struct(*(F.col(c) for c in points.columns)).alias("_point"), F.inline(bins))
     on = [*own, "_level", "_bin"]
     if hot_rows is not None:
+        dots = stored(dots.withColumn("_salt", F.rand(7)), "interval-points")  # drawn once, so that a task that is run again deals the same
         heavy = dots.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
         heavy = stored(heavy, "hot-bins")
-        deal = F.pmod(F.xxhash64("_point", F.rand(7)), F.coalesce("_parts", F.lit(1))).cast("int")
-        dots = dots.join(heavy, on, "left").withColumn("_part", deal).drop("_parts")
+        deal = F.floor(F.col("_salt") * F.coalesce("_parts", F.lit(1))).cast("int")
+        dots = dots.join(heavy, on, "left").withColumn("_part", deal).drop("_parts", "_salt")
         spans = spans.join(heavy, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         on = [*on, "_part"]
     return dots.join(spans, on).select("_point.*", "_span.*")
