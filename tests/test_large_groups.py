@@ -222,3 +222,19 @@ def test_appended_signals_extend_cohorts(spark):
     got = {(r.execution_date, r.code): (r.n_cohorts, r.target_weight) for r in P.cohort_snapshots(full.parts, "code").collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
     assert any(v == (0, 0.0) for v in want.values())
+
+
+def test_bars_take_the_first_of_tied_lines(spark, tmp_path):
+    """Of lines that are equal in the SQL's order the first of the file counts; the aggregation is by hash, so nothing is sorted for it."""
+    from panelworks.plans.panels import market
+
+    day = dt.datetime(1998, 5, 18)
+    rows = [(7, 1, 2, 1.0, 30.0, day), (7, 1, 2, 1.0, 10.0, day), (7, 1, 2, 1.0, 20.0, day), (5, 2, 1, 1.0, 6.0, day), (10**13 - 1, 2, 99, 1.0, 4.0, day), (4, 2, 0, 2.0, 10.0, day + dt.timedelta(microseconds=1)), (9, 2, 0, 0.0, 1.0, day)]
+    names = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = market(spark, str(tmp_path))
+    assert {r.code: (r.open, r.high, r.low, r.close, r.vol) for r in d.collect()} == {1: (30.0, 30.0, 10.0, 30.0, 3.0), 2: (6.0, 6.0, 4.0, 5.0, 4.0)}
+    assert "SortAggregate" not in plan_of(d)
+    spark.createDataFrame([(10**13, 1, 2, 1.0, 30.0, day)], names).write.parquet(f"{tmp_path}/far/lineitem.parquet")
+    with pytest.raises(Exception, match="out of range"):
+        market(spark, f"{tmp_path}/far").collect()
