@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import PARITY_LABELS, bucket, conversion_value, double_low, premium, valid_price
 from ..functions.ranks import exact_quantiles
+from ..sources.folders import stored
 from .checks import duplicate_keys, key_difference, mismatch
 
 
@@ -116,9 +117,11 @@ def quantiles(panel: DataFrame, columns: list[str], points: tuple[float, ...] =
 
 
 def bucket_report(panel: DataFrame) -> DataFrame:
-    """(bucket_no, parity_bucket, n_rows, n_valued, median_premium, median_score, coverage) over all dates, medians by selection."""
-    on = panel.where("parity_bucket is not null")
+    """(bucket_no, parity_bucket, n_rows, n_valued, median_premium, median_score, coverage) over all dates, medians by selection.
+    The panel is read once and stored."""
+    on = stored(panel.where("parity_bucket is not null").select("parity_bucket", "conversion_premium", "parity_score"), "bucketed")
     d = on.groupBy("parity_bucket").agg(F.count("*").alias("n_rows"), F.count("conversion_premium").alias("n_valued"), F.avg(F.col("parity_score").isNotNull().cast("double")).alias("coverage"))
-    mid = lambda c, n: exact_quantiles(on, ["parity_bucket"], c, (0.5,)).select("parity_bucket", F.col("value").alias(n))
-    d = d.join(mid("conversion_premium", "median_premium"), "parity_bucket", "left").join(mid("parity_score", "median_score"), "parity_bucket", "left")
+    mid = exact_quantiles(on.unpivot(["parity_bucket"], ["conversion_premium", "parity_score"], "_of", "_value"), ["parity_bucket", "_of"], "_value", (0.5,))
+    of = lambda c: F.max(F.when(F.col("_of") == c, F.col("value")))
+    d = d.join(mid.groupBy("parity_bucket").agg(of("conversion_premium").alias("median_premium"), of("parity_score").alias("median_score")), "parity_bucket", "left")
     return d.select(bucket_no().alias("bucket_no"), "parity_bucket", "n_rows", "n_valued", "median_premium", "median_score", "coverage")
