@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 TINY = 1e-12
 
 
+#: Pieces of `dealt`.
+PIECES = 128
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows moved by group into a fixed number of pieces, before windows that sort and hold whole groups: Spark merges the pieces of other
+    shuffles by their compressed size, and a sort of rows that compress well is many times as large."""
+    return df.repartition(PIECES, *by)
+
+
 def pearson(x: str, y: str) -> Column:
     """Pearson correlation of complete pairs as an aggregate; null if either is constant."""
     on = F.col(x).isNotNull() & F.col(y).isNotNull()
@@ -29,7 +39,7 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman_by(df: DataFrame, by: list[str], x: str, y: str, min_count: int = 2, name: str = "rank_ic") -> DataFrame:
     """Spearman correlation of complete pairs within `by`, null under `min_count` pairs or
     where either is constant. One shuffle by `by`."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = dealt(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), *by)
     d = d.select(*by, average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry"))
     return d.groupBy(*by).agg(F.when(F.count("*") >= min_count, pearson("_rx", "_ry")).alias(name))
 

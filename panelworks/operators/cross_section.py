@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import below, clean, dealt_values, exact_quantiles
-from ..functions.stats import pearson, spearman_by
+from ..functions.stats import dealt, pearson, spearman_by
 from ..sources.folders import stored
 from .checks import forbid_columns
 
@@ -92,11 +92,18 @@ def to_long(panel: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
     return panel.unpivot(keys, factors, "factor", "value")
 
 
-def winsorize_panel(panel: DataFrame, keys: list[str], date: str, factors: list[str], n_mad: float = 3.0) -> DataFrame:
-    """All factors in long form through one shuffle, then wide as winsorized__<factor>."""
-    d = winsorize_mad(to_long(panel, keys, factors), "value", [date, "factor"], n_mad, "clipped")
-    wide = d.groupBy(*keys).pivot("factor", factors).agg(F.first("clipped"))
-    return wide.select(*keys, *(F.col(f).alias(f"winsorized__{f}") for f in factors))
+def winsorize_panel(panel: DataFrame, keys: list[str], date: str, factors: list[str], n_mad: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`winsorize_mad` of all factors by date as winsorized__<factor>, beside the keys and the columns to `keep`: rows stay wide, are moved and
+    sorted once, by date, and all medians are made there."""
+    w, d = Window.partitionBy(date), panel.select(*keys, *(c for c in keep if c not in keys), *(c for c in factors if c not in (*keys, *keep)))
+    d = d.withColumns({f"_med_{f}": F.median(f).over(w) for f in factors})
+    d = d.withColumns({f"_mad_{f}": F.median(F.abs(F.col(f) - F.col(f"_med_{f}"))).over(w) * MAD_SCALE for f in factors})
+
+    def clipped(f: str) -> Column:
+        x, med, reach = F.col(f), F.col(f"_med_{f}"), n_mad * F.col(f"_mad_{f}")
+        return F.when(x.isNull(), None).when(F.col(f"_mad_{f}") / MAD_SCALE > FLAT, F.greatest(med - reach, F.least(med + reach, x))).otherwise(x)
+
+    return d.select(*keys, *(c for c in keep if c not in keys), *(clipped(f).alias(f"winsorized__{f}") for f in factors))
 
 
 def mad_sensitivity(panel: DataFrame, keys: list[str], date: str, factors: list[str], multipliers: tuple[float, ...] = (2.5, 3.0, 3.5)) -> DataFrame:
@@ -105,7 +112,7 @@ def mad_sensitivity(panel: DataFrame, keys: list[str], date: str, factors: list[
     once for all multipliers; the clipped rows are stored and the parts of the report read them there."""
     forbid_columns(panel)
     w, x = Window.partitionBy(date, "factor"), F.col("value")
-    d = to_long(panel, keys, factors).withColumn("_med", F.median(x).over(w)).withColumn("_mad", F.median(F.abs(x - F.col("_med"))).over(w))
+    d = dealt(to_long(panel.select(*keys, *factors), keys, factors), date, "factor").withColumn("_med", F.median(x).over(w)).withColumn("_mad", F.median(F.abs(x - F.col("_med"))).over(w))
     d = d.withColumn("multiplier", F.explode(F.array(*map(F.lit, multipliers))))
     reach = F.col("multiplier") * F.col("_mad") * MAD_SCALE
     clipped = F.when(x.isNotNull() & (F.col("_mad") > FLAT), F.greatest(F.col("_med") - reach, F.least(F.col("_med") + reach, x))).otherwise(x)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import TINY, average_rank, newey_west, normal_p, pearson
+from ..functions.stats import TINY, average_rank, dealt, newey_west, normal_p, pearson
 from .checks import mismatch
 
 SCORE, RETURN = "processed_factor", "forward_return"
@@ -17,7 +17,7 @@ def ic_series(panel: DataFrame, by: list[str], score: str = SCORE, ret: str = RE
     """Per group: complete rows, Pearson ic and Spearman rank_ic; null under `min_assets` or
     where either side is constant. The panel is read once and moved once, by group."""
     on = F.col(score).isNotNull() & F.col(ret).isNotNull()
-    d = panel.select(*by, on.alias("_on"), F.when(on, F.col(score)).alias("_x"), F.when(on, F.col(ret)).alias("_y")).repartition(*by)
+    d = dealt(panel.select(*by, on.alias("_on"), F.when(on, F.col(score)).alias("_x"), F.when(on, F.col(ret)).alias("_y")), *by)
     d = d.withColumn("_rx", F.when(F.col("_on"), average_rank("_x", [*by, "_on"]))).withColumn("_ry", F.when(F.col("_on"), average_rank("_y", [*by, "_on"])))
     d = d.groupBy(*by).agg(F.count_if("_on").alias("n_assets"), pearson("_x", "_y").alias("ic"), pearson("_rx", "_ry").alias("rank_ic"))
     enough = F.col("n_assets") >= min_assets

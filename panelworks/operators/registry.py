@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stats import dealt
 from .calendar import calendar
 from .checks import require_columns
 from .cross_section import standardize, winsorize_mad
@@ -237,7 +238,7 @@ def evaluate_batch(batch: DataFrame, labels: DataFrame, min_assets: int = 5) ->
     """(ic by factor and date, summary by factor) of a long batch, each factor winsorised,
     standardised and signed by date."""
     by = ["factor", "signal_date"]
-    d = standardize(winsorize_mad(batch, "raw_factor", by, name="_w"), "_w", by, "_z")
+    d = standardize(winsorize_mad(dealt(batch, *by), "raw_factor", by, name="_w"), "_w", by, "_z")
     d = d.withColumn("processed_factor", F.col("direction") * F.col("_z")).join(labels, KEYS)
     ic = ic_series(d, by, min_assets=min_assets)
     return ic, summarize_ic(ic, ["factor"])

@@ -207,8 +207,7 @@ POLICIES = [X.Policy("mom", ("balance", "span"), "nation"), X.Policy("turn", ("b
 
 
 def family(spark: SparkSession, sf: str) -> DataFrame:
-    d = panel(spark, sf)
-    w = X.winsorize_panel(d, KEYS, "trade_date", FACTORS).join(d.select(*KEYS, "balance", "span", "nation"), KEYS)
+    w = stored(X.winsorize_panel(panel(spark, sf), KEYS, "trade_date", FACTORS, keep=("balance", "span", "nation")), "winsorized")
     return X.preprocess_family(w, "trade_date", POLICIES)
 
 

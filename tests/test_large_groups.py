@@ -238,3 +238,23 @@ def test_bars_take_the_first_of_tied_lines(spark, tmp_path):
     spark.createDataFrame([(10**13, 1, 2, 1.0, 30.0, day)], names).write.parquet(f"{tmp_path}/far/lineitem.parquet")
     with pytest.raises(Exception, match="out of range"):
         market(spark, f"{tmp_path}/far").collect()
+
+
+def test_winsorized_panel_is_moved_once(spark):
+    rng = random.Random(9)
+    rows = [(i, DAY(i % 3), rng.choice([None, rng.gauss(0, 1), 50.0]), 1.0 if i % 3 else rng.random(), i % 4) for i in range(90)]
+    d = spark.createDataFrame(rows, "code int, day date, a double, b double, g int")
+    got = X.winsorize_panel(d, ["code", "day"], "day", ["a", "b"], keep=("g", "a"))
+    assert got.columns == ["code", "day", "g", "a", "winsorized__a", "winsorized__b"]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = X.winsorize_mad(X.winsorize_mad(d, "a", ["day"]), "b", ["day"]).select(got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_dealt_pieces_are_not_merged(spark):
+    from panelworks.functions.stats import PIECES
+    from panelworks.operators.evaluation import ic_series
+
+    rows = [(h, DAY(i), float(k * i % 7), float(k)) for h in (1, 5) for i in range(40) for k in range(6)]
+    d = ic_series(spark.createDataFrame(rows, "h int, day date, processed_factor double, forward_return double"), ["h", "day"])
+    assert d.count() == 80 and d.rdd.getNumPartitions() == PIECES
