@@ -10,12 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_sample, discard, materialise
+from ..functions.ranks import below
+from .storage import discard, materialise
 from .textkernel import chunks, mix, string_buffers, word_hashes
 
-#: Labelled rows that the document classifier is fitted on at most; the choice is by hash.
-TRAIN_ROWS = 20_000
-
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in ".,;:?'\"()-"]] = True
 _SYMBOL = np.zeros(256, bool)
@@ -33,11 +31,11 @@ LEXICON = 1 << 14
 FEATURES = ("log_bytes", "word_bytes", "symbols", "punctuation", "capitals", "digits", "line_words", "lone_symbols", "sentence_ends", "word_repeats", "distinct_words", "lexical")
 
 
-def evidence(offsets: np.ndarray, body: np.ndarray, lexicons: np.ndarray, of: np.ndarray) -> np.ndarray:
+def evidence(offsets: np.ndarray, body: np.ndarray, lexicons: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each text: counts of byte classes and of repeated words
-    against bytes or words, and the mean weight of its words in the lexicon that `of` names."""
+    against bytes or words, and `lexical`, the mean weight of its words, once for each lexicon."""
     if len(body) == 0:
-        return np.zeros((len(offsets) - 1, len(FEATURES)))
+        return np.zeros((len(offsets) - 1, len(FEATURES) - 1 + len(lexicons)))
     word = ~_SPACE[body]
     starts = word.copy()
     starts[1:] &= ~word[:-1]
@@ -55,68 +53,91 @@ def evidence(offsets: np.ndarray, body: np.ndarray, lexicons: np.ndarray, of: np
     repeats = np.bincount(row[again], minlength=len(w))
     _, first = np.unique(mix(row.astype(np.uint64)) ^ hashes, return_index=True)
     distinct = np.bincount(row[first], minlength=len(w))
-    lexical = np.bincount(row, weights=lexicons[of[row], (hashes & np.uint64(LEXICON - 1)).astype(np.int64)], minlength=len(w)) / w
-    return np.column_stack([np.log1p(inside), inside / w, symbols / n, punct / w, upper / w, digits / n, w / (lines + 1) / 100, lone / w, stops / w, repeats / w, np.log(np.maximum(distinct, 1)) - 0.8 * np.log(w), lexical])
+    at = (hashes & np.uint64(LEXICON - 1)).astype(np.int64)
+    lexical = [np.bincount(row, weights=x[at], minlength=len(w)) / w for x in lexicons]
+    return np.column_stack([np.log1p(inside), inside / w, symbols / n, punct / w, upper / w, digits / n, w / (lines + 1) / 100, lone / w, stops / w, repeats / w, np.log(np.maximum(distinct, 1)) - 0.8 * np.log(w), *lexical])
 
 
-def document_features(docs: DataFrame, columns: list[str], lexicons: np.ndarray, fold: str | None = None) -> DataFrame:
-    """`columns` and an array `x` of FEATURES for each row with a column `text`. Words have the weights
-    of the first lexicon, or, with a column `fold` of 0 and 1, of that one."""
+def document_features(docs: DataFrame, columns: list[str], lexicons: np.ndarray) -> DataFrame:
+    """`columns` and the array `x` of `evidence` for each row with a column `text`."""
     kept = docs.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, body = string_buffers(batch["text"])
-            of = batch[fold].to_numpy() if fold else np.zeros(len(batch), np.int64)
-            rows = [np.zeros((0, len(FEATURES)))]
-            rows += [evidence(offsets[i : j + 1] - offsets[i], body[offsets[i] : offsets[j]], lexicons, of[i:j]) for i, j in chunks(offsets)]
+            rows = [np.zeros((0, len(FEATURES) - 1 + len(lexicons)))]
+            rows += [evidence(offsets[i : j + 1] - offsets[i], body[offsets[i] : offsets[j]], lexicons) for i, j in chunks(offsets)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(list(np.concatenate(rows)), pa.list_(pa.float64()))], names=[*columns, "x"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*columns, "text", *([fold] if fold else [])).mapInArrow(run, f"{fields}, x array<double>")
+    return docs.select(*columns, "text").mapInArrow(run, f"{fields}, x array<double>")
 
 
-def word_weights(sample: DataFrame) -> np.ndarray:
-    """Log odds of hashed words between texts of both labels, from (y, fold, text): a row for each fold,
-    from the texts of the other, and one from all. 4 * LEXICON sums reach the driver."""
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """(id, words): the distinct hashed words of each text, and LEXICON, which stands for the text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 2, LEXICON), np.int64)
         for batch in batches:
             offsets, body = string_buffers(batch["text"])
-            y, fold = batch["y"].to_numpy().astype(np.int64), batch["fold"].to_numpy()
+            words, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in chunks(offsets):
                 h, bounds = word_hashes(offsets[i : j + 1] - offsets[i], body[offsets[i] : offsets[j]])
-                row = np.repeat(np.arange(i, j), np.diff(bounds))
-                once = np.unique(np.column_stack([row, (h & np.uint64(LEXICON - 1)).astype(np.int64)]), axis=0)
-                np.add.at(seen, (fold[once[:, 0]], y[once[:, 0]], once[:, 1]), 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["at", "n"])
-
-    rows = sample.select("y", "fold", "text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    texts = {(r["fold"], int(r["y"])): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
-    seen = np.zeros((2, 2, LEXICON))
-    seen.ravel()[[r["at"] for r in rows]] = [r["n"] for r in rows]
-    n = np.array([[texts.get((f, y), 0) for y in (0, 1)] for f in (0, 1)], float)
-    weight = lambda s, n: np.log((s[1] + 0.5) / (n[1] + 1)) - np.log((s[0] + 0.5) / (n[0] + 1))
-    return np.stack([weight(seen[1], n[1]), weight(seen[0], n[0]), weight(seen.sum(0), n.sum(0))])
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights and intercept on raw features, by Newton steps on standardised ones; the
-    ridge keeps them finite where classes separate. One class or none: only an intercept."""
-    prior = (y.sum() + 1) / (len(y) + 2)
-    out = np.zeros(len(FEATURES) + 1)
+                row = np.concatenate([np.repeat(np.arange(j - i), np.diff(bounds)), np.arange(j - i)])
+                at = np.concatenate([(h & np.uint64(LEXICON - 1)).astype(np.int64), np.full(j - i, LEXICON)])
+                both = np.unique(row * (LEXICON + 1) + at)
+                words.append(both % (LEXICON + 1))
+                counts.append(np.bincount(both // (LEXICON + 1), minlength=j - i))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(words).astype(np.int16)))], names=["id", "words"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words array<smallint>")
+
+
+def word_weights(docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """Log odds of hashed words between all texts of both labels: a row for each fold, from the texts of the
+    other, and one from all. `known` has id, y, fold. At most 4 * (LEXICON + 1) sums reach the driver."""
+    words = hashed_words(docs).join(known, "id").select("fold", F.col("y").cast("int").alias("y"), F.explode("words").alias("at"))
+    seen = np.zeros((2, 2, LEXICON + 1))
+    for r in words.groupBy("fold", "y", "at").agg(F.count("*").alias("n")).collect():
+        seen[r["fold"], r["y"], r["at"]] = r["n"]
+    weight = lambda s: np.log((s[1, :-1] + 0.5) / (s[1, -1] + 1)) - np.log((s[0, :-1] + 0.5) / (s[0, -1] + 1))
+    return np.stack([weight(seen[1]), weight(seen[0]), weight(seen.sum(0))])
+
+
+def fit_logistic(rows: DataFrame, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Weights and intercept on raw features, from all rows (y, x array<double>), by Newton steps on standardised ones; the
+    ridge keeps them finite where classes separate. One class or none: only an intercept. Each step reads the rows once; sums of gradients
+    and second derivatives are combined by Spark."""
+    size = len(FEATURES)
+    each = [F.get("x", F.lit(k)) for k in range(size)]
+    n, ones, *moments = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0)), *(F.avg(c) for c in each), *(F.stddev_pop(c) for c in each)).first()
+    prior = (ones + 1) / (n + 2)
+    out = np.zeros(size + 1)
     out[-1] = np.log(prior / (1 - prior))
-    if len(y) < 10 or y.min() == y.max():
+    if n < 10 or ones in (0, n):
         return out
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w, pull = np.zeros(z.shape[1]), np.full(z.shape[1], ridge * len(x))
+    mean, scale = np.array(moments[:size]), np.maximum(moments[size:], 1e-9)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        """The gradient and the second derivatives at w, one after the other."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((size + 1) * (size + 2))
+            for batch in batches:
+                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                total += np.concatenate([z.T @ (batch["y"].to_numpy() - p), ((z.T * (p * (1 - p))) @ z).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "v"])
+
+        found = rows.select("y", "x").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        return np.array([r["v"] for r in sorted(found, key=lambda r: r["at"])])
+
+    w, pull = np.zeros(size + 1), np.full(size + 1, ridge * n)
     pull[-1] = 0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(pull + 1e-9), z.T @ (y - p) - pull * w)
+        s = sums(w)
+        step = np.linalg.solve(s[size + 1 :].reshape(size + 1, -1) + np.diag(pull + 1e-9), s[: size + 1] - pull * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -163,31 +184,34 @@ def estimate_strengths(sites: DataFrame) -> Strengths:
     return Strengths(within, paths, hosts)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the largest sum of the two labels' shares on their right sides; of several the
-    lowest. One label or none: 0.5."""
-    if len(y) == 0 or y.min() == y.max():
-        return 0.5
-    order = np.argsort(p, kind="stable")
-    p, y = p[order], y[order]
-    right = np.concatenate([[0], np.cumsum(y == 0)]) / (y == 0).sum() + 1 - np.concatenate([[0], np.cumsum(y == 1)]) / y.sum()
-    cuts = np.concatenate([[0.0], (p[1:] + p[:-1]) / 2, [1.0]])
-    possible = np.concatenate([[True], p[1:] > p[:-1], [True]])
-    return float(cuts[possible][np.argmax(right[possible])])
+def best_threshold(judged: DataFrame) -> float:
+    """From all rows (p, y): the cut with the largest sum of the two labels' shares on their right sides; of several the
+    lowest. One label or none: 0.5. Distinct values with their counts are dealt by range, so no task sorts all of them."""
+    v = judged.groupBy(F.lit(0).alias("_all"), "p").agg(F.count_if(F.col("y") == 0).alias("low"), F.count_if(F.col("y") == 1).alias("high"))
+    v = materialise(v.repartitionByRange("p").withColumn("_piece", F.spark_partition_id()), "cuts")
+    low, high = v.agg(F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum("high"), F.lit(0))).first()
+    cut = 0.5
+    if low and high:
+        right = F.col("low_below") / low + 1 - F.col("high_below") / high
+        best = below(v, ["_all"], "p", ["low", "high"]).select("p", right.alias("right")).orderBy(F.col("right").desc(), "p").first()
+        before = v.where(F.col("p") < best["p"]).agg(F.max("p")).first()[0]
+        cut = 0.0 if before is None else (before + best["p"]) / 2
+    discard(v)
+    return cut
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str | None = None, label_col: str = "quality", train_rows: int = TRAIN_ROWS, threshold: float | None = None, host_weight: float | None = None, path_weight: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | str = "source", path: Column | str | None = None, label_col: str = "quality", threshold: float | None = None, host_weight: float | None = None, path_weight: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of `docs`: `id_col`, p_document, host_prior, path_prior,
     p_quality, kept; columns named in `carry` come back as the fields of `held`.
 
-    A logistic classifier on byte classes and hashed words, fitted on at most `train_rows` labelled
+    A logistic classifier on byte classes and hashed words, fitted on all labelled
     rows, gives p_document; words have the weights of the half of the rows that a fitted row is not in. The
     evidence of a document for its site is its label, or else p_document; the mean over all documents is the global prior; a host's
     posterior is the mean of its other documents with `host_weight` documents' worth of
     the global prior, a path's that of its other documents with `path_weight` worth of the host's. Both weights are
     estimated, if they are None, from the variances within and between sites (`estimate_strengths`): the less
     sites differ, the more a sparse one shrinks. The posterior odds are the document's odds times the path's odds over the global
-    odds; `kept` is p_quality >= threshold, by default the cut that tells the labels of the fitted rows best apart.
+    odds; `kept` is p_quality >= threshold, by default the cut that tells the labels of all labelled rows best apart.
 
     Sites are summed by one grouped aggregation and joined back from stored tables with a
     row a site, so a host with a third of all documents is split. A null host or path is
@@ -202,24 +226,20 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"), held.alias("held"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("y in (0.0, 1.0) and id is not null").groupBy("id").agg(F.avg("y").alias("y"))
     known = materialise(known, "labels")
-    chosen = bounded_sample(known.where("y in (0.0, 1.0)"), "id", train_rows)  # so the broadcast is bounded
-    fold = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("fold")
-    sample = materialise(d.select("id", "text").join(F.broadcast(chosen), "id").select("id", "y", fold, "text"), "labelled")
-    lexicons = word_weights(sample)
-    fitted = bounded_sample(document_features(sample, ["id", "y"], lexicons, "fold"), "id", train_rows).collect()
-    x, y = np.array([r["x"] for r in fitted]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in fitted])
-    weights = fit_logistic(x, y)
-    discard(sample)
+    fold = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")
+    lexicons = word_weights(d, known.where("y in (0.0, 1.0)").select("id", "y", fold.alias("fold")))
+    names, last = ["id", "host", "path", *["held"] * bool(carry)], len(FEATURES) - 1
+    features = materialise(document_features(d, names, lexicons).join(known, "id", "left"), "features")
+    x_of = lambda k: F.concat(F.slice("x", 1, last), F.array(F.get("x", k + last)))
+    weights = fit_logistic(features.where("y in (0.0, 1.0)").select("y", x_of(fold).alias("x")))
 
     def chance(score: Column) -> Column:
         return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), 1 / (1 + F.exp(-score))))
 
     score = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1]):
-        score = score + F.lit(float(w)) * F.get("x", F.lit(k))
-    names = ["id", "host", "path", *["held"] * bool(carry)]
-    rows = document_features(d, names, lexicons[2:])
-    scored = materialise(rows.select(*names, chance(score).alias("p")).join(known, "id", "left").withColumn("e", F.coalesce("y", "p")), "scored")
+        score = score + F.lit(float(w)) * F.get("x", F.lit(k if k < last else last + 2))
+    scored = features.select(*names, "y", chance(score).alias("p")).withColumn("e", F.coalesce("y", "p"))
 
     paths = materialise(scored.groupBy("host", "path").agg(F.sum("e").alias("path_sum"), F.sum(F.col("e") * F.col("e")).alias("path_square"), F.count("*").alias("path_n")), "paths")
     hosts = materialise(paths.groupBy("host").agg(F.sum("path_sum").alias("host_sum"), F.sum("path_n").alias("host_n"), F.count("*").alias("host_paths")), "hosts")
@@ -238,7 +258,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     site = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_prior")))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(float(np.log(prior / (1 - prior))) - _logit(F.col("p")) - _logit(site))))
     if threshold is None:
-        judged = bounded_sample(out.join(F.broadcast(chosen.select("id")), "id").select("id", "p_quality", "y"), "id", train_rows).collect()
-        threshold = best_threshold(np.array([r["p_quality"] for r in judged]), np.array([r["y"] for r in judged]))
+        threshold = best_threshold(out.where("y in (0.0, 1.0)").select(F.col("p_quality").alias("p"), "y"))
     out = out.withColumn("kept", F.col("p_quality") >= threshold)
     return out.select(F.col("id").alias(id_col), F.col("p").alias("p_document"), "host_prior", "path_prior", "p_quality", "kept", *["held"] * bool(carry))

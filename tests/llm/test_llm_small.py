@@ -593,6 +593,33 @@ def test_classifier_reads_words(spark):
     assert sum(got[i] == (i % 2 == 0) for i in range(200, 300)) >= 97
 
 
+def test_classifier_fits_on_all_labels(spark):
+    from panelworks.llm.quality_classifier import FEATURES, best_threshold, fit_logistic, word_weights
+
+    rng = np.random.default_rng(4)
+    n = 30_000  # more than the sample of 20,000 that it was once fitted on
+    x = rng.normal(size=(n, len(FEATURES)))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 3] + 0.3)))).astype(float)
+    d = spark.createDataFrame([(float(b), a.tolist()) for a, b in zip(x, y, strict=True)], "y double, x array<double>").repartition(7)
+    z, w = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(n)]), np.zeros(len(FEATURES) + 1)
+    pull = np.append(np.full(len(FEATURES), 1e-3 * n), 0)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z.T * (p * (1 - p))) @ z + np.diag(pull), z.T @ (y - p) - pull * w)
+    assert np.allclose(fit_logistic(d)[:-1], w[:-1] / x.std(0), atol=1e-6)
+    p = np.round(1 / (1 + np.exp(-x[:, 0])), 3)
+    cuts = np.unique(p)
+    right = [(p[y == 0] < c).mean() + (p[y == 1] >= c).mean() for c in cuts]
+    k = int(np.argmax(np.round(right, 12)))
+    judged = spark.createDataFrame([(float(a), float(b)) for a, b in zip(p, y, strict=True)], "p double, y double")
+    assert abs(best_threshold(judged) - (cuts[k - 1] + cuts[k]) / 2) < 1e-9
+    assert best_threshold(judged.where("y = 1")) == best_threshold(judged.limit(0)) == 0.5
+    texts = spark.createDataFrame([(i, "same rare" if i == n - 1 else "same") for i in range(n)], "id long, text string")
+    known = texts.select("id", (F.col("id") % 2).cast("double").alias("y"), F.lit(0).alias("fold"))
+    weights = word_weights(texts, known)
+    assert np.count_nonzero(np.abs(weights[2] - np.median(weights[2])) > 0.5) == 1 and not np.any(weights[0])
+
+
 def test_mixing_by_brute_force(spark):
     d, labels = labelled(spark)
     d = d.unionByName(docs(spark, [(900, "many words " * 30_000)]))
