@@ -12,14 +12,10 @@ from pyspark.sql import functions as F
 TINY = 1e-12
 
 
-#: Pieces of `dealt`.
-PIECES = 128
-
-
 def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """The rows moved by group into a fixed number of pieces, before windows that sort and hold whole groups: Spark merges the pieces of other
-    shuffles by their compressed size, and a sort of rows that compress well is many times as large."""
-    return df.repartition(PIECES, *by)
+    """The rows moved by group, before windows that sort and hold whole groups. Spark merges pieces by their compressed size, and a sort of rows that
+    compress well is many times as large: store the result (`folders.stored`), which merges them to a few MB only."""
+    return df.repartition(*by)
 
 
 def pearson(x: str, y: str) -> Column:

@@ -10,12 +10,20 @@ from .asof import asof_backward
 from .calendar import listing_age
 
 
+#: Pieces of a grid's keys, which are few rows before each becomes one for each open day.
+GRID_PIECES = 128
+
+
 def execution_market(daily: DataFrame, cal: DataFrame, keys: DataFrame, key: str, flat: float = 1e-8) -> DataFrame:
-    """A row for each key and open day. A one-price day above the last close cannot be
-    bought, one below it cannot be sold; a day without a positive trade neither."""
-    grid = keys.select(key).distinct().crossJoin(F.broadcast(cal.select("trade_date")))
+    """A row for each key and open day with the flags of `tradability`; a day without a row can be neither bought nor sold."""
+    grid = keys.select(key).distinct().repartition(GRID_PIECES, key).crossJoin(F.broadcast(cal.select("trade_date")))
     d = grid.join(daily.select(key, "trade_date", "open", "high", "low", "close", "pre_close", "vol", "amount").withColumn("has_market_observation", F.lit(True)), [key, "trade_date"], "left")
-    d = d.withColumn("has_market_observation", F.coalesce("has_market_observation", F.lit(False)))
+    return tradability(d.withColumn("has_market_observation", F.coalesce("has_market_observation", F.lit(False))), flat)
+
+
+def tradability(d: DataFrame, flat: float = 1e-8) -> DataFrame:
+    """Flags of bars. A one-price day above the last close cannot be bought, one below it cannot be sold; a day without a
+    positive trade neither."""
     d = d.withColumn("has_positive_trade", F.coalesce((F.col("vol") > 0) & (F.col("amount") > 0), F.lit(False)))
     d = d.withColumn("valid_open", valid_price("open")).withColumn("valid_close", valid_price("close"))
     one = F.coalesce((F.abs(F.col("open") - F.col("high")) <= flat) & (F.abs(F.col("open") - F.col("low")) <= flat), F.lit(False))
@@ -87,7 +95,8 @@ def lifecycle_panel(terms: DataFrame, cal: DataFrame, events: DataFrame, market:
 
 def forward_returns(keys: DataFrame, schedule: DataFrame, market: DataFrame, key: str) -> DataFrame:
     """Open-to-open returns of each key and schedule row (one horizon or many), with the first
-    reason that makes a label unusable. A signal without a schedule row is on the boundary."""
+    reason that makes a label unusable. A signal without a schedule row is on the boundary. A day without a row in `market` is a day without
+    prices, so bars with the flags of `tradability` do as well as the grid of `execution_market`."""
     extra = ["horizon_days"] if "horizon_days" in schedule.columns else []
     d = keys.select(key, "signal_date").join(F.broadcast(schedule.select("signal_date", *extra, "entry_date", "exit_date", "is_label_within_partition")), "signal_date", "left")
     side = lambda p, flag: market.select(key, F.col("trade_date").alias(f"{p}_date"), F.col("open").alias(f"{p}_open"), F.col(flag).alias(f"{p}_ok"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import dealt
+from ..sources.folders import stored
 from .calendar import calendar
 from .checks import require_columns
 from .cross_section import standardize, winsorize_mad
@@ -158,6 +159,11 @@ class Columns:
     def __init__(self, bundle: FactorBundle) -> None:
         self.bundle, self.value = bundle, F.lit(None).cast("double")
         self._tables: dict[tuple, DataFrame] = {}
+        self._valuation: list[str] = []
+
+    def need_valuation(self, *names: str) -> None:
+        """Columns of the bundle's valuation, which is joined once for all of them."""
+        self._valuation += [n for n in names if n not in self._valuation]
 
     def need(self, name: tuple, keys: list[str], make: Callable[[], DataFrame]) -> None:
         if (name, tuple(keys)) not in self._tables:
@@ -165,7 +171,8 @@ class Columns:
 
     def joined(self) -> DataFrame:
         out = self.bundle.signal.select(*KEYS, *(c for c in ("stock",) if c in self.bundle.signal.columns))
-        for (_, keys), table in self._tables.items():
+        valuation = {("valuation", tuple(KEYS)): self.bundle.table("valuation").select(*KEYS, *self._valuation)} if self._valuation else {}
+        for (_, keys), table in (valuation | self._tables).items():
             out = out.join(table, list(keys), "left")
         return out
 
@@ -177,11 +184,6 @@ class Columns:
         return self
 
 
-def _valuation(c: Columns, *names: str) -> None:
-    for n in names:
-        c.need(("valuation", n), KEYS, lambda n=n: c.bundle.table("valuation").select(*KEYS, n))
-
-
 def union_calendar(bundle: FactorBundle) -> DataFrame:
     """(trade_date, cal_idx) of all dates of the two price histories."""
     return calendar(bundle.table("bond_daily").select("trade_date").unionByName(bundle.table("stock_daily").select("trade_date")))
@@ -202,7 +204,7 @@ def default_registry() -> FactorRegistry:
     r = FactorRegistry()
 
     def passed(source: str):
-        return lambda c, p: (_valuation(c, source), c.set(F.col(source)))[1]
+        return lambda c, p: (c.need_valuation(source), c.set(F.col(source)))[1]
 
     for name, family, direction, source in (
         ("conversion_premium", "valuation", -1, "conversion_premium"),
@@ -214,7 +216,7 @@ def default_registry() -> FactorRegistry:
         r.register(FactorSpec(name, family, direction, (f"valuation.{source}",)), passed(source))
 
     def low(c: Columns, p: dict) -> Columns:
-        _valuation(c, "close", "conversion_premium")
+        c.need_valuation("close", "conversion_premium")
         return c.set(F.col("close") + 100 * F.col("conversion_premium"))
 
     r.register(FactorSpec("double_low", "valuation", -1, ("valuation.close", "valuation.conversion_premium")), low)
@@ -236,9 +238,9 @@ def default_registry() -> FactorRegistry:
 
 def evaluate_batch(batch: DataFrame, labels: DataFrame, min_assets: int = 5) -> tuple[DataFrame, DataFrame]:
     """(ic by factor and date, summary by factor) of a long batch, each factor winsorised,
-    standardised and signed by date."""
+    standardised and signed by date. The series is stored, the summary reads it there."""
     by = ["factor", "signal_date"]
     d = standardize(winsorize_mad(dealt(batch, *by), "raw_factor", by, name="_w"), "_w", by, "_z")
     d = d.withColumn("processed_factor", F.col("direction") * F.col("_z")).join(labels, KEYS)
-    ic = ic_series(d, by, min_assets=min_assets)
+    ic = stored(ic_series(d, by, min_assets=min_assets), "batch-ic")
     return ic, summarize_ic(ic, ["factor"])

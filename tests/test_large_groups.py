@@ -258,3 +258,48 @@ def test_dealt_pieces_are_not_merged(spark):
     rows = [(h, DAY(i), float(k * i % 7), float(k)) for h in (1, 5) for i in range(40) for k in range(6)]
     d = ic_series(spark.createDataFrame(rows, "h int, day date, processed_factor double, forward_return double"), ["h", "day"])
     assert d.count() == 80 and d.rdd.getNumPartitions() == PIECES
+
+
+def test_stored_tables_are_made_in_pieces_that_compressed_size_does_not_merge(spark):
+    """Rows that compress to little are still many tasks' work, and the session keeps its settings."""
+    from panelworks.sources.folders import MERGED, stored
+
+    before = {k: spark.conf.get(k, None) for k in MERGED}
+    d = spark.range(6_000_000).select((F.col("id") % 997).alias("g"), (F.xxhash64("id") % 1000).alias("x"))
+    made = stored(d.repartition("g").withColumn("_task", F.spark_partition_id()), "pieces")
+    assert made.select("_task").distinct().count() > 2 * spark.sparkContext.defaultParallelism
+    assert {k: spark.conf.get(k, None) for k in MERGED} == before
+
+
+def test_bars_of_a_supplier_are_made_where_its_lines_are(spark):
+    """One shuffle of lines serves the bars and the changes, and no partial aggregate runs in a scan."""
+    from panelworks.plans.panels import market
+
+    plan = market(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    executed = market(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" in plan and executed.count("Exchange hashpartitioning(l_suppkey") == 1 and "hashpartitioning(code" not in executed
+
+
+def test_labels_from_bars_are_those_from_the_grid(spark):
+    """No grid of all keys and days is made for labels, and they are the same."""
+    from panelworks.operators import execution as M
+    from panelworks.operators.calendar import horizon_schedules
+    from panelworks.plans.evidence_queries import Study, grid, labels
+
+    st = Study(spark, "/root/testdata/sf0.001")
+    sig = st.cal.select(F.col("trade_date").alias("signal_date"))
+    keys = st.bars.select("code", F.col("trade_date").alias("signal_date"))
+    by_grid = M.forward_returns(keys, horizon_schedules(sig, st.cal, [1, 5, 10], "2001-06-30"), grid(st), "code")
+    made = labels(st)
+    assert made.count() == by_grid.count() and made.exceptAll(by_grid).isEmpty()
+    loops = lambda d: d._jdf.queryExecution().executedPlan().toString().count("NestedLoopJoin")
+    assert loops(made) < loops(by_grid)
+
+
+def test_factors_of_the_valuation_join_it_once(spark):
+    from panelworks.operators.registry import default_registry
+    from panelworks.plans.evidence_queries import RUNS, Study, bundle
+
+    b = bundle(Study(spark, "/root/testdata/sf0.001"))
+    plan = default_registry().batch(RUNS[:6], b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
