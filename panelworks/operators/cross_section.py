@@ -127,7 +127,7 @@ def mad_sensitivity(panel: DataFrame, keys: list[str], date: str, factors: list[
         F.countDistinct(F.when(moved, F.col(date))).alias("n_dates"),
         F.max(F.when(moved, change)).alias("max_change"),
     )
-    r = spearman_by(d, ["factor", "multiplier", date], "value", "clipped").groupBy("factor", "multiplier").agg(F.avg("rank_ic").alias("mean_rank_correlation"))
+    r = stored(spearman_by(d, ["factor", "multiplier", date], "value", "clipped"), "clipped-correlations").groupBy("factor", "multiplier").agg(F.avg("rank_ic").alias("mean_rank_correlation"))
     m = exact_quantiles(d.withColumn("_change", F.when(moved, change)), ["factor", "multiplier"], "_change", (0.5,)).select("factor", "multiplier", F.col("value").alias("median_change"))
     return a.join(m, ["factor", "multiplier"], "left").join(r, ["factor", "multiplier"]).withColumn("clip_rate", F.try_divide("n_clipped", "n_observed"))
 
@@ -309,6 +309,6 @@ def family_diagnostics(result: DataFrame, date: str, policies: list[Policy]) ->
                 row = row.crossJoin(control_correlation(result, c, date, list(p.numeric), p.category).select(F.col("mean_abs_correlation").alias(name)))
             else:
                 row = row.withColumn(name, F.lit(None).cast("double"))
-        row = row.crossJoin(spearman_by(result, [date], a, z).agg(F.avg("rank_ic").alias("rank_correlation")))
+        row = row.crossJoin(stored(spearman_by(result, [date], a, z), "date-correlations").agg(F.avg("rank_ic").alias("rank_correlation")))
         out = row if out is None else out.unionByName(row)
     return out

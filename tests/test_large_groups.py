@@ -303,3 +303,10 @@ def test_factors_of_the_valuation_join_it_once(spark):
     b = bundle(Study(spark, "/root/testdata/sf0.001"))
     plan = default_registry().batch(RUNS[:6], b)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1
+
+
+def test_rank_correlations_of_mad_sensitivity_are_stored(spark):
+    """The report only reads them: no ranks of dates are left to its own plan, whose shuffles Spark merges."""
+    d = spark.range(400).select(F.col("id").alias("code"), F.expr("date'2001-01-01' + cast(id % 4 as int)").alias("day"), F.rand(1).alias("f"))
+    plan = X.mad_sensitivity(d, ["code", "day"], "day", ["f"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan
