@@ -133,3 +133,46 @@ def test_schedule_prunes_years(spark, tmp_path):
         if "year=2012" not in f and "year=2013" not in f:
             Path(f).unlink()
     assert sorted(r.k for r in got.collect()) == want and want
+
+
+def test_universe_moves_its_rows_once(spark):
+    """A key becomes its signal dates after the shuffle, and no later window or join moves them; planted repeats do not make the panel twice."""
+    from panelworks.plans.event_queries import faulty_universe, universe
+
+    def plan(d):
+        return d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    made = plan(universe(spark, "/root/testdata/sf0.001"))
+    above = made.split("REPARTITION_BY_NUM")[0]
+    assert made.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(" not in above.rsplit("Exchange", 1)[0] and "SortMergeJoin" not in above
+    assert plan(faulty_universe(spark, "/root/testdata/sf0.001")[0]).count("REPARTITION_BY_NUM") == 1
+
+
+def test_audits_of_the_universe_read_it_once(spark):
+    """What is left to the plan of an audit reads stored counts, not customers and orders."""
+    from panelworks.plans.event_queries import universe_audit, universe_enrichment
+
+    for made in (universe_audit, universe_enrichment):
+        files = made(spark, "/root/testdata/sf0.001").inputFiles()
+        assert not [f for f in files if "customer" in f]
+
+
+def test_universe_panel_without_signals_or_reference(spark):
+    """A key without a reference row and a calendar without signals make no rows; a null rating of the latest event stays null."""
+    import datetime as dt
+
+    from panelworks.operators.universe import universe_panel
+
+    day = lambda i: dt.date(2020, 1, 6) + dt.timedelta(7 * i)
+    cal = spark.createDataFrame([(day(i), i) for i in range(6)], "trade_date date, cal_idx int")
+    reference = spark.createDataFrame([("a", day(0), 100.0, 1.0), ("c", day(1), 50.0, None)], "code string, list_date date, issue_size double, first_price double")
+    daily = spark.createDataFrame([("a", day(0), 1.0), ("a", day(2), 2.0), ("b", day(1), 5.0)], "code string, trade_date date, vol double")
+    rated = spark.createDataFrame([("a", day(1), "AA", 17), ("a", day(3), None, None)], "code string, effective_date date, rating string, rating_score int")
+    shared = spark.createDataFrame([("a", day(2), 200.0, 3.0)], "code string, effective_date date, remain_size double, convert_price double")
+    run = lambda s: universe_panel(spark.createDataFrame(s, "signal_date date"), reference, daily, cal, rated, shared, "code", minimum_age=1, minimum_size=1.0, volume_scale=1.0)
+    assert run([]).count() == 0
+    rows = {(r.code, r.signal_date): r for r in run([(day(1),), (day(4),)]).collect()}
+    assert sorted(rows) == [("a", day(1)), ("a", day(4)), ("c", day(1)), ("c", day(4))]
+    a = rows["a", day(4)]
+    assert (a.rating, a.rating_date, a.remain_size, a.share_date, a.turnover_sum, a.observation_ratio) == (None, day(3), 200.0, day(2), 1 / 100 + 2 / 200, 0.1)
+    assert (rows["a", day(1)].rating, rows["a", day(1)].remain_size, rows["c", day(4)].turnover_sum) == ("AA", None, 0.0)
