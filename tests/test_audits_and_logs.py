@@ -176,3 +176,11 @@ def test_universe_panel_without_signals_or_reference(spark):
     a = rows["a", day(4)]
     assert (a.rating, a.rating_date, a.remain_size, a.share_date, a.turnover_sum, a.observation_ratio) == (None, day(3), 200.0, day(2), 1 / 100 + 2 / 200, 0.1)
     assert (rows["a", day(1)].rating, rows["a", day(1)].remain_size, rows["c", day(4)].turnover_sum) == ("AA", None, 0.0)
+
+
+def test_parts_are_valued_where_their_lines_are(spark):
+    """No partial aggregate of order lines runs in a scan: the lines are moved by part once, and aggregated there."""
+    from panelworks.plans.event_queries import valued
+
+    made = valued(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert made.count("hashpartitioning(l_partkey") == 1 and "partial_max_by" in made.split("hashpartitioning(l_partkey")[0]
