@@ -99,14 +99,21 @@ def valuation_audit(panel: DataFrame, expected: DataFrame, keys: list[str], by:
 
 def factor_audit(actual: DataFrame, expected: DataFrame, keys: list[str], factors: list[str], flags: tuple[str, ...] = ()) -> DataFrame:
     """One row that compares a factor panel with its recomputation: rows, repeated keys, keys
-    missing or beyond it, mismatches of all values and `flags`, and coverage__<factor>."""
+    missing or beyond it, mismatches of all values and `flags`, and coverage__<factor>. Both are read several times, so give stored ones;
+    what moves their rows is stored in turn, as one row, so that its tasks stay small."""
     left = actual.select(*keys, *(F.col(c).alias(f"_a_{c}") for c in (*factors, *flags)))
     both = left.join(expected.select(*keys, *factors, *flags), keys)
     wrong = [mismatch(F.col(f"_a_{c}"), F.col(c)).cast("long") for c in factors] + [(~F.col(f"_a_{c}").eqNullSafe(F.col(c))).cast("long") for c in flags]
-    off = both.agg(F.coalesce(F.sum(sum(wrong[1:], wrong[0])), F.lit(0)).alias("mismatches"))
+    off = stored(both.agg(F.coalesce(F.sum(sum(wrong[1:], wrong[0])), F.lit(0)).alias("mismatches")), "mismatches")
     row = actual.agg(F.count("*").alias("n_rows"), *((F.count(c) / F.count("*")).alias(f"coverage__{c}") for c in factors))
-    apart = key_difference(actual, expected, keys).agg(F.count_if(F.col("side") == "missing").alias("missing_keys"), F.count_if(F.col("side") == "extra").alias("extra_keys"))
-    out = row.crossJoin(off).crossJoin(apart).crossJoin(duplicate_keys(actual, keys).agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("repeated_keys")))
+    tagged = lambda d, n: d.select(*keys, F.lit(n).alias("_a"), F.lit(1 - n).alias("_e"))
+    g = tagged(actual, 1).unionByName(tagged(expected, 0)).groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_e").alias("_e"))
+    null = F.lit(False)  # equals no key
+    for k in keys:
+        null = null | F.col(k).isNull()
+    missing, extra = (F.col("_e") > 0) & ((F.col("_a") == 0) | null), (F.col("_a") > 0) & ((F.col("_e") == 0) | null)
+    apart = stored(g.agg(F.count_if(missing).alias("missing_keys"), F.count_if(extra).alias("extra_keys"), F.coalesce(F.sum(F.when(F.col("_a") > 1, F.col("_a") - 1)), F.lit(0)).alias("repeated_keys")), "keys-apart")
+    out = row.crossJoin(off).crossJoin(apart)
     return out.withColumn("passed", F.col("mismatches") + F.col("missing_keys") + F.col("extra_keys") + F.col("repeated_keys") == 0)
 
 

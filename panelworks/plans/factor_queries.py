@@ -352,8 +352,8 @@ def faulty(d: DataFrame, factors: tuple[str, ...]) -> DataFrame:
     """A factor panel with faults: changed values, lost values, keys missing and repeated."""
     k = F.col("code")
     d = d.withColumn(factors[0], F.when(k % 7 == 0, F.col(factors[0]) + 0.01).otherwise(F.col(factors[0]))).withColumn(factors[1], F.when(k % 13 != 0, F.col(factors[1])))
-    d = d.where("code % 11 <> 0")
-    return d.unionByName(d.where("code % 19 = 0")).unionByName(d.where("code = 1").withColumn("code", F.lit(-1).cast(d.schema["code"].dataType)))
+    other = F.lit(-1).cast(d.schema["code"].dataType)
+    return d.where("code % 11 <> 0").withColumn("code", F.explode(F.when(k == 1, F.array(k, other)).when(k % 19 == 0, F.array(k, k)).otherwise(F.array(k))))
 
 
 def _faulty_sql(factors: tuple[str, ...], rest: str = "") -> str:
@@ -371,7 +371,7 @@ def _audit_sql(factors: tuple[str, ...], flags: tuple[str, ...] = ()) -> str:
 
 @query("formula_audit", f"WITH {BARS}, ex AS (SELECT code, trade_date, " + ", ".join(f"{ret_sql('close', n)} AS stock_return_{n}d" for n in (5, 10, 20)) + f", close / ({roll('max', 'close')}) AS stock_price_to_high_20d FROM bars), {_faulty_sql(STOCK_FACTORS)} {_audit_sql(STOCK_FACTORS)}")
 def formula_audit(spark: SparkSession, sf: str) -> DataFrame:
-    d = stock_factors(spark, sf)
+    d = stored(stock_factors(spark, sf), "stock-factors")
     return tidy(factor_audit(faulty(d, STOCK_FACTORS), d, KEYS, list(STOCK_FACTORS)))
 
 
@@ -382,7 +382,7 @@ BOND_FACTORS = ("cb_return_5d", "cb_return_20d", "turnover", "cb_close_to_vwap")
 gt AS (SELECT count(*) FILTER (vol > 0 AND amount > 0 AND low > 0 AND high > 0) AS n_vwap, count(*) FILTER (vol > 0 AND amount > 0 AND low > 0 AND high > 0 AND amount / vol >= low - 0.02 AND amount / vol <= high + 0.02) AS n_inside FROM t3),
 au AS ({_audit_sql(BOND_FACTORS, ('vwap_unit_valid',))}) SELECT au.*, n_vwap, n_inside, n_vwap - n_inside AS n_excluded, round(n_inside / n_vwap, 6) AS inside_share, n_inside / n_vwap >= 0.999 AS gate_passed FROM au, gt""")
 def trading_audit(spark: SparkSession, sf: str) -> DataFrame:
-    d = traded(market(spark, sf))
+    d = stored(traded(market(spark, sf)).select(*KEYS, *BOND_FACTORS, "vwap_unit_valid", "vol", "amount", "low", "high"), "traded")
     e = d.select(*KEYS, *BOND_FACTORS, "vwap_unit_valid")
     wrong = faulty(e, BOND_FACTORS).withColumn("vwap_unit_valid", F.col("vwap_unit_valid") != (F.abs("code") % 17 == 0))
     return tidy(factor_audit(wrong, e, KEYS, list(BOND_FACTORS), ("vwap_unit_valid",)).crossJoin(T.trading_gate(d, price_scale=1.0)))
