@@ -88,7 +88,8 @@ def factor_output(df: DataFrame, value: str) -> DataFrame:
 
 def factor_violations(frame: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """One row of counters: repeated keys, values that are not finite, values from the
-    future or without a date, and keys outside the context. All must be 0."""
+    future or without a date, and keys outside the context. All must be 0. Keys of the frame and of the context are moved
+    once, together; the frame is read twice."""
     x = F.col("raw_factor")
     a = frame.agg(
         (F.count("*") - F.count_if(F.col("signal_date").isNotNull() & F.col("code").isNotNull())).alias("null_keys"),
@@ -96,11 +97,12 @@ def factor_violations(frame: DataFrame, context: DataFrame | None = None) -> Dat
         F.count_if(F.col("available_date") > F.col("signal_date")).alias("from_future"),
         F.count_if(x.isNotNull() & F.col("available_date").isNull()).alias("undated"),
     )
-    twice = frame.groupBy(*KEYS).count().where("count > 1").agg(F.count("*").alias("repeated_keys"))
-    out = a.crossJoin(twice)
-    if context is not None:
-        out = out.crossJoin(frame.join(context, KEYS, "left_anti").agg(F.count("*").alias("outside_context")))
-    return out
+    tagged = lambda d, n: d.select(*KEYS, F.lit(n).alias("_f"), F.lit(1 - n).alias("_c"))
+    rows = tagged(frame, 1) if context is None else tagged(frame, 1).unionByName(tagged(context, 0))
+    g = rows.groupBy(*KEYS).agg(F.sum("_f").alias("_f"), F.sum("_c").alias("_c"))
+    alone = (F.col("_c") == 0) | F.col(KEYS[0]).isNull() | F.col(KEYS[1]).isNull()
+    outside = [F.coalesce(F.sum(F.when(alone, F.col("_f"))), F.lit(0)).alias("outside_context")] if context is not None else []
+    return a.crossJoin(stored(g.agg(F.count_if(F.col("_f") > 1).alias("repeated_keys"), *outside), "frame-keys"))
 
 
 class FactorRegistry:

@@ -184,3 +184,34 @@ def test_parts_are_valued_where_their_lines_are(spark):
 
     made = valued(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert made.count("hashpartitioning(l_partkey") == 1 and "partial_max_by" in made.split("hashpartitioning(l_partkey")[0]
+
+
+def test_studies_store_what_they_read_several_times_once(spark, monkeypatch):
+    """One bundle for a frame and its context, one table of scores for a book and its audit; final plans read no order lines."""
+    from panelworks.plans import evidence_queries as Q
+    from panelworks.plans.factor_queries import trading_audit
+
+    names, sf = [], "/root/testdata/sf0.001"
+    kept = Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df, name: (names.append(name), kept(df, name))[1])
+    Q.violations(Q.Study(spark, sf))
+    assert names.count("valuation") == 1 and names.count("faulty-frame") == 1 and "bond-daily" not in names
+    made = Q.buffer_audit(Q.Study(spark, sf)), trading_audit(spark, sf)
+    assert names.count("barred") == 1
+    for d in made:
+        assert not [f for f in d.inputFiles() if "lineitem" in f or "/bars-" in f]
+
+
+def test_counters_of_null_and_repeated_keys(spark):
+    """A null key equals no other: it is outside the context, and both missing and beyond what is expected."""
+    from panelworks.operators.registry import factor_violations
+    from panelworks.operators.valuation import factor_audit
+
+    frame = spark.createDataFrame([(1, "a", 1.0, 1), (1, "a", 1.0, 1), (None, "a", 1.0, 1), (2, "b", 1.0, 2)], "signal_date int, code string, raw_factor double, available_date int")
+    context = spark.createDataFrame([(1, "a"), (None, "a")], "signal_date int, code string")
+    r = factor_violations(frame, context).first()
+    assert (r.null_keys, r.repeated_keys, r.outside_context) == (1, 1, 2)
+    actual = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 1.0), ("c", 1.0)], "k string, f double")
+    expected = spark.createDataFrame([("a", 1.0), (None, 1.0), ("d", 1.0)], "k string, f double")
+    r = factor_audit(actual, expected, ["k"], ["f"]).first()
+    assert (r.mismatches, r.missing_keys, r.extra_keys, r.repeated_keys) == (1, 2, 2, 1)
