@@ -43,9 +43,12 @@ def quantile_groups(panel: DataFrame, by: list[str], key: str, groups: int = 5,
 
 def quantile_returns(grouped: DataFrame, by: list[str], groups: int = 5, ret: str = RETURN) -> DataFrame:
     """Mean return of each group as G1..Gk, their spread and half of it."""
-    names = list(range(1, groups + 1))
-    d = grouped.groupBy(*by).pivot("quantile", names).agg(F.avg(ret))
-    d = d.select(*by, *(F.col(str(k)).alias(f"G{k}") for k in names))
+    return _means(grouped, by, groups, ret).drop("universe")
+
+
+def _means(grouped: DataFrame, by: list[str], groups: int, ret: str) -> DataFrame:
+    """The columns of `quantile_returns` and the mean of all assets, `universe`, in one aggregate."""
+    d = grouped.groupBy(*by).agg(*(F.avg(F.when(F.col("quantile") == k, F.col(ret))).alias(f"G{k}") for k in range(1, groups + 1)), F.avg(ret).alias("universe"))
     d = d.withColumn("spread_raw", F.col("G1") - F.col(f"G{groups}"))
     return d.withColumn("long_short", F.col("spread_raw") / 2)
 
@@ -58,9 +61,7 @@ def nav(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFra
 
 def horizon_ir(panel: DataFrame, by: list[str], key: str, groups: int = 5, score: str = SCORE, ret: str = RETURN) -> DataFrame:
     """Quantile returns with the mean of all assets and the active return of the best group."""
-    g = quantile_groups(panel, by, key, groups, score, ret)
-    all_ = g.groupBy(*by).agg(F.avg(ret).alias("universe"))
-    d = quantile_returns(g, by, groups, ret).join(all_, by)
+    d = _means(quantile_groups(panel, by, key, groups, score, ret), by, groups, ret)
     return d.withColumn("active", F.col("G1") - F.col("universe"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import first_match, valid_price
 from .asof import asof_backward
 from .calendar import listing_age
+from .windows import shift
 
 
 #: Pieces of a grid's keys, which are few rows before each becomes one for each open day.
@@ -101,6 +102,15 @@ def forward_returns(keys: DataFrame, schedule: DataFrame, market: DataFrame, key
     d = keys.select(key, "signal_date").join(F.broadcast(schedule.select("signal_date", *extra, "entry_date", "exit_date", "is_label_within_partition")), "signal_date", "left")
     side = lambda p, flag: market.select(key, F.col("trade_date").alias(f"{p}_date"), F.col("open").alias(f"{p}_open"), F.col(flag).alias(f"{p}_ok"))
     d = d.join(side("entry", "buy_allowed"), [key, "entry_date"], "left").join(side("exit", "sell_allowed"), [key, "exit_date"], "left")
+    return _labelled(d).select(key, "signal_date", *extra, *LABEL)
+
+
+#: What a label has beside its key, its signal date and its horizon.
+LABEL = ("entry_date", "exit_date", "label_reason", "label_usable", "forward_return")
+
+
+def _labelled(d: DataFrame) -> DataFrame:
+    """Reason, flag and return of rows with the opens and flags of their entry and exit."""
     no = lambda c: ~F.coalesce(c, F.lit(False))
     reason = first_match(
         (no(F.col("is_label_within_partition")), "partition_boundary"),
@@ -113,8 +123,28 @@ def forward_returns(keys: DataFrame, schedule: DataFrame, market: DataFrame, key
         default="usable",
     )
     d = d.withColumn("label_reason", reason).withColumn("label_usable", F.col("label_reason") == "usable")
-    d = d.withColumn("forward_return", F.when(F.col("label_usable"), F.col("exit_open") / F.col("entry_open") - 1))
-    return d.select(key, "signal_date", *extra, "entry_date", "exit_date", "label_reason", "label_usable", "forward_return")
+    return d.withColumn("forward_return", F.when(F.col("label_usable"), F.col("exit_open") / F.col("entry_open") - 1))
+
+
+def priced_ahead(bars: DataFrame, key: str, horizons: list[int], idx: str = "cal_idx") -> DataFrame:
+    """Bars (with the flags of `tradability` and their calendar position) with what `labels_ahead` needs of the key's later bars: one window over the
+    rows that exist, and no join. A null key has no later bars."""
+    at = lambda c, n: F.when(F.col(key).isNotNull(), shift(c, -n, key, idx))
+    entry = {"_entry_open": at("open", 1), "_entry_ok": at("buy_allowed", 1)}
+    return bars.withColumns(entry | {f"_exit_open_{h}": at("open", 1 + h) for h in horizons} | {f"_exit_ok_{h}": at("sell_allowed", 1 + h) for h in horizons})
+
+
+def ahead_columns(horizons: list[int]) -> list[str]:
+    return ["_entry_open", "_entry_ok", *(f"_exit_{c}_{h}" for c in ("open", "ok") for h in horizons)]
+
+
+def labels_ahead(d: DataFrame, schedule: DataFrame, horizons: list[int]) -> DataFrame:
+    """The labels of `forward_returns` for rows of `priced_ahead`, one for each horizon of a schedule by `calendar.horizon_schedules`, beside the other columns."""
+    own, h = [c for c in d.columns if c not in ahead_columns(horizons)], F.col("horizon_days")
+    d = d.join(F.broadcast(schedule.where(h.isin(horizons))), "signal_date", "left")
+    out = lambda c: F.coalesce(*(F.when(h == n, F.col(f"_exit_{c}_{n}")) for n in horizons))
+    d = d.withColumns({"entry_open": F.col("_entry_open"), "entry_ok": F.col("_entry_ok"), "exit_open": out("open"), "exit_ok": out("ok")})
+    return _labelled(d).select(*own, "horizon_days", *LABEL)
 
 
 def open_to_open(factors: DataFrame, schedule: DataFrame, prices: DataFrame, key: str, drop_unusable: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +164,11 @@ def open_to_open(factors: DataFrame, schedule: DataFrame, prices: DataFrame, key
 def attach_labels(processed: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """Labels of a factor panel; the return of an unusable or infinite label is null. A row
     without a label is an error, found when the rows are made."""
-    d = processed.join(labels.select(*keys, *(c for c in labels.columns if c not in processed.columns)), keys, "left")
+    return usable_returns(processed.join(labels.select(*keys, *(c for c in labels.columns if c not in processed.columns)), keys, "left"))
+
+
+def usable_returns(d: DataFrame) -> DataFrame:
+    """The return of an unusable or infinite label as null; a row without a label is an error."""
     r = F.col("forward_return")
     usable = F.when(F.col("label_usable").isNull(), F.raise_error(F.lit("a factor row has no label")).cast("boolean")).otherwise(F.col("label_usable") & ~F.isnan(r) & (F.abs(r) < float("inf")))
     return d.withColumn("forward_return", F.when(usable, r))

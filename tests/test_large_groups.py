@@ -310,3 +310,51 @@ def test_rank_correlations_of_mad_sensitivity_are_stored(spark):
     d = spark.range(400).select(F.col("id").alias("code"), F.expr("date'2001-01-01' + cast(id % 4 as int)").alias("day"), F.rand(1).alias("f"))
     plan = X.mad_sensitivity(d, ["code", "day"], "day", ["f"])._jdf.queryExecution().optimizedPlan().toString()
     assert "rank(" not in plan
+
+
+def test_horizon_summary_counts_labels_in_its_evidence(spark, monkeypatch):
+    """Labels are made once, along with the scores, where a supplier's bars are; the plan that is left reads no bars."""
+    from panelworks.plans import evidence_queries as Q
+
+    names, kept = [], Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df, name: (names.append(name), kept(df, name))[1])
+    st = Q.Study(spark, "/root/testdata/sf0.001")
+    made = Q.scored_labels(st)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in made and made.count("hashpartitioning(code") == 1
+    d = Q.horizon_summary(st)
+    assert names.count("evidence") == 1 and not [f for f in d.inputFiles() if "lineitem" in f or "/bars-" in f]
+    want = {r.horizon_days: (r["count(1)"], r.usable) for r in Q.labels(st).groupBy("horizon_days").agg(F.count("*"), F.count_if("label_usable").alias("usable")).collect()}
+    assert {r.horizon_days: (r.label_rows, r.usable_rows) for r in d.collect()} == want and len(want) == 3
+
+
+def test_labels_ahead_of_gaps_and_null_keys(spark):
+    from panelworks.operators import execution as M
+    from panelworks.operators.calendar import calendar, horizon_schedules
+
+    rows = [(k, DAY(i), 10.0 + i, i != 4, i != 6, i) for k in ("a", "b", None) for i in range(9) if (k, i) not in (("b", 2), ("b", 6))] + [("c", DAY(0), 1.0, True, True, 0), ("c", DAY(1), 0.0, True, True, 1)]
+    bars = spark.createDataFrame(rows, "code string, trade_date date, open double, buy_allowed boolean, sell_allowed boolean, cal_idx int")
+    cal = calendar(bars)
+    schedule = horizon_schedules(cal.select(F.col("trade_date").alias("signal_date")), cal, [1, 3], str(DAY(7)))
+    want = M.forward_returns(bars.select("code", F.col("trade_date").alias("signal_date")), schedule, bars, "code")
+    made = M.labels_ahead(M.priced_ahead(bars, "code", [1, 3]).select("code", F.col("trade_date").alias("signal_date"), *M.ahead_columns([1, 3])), schedule, [1, 3])
+    assert made.columns == want.columns and sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+    assert {r.label_reason for r in made.collect()} == {"partition_boundary", "missing_entry", "invalid_entry", "entry_not_buyable", "missing_exit", "exit_not_sellable", "usable"}
+
+
+def test_horizon_returns_read_their_groups_once(spark):
+    from panelworks.operators import evaluation as E
+
+    d = spark.createDataFrame([(h, i, float(i), i / 10) for h in (1, 2) for i in range(7)], "h int, code int, processed_factor double, forward_return double")
+    r = E.horizon_ir(d, ["h"], "code")
+    assert "Join" not in r._jdf.queryExecution().executedPlan().toString()
+    assert [(v.h, round(v.G1, 9), round(v.universe, 9), round(v.active, 9)) for v in r.orderBy("h").collect()] == [(1, 0.55, 0.3, 0.25), (2, 0.55, 0.3, 0.25)]
+    assert "universe" not in E.quantile_returns(E.quantile_groups(d, ["h"], "code"), ["h"]).columns
+
+
+def test_stored_tables_read_files_in_small_splits(spark):
+    from panelworks.sources.folders import small_pieces
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with small_pieces(spark):
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
