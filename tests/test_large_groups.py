@@ -240,6 +240,24 @@ def test_bars_take_the_first_of_tied_lines(spark, tmp_path):
         market(spark, f"{tmp_path}/far").collect()
 
 
+def test_tied_lines_of_several_files(spark, tmp_path):
+    """Of tied lines in several files that of the first file counts, wherever it lies there, in the bars of suppliers and of nations."""
+    from panelworks.plans.panels import market, stocks
+
+    day = dt.datetime(1998, 5, 18)
+    tied = lambda price, supplier=1: (7, supplier, 2, 1.0, price, day)
+    files = [[(1, 9, 1, 1.0, 5.0, day)] * 3, [(1, 9, 1, 1.0, 5.0, day), (1, 9, 1, 0.0, 5.0, day), tied(30.0), tied(40.0)], [tied(10.0)], [tied(20.0, 2), tied(50.0)]]
+    names = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/file {i}")
+        (part,) = (tmp_path / f"file {i}").glob("*.parquet")
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        part.rename(tmp_path / "lineitem.parquet" / f"{i} + %.parquet")
+    spark.createDataFrame([(1, 3), (2, 3), (9, 4)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r.code: (r.open, r.close, r.vol) for r in market(spark, str(tmp_path)).collect()} == {1: (30.0, 30.0, 4.0), 2: (20.0, 20.0, 1.0), 9: (5.0, 5.0, 4.0)}
+    assert {r.code: (r.open, r.close, r.vol) for r in stocks(spark, str(tmp_path)).collect()} == {3: (30.0, 30.0, 5.0), 4: (5.0, 5.0, 4.0)}
+
+
 def test_winsorized_panel_is_moved_once(spark):
     rng = random.Random(9)
     rows = [(i, DAY(i % 3), rng.choice([None, rng.gauss(0, 1), 50.0]), 1.0 if i % 3 else rng.random(), i % 4) for i in range(90)]
