@@ -258,6 +258,26 @@ def test_tied_lines_of_several_files(spark, tmp_path):
     assert {r.code: (r.open, r.close, r.vol) for r in stocks(spark, str(tmp_path)).collect()} == {3: (30.0, 30.0, 5.0), 4: (5.0, 5.0, 4.0)}
 
 
+def test_return_spread_of_lines_tied_over_files(spark, tmp_path):
+    """Each tenth line has a tied one at another price behind many rows of an earlier file: the spread is that of the SQL on one thread."""
+    import duckdb
+
+    from panelworks.plans.factor_queries import QUERIES
+
+    c, sf = duckdb.connect(config={"threads": 1}), "/root/testdata/sf0.001"
+    (tmp_path / "lineitem.parquet").mkdir()
+    c.execute(f"CREATE VIEW given AS SELECT * FROM '{sf}/lineitem.parquet'")
+    c.execute(f"COPY (SELECT * REPLACE (0.0 AS l_quantity) FROM given UNION ALL SELECT * REPLACE (l_extendedprice * 2 AS l_extendedprice) FROM given WHERE l_orderkey % 10 = 0) TO '{tmp_path}/lineitem.parquet/a.parquet' (FORMAT parquet)")
+    c.execute(f"COPY given TO '{tmp_path}/lineitem.parquet/b.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (SELECT * REPLACE (CAST(s_suppkey % 2 AS INTEGER) AS s_nationkey) FROM '{sf}/supplier.parquet') TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    query, sql = QUERIES["return_spread"]
+    want = sorted(c.execute(sql).fetchall(), key=str)
+    got = sorted((tuple(r) for r in query(spark, str(tmp_path)).collect()), key=str)
+    assert got == want and sum(bool(r[2]) for r in want) > 100
+
+
 def test_winsorized_panel_is_moved_once(spark):
     rng = random.Random(9)
     rows = [(i, DAY(i % 3), rng.choice([None, rng.gauss(0, 1), 50.0]), 1.0 if i % 3 else rng.random(), i % 4) for i in range(90)]
