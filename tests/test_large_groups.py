@@ -14,7 +14,7 @@ from panelworks.operators import cross_section as X
 from panelworks.operators import factors as T
 from panelworks.operators import portfolio as P
 from panelworks.operators.asof import asof_backward, asof_spread
-from panelworks.operators.intervals import interval_join
+from panelworks.operators.intervals import interval_join, interval_totals
 
 DAY = lambda i: dt.date(2020, 1, 1) + dt.timedelta(i)
 
@@ -45,6 +45,62 @@ def test_interval_join(spark, hot):
         interval_join(p.withColumn("at", F.lit("x")), s, "at", "start", "stop")
 
 
+def most_rows(df):
+    """The most rows that an operator of the plan made, when the rows have been taken."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        inner = "plan" if kind.endswith("QueryStageExec") else {"AdaptiveSparkPlanExec": "executedPlan", "ReusedExchangeExec": "child"}.get(kind)
+        rows = node.metrics().get("numOutputRows")
+        yield rows.get().value() if rows.isDefined() else 0
+        for child in [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]:
+            yield from walk(child)
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_interval_totals(spark):
+    rng = random.Random(4)
+    points = [(rng.choice("ab"), rng.randrange(-40, 200), rng.choice([None, 0.25, -3.5, 7.0])) for _ in range(300)] + [("a", None, 1.0), (None, 3, 1.0), ("c", 9, None), ("c", 9, None)]
+    spans = [(i, rng.choice("ab"), s := rng.randrange(-50, 150), s + rng.randrange(-2, 90)) for i in range(60)] * 2 + [(900, "a", None, 5), (901, "b", 3, None), (902, None, 0, 9), (903, "a", -(10**9), 10**9), (904, "a", 5, 5), (905, "c", 8, 10), (906, "c", 500, 600)]
+    p = spark.createDataFrame(points, "k string, at int, x double")
+    s = spark.createDataFrame(spans, "id int, k string, start int, stop int")
+
+    def want(keyed):
+        for i, k, a, b in spans:
+            x = [v for c, t, v in points if None not in (t, a, b) and (not keyed or (c is not None and c == k)) and a <= t < b]
+            if x:
+                y = [v for v in x if v is not None]
+                yield (i, k, a, b, len(x), sum(y) if y else None)
+
+    got = interval_totals(p, s, "at", "start", "stop", ["k"], "n", {"total": "x"})
+    assert got.columns == ["id", "k", "start", "stop", "n", "total"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want(True), key=str)
+    free = interval_totals(p.drop("k"), s, "at", "start", "stop", sums={"total": "x"})
+    assert sorted(map(tuple, free.collect()), key=str) == sorted(want(False), key=str)
+    assert interval_totals(p, s.limit(0), "at", "start", "stop", ["k"]).count() == interval_totals(p.limit(0), s, "at", "start", "stop", ["k"]).count() == 0
+    with pytest.raises(TypeError, match="dates or whole numbers"):
+        interval_totals(p.withColumn("at", F.lit("x")), s, "at", "start", "stop")
+
+
+def test_orders_in_reach_makes_no_pairs(spark, tmp_path):
+    """2,000 orders of a region in three days, a fifth of which start an interval: no step makes a row for each pair, and odd orders count as in the SQL."""
+    import duckdb
+
+    from panelworks.plans.event_queries import QUERIES
+
+    day = lambda i: dt.datetime(2020, 2, 27) + dt.timedelta(i)
+    rows = [(i, 10 * i, day(i % 3), i / 4) for i in range(2000)] + [(-5, 10, day(0), 1.0), (10, 10, day(2), 2.0), (10, 10, day(2), 2.0), (15, None, day(1), 1.0), (20, 3, None, 1.0), (25, 3, day(0), None), (None, 3, day(0), 5.0), (35, 4, day(0), None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    query, sql = QUERIES["orders_in_reach"]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = c.execute(sql).fetchall()
+    d = query(spark, str(tmp_path))
+    assert sorted(map(tuple, d.collect()), key=str) == sorted(want, key=str)
+    assert sum(r[1] for r in want) > 400_000 and 400 <= most_rows(d) <= 2 * len(rows)
+
+
 def test_ranks_of_any_distribution(spark):
     inf = math.inf
     x = [-inf, -inf, inf, 0.0, 1e300, -1e300, 5e-324, 2.0, 2.0]
